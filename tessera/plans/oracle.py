@@ -1 +1,335 @@
-ORACLES = {}
+"""DuckDB oracle SQL for the registered queries.
+
+Each string runs on DuckDB with the test tables registered as views. The
+SQL is written from the operator rules, independently of the Spark code:
+RE2 regexes (leftmost-first, no possessive quantifiers), ordered
+``string_agg``, window functions, and a recursive pointer chase for the
+furniture spans where Spark uses a fold.
+"""
+
+from __future__ import annotations
+
+from tessera.functions.text import NAMED_ENTITIES
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# --- fixed values (RE2 spellings) ------------------------------------------
+WS_CHARS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS = "[" + WS_CHARS + "]"
+TAG = r"""<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^>])*)>"""
+ENT = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+CHROME = ["script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside"]
+NEVER = ["article", "main", "body", "html"]
+WORDS = ["nav", "navbar", "navigation", "sidebar", "sidenav", "toc", "menu", "breadcrumb", "breadcrumbs",
+         "header", "footer", "masthead", "topbar"]
+ROLE = r"(?i)\brole" + WS + "*=" + WS + r"""*["']?(navigation|banner|contentinfo|search|complementary)\b"""
+ARIA = r"(?i)\baria-hidden" + WS + "*=" + WS + r"""*["']?true\b"""
+CLS = r"(?i)\b(back-to-top|skip-to-content|skip-link|screen-reader[\w-]*|sr-only|visually-hidden)\b"
+MAIN = r"(?i)<(main|article|h1)\b"
+# ---------------------------------------------------------------------------
+
+
+def sql_list(xs: list[str]) -> str:
+    return "(" + ", ".join(lit(x) for x in xs) + ")"
+
+
+def attrval(attrs: str, name: str) -> str:
+    pat = (r"(?i)(?:^|[^A-Za-z0-9_])" + name + WS + "*=" + WS +
+           r"""*(?:"([^"]*)"|'([^']*)'|([^""" + WS_CHARS + r""">]+))""")
+    return (f"(regexp_extract({attrs}, {lit(pat)}, 1) || regexp_extract({attrs}, {lit(pat)}, 2) || "
+            f"regexp_extract({attrs}, {lit(pat)}, 3))")
+
+
+def entity_map() -> str:
+    return "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in NAMED_ENTITIES.items()) + "}"
+
+
+def decode_one(w: str) -> str:
+    b = f"substring({w}, 2, length({w}) - 2)"
+    hexd = f"ltrim(substring({b}, 3), '0')"
+    decd = f"ltrim(substring({b}, 2), '0')"
+
+    def cp(n: str) -> str:
+        return (f"(CASE WHEN {n} BETWEEN 1 AND 1114111 THEN (CASE WHEN {n} BETWEEN 55296 AND 57343 "
+                f"THEN chr(65533) ELSE chr({n}::INTEGER) END) ELSE {w} END)")
+    hex_val = f"(CASE WHEN length({hexd}) = 0 THEN 0 WHEN length({hexd}) <= 6 THEN ('0x' || {hexd})::BIGINT END)"
+    dec_val = f"(CASE WHEN length({decd}) = 0 THEN 0 WHEN length({decd}) <= 7 THEN ({decd})::BIGINT END)"
+    return (f"(CASE WHEN starts_with({b}, '#x') OR starts_with({b}, '#X') THEN coalesce({cp(hex_val)}, {w}) "
+            f"WHEN starts_with({b}, '#') THEN coalesce({cp(dec_val)}, {w}) "
+            f"ELSE coalesce(element_at({entity_map()}, {b})[1], {w}) END)")
+
+
+def decode(x: str) -> str:
+    return (f"list_transform([struct_pack(p := regexp_split_to_array({x}, {lit(ENT)}), "
+            f"d := regexp_extract_all({x}, {lit(ENT)}))], lambda z: array_to_string(list_transform("
+            f"range(1, len(z.p) + 1), lambda i: z.p[i] || coalesce({decode_one('z.d[i]')}, '')), ''))[1]")
+
+
+def js_trim(x: str) -> str:
+    return f"regexp_replace({x}, {lit('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+
+
+def tags_to_text(x: str) -> str:
+    s = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g')"
+    return js_trim(f"regexp_replace({decode(s)}, {lit(WS + '{3,}')}, chr(10) || chr(10), 'g')")
+
+
+def squash(x: str) -> str:
+    return js_trim(f"regexp_replace({x}, {lit(WS + '+')}, ' ', 'g')")
+
+
+SYNTH_HTML = f"""
+synth_body AS (
+  SELECT c_nationkey AS n_nationkey, string_agg(
+    '<h2 id="c' || c_custkey::VARCHAR || '">Customer ' || c_name || '</h2><p>Segment ' || c_mktsegment
+    || '. Please log in to see more.</p><form action="/api/customer/' || c_custkey::VARCHAR
+    || '" method="post"><input name="qty_' || c_custkey::VARCHAR
+    || '" type="text"><input type="hidden" name="token"><input id="note_' || c_custkey::VARCHAR
+    || '"><button data-href="/c/' || c_custkey::VARCHAR || '">Open ' || c_custkey::VARCHAR || '</button></form>',
+    '' ORDER BY c_custkey) AS body
+  FROM customer GROUP BY c_nationkey),
+synth AS (
+  SELECT (1000000 + n.n_nationkey)::BIGINT AS page_id,
+    'https://n' || n.n_nationkey::VARCHAR || '.synth.example/nation/' || n.n_nationkey::VARCHAR || '/index.html' AS url,
+    '<html><head><title>' || n.n_name || ' &amp; friends</title><script>fetch("/api/nation/' || n.n_nationkey::VARCHAR
+    || '?full=1");</script></head><body><header class="site-header"><h1 id="top">Nation ' || n.n_name
+    || '</h1><nav><a href="/">Home</a> <a href="#c-list">Customers</a></nav></header>'
+    || '<div class="sidebar-menu"><a href="../up/">Up</a></div><main><p>Intro for ' || n.n_name
+    || ' &mdash; region ' || n.n_regionkey::VARCHAR || '.</p>' || coalesce(b.body, '')
+    || '<p><a href="?page=2">Next</a> <a href="other.html">Other</a> <a href="https://elsewhere.example/x">Off</a> <a href="//'
+    || 'n' || n.n_nationkey::VARCHAR || '.synth.example' || '/abs/./x/../y">Abs</a> <a href="mailto:x@y">Mail</a> <a href="#c-list">Top</a></p>'
+    || '<input type="search" placeholder="Search ' || n.n_name || '"></main><footer>&copy; synth</footer></body></html>' AS html
+  FROM nation n LEFT JOIN synth_body b USING (n_nationkey)),
+corpus AS (
+  SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM synth)"""
+
+
+def _chrome_expr(tag: str, attrs: str) -> str:
+    ident = f"({attrval(attrs, 'class')} || ' ' || {attrval(attrs, 'id')})"
+    words = "[" + ", ".join(lit(w) for w in WORDS) + "]"
+    by_attr = (f"(regexp_matches({attrs}, {lit(ROLE)}) OR regexp_matches({attrs}, {lit(ARIA)}) "
+               f"OR regexp_matches({ident}, {lit(CLS)}) "
+               f"OR list_has_any(string_split_regex(lower({ident}), {lit('(?:' + WS + '|[_-])+')}), {words}))")
+    return (f"(CASE WHEN {tag} IN {sql_list(CHROME)} THEN true WHEN {tag} IN {sql_list(NEVER)} THEN false "
+            f"ELSE {by_attr} END)")
+
+
+TOKENS = f"""
+tk0 AS (
+  SELECT page_id, list_concat([''], regexp_extract_all(coalesce(html, ''), {lit(TAG)})) AS raws,
+         regexp_split_to_array(coalesce(html, ''), {lit(TAG)}) AS segs FROM corpus),
+tk AS (
+  SELECT page_id, pos, raws[pos + 1] AS raw, segs[pos + 1] AS seg
+  FROM (SELECT page_id, raws, segs, unnest(range(len(segs))) AS pos FROM tk0)),
+tt AS (
+  SELECT page_id, pos, raw, seg,
+    CASE WHEN pos = 0 THEN NULL ELSE starts_with(raw, '</') END AS closing,
+    CASE WHEN pos = 0 THEN NULL ELSE lower(regexp_extract(raw, {lit(TAG)}, 2)) END AS tag,
+    CASE WHEN pos = 0 THEN NULL ELSE regexp_extract(raw, {lit(TAG)}, 3) END AS attrs
+  FROM tk),
+tt2 AS (
+  SELECT *, CASE WHEN pos = 0 THEN NULL
+    ELSE (tag IN {sql_list(VOID)} OR regexp_matches(attrs, {lit('/' + WS + '*$')})) END AS self_closing
+  FROM tt),
+tc AS (
+  SELECT *, coalesce(NOT closing AND NOT self_closing AND {_chrome_expr('tag', 'attrs')}, false) AS is_chrome,
+    regexp_matches(raw || seg, {lit(MAIN)})::INTEGER AS mainf
+  FROM tt2)"""
+
+STRIP = TOKENS + f""",
+tw AS (
+  SELECT *,
+    coalesce(sum(mainf) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cme,
+    sum(CASE WHEN closing THEN -1 WHEN NOT self_closing THEN 1 ELSE 0 END)
+      OVER (PARTITION BY page_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth
+  FROM tc),
+tl AS (SELECT *, CASE WHEN closing THEN depth + 1 WHEN NOT self_closing THEN depth END AS level FROM tw),
+tn AS (
+  SELECT *, lead(pos) OVER (PARTITION BY page_id, tag, level ORDER BY pos) AS nxt_pos,
+    lead(closing) OVER (PARTITION BY page_id, tag, level ORDER BY pos) AS nxt_closing,
+    lead(cme) OVER (PARTITION BY page_id, tag, level ORDER BY pos) AS nxt_cme
+  FROM tl),
+cand AS (
+  SELECT page_id, pos AS s, CASE WHEN nxt_closing THEN nxt_pos END AS e,
+    CASE WHEN nxt_closing THEN nxt_cme - cme > 0 ELSE false END AS main, tag
+  FROM tn WHERE is_chrome),
+nx AS (
+  SELECT c.*, (SELECT min(c2.s) FROM cand c2 WHERE c2.page_id = c.page_id AND c2.s > c.e) AS nxt FROM cand c),
+chain AS (
+  SELECT page_id, s, e, main, tag, nxt FROM nx
+  WHERE s = (SELECT min(c3.s) FROM cand c3 WHERE c3.page_id = nx.page_id)
+  UNION ALL
+  SELECT n.page_id, n.s, n.e, n.main, n.tag, n.nxt FROM chain ch JOIN nx n ON n.page_id = ch.page_id AND n.s = ch.nxt),
+spans AS (
+  SELECT page_id, s, e, tag, CASE WHEN e IS NULL THEN 'unclosed' WHEN main THEN 'kept' ELSE 'cut' END AS action
+  FROM chain),
+kept AS (
+  SELECT t.page_id, string_agg((CASE WHEN x.s IS NOT NULL THEN '' ELSE t.raw END)
+      || (CASE WHEN x.s IS NOT NULL AND t.pos < x.e THEN '' ELSE t.seg END), '' ORDER BY t.pos) AS kept_html
+  FROM tk t LEFT JOIN (SELECT * FROM spans WHERE action = 'cut') x
+    ON t.page_id = x.page_id AND t.pos BETWEEN x.s AND x.e
+  GROUP BY t.page_id),
+stripinfo AS (
+  SELECT c.page_id,
+    (SELECT count(*) FROM spans s WHERE s.page_id = c.page_id AND s.action = 'cut')::INTEGER AS cuts,
+    (SELECT count(*) FROM spans s WHERE s.page_id = c.page_id AND s.action = 'kept')::INTEGER AS kept,
+    (SELECT max(tag) FROM spans s WHERE s.page_id = c.page_id AND s.action = 'unclosed') AS unclosed
+  FROM corpus c),
+clean AS (
+  SELECT k.page_id, k.kept_html, {tags_to_text('k.kept_html')} AS text FROM kept k)"""
+
+
+def with_web(body: str, strip: bool = False) -> str:
+    return "WITH RECURSIVE " + SYNTH_HTML.strip() + ("," + STRIP if strip else "") + "\n" + body
+
+
+TITLE_RE = r"(?i)<title[^>]*>([^<]+)</title>"
+H1_RE = r"(?i)<h1[^>]*>([^<]+)</h1>"
+
+
+def title_expr(h: str) -> str:
+    t = f"regexp_extract({h}, {lit(TITLE_RE)}, 1)"
+    h1 = f"regexp_extract({h}, {lit(H1_RE)}, 1)"
+    return f"(CASE WHEN {t} <> '' THEN {js_trim(t)} WHEN {h1} <> '' THEN {js_trim(h1)} ELSE 'Untitled' END)"
+
+
+HEADING_ANY = "(?is)" + "|".join(f"<h{i}\\b[^>]*>.*?</h{i}>" for i in range(1, 7))
+
+SECTIONS = f""",
+hm AS (
+  SELECT page_id, regexp_extract_all(kept_html, {lit(HEADING_ANY)}) AS ms,
+         regexp_split_to_array(kept_html, {lit(HEADING_ANY)}) AS ps FROM clean),
+hrows AS (
+  SELECT page_id, hpos, ms[hpos + 1] AS m, ps[hpos + 2] AS p
+  FROM (SELECT page_id, ms, ps, unnest(range(len(ms))) AS hpos FROM hm)),
+hparsed AS (
+  SELECT page_id, hpos, m, p,
+    regexp_extract(m, '(?is)^<h([1-6])', 1)::INTEGER AS level,
+    regexp_extract(m, '(?is)^<h[1-6]([^>]*)>', 1) AS hattrs,
+    regexp_extract(m, '(?is)^<h[1-6][^>]*>(.*)</h[1-6]>$', 1) AS inner_html
+  FROM hrows),
+hclean AS (
+  SELECT *, {squash(tags_to_text('inner_html'))} AS heading,
+    coalesce(nullif({attrval('hattrs', 'id')}, ''), nullif({attrval('hattrs', 'name')}, '')) AS anchor
+  FROM hparsed),
+hnum AS (
+  SELECT *, heading <> '' AS kept_h,
+    sum(CASE WHEN heading <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY hpos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no
+  FROM hclean),
+sec0 AS (
+  SELECT page_id, section_no,
+    max(CASE WHEN kept_h THEN level END) AS level, max(CASE WHEN kept_h THEN heading END) AS heading,
+    max(CASE WHEN kept_h THEN anchor END) AS anchor,
+    string_agg(CASE WHEN kept_h THEN p ELSE m || p END, '' ORDER BY hpos) AS body_html
+  FROM hnum WHERE section_no > 0 GROUP BY page_id, section_no),
+sections AS (
+  SELECT page_id, section_no::INTEGER AS section_no, level, heading, anchor,
+    {tags_to_text('body_html')} AS text FROM sec0)"""
+
+
+def address(anchor: str, heading: str) -> str:
+    return f"(CASE WHEN {anchor} IS NOT NULL THEN '#' || {anchor} ELSE to_json({heading})::VARCHAR END)"
+
+
+API_Q = r"""["'](/api/[a-zA-Z0-9/_-]+)["']"""
+HREF = r"(?i)href" + WS + "*=" + WS + r"""*["']([^"']+)["']"""
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["html_tokens"] = "WITH " + SYNTH_HTML.strip() + "," + TOKENS + """
+SELECT page_id, count(*)::INTEGER AS n_tags, count(*) FILTER (WHERE closing)::INTEGER AS n_closing,
+  count(*) FILTER (WHERE self_closing AND NOT closing)::INTEGER AS n_self_closing,
+  count(DISTINCT tag)::INTEGER AS n_tag_names
+FROM tc WHERE pos > 0 GROUP BY page_id"""
+
+ORACLES["chrome_tags"] = "WITH " + SYNTH_HTML.strip() + "," + TOKENS + """
+SELECT page_id, tag, count(*)::INTEGER AS n FROM tc WHERE is_chrome GROUP BY page_id, tag"""
+
+ORACLES["chrome_strip"] = with_web("SELECT page_id, cuts, kept, unclosed FROM stripinfo", strip=True)
+
+ORACLES["page_text"] = with_web("SELECT page_id, text FROM clean", strip=True)
+
+ORACLES["page_title"] = with_web(f"SELECT page_id, {title_expr('html')} AS title FROM corpus")
+
+ORACLES["page_summary"] = with_web(
+    "SELECT page_id, replace(substring(text, 1, 200), chr(10), ' ') AS summary FROM clean", strip=True)
+
+ORACLES["page_sections"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + SECTIONS + """
+SELECT page_id, section_no, level, heading, anchor, text, length(text)::INTEGER AS n_chars FROM sections"""
+
+ORACLES["page_outline"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + SECTIONS + f""",
+agg AS (SELECT page_id, count(*)::INTEGER AS n_sections, sum(length(text))::BIGINT AS total_chars
+        FROM sections GROUP BY page_id)
+SELECT s.page_id, s.section_no, s.level, s.heading, length(s.text)::INTEGER AS n_chars,
+  {address('s.anchor', 's.heading')} AS address, a.n_sections, a.total_chars, 'ok' AS status
+FROM sections s JOIN agg a USING (page_id)
+UNION ALL
+SELECT c.page_id, NULL::INTEGER, NULL::INTEGER, NULL::VARCHAR, NULL::INTEGER, NULL::VARCHAR, 0, 0::BIGINT, 'no_headings'
+FROM corpus c WHERE c.page_id NOT IN (SELECT page_id FROM sections)"""
+
+ORACLES["fetch_section"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + SECTIONS + f""",
+req AS (
+  SELECT page_id, lower(regexp_extract({title_expr('html')}, '^\\s*(\\S+)', 1)) AS want FROM corpus
+  UNION ALL SELECT page_id, '#top' FROM corpus
+  UNION ALL SELECT page_id, 'no such section' FROM corpus),
+rq AS (SELECT page_id, want, lower(regexp_replace(want, '^#', '')) AS needle FROM req),
+ranked AS (
+  SELECT r.page_id, r.want, s.section_no, s.level, s.heading, s.text, s.anchor,
+    CASE WHEN lower(s.anchor) = r.needle THEN 1 WHEN lower(s.heading) = r.needle THEN 2
+         WHEN contains(lower(s.heading), r.needle) THEN 3 END AS rnk
+  FROM rq r LEFT JOIN sections s ON s.page_id = r.page_id),
+best AS (
+  SELECT page_id, want, arg_min(struct_pack(section_no := section_no, level := level, heading := heading, text := text),
+                                 rnk * 1000000 + section_no) FILTER (WHERE rnk IS NOT NULL) AS hit,
+    string_agg({address('anchor', 'heading')}, ', ' ORDER BY section_no) FILTER (WHERE section_no IS NOT NULL) AS available
+  FROM ranked GROUP BY page_id, want)
+SELECT page_id, want, CASE WHEN hit IS NOT NULL THEN 'found' ELSE 'missing' END AS status,
+  hit.section_no AS section_no, hit.level AS level, hit.heading AS heading, hit.text AS text,
+  CASE WHEN hit IS NULL THEN coalesce(available, '') END AS available
+FROM best"""
+
+
+ORACLES["api_hints_quoted"] = with_web(
+    f"SELECT page_id, list_sort(list_distinct(regexp_extract_all(coalesce(html, ''), {lit(API_Q)}, 1))) AS api_hints "
+    "FROM corpus")
+
+AUTH_WORD = ("(?i)\\b(?:log" + WS + "?in|sign" + WS + "?in|sign" + WS + "?up|please authenticate"
+             "|authentication required|unauthorized|access denied)\\b"
+             "|\\b401\\b" + WS + "*(?:error|unauthorized|forbidden)"
+             "|(?:error|status)" + WS + "*:?" + WS + "*\\b401\\b")
+
+ORACLES["auth_word"] = with_web(
+    f"SELECT page_id, coalesce(regexp_matches({tags_to_text('html')}, {lit(AUTH_WORD)}), false) AS auth_required "
+    "FROM corpus")
+
+ORACLES["auth_substring"] = with_web(
+    "SELECT page_id, coalesce(" + " OR ".join(
+        f"contains(lower({tags_to_text('html')}), {lit(s)})"
+        for s in ["log in", "login", "sign in", "signin", "please authenticate", "unauthorized"])
+    + ", false) AS auth_required FROM corpus")
+
+
+def _scan_split(url: str) -> tuple[str, str]:
+    """(site, path) of an absolute URL, RE2 spelling."""
+    u = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+    scheme = f"lower(regexp_extract({url}, {lit(u)}, 1))"
+    hostport = f"regexp_replace(regexp_extract({url}, {lit(u)}, 2), '^.*@', '')"
+    host = f"lower(regexp_extract({hostport}, '^(\\[[^\\]]*\\]|[^:]*)', 1))"
+    port0 = f"regexp_replace(regexp_extract({hostport}, '^(?:\\[[^\\]]*\\]|[^:]*):([0-9]*)$', 1), '^0+(.)', '\\1')"
+    port = (f"(CASE WHEN {port0} = (CASE {scheme} WHEN 'http' THEN '80' WHEN 'https' THEN '443' ELSE '' END) "
+            f"THEN '' ELSE {port0} END)")
+    site = f"({scheme} || '://' || {host} || CASE WHEN {port} <> '' THEN ':' || {port} ELSE '' END)"
+    p = f"regexp_extract({url}, {lit(u)}, 3)"
+    path = f"(CASE WHEN {p} = '' THEN '/' ELSE {p} END)"
+    return site, path
+
+
+_site, _path = _scan_split("url")
+ORACLES["scan_pages"] = (
+    f"SELECT page_id, {_site} AS site, {_path} AS path, octet_length(encode(coalesce(html, '')))::BIGINT AS n_bytes, "
+    f"CASE WHEN octet_length(encode(coalesce(html, ''))) > 5242880 THEN 'too_large' END AS reason FROM pages")
