@@ -91,37 +91,56 @@ def site_and_path(url: Column) -> tuple[Column, Column]:
     return origin_of(url), path
 
 
-def resolve_url(href: Column, base: Column) -> Column:
-    """Resolve ``href`` against the absolute ``base`` and normalise it."""
-    h = F.regexp_replace(href, r"[\t\n\r]", "")
-    b = url_parts(base)
-    base_origin = origin_of(base)
-    base_path = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
-    has_scheme = h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    h_scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    rest = F.regexp_replace(h, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
-    same_scheme_rel = has_scheme & (h_scheme == b["scheme"]) & ~rest.startswith("/")
-    absolute = (F.when(has_scheme & ~same_scheme_rel,
-                       F.concat(h_scheme, F.lit("://"), F.regexp_replace(rest, "^/*", "")))
-                .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h)))
-    rel = F.when(same_scheme_rel, rest).otherwise(h)
-    rel_path = F.regexp_extract(rel, r"^([^?#]*)", 1)
-    rel_tail = F.regexp_extract(rel, r"^[^?#]*(.*)$", 1)
-    base_dir = F.regexp_replace(base_path, "[^/]*$", "")
-    merged = (F.when(rel.startswith("/"), F.concat(base_origin, rel))
-              .when(rel.startswith("?"), F.concat(base_origin, base_path, rel))
-              .when(rel.startswith("#"), F.concat(base_origin, base_path, b["query"], rel))
-              .when(rel == "", F.concat(base_origin, base_path, b["query"]))
-              .otherwise(F.concat(base_origin, base_dir, rel_path, rel_tail)))
-    full = F.coalesce(absolute, merged)
-    p = url_parts(full)
-    path = remove_dot_segments(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]))
-    out = F.concat(
-        p["scheme"], F.lit("://"), p["host"],
-        F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(F.lit("")),
-        percent_encode(path, PATH_ENCODE), percent_encode(p["query"], QUERY_ENCODE),
-        percent_encode(p["fragment"], FRAGMENT_ENCODE))
-    return F.when(full.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+"), out)
+def _with_parts(df: DataFrame, url: str, prefix: str) -> DataFrame:
+    p = url_parts(F.col(url))
+    return df.select("*", *[c.alias(prefix + k) for k, c in p.items()])
+
+
+def _origin_cols(prefix: str) -> Column:
+    return F.concat(F.col(prefix + "scheme"), F.lit("://"), F.col(prefix + "host"),
+                    F.when(F.col(prefix + "port") != "", F.concat(F.lit(":"), F.col(prefix + "port")))
+                    .otherwise(F.lit("")))
+
+
+def with_resolved_url(df: DataFrame, href: str, base: str, out: str = "target_url") -> DataFrame:
+    """Add ``out``: ``href`` resolved against the absolute URL in ``base``.
+
+    Written as a chain of projections (base parts, then the merged URL, then
+    its parts, then the normalised path) so every intermediate is computed
+    once per row rather than re-inlined into one large expression.
+    """
+    keep = df.columns
+    d = df.withColumn("_h", F.regexp_replace(F.col(href), r"[\t\n\r]", ""))
+    d = _with_parts(d, base, "_b_")
+    d = d.withColumn("_bpath", F.when(F.col("_b_path") == "", F.lit("/")).otherwise(F.col("_b_path")))
+    h = F.col("_h")
+    d = d.select("*", h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:").alias("_has_scheme"),
+                 F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("_h_scheme"),
+                 F.regexp_replace(h, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "").alias("_rest"))
+    same_rel = F.col("_has_scheme") & (F.col("_h_scheme") == F.col("_b_scheme")) & ~F.col("_rest").startswith("/")
+    d = d.select("*", same_rel.alias("_same_rel"))
+    d = d.withColumn("_rel", F.when(F.col("_same_rel"), F.col("_rest")).otherwise(h))
+    rel = F.col("_rel")
+    borigin = _origin_cols("_b_")
+    full = (F.when(F.col("_has_scheme") & ~F.col("_same_rel"),
+                   F.concat(F.col("_h_scheme"), F.lit("://"), F.regexp_replace(F.col("_rest"), "^/*", "")))
+            .when(h.startswith("//"), F.concat(F.col("_b_scheme"), F.lit(":"), h))
+            .when(rel.startswith("/"), F.concat(borigin, rel))
+            .when(rel.startswith("?"), F.concat(borigin, F.col("_bpath"), rel))
+            .when(rel.startswith("#"), F.concat(borigin, F.col("_bpath"), F.col("_b_query"), rel))
+            .when(rel == "", F.concat(borigin, F.col("_bpath"), F.col("_b_query")))
+            .otherwise(F.concat(borigin, F.regexp_replace(F.col("_bpath"), "[^/]*$", ""),
+                                F.regexp_extract(rel, r"^([^?#]*)", 1), F.regexp_extract(rel, r"^[^?#]*(.*)$", 1))))
+    d = d.withColumn("_full", full)
+    d = _with_parts(d, "_full", "_t_")
+    d = d.withColumn("_tpath", remove_dot_segments(
+        F.when(F.col("_t_path") == "", F.lit("/")).otherwise(F.col("_t_path"))))
+    target = F.concat(_origin_cols("_t_"), percent_encode(F.col("_tpath"), PATH_ENCODE),
+                      percent_encode(F.col("_t_query"), QUERY_ENCODE),
+                      percent_encode(F.col("_t_fragment"), FRAGMENT_ENCODE))
+    ok = F.col("_full").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+")
+    return d.select(*keep, F.when(ok, target).alias(out),
+                    F.when(ok, _origin_cols("_t_")).alias(out + "_origin"), borigin.alias("_base_origin"))
 
 
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -131,8 +150,8 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     e = pages.select("page_id", F.col(url_col).alias("base"), F.posexplode(hrefs).alias("pos", "raw"))
     e = e.withColumn("raw", js_trim(F.col("raw")))
     e = e.where((F.col("raw") != "") & ~F.col("raw").rlike(SKIP_SCHEME_PATTERN))
-    e = e.withColumn("target_url", resolve_url(F.col("raw"), F.col("base")))
-    e = e.where(F.col("target_url").isNotNull() & (origin_of(F.col("target_url")) == origin_of(F.col("base"))))
+    e = with_resolved_url(e, "raw", "base")
+    e = e.where(F.col("target_url").isNotNull() & (F.col("target_url_origin") == F.col("_base_origin")))
     first = e.groupBy("page_id", "target_url").agg(F.min("pos").alias("pos"), F.first("base").alias("base"))
     w = Window.partitionBy("page_id").orderBy("pos")
     return first.select("page_id", F.row_number().over(w).cast("int").alias("link_no"), "target_url", "base")
@@ -162,10 +181,12 @@ def resolve_redirects(urls: DataFrame, hops: DataFrame, max_hops: int = MAX_REDI
     state = urls.select("start_id", F.col("url").alias("start_url"), F.col("url").alias("cur"),
                         F.lit(0).alias("n_hops"))
     for _ in range(max_hops):
-        state = (state.join(h, "cur", "left")
-                 .select("start_id", "start_url",
-                         F.coalesce(resolve_url(F.col("nxt"), F.col("cur")), F.col("cur")).alias("cur"),
-                         (F.col("n_hops") + F.when(F.col("nxt").isNotNull(), 1).otherwise(0)).alias("n_hops")))
+        step = state.join(h, "cur", "left")
+        step = with_resolved_url(step.withColumn("nxt", F.coalesce("nxt", F.lit(""))), "nxt", "cur", "nxt_url")
+        state = step.select(
+            "start_id", "start_url",
+            F.when(F.col("nxt") != "", F.coalesce(F.col("nxt_url"), F.col("cur"))).otherwise(F.col("cur")).alias("cur"),
+            (F.col("n_hops") + F.when(F.col("nxt") != "", 1).otherwise(0)).alias("n_hops"))
     last = state.join(h, "cur", "left")
     pending = F.col("nxt").isNotNull()
     off = origin_of(F.col("cur")) != origin_of(F.col("start_url"))

@@ -333,3 +333,241 @@ _site, _path = _scan_split("url")
 ORACLES["scan_pages"] = (
     f"SELECT page_id, {_site} AS site, {_path} AS path, octet_length(encode(coalesce(html, '')))::BIGINT AS n_bytes, "
     f"CASE WHEN octet_length(encode(coalesce(html, ''))) > 5242880 THEN 'too_large' END AS reason FROM pages")
+
+
+# --- links ------------------------------------------------------------------
+URL_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+PATH_ENC = r"[\x00-\x20\x22\x3C\x3E\x60\x7B\x7D\x7F-\x{10FFFF}]"
+QUERY_ENC = r"[\x00-\x20\x22\x23\x27\x3C\x3E\x7F-\x{10FFFF}]"
+FRAG_ENC = r"[\x00-\x20\x22\x3C\x3E\x60\x7F-\x{10FFFF}]"
+
+
+def pct(x: str, cls: str) -> str:
+    return (f"list_transform([struct_pack(p := regexp_split_to_array({x}, {lit(cls)}), "
+            f"c := regexp_extract_all({x}, {lit(cls)}))], lambda z: array_to_string(list_transform("
+            f"range(1, len(z.p) + 1), lambda i: z.p[i] || coalesce(regexp_replace(hex(encode(z.c[i])), '(..)', '%\\1', 'g'), '')), ''))[1]")
+
+
+def parts_cols(u: str, prefix: str) -> str:
+    """SELECT-list columns: scheme, host, port (default dropped), path, query, frag of URL ``u``."""
+    hostport = f"regexp_replace(regexp_extract({u}, {lit(URL_RE)}, 2), '^.*@', '')"
+    scheme = f"lower(regexp_extract({u}, {lit(URL_RE)}, 1))"
+    port0 = f"regexp_replace(regexp_extract({hostport}, '^(?:\\[[^\\]]*\\]|[^:]*):([0-9]*)$', 1), '^0+(.)', '\\1')"
+    port = (f"(CASE WHEN {port0} = (CASE {scheme} WHEN 'http' THEN '80' WHEN 'https' THEN '443' ELSE '' END) "
+            f"THEN '' ELSE {port0} END)")
+    return (f"{scheme} AS {prefix}scheme, lower(regexp_extract({hostport}, '^(\\[[^\\]]*\\]|[^:]*)', 1)) AS {prefix}host, "
+            f"{port} AS {prefix}port, regexp_extract({u}, {lit(URL_RE)}, 3) AS {prefix}path, "
+            f"regexp_extract({u}, {lit(URL_RE)}, 4) AS {prefix}query, regexp_extract({u}, {lit(URL_RE)}, 5) AS {prefix}frag")
+
+
+def origin(prefix: str) -> str:
+    return (f"({prefix}scheme || '://' || {prefix}host || "
+            f"CASE WHEN {prefix}port <> '' THEN ':' || {prefix}port ELSE '' END)")
+
+
+def resolve_ctes(src: str, href: str, base: str, keys: str, out: str) -> str:
+    """CTEs resolving column ``href`` of ``src`` against ``base``; the last
+    CTE ``out`` has ``keys``, ``base``, ``target_url`` (NULL when unusable)."""
+    scheme_re = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+    return f"""
+{out}_a AS (
+  SELECT {keys}, {base} AS base, regexp_replace({href}, '[\\t\\n\\r]', '', 'g') AS h, {parts_cols(base, 'b_')}
+  FROM {src}),
+{out}_b AS (
+  SELECT *, regexp_matches(h, {lit(scheme_re)}) AS has_scheme,
+    lower(regexp_extract(h, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS h_scheme,
+    regexp_replace(h, {lit(scheme_re)}, '') AS rest,
+    CASE WHEN b_path = '' THEN '/' ELSE b_path END AS bpath
+  FROM {out}_a),
+{out}_c AS (
+  SELECT *, (has_scheme AND h_scheme = b_scheme AND NOT starts_with(rest, '/')) AS same_rel FROM {out}_b),
+{out}_d AS (
+  SELECT *, CASE WHEN same_rel THEN rest ELSE h END AS rel FROM {out}_c),
+{out}_e AS (
+  SELECT *, CASE
+      WHEN has_scheme AND NOT same_rel THEN h_scheme || '://' || regexp_replace(rest, '^/*', '')
+      WHEN starts_with(h, '//') THEN b_scheme || ':' || h
+      WHEN starts_with(rel, '/') THEN {origin('b_')} || rel
+      WHEN starts_with(rel, '?') THEN {origin('b_')} || bpath || rel
+      WHEN starts_with(rel, '#') THEN {origin('b_')} || bpath || b_query || rel
+      WHEN rel = '' THEN {origin('b_')} || bpath || b_query
+      ELSE {origin('b_')} || regexp_replace(bpath, '[^/]*$', '') || regexp_extract(rel, '^([^?#]*)', 1)
+           || regexp_extract(rel, '^[^?#]*(.*)$', 1) END AS full_url
+  FROM {out}_d),
+{out}_f AS (
+  SELECT *, {parts_cols('full_url', 't_')} FROM {out}_e),
+{out}_g AS (
+  SELECT *, list_reduce(
+      list_transform(list_zip(string_split(CASE WHEN t_path = '' THEN '/' ELSE t_path END, '/')[2:],
+                              range(1, len(string_split(CASE WHEN t_path = '' THEN '/' ELSE t_path END, '/')))),
+                     lambda z: struct_pack(s := z[1], last := z[2] = len(string_split(CASE WHEN t_path = '' THEN '/' ELSE t_path END, '/')) - 1)),
+      lambda acc, x: CASE WHEN x.s = '..' THEN (CASE WHEN x.last THEN list_append(acc[1:len(acc) - 1], '') ELSE acc[1:len(acc) - 1] END)
+                          WHEN x.s = '.' THEN (CASE WHEN x.last THEN list_append(acc, '') ELSE acc END)
+                          ELSE list_append(acc, x.s) END,
+      []::VARCHAR[]) AS segs
+  FROM {out}_f),
+{out} AS (
+  SELECT {keys}, base, CASE WHEN regexp_matches(full_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+') THEN
+      t_scheme || '://' || t_host || CASE WHEN t_port <> '' THEN ':' || t_port ELSE '' END
+      || {pct("'/' || array_to_string(segs, '/')", PATH_ENC)} || {pct('t_query', QUERY_ENC)} || {pct('t_frag', FRAG_ENC)}
+    END AS target_url
+  FROM {out}_g)"""
+
+
+LINKS = f""",
+hr0 AS (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), {lit(HREF)}, 1) AS hs FROM corpus),
+hr1 AS (SELECT page_id, url, pos, {js_trim('hs[pos + 1]')} AS raw
+        FROM (SELECT page_id, url, hs, unnest(range(len(hs))) AS pos FROM hr0)),
+hr2 AS (SELECT * FROM hr1 WHERE raw <> '' AND NOT regexp_matches(raw, '(?i)^(javascript|mailto|tel|data):')),
+""" + resolve_ctes("hr2", "raw", "url", "page_id, pos", "res").lstrip() + f""",
+res2 AS (
+  SELECT r.*, {parts_cols('target_url', 'x_')}, {parts_cols('base', 'y_')} FROM res r WHERE target_url IS NOT NULL),
+res3 AS (SELECT page_id, pos, base, target_url FROM res2 WHERE {origin('x_')} = {origin('y_')}),
+firsts AS (SELECT page_id, target_url, min(pos) AS pos, min(base) AS base FROM res3 GROUP BY page_id, target_url),
+links AS (
+  SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos))::INTEGER AS link_no, target_url, base
+  FROM firsts),
+kinds0 AS (SELECT l.*, {parts_cols('target_url', 't_')}, {parts_cols('base', 'b_')} FROM links l),
+kinds AS (
+  SELECT page_id, link_no, target_url,
+    CASE WHEN regexp_matches(t_frag, '^#.') AND t_path = (CASE WHEN b_path = '' THEN '/' ELSE b_path END)
+              AND t_query = b_query THEN 'anchor' ELSE 'page' END AS kind,
+    CASE WHEN regexp_matches(t_frag, '^#.') AND t_path = (CASE WHEN b_path = '' THEN '/' ELSE b_path END)
+              AND t_query = b_query THEN t_frag ELSE target_url END AS value
+  FROM kinds0)"""
+
+ORACLES["page_links"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + LINKS + """
+SELECT page_id, link_no, target_url FROM links"""
+
+ORACLES["link_kinds"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + LINKS + """
+SELECT page_id, link_no, kind, value FROM kinds"""
+
+# --- forms and actions --------------------------------------------------------
+FORM_RE = r"(?is)<form([^>]*)>(.*?)</form>"
+CONTROL_RE = r"""(?i)<(input|select|textarea)\b((?:"[^"]*"|'[^']*'|[^>])*)>"""
+HIDDEN_RE = r"(?i)\btype" + WS + "*=" + WS + r"""*["']?hidden\b"""
+
+FORMS = f""",
+fm0 AS (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), {lit(FORM_RE)}) AS fs FROM corpus),
+fm1 AS (SELECT page_id, url, form_no + 1 AS form_no, fs[form_no + 1] AS f
+        FROM (SELECT page_id, url, fs, unnest(range(len(fs))) AS form_no FROM fm0)),
+fm2 AS (SELECT page_id, url, form_no, regexp_extract(f, '(?is)^<form([^>]*)>', 1) AS fattrs,
+          regexp_extract(f, '(?is)^<form[^>]*>(.*)</form>$', 1) AS body FROM fm1),
+fm3 AS (SELECT *, list_filter(list_transform(
+            list_filter(regexp_extract_all(body, {lit(CONTROL_RE)}, 2), lambda a: NOT regexp_matches(a, {lit(HIDDEN_RE)})),
+            lambda a: CASE WHEN {attrval('a', 'name')} <> '' THEN {attrval('a', 'name')} ELSE {attrval('a', 'id')} END),
+          lambda x: x <> '') AS names FROM fm2),
+forms AS (
+  SELECT page_id, form_no::INTEGER AS form_no, url AS page,
+    list_filter(names, lambda x, i: list_position(names, x) = i) AS fields,
+    upper(CASE WHEN regexp_extract(fattrs, '(?i)method=["'']([^"'']+)["'']', 1) <> ''
+               THEN regexp_extract(fattrs, '(?i)method=["'']([^"'']+)["'']', 1) ELSE 'GET' END) AS method,
+    CASE WHEN regexp_extract(fattrs, '(?i)action=["'']([^"'']+)["'']', 1) <> ''
+         THEN regexp_extract(fattrs, '(?i)action=["'']([^"'']+)["'']', 1) ELSE url END AS act
+  FROM fm3)"""
+
+ORACLES["page_forms"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + FORMS + """
+SELECT page_id, form_no, page, fields, method, method || ' ' || act AS action FROM forms WHERE len(fields) > 0"""
+
+PY_SPACE = r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BTN_RE = r"""(?is)<button((?:"[^"]*"|'[^']*'|[^>])*)>(.*?)</button>"""
+A_RE = r"""(?is)<a((?:"[^"]*"|'[^']*'|[^>])*)>(.*?)</a>"""
+INPUT_RE = r"""(?i)<input((?:"[^"]*"|'[^']*'|[^>])*)>"""
+
+
+def exact_attr(a: str, name: str) -> str:
+    pat = (r"(?i)(?:^|" + WS + ")" + name + WS + "*=" + WS +
+           r"""*(?:"([^"]*)"|'([^']*)'|([^""" + WS_CHARS + r""">"']+))""")
+    val = (f"(regexp_extract({a}, {lit(pat)}, 1) || regexp_extract({a}, {lit(pat)}, 2) || "
+           f"regexp_extract({a}, {lit(pat)}, 3))")
+    return f"(CASE WHEN regexp_matches({a}, {lit(pat)}) THEN {decode(val)} END)"
+
+
+def strip_text(x: str) -> str:
+    pieces = f"regexp_split_to_array(regexp_replace({x}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>')"
+    return (f"array_to_string(list_filter(list_transform({pieces}, lambda p: regexp_replace({decode('p')}, "
+            f"{lit('^' + PY_SPACE + '+|' + PY_SPACE + '+$')}, '', 'g')), lambda p: p <> ''), '')")
+
+
+ACTIONS = f""",
+b0 AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), {lit(BTN_RE)}) AS ms FROM corpus),
+b1 AS (SELECT page_id, pos, ms[pos + 1] AS m FROM (SELECT page_id, ms, unnest(range(len(ms))) AS pos FROM b0)),
+b2 AS (SELECT page_id, pos, regexp_extract(m, {lit(BTN_RE)}, 1) AS ba, {strip_text(f"regexp_extract(m, {lit(BTN_RE)}, 2)")} AS label FROM b1),
+btn AS (SELECT page_id, 1 AS type_order, pos::BIGINT AS pos, 'button' AS type, label,
+          CASE WHEN coalesce({exact_attr('ba', 'data-href')}, '') <> '' THEN {exact_attr('ba', 'data-href')}
+               ELSE nullif({exact_attr('ba', 'formaction')}, '') END AS leads_to,
+          NULL::VARCHAR AS endpoint, label AS k FROM b2),
+a0 AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), {lit(A_RE)}) AS ms FROM corpus),
+a1 AS (SELECT page_id, pos, ms[pos + 1] AS m FROM (SELECT page_id, ms, unnest(range(len(ms))) AS pos FROM a0)),
+a2 AS (SELECT page_id, pos, {exact_attr(f"regexp_extract(m, {lit(A_RE)}, 1)", 'href')} AS href,
+          {strip_text(f"regexp_extract(m, {lit(A_RE)}, 2)")} AS label FROM a1),
+lnk AS (SELECT page_id, 2 AS type_order, pos::BIGINT AS pos, 'link' AS type, label, href AS leads_to,
+          NULL::VARCHAR AS endpoint, label || ':' || href AS k FROM a2
+        WHERE href IS NOT NULL AND href <> '' AND NOT starts_with(href, 'mailto:')
+          AND NOT starts_with(href, 'javascript:') AND NOT starts_with(href, '#')),
+ch0 AS (SELECT page_id, regexp_split_to_array(coalesce(html, ''), {lit(FORM_RE)}) AS outs,
+          regexp_extract_all(coalesce(html, ''), {lit(FORM_RE)}) AS fs FROM corpus),
+ch1 AS (SELECT page_id, i, outs[i + 1] AS piece, fs[i + 1] AS f
+        FROM (SELECT page_id, outs, fs, unnest(range(len(outs))) AS i FROM ch0)),
+ch2 AS (SELECT page_id, i * 2 AS o, piece AS body, NULL::VARCHAR AS fattrs FROM ch1
+        UNION ALL
+        SELECT page_id, i * 2 + 1, regexp_extract(f, '(?is)^<form[^>]*>(.*)</form>$', 1),
+               regexp_extract(f, '(?is)^<form([^>]*)>', 1) FROM ch1 WHERE f IS NOT NULL),
+in0 AS (SELECT page_id, o, fattrs, regexp_extract_all(body, {lit(INPUT_RE)}, 1) AS ias FROM ch2),
+in1 AS (SELECT page_id, o, fattrs, j, ias[j + 1] AS ia FROM (SELECT *, unnest(range(len(ias))) AS j FROM in0)),
+in2 AS (SELECT *, {exact_attr('ia', 'type')} AS itype, {exact_attr('ia', 'placeholder')} AS ph,
+          {exact_attr('ia', 'name')} AS nm, {exact_attr('ia', 'id')} AS iid FROM in1),
+inp AS (SELECT page_id, 3 AS type_order, (o * 1000000 + j)::BIGINT AS pos, 'input' AS type,
+          CASE WHEN coalesce(ph, '') <> '' THEN ph WHEN coalesce(nm, '') <> '' THEN nm ELSE coalesce(iid, '') END AS label,
+          NULL::VARCHAR AS leads_to,
+          CASE WHEN fattrs IS NOT NULL THEN coalesce({exact_attr('fattrs', 'action')}, '') || '?' || coalesce(nm, 'q') || '=' END AS endpoint,
+          CASE WHEN coalesce(ph, '') <> '' THEN ph WHEN coalesce(nm, '') <> '' THEN nm ELSE coalesce(iid, '') END AS k
+        FROM in2 WHERE itype IN ('search', 'text')),
+allx AS (SELECT * FROM btn UNION ALL SELECT * FROM lnk UNION ALL SELECT * FROM inp),
+firstx AS (SELECT * FROM allx WHERE label <> ''
+           QUALIFY row_number() OVER (PARTITION BY page_id, k ORDER BY type_order, pos) = 1),
+actions AS (
+  SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY type_order, pos))::INTEGER AS action_no,
+    type, label, leads_to, endpoint FROM firstx)"""
+
+ORACLES["page_actions"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + ACTIONS + """
+SELECT * FROM actions"""
+
+ORACLES["actions_for_path"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + ACTIONS + """,
+paths AS (SELECT DISTINCT leads_to AS path FROM actions WHERE type = 'button' AND leads_to IS NOT NULL)
+SELECT p.path, a.page_id, a.action_no, a.type, a.label, a.leads_to
+FROM actions a JOIN paths p ON a.leads_to IS NOT NULL AND contains(a.leads_to, p.path)"""
+
+# --- API hints from scripts and attributes -------------------------------------
+SCRIPT_RE = r"(?is)<script[^>]*>(.*?)</script>"
+LINE_BREAKS = r"\r\n|\r|\n|\x0B|\f|\x{1C}|\x{1D}|\x{1E}|\x{85}|\x{2028}|\x{2029}"
+ATTRV_RE = (r"(?:^|" + WS + r""")([^\t\n\x0B\f\r \x{A0}=>"'/]+)""" + WS + "*=" + WS +
+            r"""*(?:"([^"]*)"|'([^']*)'|([^\t\n\x0B\f\r \x{A0}>"']+))""")
+MARKERS = ["fetch(", "axios.", "xhr.open", '"/api/', "'/api/"]
+
+
+def _parts_starting_api(lines: str, q: str) -> str:
+    return (f"flatten(list_transform({lines}, lambda x: list_filter(string_split(x, {lit(q)}), "
+            f"lambda p: starts_with(p, '/api/'))))")
+
+
+ORACLES["api_hints_script"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + f""",
+sc0 AS (SELECT page_id, coalesce(html, '') AS html,
+  list_filter(list_transform(flatten(list_transform(regexp_extract_all(coalesce(html, ''), {lit(SCRIPT_RE)}, 1),
+      lambda b: regexp_split_to_array(b, {lit(LINE_BREAKS)}))),
+      lambda x: regexp_replace(x, '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g')),
+    lambda x: {" OR ".join(f"contains(x, {lit(m)})" for m in MARKERS)}) AS lines
+  FROM corpus),
+sc1 AS (SELECT page_id, html, list_transform(list_concat({_parts_starting_api('lines', '"')}, {_parts_starting_api('lines', "'")}),
+    lambda p: split_part(split_part(p, '?', 1), ' ', 1)) AS from_scripts FROM sc0),
+at0 AS (SELECT page_id, html, from_scripts, regexp_extract_all(html, {lit(TAG)}, 3) AS attrs FROM sc1),
+at1 AS (SELECT page_id, from_scripts,
+    flatten(list_transform(attrs, lambda a: regexp_extract_all(a, {lit(ATTRV_RE)}, 1))) AS ns,
+    flatten(list_transform(attrs, lambda a: list_transform(range(1, len(regexp_extract_all(a, {lit(ATTRV_RE)}, 0)) + 1),
+      lambda i: coalesce(regexp_extract_all(a, {lit(ATTRV_RE)}, 2)[i], '') || coalesce(regexp_extract_all(a, {lit(ATTRV_RE)}, 3)[i], '')
+                || coalesce(regexp_extract_all(a, {lit(ATTRV_RE)}, 4)[i], '')))) AS vs
+  FROM at0),
+at2 AS (SELECT page_id, from_scripts,
+    list_transform(list_filter(range(1, len(ns) + 1), lambda i: lower(ns[i]) <> 'class' AND starts_with(vs[i], '/api/')),
+                   lambda i: split_part(vs[i], '?', 1)) AS from_attrs FROM at1)
+SELECT page_id, list_sort(list_distinct(list_concat(from_scripts, from_attrs))) AS api_hints FROM at2"""
