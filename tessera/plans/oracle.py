@@ -571,3 +571,80 @@ at2 AS (SELECT page_id, from_scripts,
     list_transform(list_filter(range(1, len(ns) + 1), lambda i: lower(ns[i]) <> 'class' AND starts_with(vs[i], '/api/')),
                    lambda i: split_part(vs[i], '?', 1)) AS from_attrs FROM at1)
 SELECT page_id, list_sort(list_distinct(list_concat(from_scripts, from_attrs))) AS api_hints FROM at2"""
+
+
+# --- search, budget, site outline, lookups ------------------------------------
+def _quote_re2(q: str) -> str:
+    return "".join("\\" + ch if ch in r".*+?^${}()|[]\/-" else ch for ch in q)
+
+
+SEARCH_Q = "the"
+SEARCH_RE = "(?i)" + _quote_re2(SEARCH_Q)
+MARK = "\u0001"
+
+ORACLES["page_search"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + f""",
+su0 AS (
+  SELECT page_id, text, list_filter(flatten(list_transform(regexp_split_to_array(text, '\\n{{2,}}'),
+      lambda b: string_split(regexp_replace(b, {lit('([.!?])' + WS + '+')}, '\\1' || chr(1), 'g'), chr(1)))),
+    lambda u: {js_trim('u')} <> '') AS units
+  FROM clean),
+su1 AS (
+  SELECT page_id, text, units,
+    list_filter(range(1, len(units) + 1), lambda i: regexp_matches(units[i], {lit(SEARCH_RE)})) AS hits FROM su0),
+su2 AS (
+  SELECT page_id, text, list_transform(hits, lambda i: array_to_string(units[greatest(1, i - 1):least(len(units), i + 1)], ' ')) AS raw_blocks
+  FROM su1),
+su3 AS (
+  SELECT page_id, text, len(list_filter(raw_blocks, lambda b: length(b) > 800))::INTEGER AS trimmed,
+    list_transform(raw_blocks, lambda b: CASE WHEN length(b) > 800 THEN
+      substring(b, greatest(0, strpos(lower(b), {lit(SEARCH_Q.lower())}) - 1 - 400) + 1, 800) || ' [block trimmed to 800 chars]'
+      ELSE b END) AS blocks0
+  FROM su2),
+su4 AS (
+  SELECT page_id, text, trimmed, list_filter(blocks0, lambda x, i: list_position(blocks0, x) = i) AS blocks FROM su3)
+SELECT page_id, (block_no + 1)::INTEGER AS block_no, blocks[block_no + 1] AS block, len(blocks)::INTEGER AS n_blocks,
+  len(regexp_extract_all(text, {lit(SEARCH_RE)}))::INTEGER AS occurrences, length(text)::INTEGER AS n_chars, trimmed
+FROM (SELECT *, unnest(range(len(blocks))) AS block_no FROM su4)"""
+
+
+def _note(shown: str, bl: str) -> str:
+    return (f"(chr(10) || chr(10) || '[... truncated: ' || ({shown})::VARCHAR || ' of ' || ({bl})::VARCHAR "
+            f"|| ' chars shown. Use maxChars to increase.]')")
+
+
+_budget_steps = []
+for _i in range(4):
+    _budget_steps.append(
+        f"b{_i + 1} AS (SELECT *, greatest(0, 1200 - hl - length({_note(f'least(k{_i}, bl)', 'bl')})) AS k{_i + 1} FROM b{_i})")
+
+ORACLES["text_budget"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + f""",
+hd AS (
+  SELECT c.page_id, c.text, 'URL: ' || p.url || chr(10) || 'TITLE: ' || {title_expr('p.html')} || chr(10)
+    || CASE WHEN si.unclosed IS NOT NULL THEN 'NOTE: <' || si.unclosed
+       || '> is never closed in the source — its navigation text was NOT stripped and appears below.' || chr(10) ELSE '' END
+    || chr(10) AS header
+  FROM clean c JOIN corpus p USING (page_id) JOIN stripinfo si USING (page_id)),
+b0 AS (SELECT *, length(header) AS hl, length(text) AS bl, greatest(0, 1200 - length(header)) AS k0 FROM hd),
+{", ".join(_budget_steps)},
+outb AS (SELECT page_id, CASE WHEN hl + bl <= 1200 THEN header || text
+                      ELSE header || substring(text, 1, k4) || {_note('k4', 'bl')} END AS body FROM b4)
+SELECT page_id, body, length(body)::INTEGER AS n_chars FROM outb"""
+
+ORACLES["site_outline"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + LINKS + FORMS + f""",
+lk AS (SELECT page_id, count(*) FILTER (WHERE kind = 'page')::INTEGER AS n_pages,
+         count(*) FILTER (WHERE kind = 'anchor')::INTEGER AS n_anchors FROM kinds GROUP BY page_id),
+fmc AS (SELECT page_id, count(*)::INTEGER AS n_forms FROM forms WHERE len(fields) > 0 GROUP BY page_id)
+SELECT c.page_id, {title_expr('c.html')} AS title,
+  coalesce(regexp_matches({tags_to_text('c.html')}, {lit(AUTH_WORD)}), false) AS auth_required,
+  coalesce(lk.n_pages, 0) AS n_pages, coalesce(lk.n_anchors, 0) AS n_anchors, coalesce(fmc.n_forms, 0) AS n_forms,
+  len(list_distinct(regexp_extract_all(coalesce(c.html, ''), {lit(API_Q)}, 1)))::INTEGER AS n_api_hints
+FROM corpus c LEFT JOIN lk USING (page_id) LEFT JOIN fmc USING (page_id)"""
+
+_csite, _cpath = _scan_split("p.url")
+ORACLES["get_page"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + f""",
+sp AS (SELECT p.page_id, {_csite} AS site, {_cpath} AS path, {title_expr('p.html')} AS title,
+         replace(substring(c.text, 1, 200), chr(10), ' ') AS summary
+       FROM corpus p JOIN clean c USING (page_id)),
+one AS (SELECT site, path, arg_min(title, page_id) AS title, arg_min(summary, page_id) AS summary FROM sp GROUP BY site, path),
+req AS (SELECT DISTINCT site, path FROM (SELECT site, path FROM sp UNION ALL SELECT site, '/no/such/page' FROM sp))
+SELECT r.site, r.path, o.title, o.summary FROM req r LEFT JOIN one o USING (site, path)"""
