@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def all_queries():
-    from tessera.plans import web
+    from tessera.plans import files, web
     out = {}
     out.update(web.QUERIES)
+    out.update(files.QUERIES)
     return out
 
 

@@ -648,3 +648,123 @@ sp AS (SELECT p.page_id, {_csite} AS site, {_cpath} AS path, {title_expr('p.html
 one AS (SELECT site, path, arg_min(title, page_id) AS title, arg_min(summary, page_id) AS summary FROM sp GROUP BY site, path),
 req AS (SELECT DISTINCT site, path FROM (SELECT site, path FROM sp UNION ALL SELECT site, '/no/such/page' FROM sp))
 SELECT r.site, r.path, o.title, o.summary FROM req r LEFT JOIN one o USING (site, path)"""
+
+
+# --- files ------------------------------------------------------------------------
+def nl() -> str:
+    return "chr(10)"
+
+
+SYNTH_FILES = f"""
+py_m AS (
+  SELECT l_orderkey, string_agg('    def line_' || l_linenumber::VARCHAR || '(self, part=' || l_partkey::VARCHAR || '):'
+      || chr(10) || '        return part * ' || l_linenumber::VARCHAR || chr(10) || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS methods
+  FROM lineitem GROUP BY l_orderkey),
+py AS (
+  SELECT (10000000 + o.o_orderkey)::BIGINT AS file_id, 'synth/py/order_' || o.o_orderkey::VARCHAR || '.py' AS path,
+    'import os' || chr(10) || chr(10) || chr(10) || 'class Order' || o.o_orderkey::VARCHAR || ':' || chr(10)
+    || '    ' || repeat('"', 3) || 'Order ' || o.o_orderkey::VARCHAR || ' of customer ' || o.o_custkey::VARCHAR || '.' || chr(10) || chr(10)
+    || '    def fake_' || o.o_orderkey::VARCHAR || '(self):' || chr(10) || '        return None' || chr(10)
+    || '    ' || repeat('"', 3) || chr(10) || chr(10) || coalesce(m.methods, '')
+    || CASE WHEN o.o_orderkey % 3 = 0 THEN 'def total_' || o.o_orderkey::VARCHAR || '(): return '
+       || o.o_orderkey::VARCHAR || chr(10) ELSE '' END AS text
+  FROM orders o LEFT JOIN py_m m ON m.l_orderkey = o.o_orderkey),
+ts_m AS (
+  SELECT l_orderkey, string_agg('  line' || l_linenumber::VARCHAR || '(part: number): number {{' || chr(10)
+      || '    return part * ' || l_linenumber::VARCHAR || ';' || chr(10) || '  }}' || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS methods
+  FROM lineitem GROUP BY l_orderkey),
+ts AS (
+  SELECT (20000000 + o.o_orderkey)::BIGINT AS file_id, 'synth/ts/order_' || o.o_orderkey::VARCHAR || '.ts' AS path,
+    'export class Order' || o.o_orderkey::VARCHAR || ' {{' || chr(10) || coalesce(m.methods, '') || '}}' || chr(10) || chr(10)
+    || 'export const total' || o.o_orderkey::VARCHAR || ' = (x: number) => x * ' || o.o_orderkey::VARCHAR || ';' || chr(10) AS text
+  FROM orders o LEFT JOIN ts_m m ON m.l_orderkey = o.o_orderkey),
+md_b AS (
+  SELECT c_nationkey, string_agg('## Customer ' || c_custkey::VARCHAR || chr(10) || '```' || chr(10)
+      || '# not a heading ' || c_custkey::VARCHAR || chr(10) || '```' || chr(10), '' ORDER BY c_custkey) AS body
+  FROM customer GROUP BY c_nationkey),
+md AS (
+  SELECT (30000000 + n.n_nationkey)::BIGINT AS file_id, 'synth/md/nation_' || n.n_nationkey::VARCHAR || '.md' AS path,
+    '# Nation ' || n.n_name || chr(10) || chr(10) || coalesce(b.body, '') AS text
+  FROM nation n LEFT JOIN md_b b ON b.c_nationkey = n.n_nationkey),
+fcorpus AS (
+  SELECT doc_id AS file_id, source || '/doc_' || doc_id::VARCHAR || '.txt' AS path, text FROM documents
+  UNION ALL SELECT * FROM py UNION ALL SELECT * FROM ts UNION ALL SELECT * FROM md),
+fsplit AS (SELECT file_id, path, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS arr FROM fcorpus),
+files AS (
+  SELECT file_id, path, regexp_extract(path, '([^/]*)$', 1) AS name,
+    CASE WHEN arr[len(arr)] = '' THEN arr[1:len(arr) - 1] ELSE arr END AS lines
+  FROM fsplit),
+files2 AS (
+  SELECT *, len(lines)::INTEGER AS total_lines,
+    CASE lower(regexp_extract(name, '^.+(\\.[^.]*)$', 1))
+      {" ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in __import__('tessera.operators.lines', fromlist=['x']).LANGUAGE_BY_EXTENSION.items())}
+      ELSE 'text' END AS language
+  FROM files),
+flines AS (
+  SELECT file_id, (i + 1)::INTEGER AS line_no, lines[i + 1] AS line
+  FROM (SELECT file_id, lines, unnest(range(len(lines))) AS i FROM files2))"""
+
+
+def with_files(body: str) -> str:
+    return "WITH " + SYNTH_FILES.strip() + "\n" + body
+
+
+ORACLES["file_lines"] = with_files("SELECT file_id, line_no, line FROM flines")
+ORACLES["file_language"] = with_files("SELECT file_id, name, language, total_lines FROM files2")
+ORACLES["admit_text"] = with_files(
+    "SELECT file_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, "
+    "CASE WHEN octet_length(encode(coalesce(text, ''))) > 33554432 THEN 'too_large' "
+    "WHEN contains(substring(coalesce(text, ''), 1, 8192), chr(0)) AND NOT starts_with(coalesce(text, ''), chr(65279)) "
+    "THEN 'binary' ELSE 'ok' END AS status FROM fcorpus")
+ORACLES["confine_paths"] = with_files(
+    "SELECT file_id, path FROM files2 WHERE " + " OR ".join(
+        f"path = {lit(r)} OR starts_with(path, {lit(r + '/')})" for r in ["src1", "synth/md"]))
+
+_SRCH = "(?i)the"
+_SRX = "(?i)ti[oó]n[.,]"
+ORACLES["search_lines"] = with_files(f"SELECT file_id, line_no, line FROM flines WHERE regexp_matches(line, {lit(_SRCH)})")
+ORACLES["search_regex"] = with_files(f"SELECT file_id, line_no, line FROM flines WHERE regexp_matches(line, {lit(_SRX)})")
+
+_HITS = f""",
+hits AS (
+  SELECT f.file_id, l.line_no, l.line, f.lines, f.total_lines,
+    (row_number() OVER (PARTITION BY f.file_id ORDER BY l.line_no))::INTEGER AS rank,
+    (count(*) OVER (PARTITION BY f.file_id))::INTEGER AS occurrences
+  FROM flines l JOIN files2 f USING (file_id) WHERE regexp_matches(l.line, {lit(_SRCH)})),
+ctx AS (
+  SELECT *, lines[greatest(1, line_no - 5):line_no - 1] AS before,
+    lines[line_no + 1:least(total_lines, line_no + 5)] AS after FROM hits)"""
+
+ORACLES["search_context"] = with_files(_HITS + "\nSELECT file_id, line_no, before, after FROM ctx")
+ORACLES["search_top"] = with_files(_HITS + "\nSELECT file_id, rank, line_no, occurrences FROM ctx WHERE rank <= 20")
+
+
+def _trim(line: str) -> str:
+    at = f"(CASE WHEN regexp_matches({line}, {lit(_SRCH)}) THEN length(regexp_extract({line}, '(?s)^(.*?)(?i:the)', 1)) + 1 ELSE 0 END)"
+    start = f"greatest(0, (CASE WHEN {at} = 0 THEN 0 ELSE {at} - 1 END) - 400)"
+    return (f"CASE WHEN length({line}) > 800 THEN substring({line}, {start} + 1, 800) || '  [line trimmed to 800 of ' "
+            f"|| length({line})::VARCHAR || ' chars' || CASE WHEN {at} = 0 THEN '' ELSE ', match at col ' || {at}::VARCHAR END "
+            f"|| ']' ELSE {line} END"), at
+
+
+_tt, _at = _trim("e.line")
+ORACLES["trim_match"] = with_files(_HITS + f""",
+emitted AS (
+  SELECT c.file_id, c.line_no AS hit_line_no, l.line_no, l.line
+  FROM ctx c JOIN flines l ON l.file_id = c.file_id AND l.line_no BETWEEN greatest(1, c.line_no - 5) AND c.line_no + 5
+  WHERE c.rank <= 20)
+SELECT e.file_id, e.hit_line_no, e.line_no, {_tt} AS text, length(e.line) > 800 AS trimmed,
+  length(e.line)::INTEGER AS n_chars, CASE WHEN length(e.line) > 800 AND {_at} > 0 THEN {_at}::INTEGER END AS match_col
+FROM emitted e""")
+
+ORACLES["read_chunk"] = with_files("""
+, req AS (
+  SELECT file_id, 2 AS start, 4 AS "end" FROM files2
+  UNION ALL SELECT file_id, total_lines - 1, total_lines + 5 FROM files2
+  UNION ALL SELECT file_id, 100000, 100010 FROM files2),
+cl AS (
+  SELECT r.file_id, r.start, r."end", f.total_lines, f.lines, greatest(1, r.start) AS s, least(f.total_lines, r."end") AS e
+  FROM req r JOIN files2 f USING (file_id))
+SELECT file_id, start, "end", total_lines, CASE WHEN e >= s THEN 'ok' ELSE 'empty' END AS status,
+  CASE WHEN e >= s THEN array_to_string(list_transform(range(s, e + 1), lambda n: format('{:5d}', n) || ' │ ' || lines[n]), chr(10)) END AS text
+FROM cl""")

@@ -60,3 +60,76 @@ def web_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawled pages plus the synthesised nation pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return pages.unionByName(synth_html(spark, sf_dir))
+
+
+PY_FILE_BASE = 10_000_000
+TS_FILE_BASE = 20_000_000
+MD_FILE_BASE = 30_000_000
+
+
+def synth_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Python module per order: a class named by the order key whose
+    docstring holds a fake def, one two-line method per lineitem (blank line
+    after each), and, for every third order key, a one-line def."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    ln = F.col("l_linenumber").cast("string")
+    method = F.concat(F.lit("    def line_"), ln, F.lit("(self, part="), F.col("l_partkey").cast("string"),
+                      F.lit("):\n        return part * "), ln, F.lit("\n\n"))
+    methods = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        _ordered_join(F.struct("l_linenumber", "l_partkey", "l_suppkey"), method).alias("methods"))
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.lit("import os\n\n\nclass Order"), k, F.lit(':\n    """Order '), k, F.lit(" of customer "),
+        F.col("o_custkey").cast("string"), F.lit(".\n\n    def fake_"), k,
+        F.lit('(self):\n        return None\n    """\n\n'), F.coalesce(F.col("methods"), F.lit("")),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("def total_"), k, F.lit("(): return "), k, F.lit("\n")))
+        .otherwise(F.lit("")))
+    return orders.join(methods, "o_orderkey", "left").select(
+        (F.lit(PY_FILE_BASE) + F.col("o_orderkey")).cast("long").alias("file_id"),
+        F.concat(F.lit("synth/py/order_"), k, F.lit(".py")).alias("path"), text.alias("text"))
+
+
+def synth_typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One TypeScript file per order: an exported class with one method per
+    lineitem, then an exported expression arrow function."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    ln = F.col("l_linenumber").cast("string")
+    method = F.concat(F.lit("  line"), ln, F.lit("(part: number): number {\n    return part * "), ln,
+                      F.lit(";\n  }\n"))
+    methods = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        _ordered_join(F.struct("l_linenumber", "l_partkey", "l_suppkey"), method).alias("methods"))
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("export class Order"), k, F.lit(" {\n"), F.coalesce(F.col("methods"), F.lit("")),
+                    F.lit("}\n\nexport const total"), k, F.lit(" = (x: number) => x * "), k, F.lit(";\n"))
+    return orders.join(methods, "o_orderkey", "left").select(
+        (F.lit(TS_FILE_BASE) + F.col("o_orderkey")).cast("long").alias("file_id"),
+        F.concat(F.lit("synth/ts/order_"), k, F.lit(".ts")).alias("path"), text.alias("text"))
+
+
+def synth_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Markdown file per nation: h1 for the nation, h2 per customer, and
+    a fenced block per customer holding a '#' line that is not a heading."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    ck = F.col("c_custkey").cast("string")
+    piece = F.concat(F.lit("## Customer "), ck, F.lit("\n```\n# not a heading "), ck, F.lit("\n```\n"))
+    body = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        _ordered_join(F.col("c_custkey"), piece).alias("body"))
+    n = F.col("n_nationkey").cast("string")
+    return nation.join(body, "n_nationkey", "left").select(
+        (F.lit(MD_FILE_BASE) + F.col("n_nationkey")).cast("long").alias("file_id"),
+        F.concat(F.lit("synth/md/nation_"), n, F.lit(".md")).alias("path"),
+        F.concat(F.lit("# Nation "), F.col("n_name"), F.lit("\n\n"), F.coalesce(F.col("body"), F.lit(""))).alias("text"))
+
+
+def file_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, path, text): the documents as text files plus the
+    synthesised Python, TypeScript and Markdown sources."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("file_id"),
+        F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        "text")
+    return (docs.unionByName(synth_python(spark, sf_dir)).unionByName(synth_typescript(spark, sf_dir))
+            .unionByName(synth_markdown(spark, sf_dir)))
