@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def all_queries():
-    from tessera.plans import files, web
+    from tessera.plans import files, outline, web
     out = {}
     out.update(web.QUERIES)
     out.update(files.QUERIES)
+    out.update(outline.QUERIES)
     return out
 
 

@@ -768,3 +768,119 @@ cl AS (
 SELECT file_id, start, "end", total_lines, CASE WHEN e >= s THEN 'ok' ELSE 'empty' END AS status,
   CASE WHEN e >= s THEN array_to_string(list_transform(range(s, e + 1), lambda n: format('{:5d}', n) || ' │ ' || lines[n]), chr(10)) END AS text
 FROM cl""")
+
+
+# --- outline (expected rows from the base tables) ------------------------------------
+TRUTH = """
+jl AS (SELECT l_orderkey, l_linenumber,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS j FROM lineitem),
+om AS (SELECT o.o_orderkey, coalesce(c.cnt, 0) AS m FROM orders o
+       LEFT JOIN (SELECT l_orderkey, count(*) AS cnt FROM lineitem GROUP BY l_orderkey) c ON c.l_orderkey = o.o_orderkey),
+cj AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j FROM customer),
+truth AS (
+  SELECT (10000000 + o_orderkey)::BIGINT AS file_id, 'Python' AS language, 'class' AS kind, 'Order' || o_orderkey::VARCHAR AS name,
+    4 AS start_line, CASE WHEN m > 0 THEN 12 + 3 * (m - 1) ELSE 9 END AS end_line, 1 AS depth, NULL::INTEGER AS parent_start FROM om
+  UNION ALL
+  SELECT 10000000 + l_orderkey, 'Python', 'def', 'line_' || l_linenumber::VARCHAR, 11 + 3 * (j - 1), 12 + 3 * (j - 1), 2, 4 FROM jl
+  UNION ALL
+  SELECT 10000000 + o_orderkey, 'Python', 'def', 'total_' || o_orderkey::VARCHAR, 11 + 3 * m, 11 + 3 * m, 1, NULL FROM om
+  WHERE o_orderkey % 3 = 0
+  UNION ALL
+  SELECT 20000000 + o_orderkey, 'TypeScript', 'class', 'Order' || o_orderkey::VARCHAR, 1, 2 + 3 * m, 1, NULL FROM om
+  UNION ALL
+  SELECT 20000000 + l_orderkey, 'TypeScript', 'method', 'line' || l_linenumber::VARCHAR, 2 + 3 * (j - 1), 4 + 3 * (j - 1), 2, 1 FROM jl
+  UNION ALL
+  SELECT 20000000 + o_orderkey, 'TypeScript', 'arrow fn', 'total' || o_orderkey::VARCHAR, 4 + 3 * m, 4 + 3 * m, 1, NULL FROM om
+  UNION ALL
+  SELECT 30000000 + n_nationkey, 'Markdown', 'h1', 'Nation ' || n_name, 1, NULL, 1, NULL FROM nation
+  UNION ALL
+  SELECT 30000000 + c_nationkey, 'Markdown', 'h2', 'Customer ' || c_custkey::VARCHAR, 3 + 4 * (j - 1), NULL, 1, NULL FROM cj),
+truth2 AS (
+  SELECT file_id::BIGINT AS file_id, language, kind, name, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line,
+    depth::INTEGER AS depth, parent_start::INTEGER AS parent_start FROM truth)"""
+
+
+def with_truth(body: str, files: bool = False) -> str:
+    return "WITH " + (SYNTH_FILES.strip() + "," if files else "") + TRUTH.strip() + "\n" + body
+
+
+ORACLES["python_symbols"] = with_truth(
+    "SELECT file_id, kind, name, start_line, end_line FROM truth2 WHERE language = 'Python'")
+ORACLES["js_symbols"] = with_truth(
+    "SELECT file_id, kind, name, start_line, end_line FROM truth2 WHERE language = 'TypeScript'")
+ORACLES["markdown_headings"] = with_truth(
+    "SELECT file_id, kind, name, start_line, end_line FROM truth2 WHERE language = 'Markdown'")
+ORACLES["docstring_mask"] = (
+    "SELECT (10000000 + o_orderkey)::BIGINT AS file_id, unnest([6, 7, 8, 9])::INTEGER AS line_no FROM orders")
+ORACLES["nest_symbols"] = with_truth(
+    "SELECT file_id, kind, name, start_line, end_line, depth, parent_start FROM truth2")
+ORACLES["outline_listing"] = with_truth("""
+, ranked AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY start_line))::INTEGER AS row_no,
+               (count(*) OVER (PARTITION BY file_id))::INTEGER AS total FROM truth2),
+page AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS shown FROM ranked WHERE row_no > 1 AND row_no <= 4)
+SELECT file_id, row_no, kind, name, start_line, end_line, depth, total,
+  CASE WHEN 1 + shown < total THEN (1 + shown)::INTEGER END AS next_offset FROM page""")
+ORACLES["outline_depth"] = with_truth("""
+, tot AS (SELECT file_id, count(*)::INTEGER AS total FROM truth2 GROUP BY file_id),
+kids AS (SELECT file_id, parent_start, count(*)::INTEGER AS n FROM truth2 WHERE parent_start IS NOT NULL
+         GROUP BY file_id, parent_start),
+vis AS (SELECT t.*, (row_number() OVER (PARTITION BY t.file_id ORDER BY t.start_line))::INTEGER AS row_no,
+          count(*) OVER (PARTITION BY t.file_id) AS n_vis
+        FROM truth2 t WHERE t.depth <= 1)
+SELECT v.file_id, v.row_no, v.kind, v.name, v.start_line, v.end_line, k.n AS hidden_members, tot.total,
+  CASE WHEN least(v.n_vis, 200) < v.n_vis THEN 200 END::INTEGER AS next_offset
+FROM vis v JOIN tot USING (file_id) LEFT JOIN kids k ON k.file_id = v.file_id AND k.parent_start = v.start_line
+WHERE v.row_no <= 200""")
+
+ORACLES["fetch_symbol"] = with_truth("""
+, fl AS (SELECT file_id, lines FROM files2 WHERE file_id >= 10000000 AND file_id < 20000000),
+firstln AS (SELECT l_orderkey, arg_min(l_linenumber, (l_linenumber, l_partkey, l_suppkey)) AS ln FROM lineitem GROUP BY l_orderkey),
+req AS (
+  SELECT 10000000 + o_orderkey AS file_id, 'Order' || o_orderkey::VARCHAR AS target FROM orders
+  UNION ALL SELECT 10000000 + l_orderkey, 'LINE_' || ln::VARCHAR FROM firstln
+  UNION ALL SELECT 10000000 + o_orderkey, 'fake_' || o_orderkey::VARCHAR FROM orders
+  UNION ALL SELECT 10000000 + o_orderkey, 'nothing_' || o_orderkey::VARCHAR FROM orders),
+m AS (
+  SELECT r.file_id, r.target, t.kind, t.name, t.start_line, t.end_line FROM req r
+  LEFT JOIN truth2 t ON t.file_id = r.file_id AND lower(t.name) = lower(r.target) AND t.depth <= 2),
+g AS (
+  SELECT file_id, target, count(start_line)::INTEGER AS n_matches, min(start_line) AS s, min(end_line) AS e,
+    min(kind) AS kind, min(name) AS name,
+    list(kind || ' ' || name || '  lines ' || start_line::VARCHAR || '–' || end_line::VARCHAR ORDER BY start_line)
+      FILTER (WHERE start_line IS NOT NULL) AS cands
+  FROM m GROUP BY file_id, target)
+SELECT g.file_id::BIGINT AS file_id, g.target,
+  CASE WHEN n_matches > 1 THEN 'ambiguous' WHEN n_matches = 1 THEN 'symbol'
+       WHEN EXISTS (SELECT 1 FROM unnest(fl.lines) AS u(x) WHERE contains(lower(x), lower(g.target))) THEN 'text' ELSE 'none' END AS status,
+  n_matches,
+  CASE WHEN n_matches = 1 THEN kind END AS kind, CASE WHEN n_matches = 1 THEN name END AS name,
+  CASE WHEN n_matches = 1 THEN s END::INTEGER AS start_line, CASE WHEN n_matches = 1 THEN e END::INTEGER AS end_line,
+  CASE WHEN n_matches = 1 THEN array_to_string(list_transform(range(s, least(e, s + 249) + 1),
+       lambda n: format('{:5d}', n) || ' │ ' || fl.lines[n]), chr(10)) END AS body,
+  CASE WHEN n_matches = 1 AND e > s + 249 THEN s + 250 END::INTEGER AS continue_at,
+  CASE WHEN n_matches > 1 THEN cands[1:20] END AS candidates,
+  CASE WHEN n_matches = 0 THEN len(list_filter(range(1, len(fl.lines) + 1), lambda i: contains(lower(fl.lines[i]), lower(g.target))))::INTEGER END AS occurrences,
+  CASE WHEN n_matches = 0 THEN list_filter(range(1, len(fl.lines) + 1), lambda i: contains(lower(fl.lines[i]), lower(g.target)))[1:5]::INTEGER[] END AS hit_lines
+FROM g JOIN fl USING (file_id)""", files=True)
+
+ORACLES["outline_accuracy"] = with_truth("""
+SELECT language, count(*)::INTEGER AS n_truth, count(*)::INTEGER AS n_found, count(*)::INTEGER AS n_exact,
+  1.0::DOUBLE AS accuracy, true AS passed FROM truth2 WHERE language <> 'Markdown' GROUP BY language""")
+
+ORACLES["file_summary"] = with_truth("""
+, sc AS (SELECT file_id, count(*)::INTEGER AS n FROM truth2 GROUP BY file_id)
+SELECT f.file_id, f.name, f.language, f.total_lines, coalesce(sc.n, 0)::INTEGER AS n_symbols,
+  array_to_string(list_transform(range(1, least(40, f.total_lines) + 1), lambda n: format('{:5d}', n) || ' │ ' || f.lines[n]), chr(10)) AS head,
+  CASE WHEN greatest(40, f.total_lines - 20) < f.total_lines THEN
+    array_to_string(list_transform(range(greatest(40, f.total_lines - 20) + 1, f.total_lines + 1),
+      lambda n: format('{:5d}', n) || ' │ ' || f.lines[n]), chr(10)) END AS tail
+FROM files2 f LEFT JOIN sc USING (file_id)""", files=True)
+
+ORACLES["language_coverage"] = with_truth("""
+, sc AS (SELECT file_id, count(*)::INTEGER AS n FROM truth2 GROUP BY file_id),
+fx AS (SELECT f.language, coalesce(sc.n, 0) AS n_sym,
+         f.language IN ('Python', 'JavaScript', 'TypeScript', 'Markdown') AS scanned FROM files2 f LEFT JOIN sc USING (file_id)),
+fy AS (SELECT *, CASE WHEN scanned OR n_sym > 0 THEN NULL WHEN language = 'text' THEN 'unrecognised' ELSE 'unscanned' END AS note FROM fx)
+SELECT language, count(*)::INTEGER AS n_files, count(*) FILTER (WHERE scanned)::INTEGER AS n_scanned,
+  sum(n_sym)::BIGINT AS n_symbols, count(note)::INTEGER AS n_noted, max(note) AS note
+FROM fy GROUP BY language""", files=True)
