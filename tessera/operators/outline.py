@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import WS, js_trim
 from tessera.operators.lines import numbered, search_lines
+from tessera.session import materialize
 from tessera.sources.files import split_lines
 
 # --- fixed values --------------------------------------------------------
@@ -187,7 +188,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
     last body line: signature end by bracket depth and last ':', one-liners
     end on their header, the body is the lines indented past the header
     (blank and comment lines neutral, string lines in the body)."""
-    r = python_lines(files)
+    r = materialize(python_lines(files))
     syms = r.where(F.col("kind").isNotNull()).select(
         "file_id", "total_lines", "kind", "name", F.col("line_no").alias("start_line"), F.col("indent").alias("h"),
         (F.col("depth_after") - F.col("delta")).alias("thr"), F.col("line_no").alias("pos"),
@@ -243,7 +244,7 @@ def js_symbols(files: DataFrame) -> DataFrame:
     (strings and comments ignored, settled only at line ends, never on a
     line ending in '=>', expression arrows end at ';', no '{' within 20
     lines -> the header line)."""
-    r = js_lines(files)
+    r = materialize(js_lines(files))
     syms = r.where(F.col("kind").isNotNull()).select(
         "file_id", "total_lines", "kind", "name", F.col("line_no").alias("start_line"),
         (F.col("p_after") - F.col("delta")).alias("thr"), F.col("line_no").alias("pos"))
@@ -333,7 +334,7 @@ def nest_symbols(symbols: DataFrame) -> DataFrame:
     start; depth is 1 for roots. Depth is the number of covering symbols
     (start/end events and a running sum); the parent is the previous symbol
     one level up. Both are windows keyed by file_id."""
-    s = symbols.select("file_id", "kind", "name", "start_line", "end_line")
+    s = materialize(symbols.select("file_id", "kind", "name", "start_line", "end_line"))
     has_body = F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))
     ev_open = s.where(has_body).select("file_id", F.col("start_line").alias("pos"), F.lit(2).alias("typ"),
                                        F.lit(1).alias("d"))
@@ -345,7 +346,7 @@ def nest_symbols(symbols: DataFrame) -> DataFrame:
     u = q.unionByName(evs)
     u = u.withColumn("cov", F.sum("d").over(Window.partitionBy("file_id").orderBy("pos", "typ")
                                           .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    d = u.where(F.col("sym").isNotNull()).select("sym.*", (F.col("cov") + 1).cast("int").alias("depth"))
+    d = materialize(u.where(F.col("sym").isNotNull()).select("sym.*", (F.col("cov") + 1).cast("int").alias("depth")))
     # parent: the last earlier symbol at depth - 1 (only symbols with a body can be parents)
     cands = d.where(F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))).select(
         "file_id", F.col("depth").alias("lvl"), F.col("start_line").alias("pos"), F.lit(0).alias("typ"),
@@ -377,6 +378,7 @@ def outline_depth(nested: DataFrame, max_depth: int, max_rows: int = 200, offset
     number of all its hidden descendants; hidden rows use no row numbers;
     ``total`` still counts every symbol. ``next_offset`` is null when no
     visible rows remain (the reference prints a 'more' marker instead)."""
+    nested = materialize(nested)
     has_body = F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))
     # descendants of p = symbols with p.start < start <= p.end: a running count
     # of symbols, looked up at p.end through the union below.

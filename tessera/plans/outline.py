@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import lines as LN
 from tessera.operators import outline as O
 from tessera.plans.synth import MD_FILE_BASE, PY_FILE_BASE, TS_FILE_BASE, file_corpus
+from tessera.session import materialize
 
 
 def _sources(spark, d):
@@ -110,7 +111,7 @@ def q_outline_depth(spark, d):
 
 
 def q_fetch_symbol(spark, d):
-    src = _sources(spark, d)
+    src = materialize(_sources(spark, d))
     files = LN.files_from_text(src, "file_id", "path", "text")
     orders = spark.read.parquet(f"{d}/orders.parquet")
     li = spark.read.parquet(f"{d}/lineitem.parquet")

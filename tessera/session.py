@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -43,3 +44,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate that several branches read.
+
+    Writes it once with ``checkpoint()`` into the session's checkpoint folder
+    (shared storage on a cluster), so the branches read the saved rows
+    instead of recomputing them, and a lost executor does not send the job
+    back to the source. The partitioning of ``df`` is kept.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
