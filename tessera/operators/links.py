@@ -29,7 +29,7 @@ RESERVED_V4 = [
     ("0.0.0.0/8 (this network)", 0, 0x00FFFFFF),
     ("10.0.0.0/8 (private)", 0x0A000000, 0x0AFFFFFF),
     ("127.0.0.0/8 (loopback)", 0x7F000000, 0x7FFFFFFF),
-    ("169.254.0.0/16 (link-local)", 0xA9FE0000, 0xA9FEFFFF),
+    ("169.254.0.0/16 (link-local — cloud instance metadata)", 0xA9FE0000, 0xA9FEFFFF),
     ("172.16.0.0/12 (private)", 0xAC100000, 0xAC1FFFFF),
     ("192.168.0.0/16 (private)", 0xC0A80000, 0xC0A8FFFF),
     ("100.64.0.0/10 (carrier NAT)", 0x64400000, 0x647FFFFF),

@@ -48,9 +48,10 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
     are the queue left over.
     """
     checkpoint_dir(starts.sparkSession)
-    snap = snapshot.select("site", "path", "page_id")
-    ed = edges.select(F.col("page_id").alias("parent_id"), "link_no", "target_path")
-    frontier = starts.select("site", "path", F.lit(1).cast("long").alias("rank"), F.lit(0).alias("level"))
+    # Both are read once per level: save them once instead of re-deriving them.
+    snap = snapshot.select("site", "path", "page_id").checkpoint()
+    ed = edges.select(F.col("page_id").alias("parent_id"), "link_no", "target_path").checkpoint()
+    frontier = starts.select("site", "path", F.lit(1).cast("long").alias("rank"), F.lit(0).alias("level")).checkpoint()
     queued = frontier
     level = 0
     while True:

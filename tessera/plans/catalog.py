@@ -4,11 +4,12 @@ from __future__ import annotations
 
 
 def all_queries():
-    from tessera.plans import files, outline, web
+    from tessera.plans import files, outline, site, web
     out = {}
     out.update(web.QUERIES)
     out.update(files.QUERIES)
     out.update(outline.QUERIES)
+    out.update(site.QUERIES)
     return out
 
 

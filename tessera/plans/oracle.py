@@ -884,3 +884,71 @@ fy AS (SELECT *, CASE WHEN scanned OR n_sym > 0 THEN NULL WHEN language = 'text'
 SELECT language, count(*)::INTEGER AS n_files, count(*) FILTER (WHERE scanned)::INTEGER AS n_scanned,
   sum(n_sym)::BIGINT AS n_symbols, count(note)::INTEGER AS n_noted, max(note) AS note
 FROM fy GROUP BY language""", files=True)
+
+
+# --- redirects and destinations ----------------------------------------------------
+ORACLES["resolve_redirects"] = """
+WITH RECURSIVE c AS (
+  SELECT c_custkey AS k, floor((c_custkey - 1) / 8)::BIGINT AS g, ((c_custkey - 1) % 8)::INTEGER AS p FROM customer),
+starts AS (SELECT k AS start_id, 'https://r' || g::VARCHAR || '.redir.example/c/' || k::VARCHAR AS url FROM c),
+hops AS (
+  SELECT 'https://r' || g::VARCHAR || '.redir.example/c/' || k::VARCHAR AS url,
+    CASE WHEN p < 7 THEN '/c/' || (k + 1)::VARCHAR
+         WHEN g % 3 = 0 THEN 'https://elsewhere.example/x/' || k::VARCHAR END AS location
+  FROM c),
+walk AS (
+  SELECT start_id, url AS start_url, url AS cur, 0 AS n FROM starts
+  UNION ALL
+  SELECT w.start_id, w.start_url,
+    CASE WHEN starts_with(h.location, '/') THEN regexp_extract(w.cur, '^([a-z]+://[^/]+)', 1) || h.location ELSE h.location END,
+    w.n + 1
+  FROM walk w JOIN hops h ON h.url = w.cur AND h.location IS NOT NULL WHERE w.n < 5),
+fin AS (SELECT start_id, arg_max(start_url, n) AS start_url, arg_max(cur, n) AS cur, max(n) AS n FROM walk GROUP BY start_id)
+SELECT f.start_id, f.start_url, f.cur AS final_url, f.n::INTEGER AS n_hops,
+  CASE WHEN EXISTS (SELECT 1 FROM hops h WHERE h.url = f.cur AND h.location IS NOT NULL) THEN 'too_many'
+       WHEN regexp_extract(f.cur, '^([a-z]+://[^/]+)', 1) <> regexp_extract(f.start_url, '^([a-z]+://[^/]+)', 1) THEN 'off_origin'
+       ELSE 'ok' END AS status
+FROM fin f"""
+
+ORACLES["classify_destination"] = """
+WITH c AS (
+  SELECT c_custkey AS k, ((c_custkey * 37) % 256)::BIGINT AS o1, ((c_custkey * 11) % 256)::BIGINT AS o2,
+    (c_custkey % 256)::BIGINT AS o3, ((c_custkey * 7) % 256)::BIGINT AS o4 FROM customer),
+u AS (
+  SELECT k AS url_id, o1, o2, o3, o4,
+    o1::VARCHAR || '.' || o2::VARCHAR || '.' || o3::VARCHAR || '.' || o4::VARCHAR AS quad,
+    CASE WHEN k % 7 = 0 THEN 'ftp' ELSE 'http' END AS scheme,
+    CASE WHEN k % 17 = 0 THEN 'name' WHEN k % 13 = 0 THEN 'v6' WHEN k % 11 = 0 THEN 'mapped' ELSE 'v4' END AS form,
+    CASE WHEN k % 5 = 0 THEN ':8080' ELSE '' END AS port
+  FROM c),
+u2 AS (
+  SELECT *, CASE form WHEN 'name' THEN 'host' || url_id::VARCHAR || '.example' WHEN 'v6' THEN '[fe80::1]'
+                      WHEN 'mapped' THEN '[::ffff:' || quad || ']' ELSE quad END AS h
+  FROM u),
+allow AS (
+  SELECT 'host' || k::VARCHAR || '.example' AS entry FROM c WHERE k % 34 = 0
+  UNION ALL
+  SELECT o1::VARCHAR || '.' || o2::VARCHAR || '.' || o3::VARCHAR || '.' || o4::VARCHAR || ':8080' FROM c
+  WHERE k % 10 = 0 AND k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0),
+u3 AS (
+  SELECT *, scheme || '://' || h || port || '/p' AS url, lower(regexp_replace(h, '^\\[|\\]$', '', 'g')) AS host,
+    o1 * 16777216 + o2 * 65536 + o3 * 256 + o4 AS v4num
+  FROM u2),
+u4 AS (
+  SELECT *,
+    (host IN (SELECT lower(entry) FROM allow) OR (lower(h) || port) IN (SELECT lower(entry) FROM allow)) AS allowed,
+    CASE WHEN form IN ('v4', 'mapped') THEN
+      CASE WHEN o1 = 0 THEN '0.0.0.0/8 (this network)' WHEN o1 = 10 THEN '10.0.0.0/8 (private)'
+           WHEN o1 = 127 THEN '127.0.0.0/8 (loopback)'
+           WHEN o1 = 169 AND o2 = 254 THEN '169.254.0.0/16 (link-local — cloud instance metadata)'
+           WHEN o1 = 172 AND o2 BETWEEN 16 AND 31 THEN '172.16.0.0/12 (private)'
+           WHEN o1 = 192 AND o2 = 168 THEN '192.168.0.0/16 (private)'
+           WHEN o1 = 100 AND o2 BETWEEN 64 AND 127 THEN '100.64.0.0/10 (carrier NAT)'
+           WHEN o1 >= 224 THEN '224.0.0.0/4+ (multicast/reserved)' END
+    WHEN form = 'v6' THEN 'fe80::/10 (link-local)' END AS r
+  FROM u3)
+SELECT url_id, url, host,
+  CASE WHEN scheme NOT IN ('http', 'https') THEN 'blocked_scheme' WHEN allowed THEN 'allowed'
+       WHEN r IS NOT NULL THEN 'blocked_reserved' ELSE 'allowed' END AS status,
+  CASE WHEN scheme IN ('http', 'https') AND NOT allowed AND r IS NOT NULL THEN r END AS rule
+FROM u4"""

@@ -133,3 +133,62 @@ def file_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text")
     return (docs.unionByName(synth_python(spark, sf_dir)).unionByName(synth_typescript(spark, sf_dir))
             .unionByName(synth_markdown(spark, sf_dir)))
+
+
+LINK_PAGE_BASE = 2_000_000
+
+
+def synth_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer pages grouped into one site per nation: page /c/{i} (i = the
+    customer's rank in its nation) links to /c/{2i}, /c/{2i+1}, a missing
+    /gone/{i} and /c/{2i} again. Columns: page_id, url, html."""
+    from pyspark.sql import Window
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = c.select("c_custkey", "c_name", "c_nationkey", F.row_number().over(
+        Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("i"))
+    i = F.col("i")
+    html = F.concat(
+        F.lit("<html><head><title>C"), i.cast("string"), F.lit(" "), F.col("c_name"),
+        F.lit("</title></head><body><p>Customer "), F.col("c_name"), F.lit("</p><a href=\"/c/"), (2 * i).cast("string"),
+        F.lit("\">left</a> <a href=\"/c/"), (2 * i + 1).cast("string"), F.lit("\">right</a> <a href=\"/gone/"),
+        i.cast("string"), F.lit("\">gone</a> <a href=\"/c/"), (2 * i).cast("string"), F.lit("\">again</a></body></html>"))
+    return c.select((F.lit(LINK_PAGE_BASE) + F.col("c_custkey")).cast("long").alias("page_id"),
+                    F.concat(F.lit("https://s"), F.col("c_nationkey").cast("string"), F.lit(".links.example/c/"),
+                             i.cast("string")).alias("url"), html.alias("html"))
+
+
+def synth_redirects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(starts, hops) from customer keys: in groups of 8 consecutive keys each
+    URL redirects to the next one (a relative location); the last of every
+    third group redirects off-site."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    k = F.col("c_custkey")
+    g = F.floor((k - 1) / 8).cast("long")
+    pos = ((k - 1) % 8).cast("int")
+    url = F.concat(F.lit("https://r"), g.cast("string"), F.lit(".redir.example/c/"), k.cast("string"))
+    starts = c.select(k.alias("start_id"), url.alias("url"))
+    loc = (F.when(pos < 7, F.concat(F.lit("/c/"), (k + 1).cast("string")))
+           .when(g % 3 == 0, F.concat(F.lit("https://elsewhere.example/x/"), k.cast("string"))))
+    hops = c.select(url.alias("url"), loc.alias("location")).where(F.col("location").isNotNull())
+    return starts, hops
+
+
+def synth_hosts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(urls, allow-list) from customer keys: dotted quads built from the key
+    (some reserved), some with a port, some ftp:, some IPv6 forms, some
+    names; the allow-list names a few hosts and host:port pairs."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    k = F.col("c_custkey")
+    quad = F.concat_ws(".", ((k * 37) % 256).cast("string"), ((k * 11) % 256).cast("string"),
+                       (k % 256).cast("string"), ((k * 7) % 256).cast("string"))
+    host = (F.when(k % 17 == 0, F.concat(F.lit("host"), k.cast("string"), F.lit(".example")))
+            .when(k % 13 == 0, F.lit("[fe80::1]"))
+            .when(k % 11 == 0, F.concat(F.lit("[::ffff:"), quad, F.lit("]")))
+            .otherwise(quad))
+    port = F.when(k % 5 == 0, F.lit(":8080")).otherwise(F.lit(""))
+    scheme = F.when(k % 7 == 0, F.lit("ftp")).otherwise(F.lit("http"))
+    urls = c.select(k.alias("url_id"), F.concat(scheme, F.lit("://"), host, port, F.lit("/p")).alias("url"))
+    allow = (c.where(k % 34 == 0).select(F.concat(F.lit("host"), k.cast("string"), F.lit(".example")).alias("entry"))
+             .unionByName(c.where((k % 10 == 0) & (k % 11 != 0) & (k % 13 != 0) & (k % 17 != 0))
+                          .select(F.concat(quad, F.lit(":8080")).alias("entry"))))
+    return urls, allow
