@@ -99,11 +99,14 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
     # Inputs: pieces outside forms and form bodies alternate in document order.
     outside = F.split(html, FORM_PATTERN, -1)
     forms = F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0)
-    chunks = F.flatten(F.transform(outside, lambda piece, i: F.array(
-        F.struct((i * 2).alias("o"), piece.alias("body"), F.lit(None).cast("string").alias("form_attrs")),
-        F.struct((i * 2 + 1).alias("o"), F.regexp_extract(F.try_element_at(forms, i + 1), FORM_PATTERN, 2).alias("body"),
-                 F.regexp_extract(F.try_element_at(forms, i + 1), FORM_PATTERN, 1).alias("form_attrs")))))
-    c = pages.select("page_id", F.explode(F.filter(chunks, lambda x: x["body"].isNotNull())).alias("c"))
+    # zip_with pads the shorter side with nulls: piece i is followed by form i.
+    pairs = F.zip_with(outside, forms, lambda piece, f: F.struct(piece.alias("piece"), f.alias("f")))
+    chunks = F.flatten(F.transform(pairs, lambda x, i: F.array(
+        F.struct((i * 2).alias("o"), x["piece"].alias("body"), F.lit(None).cast("string").alias("form_attrs")),
+        F.struct((i * 2 + 1).alias("o"), F.regexp_extract(x["f"], FORM_PATTERN, 2).alias("body"),
+                 F.when(x["f"].isNotNull(), F.regexp_extract(x["f"], FORM_PATTERN, 1)).alias("form_attrs")))))
+    c = pages.select("page_id", F.explode(F.filter(chunks, lambda x: x["body"].isNotNull()
+                                                   & ((x["o"] % 2 == 0) | x["form_attrs"].isNotNull()))).alias("c"))
     c = c.select("page_id", F.col("c.o").alias("o"), F.col("c.form_attrs").alias("form_attrs"),
                  F.posexplode(F.regexp_extract_all(F.col("c.body"), F.lit(INPUT_PATTERN), 1)).alias("j", "ia"))
     itype = _exact_attr(F.col("ia"), "type")

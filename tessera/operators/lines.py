@@ -94,9 +94,9 @@ def match_pattern(query: str, regex: bool) -> str:
 
 
 def _hits(lines: Column, pat: str) -> Column:
-    n = F.size(lines)
-    idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(idx, lambda i: F.element_at(lines, i).rlike(pat))
+    """1-based numbers of matching lines (no outer array captured in the lambda)."""
+    numbered_lines = F.transform(lines, lambda x, i: F.struct((i + 1).alias("i"), x.alias("l")))
+    return F.transform(F.filter(numbered_lines, lambda x: x["l"].rlike(pat)), lambda x: x["i"])
 
 
 def search_lines(files: DataFrame, query: str, regex: bool = False, ctx: int = 5,

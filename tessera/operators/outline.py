@@ -167,16 +167,19 @@ def python_lines(files: DataFrame) -> DataFrame:
                  (js_trim(F.regexp_extract(clean, r":([^:]*)$", 1)) != "").alias("after_colon"),
                  F.length(F.regexp_extract(F.col("raw"), "^(" + WS + "*)", 1)).alias("indent"),
                  ((trimmed != "") & ~trimmed.startswith("#")).alias("is_code"))
+    cls = F.regexp_extract("raw", PY_CLASS, 2)
+    dfn = F.regexp_extract("raw", PY_DEF, 2)
+    r = r.withColumn("kind0", F.when(cls != "", F.lit("class")).when(dfn != "", F.lit("def")))
+    r = r.withColumn("name", F.when(cls != "", cls).when(dfn != "", dfn))
+    # Only per-line scalars go on to the windows: the line strings stay behind.
+    r = r.drop("raw", "clean")
     r = r.withColumn("masked", F.coalesce(F.max("mask_end").over(_before()) >= F.col("line_no"), F.lit(False)))
     r = r.withColumn("depth_after", F.sum("delta").over(_run()))
     cm = F.col("is_code") | F.col("masked")
     r = r.withColumn("last_cm_before", F.max(F.when(cm, F.col("line_no"))).over(_before()))
     r = r.withColumn("last_cm_file", F.max(F.when(cm, F.col("line_no"))).over(_whole()))
-    cls = F.regexp_extract("raw", PY_CLASS, 2)
-    dfn = F.regexp_extract("raw", PY_DEF, 2)
-    r = r.withColumn("kind", F.when(F.col("masked"), F.lit(None))
-                     .when(cls != "", F.lit("class")).when(dfn != "", F.lit("def")))
-    r = r.withColumn("name", F.when(F.col("kind") == "class", cls).when(F.col("kind") == "def", dfn))
+    r = r.withColumn("kind", F.when(~F.col("masked"), F.col("kind0"))).drop("kind0")
+    r = r.withColumn("name", F.when(F.col("kind").isNotNull(), F.col("name")))
     sym = F.col("kind").isNotNull()
     r = r.withColumn("indent_set", F.collect_set(F.when(sym, F.col("indent"))).over(_whole()))
     r = r.withColumn("depth_set", F.collect_set(F.when(sym, F.col("depth_after") - F.col("delta"))).over(_whole()))
@@ -234,7 +237,7 @@ def js_lines(files: DataFrame) -> DataFrame:
         hit = F.col("raw").rlike(pat)
         kind = F.when(hit, F.lit(k)).otherwise(kind)
         name = F.when(hit, F.regexp_extract("raw", pat, 1)).otherwise(name)
-    r = r.withColumn("kind", kind).withColumn("name", name)
+    r = r.withColumn("kind", kind).withColumn("name", name).drop("raw", "clean")
     r = r.withColumn("p_set", F.collect_set(F.when(F.col("kind").isNotNull(), F.col("p_after") - F.col("delta"))).over(_whole()))
     return r
 
@@ -451,9 +454,10 @@ def fetch_symbol(files: DataFrame, nested: DataFrame, requests: DataFrame, max_l
     srch = g.where(F.col("status") == "search").select("file_id", "target", "n_matches")
     # text search per request: the target as a case-insensitive literal
     fl = srch.join(files.select("file_id", "lines"), "file_id")
-    fl = fl.withColumn("hit_idx", F.filter(
-        F.when(F.size("lines") > 0, F.sequence(F.lit(1), F.size("lines"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.lower(F.element_at("lines", i)).contains(F.lower(F.col("target")))))
+    fl = fl.withColumn("needle", F.lower(F.col("target")))
+    fl = fl.withColumn("hit_idx", F.transform(F.filter(
+        F.transform("lines", lambda x, i: F.struct((i + 1).alias("i"), F.lower(x).alias("l"))),
+        lambda x: x["l"].contains(F.col("needle"))), lambda x: x["i"]))
     txt = fl.select(
         "file_id", "target",
         F.when(F.size("hit_idx") > 0, F.lit("text")).otherwise(F.lit("none")).alias("status"), "n_matches",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.links import url_parts
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, materialize
 
 
 def site_outline(pages: DataFrame, links: DataFrame, forms: DataFrame, hints: DataFrame,
@@ -49,9 +49,9 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
     """
     checkpoint_dir(starts.sparkSession)
     # Both are read once per level: save them once instead of re-deriving them.
-    snap = snapshot.select("site", "path", "page_id").checkpoint()
-    ed = edges.select(F.col("page_id").alias("parent_id"), "link_no", "target_path").checkpoint()
-    frontier = starts.select("site", "path", F.lit(1).cast("long").alias("rank"), F.lit(0).alias("level")).checkpoint()
+    snap = materialize(snapshot.select("site", "path", "page_id"))
+    ed = materialize(edges.select(F.col("page_id").alias("parent_id"), "link_no", "target_path"))
+    frontier = materialize(starts.select("site", "path", F.lit(1).cast("long").alias("rank"), F.lit(0).alias("level")))
     queued = frontier
     level = 0
     while True:
@@ -69,8 +69,9 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
                .withColumn("rank", F.col("top") + F.row_number().over(
                    Window.partitionBy("site").orderBy(F.col("o.parent_rank"), F.col("o.link_no"))))
                .select("site", "path", "rank", F.lit(level).alias("level")))
-        nxt = nxt.checkpoint()
-        queued = queued.unionByName(nxt).checkpoint()
+        # Each level is saved once; the queue is the union of the saved levels.
+        nxt = materialize(nxt)
+        queued = queued.unionByName(nxt)
         frontier = nxt
         if level >= max_pages or frontier.where(F.col("rank") <= max_pages).isEmpty():
             break

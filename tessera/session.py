@@ -54,5 +54,11 @@ def materialize(df):
     instead of recomputing them, and a lost executor does not send the job
     back to the source. The partitioning of ``df`` is kept.
     """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Persist first: a reliable checkpoint otherwise computes its input twice
+    # (once for the job, once for the write).
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    saved = df.checkpoint(eager=True)
+    df.unpersist()
+    return saved
