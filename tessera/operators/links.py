@@ -24,6 +24,7 @@ QUERY_ENCODE = r"[\x00-\x20\x22\x23\x27\x3C\x3E\x7F-\x{10FFFF}]"
 FRAGMENT_ENCODE = r"[\x00-\x20\x22\x3C\x3E\x60\x7F-\x{10FFFF}]"
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 MAX_REDIRECTS = 5
+BROADCAST_ROWS = 200_000
 # Reserved IPv4 ranges (first, last as 32-bit numbers) in rule order.
 RESERVED_V4 = [
     ("0.0.0.0/8 (this network)", 0, 0x00FFFFFF),
@@ -178,6 +179,10 @@ def resolve_redirects(urls: DataFrame, hops: DataFrame, max_hops: int = MAX_REDI
     URL reached. The hop table is joined by key, never collected.
     """
     h = hops.select(F.col("url").alias("cur"), F.col("location").alias("nxt"))
+    # A hop table under the bound (counted first) is broadcast, so a URL that
+    # many chains pass through does not pile up in one task.
+    if h.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        h = F.broadcast(h)
     state = urls.select("start_id", F.col("url").alias("start_url"), F.col("url").alias("cur"),
                         F.lit(0).alias("n_hops"))
     for _ in range(max_hops):
@@ -237,6 +242,8 @@ def classify_destination(urls: DataFrame, allow: DataFrame | None = None, allow_
     d = d.join(hit, "url_id", "left")
     if allow is not None:
         a = allow.select(F.lower(F.col("entry")).alias("entry")).distinct()
+        if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            a = F.broadcast(a)
         by_host = a.select(F.col("entry").alias("host"), F.lit(True).alias("allow_host"))
         by_hp = a.select(F.col("entry").alias("hostport_raw"), F.lit(True).alias("allow_hp"))
         d = d.join(by_host, "host", "left").join(by_hp, "hostport_raw", "left")

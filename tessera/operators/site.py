@@ -44,8 +44,8 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
 
     Returns one row per queued path: site, path, rank (queue order), level,
     outcome in {'mapped', 'missing', 'unvisited'} and page_id when mapped.
-    The budget counts attempts including failures: ranks above ``max_pages``
-    are the queue left over.
+    The budget counts attempts including failures: queued paths beyond it are
+    the leftover queue (outcome 'unvisited', rank null).
     """
     checkpoint_dir(starts.sparkSession)
     # Both are read once per level: save them once instead of re-deriving them.
@@ -65,18 +65,24 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
         first = new.groupBy("site", "path").agg(F.min(F.struct("parent_rank", "link_no")).alias("o"))
         top = queued.groupBy("site").agg(F.max("rank").alias("top"))
         level += 1
-        nxt = (first.join(top, "site")
-               .withColumn("rank", F.col("top") + F.row_number().over(
-                   Window.partitionBy("site").orderBy(F.col("o.parent_rank"), F.col("o.link_no"))))
+        # Only ranks within the budget are ever fetched: rank at most max_pages
+        # new paths per site. The constant bound lets Spark keep a per-site
+        # top-k on the map side, so a site with a huge link fan-out does not
+        # send all its paths to one task; the rest stay unranked (leftovers).
+        w = Window.partitionBy("site").orderBy(F.col("o.parent_rank"), F.col("o.link_no"))
+        ranked = first.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_pages)
+        ranked = (ranked.join(top, "site").where(F.col("top") + F.col("rn") <= max_pages)
+                  .select("site", "path", (F.col("top") + F.col("rn")).alias("rank")))
+        nxt = (first.join(ranked, ["site", "path"], "left")
                .select("site", "path", "rank", F.lit(level).alias("level")))
         # Each level is saved once; the queue is the union of the saved levels.
         nxt = materialize(nxt)
         queued = queued.unionByName(nxt)
-        frontier = nxt
-        if level >= max_pages or frontier.where(F.col("rank") <= max_pages).isEmpty():
+        frontier = nxt.where(F.col("rank").isNotNull())
+        if level >= max_pages or frontier.isEmpty():
             break
     out = queued.join(snap, ["site", "path"], "left")
-    outcome = (F.when(F.col("rank") > max_pages, F.lit("unvisited"))
+    outcome = (F.when(F.col("rank").isNull() | (F.col("rank") > max_pages), F.lit("unvisited"))
                .when(F.col("page_id").isNotNull(), F.lit("mapped")).otherwise(F.lit("missing")))
     return out.select("site", "path", "rank", "level", outcome.alias("outcome"),
                       F.when(outcome == "mapped", F.col("page_id")).alias("page_id"))

@@ -84,26 +84,26 @@ def squash(x: str) -> str:
 
 SYNTH_HTML = f"""
 synth_body AS (
-  SELECT c_nationkey AS n_nationkey, string_agg(
+  SELECT c_nationkey AS n_nationkey, floor(c_custkey / 100)::BIGINT AS blk, string_agg(
     '<h2 id="c' || c_custkey::VARCHAR || '">Customer ' || c_name || '</h2><p>Segment ' || c_mktsegment
     || '. Please log in to see more.</p><form action="/api/customer/' || c_custkey::VARCHAR
     || '" method="post"><input name="qty_' || c_custkey::VARCHAR
     || '" type="text"><input type="hidden" name="token"><input id="note_' || c_custkey::VARCHAR
     || '"><button data-href="/c/' || c_custkey::VARCHAR || '">Open ' || c_custkey::VARCHAR || '</button></form>',
     '' ORDER BY c_custkey) AS body
-  FROM customer GROUP BY c_nationkey),
+  FROM customer GROUP BY c_nationkey, floor(c_custkey / 100)::BIGINT),
 synth AS (
-  SELECT (1000000 + n.n_nationkey)::BIGINT AS page_id,
-    'https://n' || n.n_nationkey::VARCHAR || '.synth.example/nation/' || n.n_nationkey::VARCHAR || '/index.html' AS url,
+  SELECT (1000000000000 + b.blk * 100 + n.n_nationkey)::BIGINT AS page_id,
+    'https://n' || n.n_nationkey::VARCHAR || '.synth.example/nation/' || n.n_nationkey::VARCHAR || '/' || b.blk::VARCHAR || '.html' AS url,
     '<html><head><title>' || n.n_name || ' &amp; friends</title><script>fetch("/api/nation/' || n.n_nationkey::VARCHAR
     || '?full=1");</script></head><body><header class="site-header"><h1 id="top">Nation ' || n.n_name
     || '</h1><nav><a href="/">Home</a> <a href="#c-list">Customers</a></nav></header>'
     || '<div class="sidebar-menu"><a href="../up/">Up</a></div><main><p>Intro for ' || n.n_name
-    || ' &mdash; region ' || n.n_regionkey::VARCHAR || '.</p>' || coalesce(b.body, '')
+    || ' &mdash; region ' || n.n_regionkey::VARCHAR || '.</p>' || b.body
     || '<p><a href="?page=2">Next</a> <a href="other.html">Other</a> <a href="https://elsewhere.example/x">Off</a> <a href="//'
     || 'n' || n.n_nationkey::VARCHAR || '.synth.example' || '/abs/./x/../y">Abs</a> <a href="mailto:x@y">Mail</a> <a href="#c-list">Top</a></p>'
     || '<input type="search" placeholder="Search ' || n.n_name || '"></main><footer>&copy; synth</footer></body></html>' AS html
-  FROM nation n LEFT JOIN synth_body b USING (n_nationkey)),
+  FROM synth_body b JOIN nation n USING (n_nationkey)),
 corpus AS (
   SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM synth)"""
 
@@ -661,7 +661,7 @@ py_m AS (
       || chr(10) || '        return part * ' || l_linenumber::VARCHAR || chr(10) || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS methods
   FROM lineitem GROUP BY l_orderkey),
 py AS (
-  SELECT (10000000 + o.o_orderkey)::BIGINT AS file_id, 'synth/py/order_' || o.o_orderkey::VARCHAR || '.py' AS path,
+  SELECT (1000000000000 + o.o_orderkey)::BIGINT AS file_id, 'synth/py/order_' || o.o_orderkey::VARCHAR || '.py' AS path,
     'import os' || chr(10) || chr(10) || chr(10) || 'class Order' || o.o_orderkey::VARCHAR || ':' || chr(10)
     || '    ' || repeat('"', 3) || 'Order ' || o.o_orderkey::VARCHAR || ' of customer ' || o.o_custkey::VARCHAR || '.' || chr(10) || chr(10)
     || '    def fake_' || o.o_orderkey::VARCHAR || '(self):' || chr(10) || '        return None' || chr(10)
@@ -674,18 +674,19 @@ ts_m AS (
       || '    return part * ' || l_linenumber::VARCHAR || ';' || chr(10) || '  }}' || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS methods
   FROM lineitem GROUP BY l_orderkey),
 ts AS (
-  SELECT (20000000 + o.o_orderkey)::BIGINT AS file_id, 'synth/ts/order_' || o.o_orderkey::VARCHAR || '.ts' AS path,
+  SELECT (2000000000000 + o.o_orderkey)::BIGINT AS file_id, 'synth/ts/order_' || o.o_orderkey::VARCHAR || '.ts' AS path,
     'export class Order' || o.o_orderkey::VARCHAR || ' {{' || chr(10) || coalesce(m.methods, '') || '}}' || chr(10) || chr(10)
     || 'export const total' || o.o_orderkey::VARCHAR || ' = (x: number) => x * ' || o.o_orderkey::VARCHAR || ';' || chr(10) AS text
   FROM orders o LEFT JOIN ts_m m ON m.l_orderkey = o.o_orderkey),
 md_b AS (
-  SELECT c_nationkey, string_agg('## Customer ' || c_custkey::VARCHAR || chr(10) || '```' || chr(10)
+  SELECT c_nationkey, floor(c_custkey / 100)::BIGINT AS blk, string_agg('## Customer ' || c_custkey::VARCHAR || chr(10) || '```' || chr(10)
       || '# not a heading ' || c_custkey::VARCHAR || chr(10) || '```' || chr(10), '' ORDER BY c_custkey) AS body
-  FROM customer GROUP BY c_nationkey),
+  FROM customer GROUP BY c_nationkey, floor(c_custkey / 100)::BIGINT),
 md AS (
-  SELECT (30000000 + n.n_nationkey)::BIGINT AS file_id, 'synth/md/nation_' || n.n_nationkey::VARCHAR || '.md' AS path,
-    '# Nation ' || n.n_name || chr(10) || chr(10) || coalesce(b.body, '') AS text
-  FROM nation n LEFT JOIN md_b b ON b.c_nationkey = n.n_nationkey),
+  SELECT (3000000000000 + b.blk * 100 + n.n_nationkey)::BIGINT AS file_id,
+    'synth/md/nation_' || n.n_nationkey::VARCHAR || '_' || b.blk::VARCHAR || '.md' AS path,
+    '# Nation ' || n.n_name || chr(10) || chr(10) || b.body AS text
+  FROM md_b b JOIN nation n ON b.c_nationkey = n.n_nationkey),
 fcorpus AS (
   SELECT doc_id AS file_id, source || '/doc_' || doc_id::VARCHAR || '.txt' AS path, text FROM documents
   UNION ALL SELECT * FROM py UNION ALL SELECT * FROM ts UNION ALL SELECT * FROM md),
@@ -776,25 +777,27 @@ jl AS (SELECT l_orderkey, l_linenumber,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS j FROM lineitem),
 om AS (SELECT o.o_orderkey, coalesce(c.cnt, 0) AS m FROM orders o
        LEFT JOIN (SELECT l_orderkey, count(*) AS cnt FROM lineitem GROUP BY l_orderkey) c ON c.l_orderkey = o.o_orderkey),
-cj AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j FROM customer),
+cj AS (SELECT c_nationkey, c_custkey, floor(c_custkey / 100)::BIGINT AS blk,
+         row_number() OVER (PARTITION BY c_nationkey, floor(c_custkey / 100)::BIGINT ORDER BY c_custkey) AS j FROM customer),
 truth AS (
-  SELECT (10000000 + o_orderkey)::BIGINT AS file_id, 'Python' AS language, 'class' AS kind, 'Order' || o_orderkey::VARCHAR AS name,
+  SELECT (1000000000000 + o_orderkey)::BIGINT AS file_id, 'Python' AS language, 'class' AS kind, 'Order' || o_orderkey::VARCHAR AS name,
     4 AS start_line, CASE WHEN m > 0 THEN 12 + 3 * (m - 1) ELSE 9 END AS end_line, 1 AS depth, NULL::INTEGER AS parent_start FROM om
   UNION ALL
-  SELECT 10000000 + l_orderkey, 'Python', 'def', 'line_' || l_linenumber::VARCHAR, 11 + 3 * (j - 1), 12 + 3 * (j - 1), 2, 4 FROM jl
+  SELECT 1000000000000 + l_orderkey, 'Python', 'def', 'line_' || l_linenumber::VARCHAR, 11 + 3 * (j - 1), 12 + 3 * (j - 1), 2, 4 FROM jl
   UNION ALL
-  SELECT 10000000 + o_orderkey, 'Python', 'def', 'total_' || o_orderkey::VARCHAR, 11 + 3 * m, 11 + 3 * m, 1, NULL FROM om
+  SELECT 1000000000000 + o_orderkey, 'Python', 'def', 'total_' || o_orderkey::VARCHAR, 11 + 3 * m, 11 + 3 * m, 1, NULL FROM om
   WHERE o_orderkey % 3 = 0
   UNION ALL
-  SELECT 20000000 + o_orderkey, 'TypeScript', 'class', 'Order' || o_orderkey::VARCHAR, 1, 2 + 3 * m, 1, NULL FROM om
+  SELECT 2000000000000 + o_orderkey, 'TypeScript', 'class', 'Order' || o_orderkey::VARCHAR, 1, 2 + 3 * m, 1, NULL FROM om
   UNION ALL
-  SELECT 20000000 + l_orderkey, 'TypeScript', 'method', 'line' || l_linenumber::VARCHAR, 2 + 3 * (j - 1), 4 + 3 * (j - 1), 2, 1 FROM jl
+  SELECT 2000000000000 + l_orderkey, 'TypeScript', 'method', 'line' || l_linenumber::VARCHAR, 2 + 3 * (j - 1), 4 + 3 * (j - 1), 2, 1 FROM jl
   UNION ALL
-  SELECT 20000000 + o_orderkey, 'TypeScript', 'arrow fn', 'total' || o_orderkey::VARCHAR, 4 + 3 * m, 4 + 3 * m, 1, NULL FROM om
+  SELECT 2000000000000 + o_orderkey, 'TypeScript', 'arrow fn', 'total' || o_orderkey::VARCHAR, 4 + 3 * m, 4 + 3 * m, 1, NULL FROM om
   UNION ALL
-  SELECT 30000000 + n_nationkey, 'Markdown', 'h1', 'Nation ' || n_name, 1, NULL, 1, NULL FROM nation
+  SELECT DISTINCT 3000000000000 + cj.blk * 100 + cj.c_nationkey, 'Markdown', 'h1', 'Nation ' || n.n_name, 1, NULL::INTEGER, 1, NULL::INTEGER
+  FROM cj JOIN nation n ON n.n_nationkey = cj.c_nationkey
   UNION ALL
-  SELECT 30000000 + c_nationkey, 'Markdown', 'h2', 'Customer ' || c_custkey::VARCHAR, 3 + 4 * (j - 1), NULL, 1, NULL FROM cj),
+  SELECT 3000000000000 + blk * 100 + c_nationkey, 'Markdown', 'h2', 'Customer ' || c_custkey::VARCHAR, 3 + 4 * (j - 1), NULL, 1, NULL FROM cj),
 truth2 AS (
   SELECT file_id::BIGINT AS file_id, language, kind, name, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line,
     depth::INTEGER AS depth, parent_start::INTEGER AS parent_start FROM truth)"""
@@ -811,7 +814,7 @@ ORACLES["js_symbols"] = with_truth(
 ORACLES["markdown_headings"] = with_truth(
     "SELECT file_id, kind, name, start_line, end_line FROM truth2 WHERE language = 'Markdown'")
 ORACLES["docstring_mask"] = (
-    "SELECT (10000000 + o_orderkey)::BIGINT AS file_id, unnest([6, 7, 8, 9])::INTEGER AS line_no FROM orders")
+    "SELECT (1000000000000 + o_orderkey)::BIGINT AS file_id, unnest([6, 7, 8, 9])::INTEGER AS line_no FROM orders")
 ORACLES["nest_symbols"] = with_truth(
     "SELECT file_id, kind, name, start_line, end_line, depth, parent_start FROM truth2")
 ORACLES["outline_listing"] = with_truth("""
@@ -833,13 +836,13 @@ FROM vis v JOIN tot USING (file_id) LEFT JOIN kids k ON k.file_id = v.file_id AN
 WHERE v.row_no <= 200""")
 
 ORACLES["fetch_symbol"] = with_truth("""
-, fl AS (SELECT file_id, lines FROM files2 WHERE file_id >= 10000000 AND file_id < 20000000),
+, fl AS (SELECT file_id, lines FROM files2 WHERE file_id >= 1000000000000 AND file_id < 2000000000000),
 firstln AS (SELECT l_orderkey, arg_min(l_linenumber, (l_linenumber, l_partkey, l_suppkey)) AS ln FROM lineitem GROUP BY l_orderkey),
 req AS (
-  SELECT 10000000 + o_orderkey AS file_id, 'Order' || o_orderkey::VARCHAR AS target FROM orders
-  UNION ALL SELECT 10000000 + l_orderkey, 'LINE_' || ln::VARCHAR FROM firstln
-  UNION ALL SELECT 10000000 + o_orderkey, 'fake_' || o_orderkey::VARCHAR FROM orders
-  UNION ALL SELECT 10000000 + o_orderkey, 'nothing_' || o_orderkey::VARCHAR FROM orders),
+  SELECT 1000000000000 + o_orderkey AS file_id, 'Order' || o_orderkey::VARCHAR AS target FROM orders
+  UNION ALL SELECT 1000000000000 + l_orderkey, 'LINE_' || ln::VARCHAR FROM firstln
+  UNION ALL SELECT 1000000000000 + o_orderkey, 'fake_' || o_orderkey::VARCHAR FROM orders
+  UNION ALL SELECT 1000000000000 + o_orderkey, 'nothing_' || o_orderkey::VARCHAR FROM orders),
 m AS (
   SELECT r.file_id, r.target, t.kind, t.name, t.start_line, t.end_line FROM req r
   LEFT JOIN truth2 t ON t.file_id = r.file_id AND lower(t.name) = lower(r.target) AND t.depth <= 2),

@@ -62,13 +62,17 @@ def truth_symbols(spark: SparkSession, d: str) -> DataFrame:
                      F.lit(None).cast("int").alias("parent_start"))
     nation = spark.read.parquet(f"{d}/nation.parquet")
     cust = spark.read.parquet(f"{d}/customer.parquet")
-    md_h1 = nation.select((MD_FILE_BASE + F.col("n_nationkey")).cast("long").alias("file_id"), F.lit("Markdown").alias("language"),
-                          F.lit("h1").alias("kind"), F.concat(F.lit("Nation "), F.col("n_name")).alias("name"),
-                          F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(1).alias("depth"),
-                          F.lit(None).cast("int").alias("parent_start"))
-    cj = cust.select("c_nationkey", "c_custkey", F.row_number().over(
-        Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("j"))
-    md_h2 = cj.select((MD_FILE_BASE + F.col("c_nationkey")).cast("long").alias("file_id"), F.lit("Markdown").alias("language"),
+    blk = F.floor(F.col("c_custkey") / 100).cast("long")
+    cj = cust.select("c_nationkey", "c_custkey", blk.alias("blk"))
+    cj = cj.withColumn("j", F.row_number().over(Window.partitionBy("c_nationkey", "blk").orderBy("c_custkey")))
+    md_id = (MD_FILE_BASE + F.col("blk") * 100 + F.col("c_nationkey")).cast("long")
+    md_h1 = (cj.select("c_nationkey", "blk").distinct()
+             .join(nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+             .select(md_id.alias("file_id"), F.lit("Markdown").alias("language"),
+                     F.lit("h1").alias("kind"), F.concat(F.lit("Nation "), F.col("n_name")).alias("name"),
+                     F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(1).alias("depth"),
+                     F.lit(None).cast("int").alias("parent_start")))
+    md_h2 = cj.select(md_id.alias("file_id"), F.lit("Markdown").alias("language"),
                       F.lit("h2").alias("kind"), F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("name"),
                       (3 + 4 * (F.col("j") - 1)).alias("start_line"), F.lit(None).cast("int").alias("end_line"),
                       F.lit(1).alias("depth"), F.lit(None).cast("int").alias("parent_start"))

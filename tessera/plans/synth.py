@@ -11,7 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SYNTH_PAGE_BASE = 1_000_000
+# Id ranges of the synthesised documents (far above the test tables' ids).
+SYNTH_PAGE_BASE = 1_000_000_000_000
+BLOCK = 100
+
+
+def _block() -> Column:
+    """Customers are grouped by nation and by blocks of 100 keys, so every
+    synthesised document has a bounded size however large the tables grow."""
+    return F.floor(F.col("c_custkey") / BLOCK).cast("long")
 
 
 def _ordered_join(key: Column, piece: Column, sep: str = "") -> Column:
@@ -21,7 +29,7 @@ def _ordered_join(key: Column, piece: Column, sep: str = "") -> Column:
 
 
 def synth_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per nation: header with h1, nav, a sidebar menu, an h2 with
+    """One page per nation and block of customer keys: header with h1, nav, a sidebar menu, an h2 with
     an anchor per customer, a form per customer (named, hidden and id-only
     inputs, a button with data-href), a script with an API call, a search
     input and links of every resolver shape. Columns: page_id, url, html."""
@@ -34,7 +42,7 @@ def synth_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<form action="/api/customer/'), k, F.lit('" method="post"><input name="qty_'), k,
         F.lit('" type="text"><input type="hidden" name="token"><input id="note_'), k,
         F.lit('"><button data-href="/c/'), k, F.lit('">Open '), k, F.lit("</button></form>"))
-    per_nation = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+    per_block = customer.groupBy(F.col("c_nationkey").alias("n_nationkey"), _block().alias("blk")).agg(
         _ordered_join(F.col("c_custkey"), piece).alias("body"))
     n = F.col("n_nationkey").cast("string")
     host = F.concat(F.lit("n"), n, F.lit(".synth.example"))
@@ -44,15 +52,16 @@ def synth_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name"), F.lit("</h1><nav><a href=\"/\">Home</a> <a href=\"#c-list\">Customers</a></nav></header>"),
         F.lit("<div class=\"sidebar-menu\"><a href=\"../up/\">Up</a></div><main><p>Intro for "), F.col("n_name"),
         F.lit(" &mdash; region "), F.col("n_regionkey").cast("string"), F.lit(".</p>"),
-        F.coalesce(F.col("body"), F.lit("")),
+        F.col("body"),
         F.lit("<p><a href=\"?page=2\">Next</a> <a href=\"other.html\">Other</a> "
               "<a href=\"https://elsewhere.example/x\">Off</a> <a href=\"//"), host,
         F.lit("/abs/./x/../y\">Abs</a> <a href=\"mailto:x@y\">Mail</a> <a href=\"#c-list\">Top</a></p>"),
         F.lit("<input type=\"search\" placeholder=\"Search "), F.col("n_name"),
         F.lit("\"></main><footer>&copy; synth</footer></body></html>"))
-    return nation.join(per_nation, "n_nationkey", "left").select(
-        (F.lit(SYNTH_PAGE_BASE) + F.col("n_nationkey")).cast("long").alias("page_id"),
-        F.concat(F.lit("https://"), host, F.lit("/nation/"), n, F.lit("/index.html")).alias("url"),
+    return per_block.join(nation, "n_nationkey").select(
+        (F.lit(SYNTH_PAGE_BASE) + F.col("blk") * 100 + F.col("n_nationkey")).cast("long").alias("page_id"),
+        F.concat(F.lit("https://"), host, F.lit("/nation/"), n, F.lit("/"), F.col("blk").cast("string"),
+                 F.lit(".html")).alias("url"),
         html.alias("html"))
 
 
@@ -62,9 +71,9 @@ def web_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(synth_html(spark, sf_dir))
 
 
-PY_FILE_BASE = 10_000_000
-TS_FILE_BASE = 20_000_000
-MD_FILE_BASE = 30_000_000
+PY_FILE_BASE = 1_000_000_000_000
+TS_FILE_BASE = 2_000_000_000_000
+MD_FILE_BASE = 3_000_000_000_000
 
 
 def synth_python(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,19 +118,19 @@ def synth_typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synth_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown file per nation: h1 for the nation, h2 per customer, and
+    """One Markdown file per nation and block of customer keys: h1 for the nation, h2 per customer, and
     a fenced block per customer holding a '#' line that is not a heading."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     ck = F.col("c_custkey").cast("string")
     piece = F.concat(F.lit("## Customer "), ck, F.lit("\n```\n# not a heading "), ck, F.lit("\n```\n"))
-    body = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+    body = customer.groupBy(F.col("c_nationkey").alias("n_nationkey"), _block().alias("blk")).agg(
         _ordered_join(F.col("c_custkey"), piece).alias("body"))
     n = F.col("n_nationkey").cast("string")
-    return nation.join(body, "n_nationkey", "left").select(
-        (F.lit(MD_FILE_BASE) + F.col("n_nationkey")).cast("long").alias("file_id"),
-        F.concat(F.lit("synth/md/nation_"), n, F.lit(".md")).alias("path"),
-        F.concat(F.lit("# Nation "), F.col("n_name"), F.lit("\n\n"), F.coalesce(F.col("body"), F.lit(""))).alias("text"))
+    return body.join(nation, "n_nationkey").select(
+        (F.lit(MD_FILE_BASE) + F.col("blk") * 100 + F.col("n_nationkey")).cast("long").alias("file_id"),
+        F.concat(F.lit("synth/md/nation_"), n, F.lit("_"), F.col("blk").cast("string"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# Nation "), F.col("n_name"), F.lit("\n\n"), F.col("body")).alias("text"))
 
 
 def file_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,17 +144,17 @@ def file_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(synth_markdown(spark, sf_dir)))
 
 
-LINK_PAGE_BASE = 2_000_000
+LINK_PAGE_BASE = 2_000_000_000_000
 
 
 def synth_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer pages grouped into one site per nation: page /c/{i} (i = the
-    customer's rank in its nation) links to /c/{2i}, /c/{2i+1}, a missing
+    """Customer pages grouped into one site per nation and block of customer
+    keys: page /c/{i} (i = the customer's rank in its site) links to /c/{2i}, /c/{2i+1}, a missing
     /gone/{i} and /c/{2i} again. Columns: page_id, url, html."""
     from pyspark.sql import Window
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    c = c.select("c_custkey", "c_name", "c_nationkey", F.row_number().over(
-        Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("i"))
+    c = c.select("c_custkey", "c_name", "c_nationkey", _block().alias("blk"))
+    c = c.withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey", "blk").orderBy("c_custkey")))
     i = F.col("i")
     html = F.concat(
         F.lit("<html><head><title>C"), i.cast("string"), F.lit(" "), F.col("c_name"),
@@ -153,8 +162,8 @@ def synth_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\">left</a> <a href=\"/c/"), (2 * i + 1).cast("string"), F.lit("\">right</a> <a href=\"/gone/"),
         i.cast("string"), F.lit("\">gone</a> <a href=\"/c/"), (2 * i).cast("string"), F.lit("\">again</a></body></html>"))
     return c.select((F.lit(LINK_PAGE_BASE) + F.col("c_custkey")).cast("long").alias("page_id"),
-                    F.concat(F.lit("https://s"), F.col("c_nationkey").cast("string"), F.lit(".links.example/c/"),
-                             i.cast("string")).alias("url"), html.alias("html"))
+                    F.concat(F.lit("https://s"), F.col("c_nationkey").cast("string"), F.lit("-"), F.col("blk").cast("string"),
+                             F.lit(".links.example/c/"), i.cast("string")).alias("url"), html.alias("html"))
 
 
 def synth_redirects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ def _summary(rows):
         by[r.site].append(r)
     out = {}
     for site, rs in by.items():
-        rs.sort(key=lambda r: r.rank)
+        rs.sort(key=lambda r: (r.rank is None, r.rank or 0))
         out[site] = {"attempted": sum(r.outcome != "unvisited" for r in rs),
                      "mapped": [r.path for r in rs if r.outcome == "mapped"],
                      "failed": [r.path for r in rs if r.outcome == "missing"],
