@@ -40,7 +40,12 @@ RESERVED_V4 = [
 
 
 def percent_encode(s: Column, char_class: str) -> Column:
-    """UTF-8 percent-encode every character in ``char_class``."""
+    """UTF-8 percent-encode every character in ``char_class`` (a plain scan
+    first: most URLs need no encoding and skip the array work)."""
+    return F.when(s.rlike(char_class), _percent_encode_all(s, char_class)).otherwise(s)
+
+
+def _percent_encode_all(s: Column, char_class: str) -> Column:
     parts = F.split(s, char_class, -1)
     chars = F.regexp_extract_all(s, F.lit(char_class), 0)
     enc = F.transform(chars, lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
@@ -48,7 +53,12 @@ def percent_encode(s: Column, char_class: str) -> Column:
 
 
 def remove_dot_segments(path: Column) -> Column:
-    """Fold '.' and '..' segments of an absolute path (paths are short)."""
+    """Fold '.' and '..' segments of an absolute path (only paths that have
+    such a segment go through the fold)."""
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _fold_dot_segments(path)).otherwise(path)
+
+
+def _fold_dot_segments(path: Column) -> Column:
     segs = F.slice(F.split(path, "/", -1), 2, 1 << 30)
     n = F.size(segs)
     indexed = F.transform(segs, lambda s, i: F.struct(s.alias("s"), (i + 1 == n).alias("last")))
@@ -110,9 +120,10 @@ def with_resolved_url(df: DataFrame, href: str, base: str, out: str = "target_ur
     its parts, then the normalised path) so every intermediate is computed
     once per row rather than re-inlined into one large expression.
     """
-    keep = df.columns
+    keep = [c for c in df.columns if not c.startswith("_b_")]
     d = df.withColumn("_h", F.regexp_replace(F.col(href), r"[\t\n\r]", ""))
-    d = _with_parts(d, base, "_b_")
+    if "_b_scheme" not in df.columns:
+        d = _with_parts(d, base, "_b_")
     d = d.withColumn("_bpath", F.when(F.col("_b_path") == "", F.lit("/")).otherwise(F.col("_b_path")))
     h = F.col("_h")
     d = d.select("*", h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:").alias("_has_scheme"),
@@ -148,7 +159,10 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     """Every quoted href on any tag, resolved against the page URL, same
     origin only, distinct in first-seen order (``link_no`` 1-based)."""
     hrefs = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(HREF_PATTERN), 1)
-    e = pages.select("page_id", F.col(url_col).alias("base"), F.posexplode(hrefs).alias("pos", "raw"))
+    # The page URL is parsed once per page, before its hrefs are exploded.
+    p = _with_parts(pages.select("page_id", F.col(url_col).alias("base"), hrefs.alias("hrefs")), "base", "_b_")
+    e = p.select("page_id", "base", *[c for c in p.columns if c.startswith("_b_")],
+                 F.posexplode("hrefs").alias("pos", "raw"))
     e = e.withColumn("raw", js_trim(F.col("raw")))
     e = e.where((F.col("raw") != "") & ~F.col("raw").rlike(SKIP_SCHEME_PATTERN))
     e = with_resolved_url(e, "raw", "base")
