@@ -32,25 +32,31 @@ PY_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 def extract_forms(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per closed form, the non-hidden controls' ``name`` (else ``id``),
     distinct in order; method upper-cased (default GET); action defaults to
-    the page URL; forms without fields are dropped."""
+    the page URL; forms without fields are dropped.
+
+    Forms are built as an array per page and filtered inside the array, so
+    the field lists are computed once (no filter on a computed column)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    f = pages.select("page_id", F.col(url_col).alias("page"),
-                     F.posexplode(F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0)).alias("form_no", "f"))
-    attrs = F.regexp_extract("f", FORM_PATTERN, 1)
-    body = F.regexp_extract("f", FORM_PATTERN, 2)
-    controls = F.regexp_extract_all(body, F.lit(CONTROL_PATTERN), 2)
-    names = F.transform(F.filter(controls, lambda a: ~a.rlike(HIDDEN_PATTERN)),
-                        lambda a: F.when(attr_value(a, "name") != "", attr_value(a, "name"))
-                        .otherwise(attr_value(a, "id")))
-    fields = F.array_distinct(F.filter(names, lambda x: x != ""))
-    action = F.regexp_extract(attrs, FORM_ACTION_PATTERN, 1)
-    method = F.upper(F.when(F.regexp_extract(attrs, FORM_METHOD_PATTERN, 1) != "",
-                            F.regexp_extract(attrs, FORM_METHOD_PATTERN, 1)).otherwise(F.lit("GET")))
-    action = F.when(action != "", action).otherwise(F.col("page"))
-    out = f.select("page_id", (F.col("form_no") + 1).cast("int").alias("form_no"), "page",
-                   fields.alias("fields"), method.alias("method"),
-                   F.concat(method, F.lit(" "), action).alias("action"))
-    return out.where(F.size("fields") > 0)
+
+    def form(f: Column, i: Column) -> Column:
+        attrs = F.regexp_extract(f, FORM_PATTERN, 1)
+        body = F.regexp_extract(f, FORM_PATTERN, 2)
+        controls = F.regexp_extract_all(body, F.lit(CONTROL_PATTERN), 2)
+        names = F.transform(F.filter(controls, lambda a: ~a.rlike(HIDDEN_PATTERN)),
+                            lambda a: F.when(attr_value(a, "name") != "", attr_value(a, "name"))
+                            .otherwise(attr_value(a, "id")))
+        declared = F.regexp_extract(attrs, FORM_METHOD_PATTERN, 1)
+        method = F.upper(F.when(declared != "", declared).otherwise(F.lit("GET")))
+        action = F.regexp_extract(attrs, FORM_ACTION_PATTERN, 1)
+        return F.struct((i + 1).alias("form_no"), F.array_distinct(F.filter(names, lambda x: x != "")).alias("fields"),
+                        method.alias("method"), action.alias("act"))
+    forms = F.filter(F.transform(F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0), form),
+                     lambda x: F.size(x["fields"]) > 0)
+    out = pages.select("page_id", F.col(url_col).alias("page"), F.explode(forms).alias("f"))
+    action = F.when(F.col("f.act") != "", F.col("f.act")).otherwise(F.col("page"))
+    return out.select("page_id", F.col("f.form_no").cast("int").alias("form_no"), "page",
+                      F.col("f.fields").alias("fields"), F.col("f.method").alias("method"),
+                      F.concat(F.col("f.method"), F.lit(" "), action).alias("action"))
 
 
 def _exact_attr(attrs: Column, name: str) -> Column:
@@ -75,27 +81,37 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
     not mailto:/javascript:/#), and text/search inputs (placeholder, name or
     id; endpoint ``action?name=`` inside a form). The first action per key
     wins, keys are shared across types (buttons and inputs by label, links by
-    ``label:href``), in type order then document order."""
+    ``label:href``), in type order then document order.
+
+    Candidates are built and filtered as arrays in each page's row (so labels
+    are computed once), then exploded and deduplicated with a window keyed by
+    page_id."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    b = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(BUTTON_PATTERN), 0)).alias("pos", "m"))
-    battrs = F.regexp_extract("m", BUTTON_PATTERN, 1)
-    blabel = _strip_text(F.regexp_extract("m", BUTTON_PATTERN, 2))
-    dh = _exact_attr(battrs, "data-href")
-    leads = F.when(F.coalesce(dh, F.lit("")) != "", dh).otherwise(F.nullif(_exact_attr(battrs, "formaction"), F.lit("")))
-    buttons = b.select("page_id", F.lit(1).alias("type_order"), F.col("pos").cast("long").alias("pos"),
-                       F.lit("button").alias("type"), blabel.alias("label"), leads.alias("leads_to"),
-                       F.lit(None).cast("string").alias("endpoint"), blabel.alias("key"))
-    a = pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(LINK_PATTERN), 0)).alias("pos", "m"))
-    aattrs = F.regexp_extract("m", LINK_PATTERN, 1)
-    href = _exact_attr(aattrs, "href")
-    alabel = _strip_text(F.regexp_extract("m", LINK_PATTERN, 2))
-    links = a.select("page_id", F.lit(2).alias("type_order"), F.col("pos").cast("long").alias("pos"),
-                     F.lit("link").alias("type"), alabel.alias("label"), href.alias("leads_to"),
-                     F.lit(None).cast("string").alias("endpoint"),
-                     F.concat(alabel, F.lit(":"), href).alias("key"))
-    links = links.where(F.col("leads_to").isNotNull() & (F.col("leads_to") != "")
-                        & ~F.col("leads_to").startswith("mailto:") & ~F.col("leads_to").startswith("javascript:")
-                        & ~F.col("leads_to").startswith("#"))
+
+    def button(m: Column, i: Column) -> Column:
+        attrs = F.regexp_extract(m, BUTTON_PATTERN, 1)
+        dh = _exact_attr(attrs, "data-href")
+        leads = F.when(F.coalesce(dh, F.lit("")) != "", dh).otherwise(F.nullif(_exact_attr(attrs, "formaction"), F.lit("")))
+        return F.struct(i.cast("long").alias("pos"), _strip_text(F.regexp_extract(m, BUTTON_PATTERN, 2)).alias("label"),
+                        leads.alias("leads_to"))
+
+    def link(m: Column, i: Column) -> Column:
+        return F.struct(i.cast("long").alias("pos"), _strip_text(F.regexp_extract(m, LINK_PATTERN, 2)).alias("label"),
+                        _exact_attr(F.regexp_extract(m, LINK_PATTERN, 1), "href").alias("leads_to"))
+
+    btns = F.filter(F.transform(F.regexp_extract_all(html, F.lit(BUTTON_PATTERN), 0), button), lambda x: x["label"] != "")
+    lnks = F.filter(F.transform(F.regexp_extract_all(html, F.lit(LINK_PATTERN), 0), link),
+                    lambda x: (x["label"] != "") & x["leads_to"].isNotNull() & (x["leads_to"] != "")
+                    & ~x["leads_to"].startswith("mailto:") & ~x["leads_to"].startswith("javascript:")
+                    & ~x["leads_to"].startswith("#"))
+    b = pages.select("page_id", F.explode(btns).alias("x")).select(
+        "page_id", F.lit(1).alias("type_order"), F.col("x.pos").alias("pos"), F.lit("button").alias("type"),
+        F.col("x.label").alias("label"), F.col("x.leads_to").alias("leads_to"),
+        F.lit(None).cast("string").alias("endpoint"), F.col("x.label").alias("key"))
+    a = pages.select("page_id", F.explode(lnks).alias("x")).select(
+        "page_id", F.lit(2).alias("type_order"), F.col("x.pos").alias("pos"), F.lit("link").alias("type"),
+        F.col("x.label").alias("label"), F.col("x.leads_to").alias("leads_to"),
+        F.lit(None).cast("string").alias("endpoint"), F.concat(F.col("x.label"), F.lit(":"), F.col("x.leads_to")).alias("key"))
     # Inputs: pieces outside forms and form bodies alternate in document order.
     outside = F.split(html, FORM_PATTERN, -1)
     forms = F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0)
@@ -105,22 +121,25 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
         F.struct((i * 2).alias("o"), x["piece"].alias("body"), F.lit(None).cast("string").alias("form_attrs")),
         F.struct((i * 2 + 1).alias("o"), F.regexp_extract(x["f"], FORM_PATTERN, 2).alias("body"),
                  F.when(x["f"].isNotNull(), F.regexp_extract(x["f"], FORM_PATTERN, 1)).alias("form_attrs")))))
-    c = pages.select("page_id", F.explode(F.filter(chunks, lambda x: x["body"].isNotNull()
-                                                   & ((x["o"] % 2 == 0) | x["form_attrs"].isNotNull()))).alias("c"))
-    c = c.select("page_id", F.col("c.o").alias("o"), F.col("c.form_attrs").alias("form_attrs"),
-                 F.posexplode(F.regexp_extract_all(F.col("c.body"), F.lit(INPUT_PATTERN), 1)).alias("j", "ia"))
-    itype = _exact_attr(F.col("ia"), "type")
-    ph, nm, iid = _exact_attr(F.col("ia"), "placeholder"), _exact_attr(F.col("ia"), "name"), _exact_attr(F.col("ia"), "id")
-    ilabel = (F.when(F.coalesce(ph, F.lit("")) != "", ph).when(F.coalesce(nm, F.lit("")) != "", nm)
-              .otherwise(F.coalesce(iid, F.lit(""))))
-    in_form = F.col("form_attrs").isNotNull()
+    chunks = F.filter(chunks, lambda x: x["body"].isNotNull() & ((x["o"] % 2 == 0) | x["form_attrs"].isNotNull()))
+    c = pages.select("page_id", F.explode(chunks).alias("c"))
+
+    def text_input(ia: Column, j: Column) -> Column:
+        ph, nm, iid = _exact_attr(ia, "placeholder"), _exact_attr(ia, "name"), _exact_attr(ia, "id")
+        label = (F.when(F.coalesce(ph, F.lit("")) != "", ph).when(F.coalesce(nm, F.lit("")) != "", nm)
+                 .otherwise(F.coalesce(iid, F.lit(""))))
+        return F.struct(j.alias("j"), _exact_attr(ia, "type").alias("type"), nm.alias("nm"), label.alias("label"))
+    ins = F.filter(F.transform(F.regexp_extract_all(F.col("c.body"), F.lit(INPUT_PATTERN), 1), text_input),
+                   lambda x: x["type"].isin("search", "text") & (x["label"] != ""))
+    c = c.select("page_id", F.col("c.o").alias("o"), F.col("c.form_attrs").alias("form_attrs"), F.explode(ins).alias("x"))
     faction = F.coalesce(_exact_attr(F.col("form_attrs"), "action"), F.lit(""))
-    endpoint = F.when(in_form, F.concat(faction, F.lit("?"), F.coalesce(nm, F.lit("q")), F.lit("=")))
-    inputs = c.where(itype.isin("search", "text")).select(
-        "page_id", F.lit(3).alias("type_order"), (F.col("o") * 1_000_000 + F.col("j")).cast("long").alias("pos"),
-        F.lit("input").alias("type"), ilabel.alias("label"), F.lit(None).cast("string").alias("leads_to"),
-        endpoint.alias("endpoint"), ilabel.alias("key"))
-    allx = buttons.unionByName(links).unionByName(inputs).where(F.col("label") != "")
+    endpoint = F.when(F.col("form_attrs").isNotNull(),
+                      F.concat(faction, F.lit("?"), F.coalesce(F.col("x.nm"), F.lit("q")), F.lit("=")))
+    inputs = c.select(
+        "page_id", F.lit(3).alias("type_order"), (F.col("o") * 1_000_000 + F.col("x.j")).cast("long").alias("pos"),
+        F.lit("input").alias("type"), F.col("x.label").alias("label"), F.lit(None).cast("string").alias("leads_to"),
+        endpoint.alias("endpoint"), F.col("x.label").alias("key"))
+    allx = b.unionByName(a).unionByName(inputs)
     first = allx.withColumn("rn", F.row_number().over(
         Window.partitionBy("page_id", "key").orderBy("type_order", "pos"))).where("rn = 1")
     return first.select("page_id", F.row_number().over(

@@ -163,11 +163,21 @@ def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     p = _with_parts(pages.select("page_id", F.col(url_col).alias("base"), hrefs.alias("hrefs")), "base", "_b_")
     e = p.select("page_id", "base", *[c for c in p.columns if c.startswith("_b_")],
                  F.posexplode("hrefs").alias("pos", "raw"))
+    # One exchange of link rows on page_id: resolution runs spread over all
+    # tasks, and the distinct-per-page aggregate and the numbering window
+    # below reuse this partitioning (no further exchange).
+    e = e.repartition("page_id")
     e = e.withColumn("raw", js_trim(F.col("raw")))
     e = e.where((F.col("raw") != "") & ~F.col("raw").rlike(SKIP_SCHEME_PATTERN))
     e = with_resolved_url(e, "raw", "base")
-    e = e.where(F.col("target_url").isNotNull() & (F.col("target_url_origin") == F.col("_base_origin")))
-    first = e.groupBy("page_id", "target_url").agg(F.min("pos").alias("pos"), F.first("base").alias("base"))
+    same_origin = F.coalesce(F.col("target_url").isNotNull() & (F.col("target_url_origin") == F.col("_base_origin")),
+                             F.lit(False))
+    # Filtered after the aggregate, on an aggregate value: a filter on the
+    # resolved URL itself would be pushed below its projection, inlining the
+    # resolver expression a second time.
+    first = (e.groupBy("page_id", "target_url")
+             .agg(F.min("pos").alias("pos"), F.first("base").alias("base"), F.max(same_origin).alias("keep"))
+             .where(F.col("keep")).drop("keep"))
     w = Window.partitionBy("page_id").orderBy("pos")
     return first.select("page_id", F.row_number().over(w).cast("int").alias("link_no"), "target_url", "base")
 
