@@ -176,7 +176,7 @@ def strip_chrome(tokens: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, extras: dict[str, Column] | None = None,
-                id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+                id_col: str = "page_id", html_col: str = "html", prepartitioned: bool = False) -> DataFrame:
     """Clean text of every page (furniture removed, tags dropped,
     entities decoded once, long whitespace runs to one blank line).
 

@@ -27,3 +27,10 @@ def scan_pages(spark: SparkSession, path: str, fmt: str = "parquet",
 def write_site_maps(site_maps: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per site (JSON lines), written by the executors."""
     site_maps.write.mode(mode).json(path)
+
+
+def save_pages_bucketed(pages: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
+    """Save a page snapshot bucketed (and sorted) by page_id, so per-page
+    operators read it already partitioned and need no exchange."""
+    (pages.write.mode(mode).format("parquet").bucketBy(buckets, "page_id").sortBy("page_id")
+     .saveAsTable(table))

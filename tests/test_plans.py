@@ -37,3 +37,18 @@ def test_crawl_ranking_keeps_a_map_side_top_k(spark):
     w = Window.partitionBy("site").orderBy(F.col("o.parent_rank"), F.col("o.link_no"))
     plan = first.withColumn("rn", F.row_number().over(w)).where("rn <= 10")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_bucketed_pages_need_no_exchange(spark):
+    import tempfile
+    from tessera.sources.pages import save_pages_bucketed
+    wh = tempfile.mkdtemp(prefix="tessera-wh-")
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS tessera_t LOCATION '{wh}'")
+    save_pages_bucketed(pages, "tessera_t.pages_b", 8)
+    b = spark.table("tessera_t.pages_b")
+    df = clean_pages(b, prepartitioned=True).select("page_id", "text")
+    plan = _final_plan(df)
+    assert "Exchange" not in plan
+    want = {r.page_id: r.text for r in clean_pages(pages).select("page_id", "text").collect()}
+    assert {r.page_id: r.text for r in df.collect()} == want
