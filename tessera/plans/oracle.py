@@ -955,3 +955,62 @@ SELECT url_id, url, host,
        WHEN r IS NOT NULL THEN 'blocked_reserved' ELSE 'allowed' END AS status,
   CASE WHEN scheme IN ('http', 'https') AND NOT allowed AND r IS NOT NULL THEN r END AS rule
 FROM u4"""
+
+
+# --- snapshot crawl (levels unrolled up to the page budget) ---------------------------
+CRAWL_BUDGET = 10
+
+SYNTH_LINK_PAGES = """
+slinks AS (
+  SELECT (2000000000000 + c_custkey)::BIGINT AS page_id,
+    'https://s' || c_nationkey::VARCHAR || '-' || floor(c_custkey / 100)::BIGINT::VARCHAR || '.links.example/c/' || i::VARCHAR AS url,
+    '<html><head><title>C' || i::VARCHAR || ' ' || c_name || '</title></head><body><p>Customer ' || c_name
+    || '</p><a href="/c/' || (2 * i)::VARCHAR || '">left</a> <a href="/c/' || (2 * i + 1)::VARCHAR
+    || '">right</a> <a href="/gone/' || i::VARCHAR || '">gone</a> <a href="/c/' || (2 * i)::VARCHAR || '">again</a></body></html>' AS html
+  FROM (SELECT c_custkey, c_name, c_nationkey,
+          row_number() OVER (PARTITION BY c_nationkey, floor(c_custkey / 100)::BIGINT ORDER BY c_custkey) AS i FROM customer)),
+corpus AS (
+  SELECT page_id, url, html FROM pages UNION ALL SELECT page_id, url, html FROM synth
+  UNION ALL SELECT page_id, url, html FROM slinks)"""
+
+
+def _crawl_sql(budget: int = CRAWL_BUDGET) -> str:
+    synth = SYNTH_HTML.strip()
+    synth = synth[:synth.index("corpus AS (")].rstrip().rstrip(",")
+    page_site, page_path = _scan_split("target_url")
+    parts = [
+        "WITH RECURSIVE " + synth + "," + SYNTH_LINK_PAGES + LINKS,
+        resolve_ctes("corpus", "url", "url", "page_id", "pn").rstrip(),
+        f"""snap AS (
+  SELECT site, path, min(page_id) AS page_id FROM (
+    SELECT page_id, {page_site} AS site, {page_path} AS path FROM pn) GROUP BY site, path),
+edges AS (SELECT page_id, link_no, {page_path} AS target_path FROM links),
+q0 AS (SELECT site, arg_min(path, page_id) AS path, 1::BIGINT AS rank, 0 AS level FROM snap GROUP BY site)""",
+    ]
+    body = []
+    for lv in range(1, budget + 1):
+        seen = " UNION ALL ".join(f"SELECT site, path, rank FROM q{k}" for k in range(lv))
+        body.append(f"""seen{lv} AS ({seen}),
+new{lv} AS (
+  SELECT q.site, e.target_path AS path, q.rank AS parent_rank, e.link_no
+  FROM q{lv - 1} q JOIN snap s ON s.site = q.site AND s.path = q.path JOIN edges e ON e.page_id = s.page_id
+  WHERE q.rank IS NOT NULL AND q.rank <= {budget}),
+first{lv} AS (
+  SELECT site, path, parent_rank, link_no FROM new{lv} n
+  WHERE NOT EXISTS (SELECT 1 FROM seen{lv} x WHERE x.site = n.site AND x.path = n.path)
+  QUALIFY row_number() OVER (PARTITION BY site, path ORDER BY parent_rank, link_no) = 1),
+q{lv} AS (
+  SELECT f.site, f.path,
+    CASE WHEN f.rn <= {budget} AND t.top + f.rn <= {budget} THEN t.top + f.rn END::BIGINT AS rank, {lv} AS level
+  FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY parent_rank, link_no) AS rn FROM first{lv}) f
+  JOIN (SELECT site, max(rank) AS top FROM seen{lv} GROUP BY site) t USING (site))""")
+    allq = " UNION ALL ".join(f"SELECT site, path, rank, level FROM q{k}" for k in range(budget + 1))
+    tail = f"""allq AS ({allq})
+SELECT a.site, a.path, a.rank, a.level::INTEGER AS level,
+  CASE WHEN a.rank IS NULL OR a.rank > {budget} THEN 'unvisited' WHEN s.page_id IS NOT NULL THEN 'mapped' ELSE 'missing' END AS outcome,
+  CASE WHEN a.rank IS NOT NULL AND a.rank <= {budget} AND s.page_id IS NOT NULL THEN s.page_id END AS page_id
+FROM allq a LEFT JOIN snap s ON s.site = a.site AND s.path = a.path"""
+    return parts[0] + ",\n" + parts[1] + ",\n" + parts[2] + ",\n" + ",\n".join(body) + ",\n" + tail
+
+
+ORACLES["crawl_walk"] = _crawl_sql()

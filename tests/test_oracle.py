@@ -54,7 +54,7 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_has_an_entry():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"crawl_walk", "site_awareness", "site_map_json"}
+    assert set(q) - set(o) == {"site_awareness", "site_map_json"}
 
 
 def test_entry_smoke(spark):
