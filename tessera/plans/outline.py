@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 
 from tessera.operators import lines as LN
 from tessera.operators import outline as O
-from tessera.plans.synth import MD_FILE_BASE, PY_FILE_BASE, TS_FILE_BASE, file_corpus
+from tessera.plans.synth import (MD_FILE_BASE, PY_FILE_BASE, TS_FILE_BASE, file_corpus, synth_markdown,
+                                 synth_python, synth_typescript)
 from tessera.session import materialize
 
 
 def _sources(spark, d):
-    fc = file_corpus(spark, d)
-    return fc.withColumn("language", LN.language_of(F.col("path")))
+    """The file corpus with its language. Each source carries its language
+    as a constant (it follows from the paths the builders write), so a
+    filter on one language prunes the other sources from the plan."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.col("doc_id").alias("file_id"),
+        F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        "text", F.lit("text").alias("language"))
+    return (docs.unionByName(synth_python(spark, d).withColumn("language", F.lit("Python")))
+            .unionByName(synth_typescript(spark, d).withColumn("language", F.lit("TypeScript")))
+            .unionByName(synth_markdown(spark, d).withColumn("language", F.lit("Markdown"))))
 
 
 def _symbols(spark, d):
