@@ -156,7 +156,9 @@ def python_lines(files: DataFrame) -> DataFrame:
     code flags (O18 is ``masked``)."""
     r = _line_rows(files, PY_LEX, _py_rewrite)
     clean = F.col("clean")
-    span = F.regexp_extract(clean, ".*" + MASK_OPEN + r"(\d+)" + MASK_CLOSE, 1)
+    # anchored (one start position) and only on the rare lines holding a marker
+    span = F.when(clean.contains(MASK_OPEN),
+                  F.regexp_extract(clean, "^.*" + MASK_OPEN + r"(\d+)" + MASK_CLOSE, 1)).otherwise(F.lit(""))
     opens = F.length(F.regexp_replace(clean, r"[^(\[{]", ""))
     closes = F.length(F.regexp_replace(clean, r"[^)\]}]", ""))
     trimmed = js_trim(F.col("raw"))
