@@ -124,7 +124,8 @@ def q_outline_depth(spark, d):
 
 
 def q_fetch_symbol(spark, d):
-    src = materialize(_sources(spark, d))
+    # The requests name Python files only, so only those are outlined.
+    src = materialize(_sources(spark, d).where(F.col("language") == "Python"))
     files = LN.files_from_text(src, "file_id", "path", "text")
     orders = spark.read.parquet(f"{d}/orders.parquet")
     li = spark.read.parquet(f"{d}/lineitem.parquet")
