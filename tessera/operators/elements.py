@@ -29,15 +29,9 @@ PY_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 # -------------------------------------------------------------------------
 
 
-def extract_forms(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per closed form, the non-hidden controls' ``name`` (else ``id``),
-    distinct in order; method upper-cased (default GET); action defaults to
-    the page URL; forms without fields are dropped.
-
-    Forms are built as an array per page and filtered inside the array, so
-    the field lists are computed once (no filter on a computed column)."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-
+def forms_array(html: Column) -> Column:
+    """Per page, the forms that have fields: array of (form_no, fields,
+    method, act) with act '' when the form names no action."""
     def form(f: Column, i: Column) -> Column:
         attrs = F.regexp_extract(f, FORM_PATTERN, 1)
         body = F.regexp_extract(f, FORM_PATTERN, 2)
@@ -50,9 +44,20 @@ def extract_forms(pages: DataFrame, url_col: str = "url", html_col: str = "html"
         action = F.regexp_extract(attrs, FORM_ACTION_PATTERN, 1)
         return F.struct((i + 1).alias("form_no"), F.array_distinct(F.filter(names, lambda x: x != "")).alias("fields"),
                         method.alias("method"), action.alias("act"))
-    forms = F.filter(F.transform(F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0), form),
-                     lambda x: F.size(x["fields"]) > 0)
-    out = pages.select("page_id", F.col(url_col).alias("page"), F.explode(forms).alias("f"))
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0), form),
+                    lambda x: F.size(x["fields"]) > 0)
+
+
+def extract_forms(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per closed form, the non-hidden controls' ``name`` (else ``id``),
+    distinct in order; method upper-cased (default GET); action defaults to
+    the page URL; forms without fields are dropped.
+
+    Forms are built as an array per page and filtered inside the array, so
+    the field lists are computed once (no filter on a computed column)."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+
+    out = pages.select("page_id", F.col(url_col).alias("page"), F.explode(forms_array(html)).alias("f"))
     action = F.when(F.col("f.act") != "", F.col("f.act")).otherwise(F.col("page"))
     return out.select("page_id", F.col("f.form_no").cast("int").alias("form_no"), "page",
                       F.col("f.fields").alias("fields"), F.col("f.method").alias("method"),

@@ -17,21 +17,20 @@ from tessera.operators.links import url_parts
 from tessera.session import checkpoint_dir, materialize
 
 
-def site_outline(pages: DataFrame, links: DataFrame, forms: DataFrame, hints: DataFrame,
-                 auth: DataFrame, titles: DataFrame) -> DataFrame:
+def site_outline(page_facts: DataFrame, links: DataFrame) -> DataFrame:
     """Per page title, auth flag and counts of page links, anchors,
-    forms and API hints (all inputs keyed by ``page_id``)."""
+    forms and API hints. ``page_facts`` (page_id, title, auth_required,
+    n_forms, n_api_hints) comes from one projection over the pages; only the
+    link kinds are aggregated and joined on page_id."""
     lk = links.groupBy("page_id").agg(
         F.count_if(F.col("kind") == "page").cast("int").alias("n_pages"),
         F.count_if(F.col("kind") == "anchor").cast("int").alias("n_anchors"))
-    fm = forms.groupBy("page_id").agg(F.count("*").cast("int").alias("n_forms"))
-    out = (pages.select("page_id").join(titles, "page_id", "left").join(auth, "page_id", "left")
-           .join(lk, "page_id", "left").join(fm, "page_id", "left").join(hints, "page_id", "left"))
+    out = page_facts.join(lk, "page_id", "left")
     return out.select("page_id", "title", "auth_required",
                       F.coalesce("n_pages", F.lit(0)).alias("n_pages"),
                       F.coalesce("n_anchors", F.lit(0)).alias("n_anchors"),
-                      F.coalesce("n_forms", F.lit(0)).alias("n_forms"),
-                      F.coalesce(F.size("api_hints"), F.lit(0)).cast("int").alias("n_api_hints"))
+                      F.col("n_forms").cast("int").alias("n_forms"),
+                      F.col("n_api_hints").cast("int").alias("n_api_hints"))
 
 
 def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max_pages: int = 10) -> DataFrame:

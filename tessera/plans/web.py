@@ -142,10 +142,12 @@ def q_text_budget(spark, d):
 
 def q_site_outline(spark, d):
     c = _corpus(spark, d)
-    titles = c.select("page_id", P.page_title(F.col("html")).alias("title"))
-    auth = c.select("page_id", P.auth_required_word(tags_to_text(F.col("html"))).alias("auth_required"))
-    hints = c.select("page_id", P.api_hints_quoted(F.col("html")).alias("api_hints"))
-    return S.site_outline(c, L.split_anchors(L.extract_links(c)), E.extract_forms(c), hints, auth, titles)
+    html = F.coalesce(F.col("html"), F.lit(""))
+    facts = c.select("page_id", P.page_title(html).alias("title"),
+                     P.auth_required_word(tags_to_text(html)).alias("auth_required"),
+                     F.size(E.forms_array(html)).alias("n_forms"),
+                     F.size(P.api_hints_quoted(html)).alias("n_api_hints"))
+    return S.site_outline(facts, L.split_anchors(L.extract_links(c)))
 
 
 def q_get_page(spark, d):
