@@ -26,10 +26,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.text import WS, js_trim
-from tessera.operators.lines import numbered, search_lines
+from tessera.operators.lines import numbered
 from tessera.session import materialize
 from tessera.sources.files import split_lines
 

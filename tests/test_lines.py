@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators.lines import (check_pattern, explode_lines, files_from_text, read_chunk, search_lines,
                                      trimmed_hits)

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from tessera.operators.links import classify_destination, extract_links, resolve_redirects, split_anchors
 

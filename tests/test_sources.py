@@ -2,7 +2,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from tessera.sources.files import confine_paths, scan_files
 from tessera.sources.pages import scan_pages, write_site_maps
