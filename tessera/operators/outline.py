@@ -333,12 +333,9 @@ def outline_symbols(files: DataFrame) -> DataFrame:
     return py.unionByName(js).unionByName(md)
 
 
-def nest_symbols(symbols: DataFrame) -> DataFrame:
-    """parent = nearest earlier symbol whose [start, end] covers this
-    start; depth is 1 for roots. Depth is the number of covering symbols
-    (start/end events and a running sum); the parent is the previous symbol
-    one level up. Both are windows keyed by file_id."""
-    s = materialize(symbols.select("file_id", "kind", "name", "start_line", "end_line"))
+def _nest_laminar(s: DataFrame) -> DataFrame:
+    """Depth = number of covering symbols (start/end events, running sum);
+    parent = the previous symbol one level up. Exact when ranges nest."""
     has_body = F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))
     ev_open = s.where(has_body).select("file_id", F.col("start_line").alias("pos"), F.lit(2).alias("typ"),
                                        F.lit(1).alias("d"))
@@ -351,7 +348,6 @@ def nest_symbols(symbols: DataFrame) -> DataFrame:
     u = u.withColumn("cov", F.sum("d").over(Window.partitionBy("file_id").orderBy("pos", "typ")
                                           .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     d = materialize(u.where(F.col("sym").isNotNull()).select("sym.*", (F.col("cov") + 1).cast("int").alias("depth")))
-    # parent: the last earlier symbol at depth - 1 (only symbols with a body can be parents)
     cands = d.where(F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))).select(
         "file_id", F.col("depth").alias("lvl"), F.col("start_line").alias("pos"), F.lit(0).alias("typ"),
         F.col("start_line").alias("cand"), F.lit(None).alias("me"))
@@ -365,6 +361,77 @@ def nest_symbols(symbols: DataFrame) -> DataFrame:
         "me.*", F.when(F.col("depth") > 1, F.col("parent_start")).cast("int").alias("parent_start"))
 
 
+SEGMENT_LEVELS = 26        # line numbers below 2**26 (32 MiB files have fewer lines)
+
+
+def _nest_exact(s: DataFrame) -> DataFrame:
+    """Nearest covering start for any ranges (crossing ones too).
+
+    Each range (start, end] is cut into its canonical segment-tree blocks (at
+    most two per level) and each block keeps the latest start assigned to it;
+    a symbol's parent is the latest start over the blocks on the path from its
+    line to the root. Depth then follows parent pointers (a few rounds: the
+    files that need this are the rare ones with crossing ranges)."""
+    n = 1 << SEGMENT_LEVELS
+    has_body = F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))
+    iv = s.where(has_body).select("file_id", "start_line",
+                                  (F.col("start_line") + 1 + n).cast("long").alias("l"),
+                                  (F.col("end_line") + 1 + n).cast("long").alias("r"))
+    zero = F.struct(F.col("l").alias("l"), F.col("r").alias("r"), F.array().cast("array<long>").alias("nodes"))
+
+    def step(acc: Column, _k: Column) -> Column:
+        l, r = acc["l"], acc["r"]
+        take_l = (l < r) & (l % 2 == 1)
+        nodes = F.when(take_l, F.concat(acc["nodes"], F.array(l))).otherwise(acc["nodes"])
+        l2 = F.when(take_l, l + 1).otherwise(l)
+        take_r = (l2 < r) & (r % 2 == 1)
+        r2 = F.when(take_r, r - 1).otherwise(r)
+        nodes = F.when(take_r, F.concat(nodes, F.array(r2))).otherwise(nodes)
+        return F.struct(F.shiftright(l2, 1).alias("l"), F.shiftright(r2, 1).alias("r"), nodes.alias("nodes"))
+    cover = F.aggregate(F.sequence(F.lit(0), F.lit(SEGMENT_LEVELS)), zero, step)["nodes"]
+    blocks = (iv.select("file_id", "start_line", F.explode(cover).alias("node"))
+              .groupBy("file_id", "node").agg(F.max("start_line").alias("best")))
+    leaf = (F.col("start_line") + n).cast("long")
+    ups = s.select("file_id", "start_line",
+                   F.explode(F.array(*[F.shiftright(leaf, k) for k in range(SEGMENT_LEVELS + 1)])).alias("node"))
+    par = (ups.join(blocks, ["file_id", "node"], "left").groupBy("file_id", "start_line")
+           .agg(F.max("best").cast("int").alias("parent_start")))
+    t = materialize(s.join(par, ["file_id", "start_line"]))
+    # depth along parent pointers
+    state = t.select("file_id", "start_line", F.col("parent_start").alias("anc"), F.lit(1).alias("depth"))
+    links = t.select("file_id", F.col("start_line").alias("anc"), F.col("parent_start").alias("next"))
+    while not state.where(F.col("anc").isNotNull()).isEmpty():
+        state = materialize(state.join(links, ["file_id", "anc"], "left").select(
+            "file_id", "start_line", F.col("next").alias("anc"),
+            (F.col("depth") + F.when(F.col("anc").isNotNull(), 1).otherwise(0)).alias("depth")))
+    return t.join(state.select("file_id", "start_line", F.col("depth").cast("int").alias("depth")),
+                  ["file_id", "start_line"]).select(*s.columns, "depth", "parent_start")
+
+
+def nest_symbols(symbols: DataFrame) -> DataFrame:
+    """parent = nearest earlier symbol whose [start, end] covers this
+    start; depth is 1 for roots.
+
+    Files whose ranges nest (the normal case) use windows only: depth from
+    start/end events, parent = previous symbol one level up. A file where
+    that answer shows a crossing (a parent not covering its child's start, or
+    a child ending past its parent) is recomputed with the exact block method
+    of ``_nest_exact``."""
+    s = materialize(symbols.select("file_id", "kind", "name", "start_line", "end_line"))
+    lam = materialize(_nest_laminar(s))
+    p = lam.select("file_id", F.col("start_line").alias("parent_start"),
+                   F.col("end_line").alias("p_end"))
+    chk = lam.join(p, ["file_id", "parent_start"], "left")
+    bad = (F.col("parent_start").isNotNull()
+           & ((F.col("p_end") < F.col("start_line"))
+              | (F.col("end_line").isNotNull() & (F.col("end_line") > F.col("p_end")))))
+    crossing = materialize(chk.groupBy("file_id").agg(F.max(bad.cast("int")).alias("x")).where("x = 1").select("file_id"))
+    if crossing.isEmpty():
+        return lam
+    exact = _nest_exact(s.join(crossing, "file_id", "left_semi"))
+    return lam.join(crossing, "file_id", "left_anti").unionByName(exact)
+
+
 def outline_listing(nested: DataFrame, max_rows: int = 200, offset: int = 0) -> DataFrame:
     """Pre-order rows (start order is pre-order) with row number, total
     and the offset of the next page (null when none is left)."""

@@ -61,3 +61,28 @@ def test_nesting_matches_stack_walk(spark):
     for r in nest_symbols(df).collect():
         got.setdefault(r.file_id, {})[r.start_line] = (r.parent_start, r.depth)
     assert got == {f: w for f, w in want.items() if w}
+
+
+def _random_intervals(rng):
+    out, used = [], set()
+    for _ in range(rng.randint(1, 25)):
+        st = rng.randint(1, 60)
+        if st in used:
+            continue
+        used.add(st)
+        out.append((st, None if rng.random() < 0.15 else st + rng.randint(0, 20)))
+    return sorted(out)
+
+
+def test_nesting_with_crossing_ranges_matches_stack_walk(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for f in range(400):
+        iv = _random_intervals(rng)
+        want[f] = _stack_parents(iv)
+        rows += [(f, "def", f"s{s}", s, e) for s, e in iv]
+    df = spark.createDataFrame(rows, "file_id long, kind string, name string, start_line int, end_line int")
+    got = {}
+    for r in nest_symbols(df).collect():
+        got.setdefault(r.file_id, {})[r.start_line] = (r.parent_start, r.depth)
+    assert got == want
