@@ -93,6 +93,7 @@ def site_awareness(walk: DataFrame, page_facts: DataFrame, max_pages: int = 10)
     w = walk.join(page_facts, "page_id", "left")
     mapped = F.col("outcome") == "mapped"
     g = w.groupBy("site").agg(
+        F.max(F.when(F.col("rank") == 1, F.concat(F.col("site"), F.col("path")))).alias("url"),
         F.count_if(mapped).cast("int").alias("pages_scanned"),
         F.count_if(F.col("outcome") != "unvisited").cast("int").alias("pages_attempted"),
         F.count_if(F.col("outcome") == "missing").cast("int").alias("pages_failed"),
@@ -101,7 +102,8 @@ def site_awareness(walk: DataFrame, page_facts: DataFrame, max_pages: int = 10)
                     lambda x: F.struct(x["path"].alias("path"), x["title"].alias("title"),
                                        x["summary"].alias("summary"))).alias("pages"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == "missing", F.struct("rank", "path")))),
-                    lambda x: x["path"]).alias("failures"),
+                    lambda x: F.struct(F.concat(F.col("site"), x["path"]).alias("url"),
+                                       F.lit("not in the snapshot").alias("error"))).alias("failures"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(mapped, F.struct("rank", "forms")))),
                               lambda x: x["forms"])).alias("forms"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(mapped, F.col("api_hints")))))).alias("api_hints"),
