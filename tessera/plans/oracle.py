@@ -929,10 +929,8 @@ u2 AS (
                       WHEN 'mapped' THEN '[::ffff:' || quad || ']' ELSE quad END AS h
   FROM u),
 allow AS (
-  SELECT 'host' || k::VARCHAR || '.example' AS entry FROM c WHERE k % 34 = 0
-  UNION ALL
-  SELECT o1::VARCHAR || '.' || o2::VARCHAR || '.' || o3::VARCHAR || '.' || o4::VARCHAR || ':8080' FROM c
-  WHERE k % 10 = 0 AND k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0),
+  SELECT DISTINCT lower(u2.h || u2.port) AS entry FROM u2 JOIN customer cu ON cu.c_custkey = u2.url_id
+  WHERE cu.c_mktsegment = 'BUILDING'),
 u3 AS (
   SELECT *, scheme || '://' || h || port || '/p' AS url, lower(regexp_replace(h, '^\\[|\\]$', '', 'g')) AS host,
     o1 * 16777216 + o2 * 65536 + o3 * 256 + o4 AS v4num

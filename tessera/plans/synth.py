@@ -185,8 +185,8 @@ def synth_redirects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def synth_hosts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(urls, allow-list) from customer keys: dotted quads built from the key
     (some reserved), some with a port, some ftp:, some IPv6 forms, some
-    names; the allow-list names a few hosts and host:port pairs."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    names; the allow-list holds the host[:port] of one market segment."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
     k = F.col("c_custkey")
     quad = F.concat_ws(".", ((k * 37) % 256).cast("string"), ((k * 11) % 256).cast("string"),
                        (k % 256).cast("string"), ((k * 7) % 256).cast("string"))
@@ -197,7 +197,7 @@ def synth_hosts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     port = F.when(k % 5 == 0, F.lit(":8080")).otherwise(F.lit(""))
     scheme = F.when(k % 7 == 0, F.lit("ftp")).otherwise(F.lit("http"))
     urls = c.select(k.alias("url_id"), F.concat(scheme, F.lit("://"), host, port, F.lit("/p")).alias("url"))
-    allow = (c.where(k % 34 == 0).select(F.concat(F.lit("host"), k.cast("string"), F.lit(".example")).alias("entry"))
-             .unionByName(c.where((k % 10 == 0) & (k % 11 != 0) & (k % 13 != 0) & (k % 17 != 0))
-                          .select(F.concat(quad, F.lit(":8080")).alias("entry"))))
+    # The allow-list names the host (and port, when the URL has one) of every
+    # customer in one market segment.
+    allow = c.where(F.col("c_mktsegment") == "BUILDING").select(F.concat(host, port).alias("entry")).distinct()
     return urls, allow
