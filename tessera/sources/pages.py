@@ -24,9 +24,15 @@ def scan_pages(spark: SparkSession, path: str, fmt: str = "parquet",
     return accepted, rejects
 
 
-def write_site_maps(site_maps: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per site (JSON lines), written by the executors."""
-    site_maps.write.mode(mode).json(path)
+def write_site_maps(site_maps: DataFrame, path: str, mode: str = "overwrite", buckets: int = 0) -> None:
+    """One JSON object per site (JSON lines), written by the executors.
+    With ``buckets`` > 0 the output is split into folders by a hash of the
+    site (``bucket=<n>``), so millions of sites do not land in one folder."""
+    if buckets > 0:
+        site_maps = site_maps.withColumn("bucket", F.pmod(F.xxhash64("site"), F.lit(buckets)))
+        site_maps.write.mode(mode).partitionBy("bucket").json(path)
+    else:
+        site_maps.write.mode(mode).json(path)
 
 
 def save_pages_bucketed(pages: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:

@@ -51,3 +51,11 @@ def test_site_map_sink_round_trip(spark):
     write_site_maps(df, f"{d}/maps")
     lines = [l for p in os.listdir(f"{d}/maps") if p.endswith(".json") for l in open(f"{d}/maps/{p}")]
     assert [json.loads(l) for l in lines] == [{"site": "https://a.example", "pages_scanned": 3, "api_hints": ["/api/x"]}]
+
+
+def test_site_map_sink_hash_buckets(spark):
+    d = tempfile.mkdtemp(prefix="tessera-maps-b-")
+    df = spark.createDataFrame([(f"https://s{i}.example", i) for i in range(20)], "site string, pages_scanned int")
+    write_site_maps(df, f"{d}/maps", buckets=4)
+    back = spark.read.json(f"{d}/maps")
+    assert back.count() == 20 and back.select("bucket").distinct().count() <= 4
