@@ -350,15 +350,22 @@ def _nest_laminar(s: DataFrame) -> DataFrame:
     d = materialize(u.where(F.col("sym").isNotNull()).select("sym.*", (F.col("cov") + 1).cast("int").alias("depth")))
     cands = d.where(F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))).select(
         "file_id", F.col("depth").alias("lvl"), F.col("start_line").alias("pos"), F.lit(0).alias("typ"),
-        F.col("start_line").alias("cand"), F.lit(None).alias("me"))
+        F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e")).alias("cand"), F.lit(None).alias("me"))
     me = d.select("file_id", (F.col("depth") - 1).alias("lvl"), F.col("start_line").alias("pos"), F.lit(1).alias("typ"),
-                  F.lit(None).cast("int").alias("cand"), F.struct(*d.columns).alias("me"))
+                  F.lit(None).cast(cands.schema["cand"].dataType).alias("cand"), F.struct(*d.columns).alias("me"))
     cands = cands.withColumn("me", F.col("me").cast(me.schema["me"].dataType))
     u2 = me.unionByName(cands)
-    u2 = u2.withColumn("parent_start", F.max("cand").over(
+    u2 = u2.withColumn("parent", F.max("cand").over(
         Window.partitionBy("file_id", "lvl").orderBy("pos", "typ").rowsBetween(Window.unboundedPreceding, -1)))
-    return u2.where(F.col("me").isNotNull()).select(
-        "me.*", F.when(F.col("depth") > 1, F.col("parent_start")).cast("int").alias("parent_start"))
+    r = u2.where(F.col("me").isNotNull()).select(
+        "me.*", F.when(F.col("me.depth") > 1, F.col("parent")).alias("parent"))
+    # A parent that does not cover its child's start, or a child that ends
+    # past its parent, means the file's ranges cross.
+    bad = (F.col("parent").isNotNull()
+           & ((F.col("parent.e") < F.col("start_line"))
+              | (F.col("end_line").isNotNull() & (F.col("end_line") > F.col("parent.e")))))
+    r = r.withColumn("crossing", F.max(bad.cast("int")).over(Window.partitionBy("file_id")) == 1)
+    return r.select(*s.columns, "depth", F.col("parent.s").cast("int").alias("parent_start"), "crossing")
 
 
 SEGMENT_LEVELS = 26        # line numbers below 2**26 (32 MiB files have fewer lines)
@@ -419,17 +426,13 @@ def nest_symbols(symbols: DataFrame) -> DataFrame:
     of ``_nest_exact``."""
     s = materialize(symbols.select("file_id", "kind", "name", "start_line", "end_line"))
     lam = materialize(_nest_laminar(s))
-    p = lam.select("file_id", F.col("start_line").alias("parent_start"),
-                   F.col("end_line").alias("p_end"))
-    chk = lam.join(p, ["file_id", "parent_start"], "left")
-    bad = (F.col("parent_start").isNotNull()
-           & ((F.col("p_end") < F.col("start_line"))
-              | (F.col("end_line").isNotNull() & (F.col("end_line") > F.col("p_end")))))
-    crossing = materialize(chk.groupBy("file_id").agg(F.max(bad.cast("int")).alias("x")).where("x = 1").select("file_id"))
+    cols = [*s.columns, "depth", "parent_start"]
+    crossing = lam.where("crossing")
     if crossing.isEmpty():
-        return lam
-    exact = _nest_exact(s.join(crossing, "file_id", "left_semi"))
-    return lam.join(crossing, "file_id", "left_anti").unionByName(exact)
+        return lam.select(*cols)
+    files = crossing.select("file_id").distinct()
+    exact = _nest_exact(s.join(files, "file_id", "left_semi"))
+    return lam.where(~F.col("crossing")).select(*cols).unionByName(exact.select(*cols))
 
 
 def outline_listing(nested: DataFrame, max_rows: int = 200, offset: int = 0) -> DataFrame:
