@@ -52,11 +52,6 @@ def attr_value(attrs: Column, name: str) -> Column:
                     F.regexp_extract(attrs, pat, 3))
 
 
-def has_attr(attrs: Column, name: str) -> Column:
-    pat = r"(?i)" + WB_BEFORE + name + WS + r"*=" + WS + r"*(?:\"|'|[^\s>])"
-    return attrs.rlike(pat)
-
-
 def is_chrome_open(tag: Column, attrs: Column) -> Column:
     """Is an opening tag page furniture (navigation, scripts, footers, ...)?"""
     ident = F.concat_ws(" ", attr_value(attrs, "class"), attr_value(attrs, "id"))

@@ -24,7 +24,6 @@ FORM_METHOD_PATTERN = r"""(?i)method=["']([^"']+)["']"""
 BUTTON_PATTERN = r"(?is)<button(?![A-Za-z0-9_-])" + ATTRS + r">(.*?)</button>"
 LINK_PATTERN = r"(?is)<a(?![A-Za-z0-9_-])" + ATTRS + r">(.*?)</a>"
 INPUT_PATTERN = r"(?i)<input(?![A-Za-z0-9_-])" + ATTRS + ">"
-ACTION_TYPES = {"button": 1, "link": 2, "input": 3}
 PY_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]"
 # -------------------------------------------------------------------------
 

@@ -22,7 +22,6 @@ URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#
 PATH_ENCODE = r"[\x00-\x20\x22\x3C\x3E\x60\x7B\x7D\x7F-\x{10FFFF}]"
 QUERY_ENCODE = r"[\x00-\x20\x22\x23\x27\x3C\x3E\x7F-\x{10FFFF}]"
 FRAGMENT_ENCODE = r"[\x00-\x20\x22\x3C\x3E\x60\x7F-\x{10FFFF}]"
-DEFAULT_PORTS = {"http": "80", "https": "443"}
 MAX_REDIRECTS = 5
 BROADCAST_ROWS = 200_000
 # Reserved IPv4 ranges (first, last as 32-bit numbers) in rule order.
@@ -95,13 +94,6 @@ def origin_of(url: Column) -> Column:
                     F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(F.lit("")))
 
 
-def site_and_path(url: Column) -> tuple[Column, Column]:
-    """(origin, path) of a URL; an empty path is '/'."""
-    p = url_parts(url)
-    path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
-    return origin_of(url), path
-
-
 def _with_parts(df: DataFrame, url: str, prefix: str) -> DataFrame:
     p = url_parts(F.col(url))
     return df.select("*", *[c.alias(prefix + k) for k, c in p.items()])

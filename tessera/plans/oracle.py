@@ -580,7 +580,6 @@ def _quote_re2(q: str) -> str:
 
 SEARCH_Q = "the"
 SEARCH_RE = "(?i)" + _quote_re2(SEARCH_Q)
-MARK = "\u0001"
 
 ORACLES["page_search"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + f""",
 su0 AS (
