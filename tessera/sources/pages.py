@@ -17,7 +17,11 @@ def scan_pages(spark: SparkSession, path: str, fmt: str = "parquet",
     """Load a snapshot of (page_id, url, html); split the URL into site
     (origin) and path ('/' when empty); reject bodies over ``max_bytes``
     (UTF-8 bytes) with reason 'too_large'. Returns (accepted, rejects)."""
-    df = spark.read.format(fmt).load(path).select("page_id", "url", "html")
+    reader = spark.read.format(fmt)
+    if fmt != "parquet":
+        # self-describing formats are read with the fixed schema, not inferred
+        reader = reader.schema("page_id long, url string, html string")
+    df = reader.load(path).select("page_id", "url", "html")
     df = split_url(df).withColumn("n_bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long"))
     accepted = df.where(F.col("n_bytes") <= max_bytes)
     rejects = df.where(F.col("n_bytes") > max_bytes).drop("html").withColumn("reason", F.lit("too_large"))

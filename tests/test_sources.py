@@ -59,3 +59,11 @@ def test_site_map_sink_hash_buckets(spark):
     write_site_maps(df, f"{d}/maps", buckets=4)
     back = spark.read.json(f"{d}/maps")
     assert back.count() == 20 and back.select("bucket").distinct().count() <= 4
+
+
+def test_scan_pages_from_json_lines(spark):
+    d = tempfile.mkdtemp(prefix="tessera-pages-json-")
+    with open(f"{d}/p.json", "w") as f:
+        f.write(json.dumps({"page_id": 7, "url": "http://x.example/a", "html": "<p>x</p>"}) + "\n")
+    acc, rej = scan_pages(spark, d, fmt="json")
+    assert [(r.page_id, r.site, r.path) for r in acc.collect()] == [(7, "http://x.example", "/a")] and rej.count() == 0
