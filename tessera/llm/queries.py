@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, shards, tokens
+from tessera.llm import bpe, mixing, rules, shards, tokens
 from tessera.llm.shared import documents
 
 
@@ -31,7 +31,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,4 +60,30 @@ c AS (SELECT g.source, g.turn, coalesce(sum(g.size) OVER (PARTITION BY g.source
 SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(c.n AS BIGINT) AS source_size, c.target,
        CAST(d.size * (c.whole + CAST(c.more AS INT)) AS BIGINT) AS taken
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.turn = c.turn
+""", "op7_quality_rules": rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+d AS (SELECT *, len(w) AS n, row_number() OVER () AS row FROM w),
+lines AS (SELECT row, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
+-- words by position, and the positions of the three-word windows that occur at least twice
+p AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT row, i, [word, lead(word) OVER o, lead(word, 2) OVER o] AS t, lead(i, 2) OVER o AS last FROM p WINDOW o AS (PARTITION BY row ORDER BY i)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, t) AS c FROM win WHERE last IS NOT NULL) WHERE c > 1),
+rep AS (SELECT row, count(*) AS n FROM (SELECT DISTINCT row, i + k AS j FROM twice, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY row),
+f AS (SELECT doc_id, source, CAST(d.n AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(text, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d JOIN lines USING (row) LEFT JOIN rep USING (row)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+rules AS (SELECT source, rule, count(*) AS docs, CAST(sum(CAST(bad AS INT)) AS DOUBLE) AS bad FROM (
+            SELECT source, unnest(['short', 'repetitive', 'symbols', 'repeated_lines']) AS rule,
+                   unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > word_chars, 4 * n_dup_lines > n_words]) AS bad
+            FROM b WHERE source IS NOT NULL) GROUP BY ALL),
+m AS (SELECT rule, sum(bad) / sum(docs) AS mean, greatest(sum(bad * bad / docs) / sum(docs) - (sum(bad) / sum(docs)) ** 2, 1e-12) AS spread FROM rules GROUP BY rule),
+prior AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / spread - 1, 2), 1000) AS strength FROM m),
+bad_hosts AS (SELECT DISTINCT source FROM rules JOIN prior USING (rule) WHERE round((bad + mean * strength) / (docs + strength), 9) >= 0.8)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad_hosts), true) AS kept
+FROM b
 """}
