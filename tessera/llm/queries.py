@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, rules, shards, tokens
+from tessera.llm import bpe, jaccard, mixing, rules, shards, tokens
 from tessera.llm.shared import documents
 
 
@@ -36,7 +36,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op10_ngram_jaccard, op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,7 +74,8 @@ win AS (SELECT row, i, [word, lead(word) OVER o, lead(word, 2) OVER o] AS t, lea
 twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, t) AS c FROM win WHERE last IS NOT NULL) WHERE c > 1),
 rep AS (SELECT row, count(*) AS n FROM (SELECT DISTINCT row, i + k AS j FROM twice, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY row),
 f AS (SELECT doc_id, source, CAST(d.n AS BIGINT) AS n_words,
-             CAST(length(regexp_replace(text, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
