@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, mixing, rules, shards, tokens
+from tessera.llm import bpe, jaccard, mixing, rules, shards, suffixes, tokens
 from tessera.llm.shared import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(spark, sf_dir)).drop("uid")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
     return tokens.count_tokens(documents(spark, sf_dir), vocab.path("piece_bpe_32k.model"), keep=["doc_id"])
@@ -40,7 +44,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op10_ngram_jaccard, op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op10_ngram_jaccard, op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
