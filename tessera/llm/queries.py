@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, mixing, rules, shards, suffixes, tokens
+from tessera.llm import bpe, imatch, jaccard, mixing, rules, shards, suffixes, tokens
 from tessera.llm.shared import documents
 
 
@@ -40,11 +40,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_next(documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op10_ngram_jaccard, op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op9_imatch, op10_ngram_jaccard, op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
