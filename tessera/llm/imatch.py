@@ -56,7 +56,8 @@ def term_hashes(text: Column) -> Column:
 
 def lexicon(docs: DataFrame) -> DataFrame:
     """(term, df): the terms within the band, df counted over all rows of ``docs``."""
-    terms = docs.select(F.explode(term_hashes(F.coalesce("text", F.lit("")))).alias("term"))
+    # explode_outer: for explode, Spark would infer a filter that hashes the terms a second time
+    terms = docs.select(F.explode_outer(term_hashes(F.coalesce("text", F.lit("")))).alias("term")).where("term is not null")
     total = docs.count()  # from the files' footers
     least, most = total * 2.718281828459045 ** -IDF_BAND[1], total * 2.718281828459045 ** -IDF_BAND[0]
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(F.lit(least), F.lit(max(most, 1.0))))
@@ -125,7 +126,7 @@ def fingerprints(texts: DataFrame, words: DataFrame, columns: list[str]) -> Data
     # the low bits say which of the texts has the term
     tag = lambda terms, n: F.transform(terms, lambda x: x.bitwiseOR(F.lit(n)))
     tagged = F.concat(tag(F.array_intersect("one", "two"), 3), tag(F.array_except("one", "two"), 1), tag(F.array_except("two", "one"), 2))
-    rows = both.select("key", "key_id", F.explode(tagged).alias("tagged")).withColumn("term", F.col("tagged").bitwiseAND(F.lit(-4))).join(entries, "term")
+    rows = both.select("key", "key_id", F.explode_outer(tagged).alias("tagged")).withColumn("term", F.col("tagged").bitwiseAND(F.lit(-4))).join(entries, "term")
     slot = F.shiftright("term", 2).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
     has = lambda n: F.when(F.col("tagged").bitwiseAND(F.lit(n)) > 0, F.col("term"))
     slots = rows.groupBy("key", "key_id", slot.alias("slot")).agg(F.sort_array(F.collect_list(has(1))).alias("one"), F.sort_array(F.collect_list(has(2))).alias("two"))

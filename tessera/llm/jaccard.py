@@ -395,8 +395,10 @@ def _unit_links(docs: DataFrame, chosen: DataFrame, blocks: DataFrame, order) ->
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document for each component: the one whose id names it.
 
-    Rows that have the same kept id stay together if their texts are equal to each other.
+    Rows that share an id stay or go together; rows with a null id stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id is not null and not (doc_id <=> component_id)").select("doc_id", "set_id").distinct()
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    # written, so that its size is known when the join with the texts is planned
+    gone = saved(gone, "jaccard-gone")
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")

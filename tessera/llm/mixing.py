@@ -85,7 +85,9 @@ def _cutoffs(rows: DataFrame, epochs: int, weights: tuple[int, ...]) -> DataFram
                  .withColumn("start", F.col("edge_start") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
                  .where(F.col("start") + F.col("size") / 2.0 < F.col("more"))
                  .groupBy(F.col("t_source").alias("c_source")).agg(F.max("turn").alias("last_turn")))
-    return edges.join(edge_rows, F.col("t_source").eqNullSafe(F.col("c_source")), "left").drop("c_source", "edge_start", "more")
+    cut = edges.join(edge_rows, F.col("t_source").eqNullSafe(F.col("c_source")), "left").drop("c_source", "edge_start", "more")
+    # written, so that its size is known when the join with the documents is planned
+    return saved(cut, "mix-cut")
 
 
 def mix_plan(docs: DataFrame, seed: int = 17, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3),

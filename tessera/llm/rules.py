@@ -101,6 +101,8 @@ def host_verdicts(facts: DataFrame, host: str = "source") -> DataFrame:
 
 def judge(docs: DataFrame, host: str = "source", with_facts: bool = True) -> DataFrame:
     """Small rows: the columns of ``docs`` except the text, FACTS, base_failed and kept."""
+    # written before anything filters on it: a filter pushed into the projections
+    # would evaluate a text's words anew for each of them
     facts = saved(text_facts(docs).drop("text", "kept"), "facts")
     verdicts = host_verdicts(facts, host).where("host_rejected").select(F.col("host").alias("rejected host"))
     out = facts.join(verdicts, F.col(f"`{host}`") == F.col("rejected host"), "left")
@@ -108,12 +110,10 @@ def judge(docs: DataFrame, host: str = "source", with_facts: bool = True) -> Dat
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and whose host is not rejected.
-
-    The text is read twice (for the hosts' sums, then for the rows) rather than shuffled.
-    """
-    facts = text_facts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept row"), "text", F.col(f"`{host}`").alias("fact host")))
-    sums = facts.select("fact host", *FACTS)
-    rejected = host_verdicts(sums, "fact host").where("host_rejected").select(F.col("host").alias("rejected host"))
-    good = facts.where(~F.col("base_failed")).select("kept row", "fact host")
-    return good.join(rejected, F.col("fact host") == F.col("rejected host"), "left_anti").select("kept row.*")
+    """The rows of ``docs`` that pass the base rules and whose host is not rejected."""
+    judged = judge(docs.select("doc_id", "text", host).withColumn("uid", F.xxhash64("text")), host)
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("uid").alias("bad_uid"), F.col(host).alias("bad_host"), "base_failed").distinct()
+    # written, so that its size is known when the join with the texts is planned
+    bad = saved(bad, "rejected")
+    same_host = F.col("base_failed") | F.col("bad_host").eqNullSafe(F.col(f"`{host}`"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_uid")) & same_host, "left_anti")

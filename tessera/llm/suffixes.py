@@ -214,7 +214,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     spans = repeated_passages(docs.select("doc_id", "text")).where("repeated").groupBy("doc_id", "uid").agg(
         F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
-    spans = spans.select(F.col("doc_id").alias("cut_id"), F.col("uid").alias("cut_uid"), "cuts")
+    # written, so that its size is known when the join with the texts is planned
+    spans = saved(spans.select(F.col("doc_id").alias("cut_id"), F.col("uid").alias("cut_uid"), "cuts"), "cuts")
     row = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("cut row")
     met = docs.select(row, F.col("doc_id").cast("long").alias("own id"), "text", F.xxhash64("text").alias("own uid")).join(
         spans, F.col("own id").eqNullSafe(F.col("cut_id")) & (F.col("own uid") == F.col("cut_uid")), "left").select("cut row", "text", "cuts")
