@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, imatch, jaccard, mixing, rules, shards, suffixes, tokens
+from tessera.llm import bpe, imatch, jaccard, language, mixing, quality, rules, shards, suffixes, tokens
 from tessera.llm.shared import documents
 
 
@@ -13,6 +13,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(documents(spark, sf_dir)).drop("uid")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
     return tokens.count_tokens(documents(spark, sf_dir), vocab.path("piece_bpe_32k.model"), keep=["doc_id"])
@@ -40,6 +44,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_next(documents(spark, sf_dir))
 
@@ -48,7 +56,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op9_imatch, op10_ngram_jaccard, op7_quality_rules, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_quality_classifier, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing, op7_quality_rules,
+    op8_language_id, op9_imatch, op10_ngram_jaccard)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
