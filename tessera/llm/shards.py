@@ -87,18 +87,18 @@ def _within_tasks(groups: DataFrame, shards: int) -> DataFrame:
         own = pd.concat(list(frames) or [pd.DataFrame()])
         if not len(own):
             return
-        own = own.sort_values(["bytes", "text_key", "text_crc32"], ascending=[False, True, True], na_position="first")
+        own = own.sort_values(["bytes", "text_key", "text_check"], ascending=[False, True, True])
         rest = [0] * (shards - 1)
         places, _ = difference([[int(b), *rest] for b in own["bytes"]], shards)
         own["part"] = [p[0] for p in places]
         task = int(own["task"].iloc[0])
-        yield own[["task", "text_key", "text_crc32", "part"]].assign(kind=0, bytes=0)
+        yield own[["task", "text_key", "text_check", "part"]].assign(kind=0, bytes=0)
         sums = own.groupby("part")["bytes"].sum()
-        yield pd.DataFrame({"task": task, "text_key": None, "text_crc32": None, "part": range(shards), "kind": 1,
-                            "bytes": [int(sums.get(p, 0)) for p in range(shards)]}).astype({"text_key": "Int64", "text_crc32": "Int64"})
+        yield pd.DataFrame({"task": task, "text_key": 0, "text_check": 0, "part": range(shards), "kind": 1,
+                            "bytes": [int(sums.get(p, 0)) for p in range(shards)]})
 
     return groups.withColumn("task", F.spark_partition_id()).mapInPandas(
-        run, "task int, text_key long, text_crc32 long, part int, kind int, bytes long")
+        run, "task int, text_key long, text_check long, part int, kind int, bytes long")
 
 
 def _across_tasks(sums: DataFrame, shards: int) -> DataFrame:
@@ -118,44 +118,41 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", order_
     ``size`` is the UTF-8 bytes of the text plus 1; ``slot`` counts a shard's
     rows from 0 without gaps, in the order of ``order_by``.
     """
-    spark = docs.sparkSession
     body = F.col(f"`{text}`")
     made = ["size", "text_crc32", "shard", "slot", text]
     keep = [c for c in docs.columns if c not in made]
     rows = saved(docs.select(
-        *[F.col(f"`{c}`") for c in keep],
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_row"), F.col(f"`{order_by}`").alias("order_value"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        # with the crc this is a key of 96 bits
-        F.when(body.isNotNull(), F.xxhash64(body)).alias("text_key")), "shard-rows")
-    groups = rows.groupBy("text_key", "text_crc32").agg(F.sum("size").alias("bytes"))
+        # a group's key has 96 bits; null texts have a key of their own
+        F.when(body.isNotNull(), F.xxhash64(body)).otherwise(F.lit(0)).alias("text_key"),
+        F.coalesce(F.crc32(body.cast("binary")), F.lit(-1)).alias("text_check")), "shard-rows")
+    groups = rows.groupBy("text_key", "text_check").agg(F.sum("size").alias("bytes"))
     placed = saved(_within_tasks(groups, shards), "shard-groups")
     to = _across_tasks(placed.where("kind = 1").select("task", "part", "bytes"), shards)
     # ``to`` has one row for each task and shard, whatever the data: safe to broadcast
     group_shard = placed.where("kind = 0").join(F.broadcast(to), ["task", "part"]).select(
-        F.col("text_key").alias("g_key"), F.col("text_crc32").alias("g_crc"), "shard",
+        F.col("text_key").alias("g_key"), F.col("text_check").alias("g_check"), "shard",
         F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("g_salt"))
-    salted = rows.withColumn("salt", F.pmod(F.hash(*[F.col(f"`{c}`") for c in keep], "size"), F.lit(SALT)))
-    out = salted.join(group_shard, F.col("text_key").eqNullSafe(F.col("g_key")) & F.col("text_crc32").eqNullSafe(F.col("g_crc"))
-                      & (F.col("salt") == F.col("g_salt"))).drop("g_key", "g_crc", "g_salt", "salt", "text_key")
-    return with_slots(out, "shard", order_by)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("order_value", "size"), F.lit(SALT)))
+    out = salted.join(group_shard, (F.col("text_key") == F.col("g_key")) & (F.col("text_check") == F.col("g_check"))
+                      & (F.col("salt") == F.col("g_salt"))).select("kept_row", "order_value", "size", "text_crc32", "shard")
+    return with_slots(out).select("kept_row.*", "size", "text_crc32", "shard", "slot")
 
 
-def with_slots(rows: DataFrame, shard: str, order_by: str) -> DataFrame:
+def with_slots(rows: DataFrame) -> DataFrame:
     """Number the rows of each shard from 0 without a task that holds a shard.
 
     Rows are range-partitioned by (shard, order); each partition numbers its
     own stretch, and the stretch's first number is the count of the shard's
     rows in earlier partitions (a table of one row per partition and shard).
     """
-    spark = rows.sparkSession
-    ties = [c for c in ("text_crc32", "size") if c in rows.columns and c != order_by]
-    order = [F.col(shard), F.col(f"`{order_by}`"), *[F.col(c) for c in ties]]
-    ranged = saved(rows.repartitionByRange(shuffle_parts(spark), *order).withColumn("stretch", F.spark_partition_id()), "shard-slots")
-    counts = ranged.groupBy("stretch", shard).agg(F.count(F.lit(1)).alias("stretch_rows"))
-    before = Window.partitionBy(shard).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("stretch", shard, F.coalesce(F.sum("stretch_rows").over(before), F.lit(0)).alias("stretch_start"))
-    inner = Window.partitionBy("stretch", shard).orderBy(*order)
-    return (ranged.withColumn("place", F.row_number().over(inner)).join(F.broadcast(starts), ["stretch", shard])
-            .withColumn("slot", (F.col("place") - 1 + F.col("stretch_start")).cast("long"))
-            .drop("stretch", "place", "stretch_start"))
+    order = ["shard", "order_value", "text_crc32", "size"]
+    ranged = saved(rows.repartitionByRange(shuffle_parts(rows.sparkSession), *order).withColumn("stretch", F.spark_partition_id()), "shard-slots")
+    counts = ranged.groupBy("stretch", "shard").agg(F.count(F.lit(1)).alias("stretch_rows"))
+    before = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("stretch", "shard", F.coalesce(F.sum("stretch_rows").over(before), F.lit(0)).alias("stretch_start"))
+    inner = Window.partitionBy("stretch", "shard").orderBy(*order)
+    return (ranged.withColumn("place", F.row_number().over(inner)).join(F.broadcast(starts), ["stretch", "shard"])
+            .withColumn("slot", (F.col("place") - 1 + F.col("stretch_start")).cast("long")).drop("stretch", "place", "stretch_start"))
