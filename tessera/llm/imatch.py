@@ -69,13 +69,14 @@ def _keys(docs: DataFrame) -> list[Column]:
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """(key, key_id, next_key, next_key_id, n_chars) in ascending order of id, the last followed by the first.
+    """(doc_id, key, key_id, n_chars, copies, next_key, next_key_id) in ascending order of id, the last followed by the first.
 
     Rows are range-partitioned by id; each partition looks one row ahead, and a
     table of one row a partition gives its last row's successor.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(docs), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(docs), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("copies"))
     ranged = saved(rows.repartitionByRange(shuffle_parts(spark), "doc_id", "key").withColumn("stretch", F.spark_partition_id()), "order")
     heads = ranged.groupBy("stretch").agg(F.min(F.struct("doc_id", "key", "key_id")).alias("head"))
     by_stretch = Window.orderBy("stretch")  # over one row a partition
@@ -83,12 +84,14 @@ def successors(docs: DataFrame) -> DataFrame:
     heads = heads.select("stretch", F.coalesce(F.lead("head").over(by_stretch), F.min("head").over(every)).alias("after"))
     ahead = Window.partitionBy("stretch").orderBy("doc_id", "key")
     return ranged.withColumn("ahead", F.lead(F.struct("doc_id", "key", "key_id")).over(ahead)).join(F.broadcast(heads), "stretch").select(
-        "doc_id", "key", "key_id", "n_chars", F.coalesce("ahead.key", "after.key").alias("next_key"), F.coalesce("ahead.key_id", "after.key_id").alias("next_key_id"))
+        "doc_id", "key", "key_id", "n_chars", "copies", F.coalesce("ahead.key", "after.key").alias("next_key"), F.coalesce("ahead.key_id", "after.key_id").alias("next_key_id"))
 
 
 def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
     """(key, key_id, text, edited): the last quarter of each text replaced by the head of its successor's."""
-    texts = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
+    # one of the rows that are equal in id and text; the join needs this order anyway
+    before = F.lag("key").over(Window.partitionBy("key", "key_id").orderBy("key"))
+    texts = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text")).withColumn("before", before).where("before is null").drop("before")
     takes = order.select(F.col("key").alias("of_key"), F.col("key_id").alias("of_key_id"), F.col("next_key").alias("key"),
                          F.col("next_key_id").alias("key_id"), F.floor(F.col("n_chars") / 4).cast("int").alias("take"))
     heads = takes.join(texts, ["key", "key_id"]).select(
@@ -156,8 +159,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     joined = base.join(found, ["key", "key_id"], "left").select(
         "key", "key_id", "edited_sha256", pick("f_text", "whole").alias("fingerprint"), pick("f_edited", "edited_whole").alias("edited_fingerprint"))
     prints = saved(joined, "prints")
-    after = prints.select(F.col("key").alias("next_key"), F.col("key_id").alias("next_key_id"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["next_key", "next_key_id"])
-    own = prints.join(order, ["key", "key_id"]).join(after, ["next_key", "next_key_id"])
+    after = prints.select(F.col("key").alias("next_key"), F.col("key_id").alias("next_key_id"), F.col("fingerprint").alias("next_fingerprint"))
+    own = prints.join(order, ["key", "key_id"]).join(after, ["next_key", "next_key_id"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     return own.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
