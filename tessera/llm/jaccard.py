@@ -398,7 +398,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share an id stay or go together; rows with a null id stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone id")).distinct()
     # written, so that its size is known when the join with the texts is planned
     gone = saved(gone, "jaccard-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")

@@ -111,9 +111,10 @@ def judge(docs: DataFrame, host: str = "source", with_facts: bool = True) -> Dat
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and whose host is not rejected."""
-    judged = judge(docs.select("doc_id", "text", host).withColumn("uid", F.xxhash64("text")), host)
-    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("uid").alias("bad_uid"), F.col(host).alias("bad_host"), "base_failed").distinct()
+    judged = judge(docs.select("doc_id", "text", host).withColumn("own uid", F.xxhash64("text")), host)
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("bad id"), F.col("own uid").alias("bad uid"),
+                                              F.col(f"`{host}`").alias("bad host"), F.col("base_failed").alias("bad text")).distinct()
     # written, so that its size is known when the join with the texts is planned
     bad = saved(bad, "rejected")
-    same_host = F.col("base_failed") | F.col("bad_host").eqNullSafe(F.col(f"`{host}`"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_uid")) & same_host, "left_anti")
+    same_host = F.col("bad text") | F.col("bad host").eqNullSafe(F.col(f"`{host}`"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad id")) & (F.xxhash64("text") == F.col("bad uid")) & same_host, "left_anti")
