@@ -42,7 +42,7 @@ from tessera.llm.vectors import U, Words, mix, slices, window_hashes
 LEAST, GRAM = 50, 25
 SIDE = LEAST - GRAM  # words of context on either side
 #: Rows of a chunk in the sorted stream.
-CHUNK = 200_000
+CHUNK = 50_000
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -93,30 +93,39 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), "text").mapInArrow(run, schema)
 
 
-def _extensions(sides: list[bytes], seed: np.ndarray) -> np.ndarray:
-    """hash[i, j]: of seed i and the first j codes of side i."""
-    length = np.array([len(s) for s in sides]) // 2
-    table = np.zeros((len(sides), SIDE), np.uint16)
-    table[np.arange(SIDE) < length[:, None]] = np.frombuffer(b"".join(sides), ">u2")
-    out = np.empty((len(sides), SIDE + 1), U)
+def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of a column without nulls, without a Python object a row."""
+    values = column.combine_chunks()
+    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+    raw = values.buffers()[2]
+    return np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8), np.diff(ends)
+
+
+def _extensions(side: pa.ChunkedArray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hash[i, j]: of seed i and the first j codes of side i; and the sides' lengths."""
+    data, length = _binary(side)
+    length = length // 2
+    table = np.zeros((len(length), SIDE), np.uint16)
+    table[np.arange(SIDE) < length[:, None]] = data.view(">u2")
+    out = np.empty((len(length), SIDE + 1), U)
     out[:, 0] = seed
     for j in range(SIDE):
         out[:, j + 1] = mix(out[:, j] + table[:, j].astype(U) + U(j + 1))
-    return out
+    return out, length
 
 
 def _repeats(chunk: pa.Table) -> Iterator[dict]:
     """Windows of a sorted chunk: spans that are settled here (kind 0) and windows
     to compare with other chunks' (kind 1)."""
-    gram = np.frombuffer(b"".join(chunk.column("key").to_pylist()), ">u8").astype(U)
+    gram = _binary(chunk.column("key"))[0].view(">u8").astype(U)
     same = gram[1:] == gram[:-1]
     edge = (gram == gram[0]) | (gram == gram[-1])
     kept = np.flatnonzero(np.r_[False, same] | np.r_[same, False] | edge)
     rows = chunk.take(pa.array(kept))
     gram, edge = gram[kept], edge[kept]
-    right, left = rows.column("right").to_pylist(), rows.column("left").to_pylist()
-    by_right, by_left = _extensions(right, gram), _extensions(left, np.zeros(len(left), U))
-    least, most = SIDE - np.array([len(r) for r in right]) // 2, np.array([len(x) for x in left]) // 2  # words to the left
+    by_right, right = _extensions(rows.column("right"), gram)
+    by_left, most = _extensions(rows.column("left"), np.zeros(len(gram), U))
+    least = SIDE - right  # least and most words to the left
     n = most - least + 1
     row = np.repeat(np.arange(len(n)), n)
     before = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) + least[row]
