@@ -21,22 +21,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m"))
     met = both.join(least, F.col("u") == F.col("hub"))
     if large:
-        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("hub").alias("u"), F.col("m").alias("v")))
+        return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("hub").alias("u"), F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """True if no node points at two nodes, and none that is pointed at points on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for every node of an edge the smallest node it reaches."""
     now = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not _all_stars(now):
         now = saved(_star(_star(now, True), False), "edges")
-        # order-free summary of the edge set, one row
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.col("v").cast("decimal(38,0)")))).first()
-        if new == state or not new[0]:
-            break
-        state = new
-    own = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)
+    return labels(now, "u", "v")
+
+
+def labels(stars: DataFrame, node: str, centre: str) -> DataFrame:
+    """(node, component) from edges that point at the centre of their component."""
+    own = stars.select(F.col(centre).alias("node"), F.col(centre).alias("component")).distinct()
+    return stars.select(F.col(node).alias("node"), F.col(centre).alias("component")).union(own)

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.graph import components
+from tessera.llm.graph import components, labels
 from tessera.llm.shared import saved, shuffle_parts
 from tessera.llm.vectors import U, Words, mix, shingles, slices
 
@@ -326,7 +326,26 @@ def trie_join(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
     order = sorted(range(len(sets)), key=lambda i: (sets[i].astype(">u8").tobytes(), ids[i]))
     pairs = Trie([sets[i] for i in order]).links()
-    return pa.table({"a": pa.array([ids[order[i]] for i, _ in pairs], pa.int64()), "b": pa.array([ids[order[j]] for _, j in pairs], pa.int64())})
+    found = pa.table({"a": pa.array([ids[order[i]] for i, _ in pairs], pa.int64()), "b": pa.array([ids[order[j]] for _, j in pairs], pa.int64())})
+    blocks = table.column("blocks")[0].as_py()
+    return (_stars(found) if blocks == 1 else found).append_column("blocks", pa.array([blocks] * len(found), pa.int32()))
+
+
+def _stars(links: pa.Table) -> pa.Table:
+    """Each node of the links pointed at the smallest it reaches (a > b); as many rows as links."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist()):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    far = [x for x in parent if find(x) != x]
+    return pa.table({"a": pa.array(far, pa.int64()), "b": pa.array([find(x) for x in far], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -346,7 +365,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = (rows.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.max("n_shingles").alias("size"))
               .join(units, F.col("set_id") == F.col("node")).select("set_id", "rep_id", "size", "component"))
     blocks = chosen.groupBy("component").agg((F.floor(F.sum("size") / BLOCK) + 1).cast("int").alias("blocks"))
-    links = components(_unit_links(docs, chosen, blocks, order), "a", "b")
+    found = saved(_unit_links(docs, chosen, blocks, order), "jaccard-links")
+    # links never leave a unit, so only units of several blocks need another round
+    links = labels(found.where("blocks = 1"), "a", "b").union(components(found.where("blocks > 1"), "a", "b"))
     classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep_id"))
     labelled = classes.join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "rep_id", F.coalesce("component", "set_id").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep_id").alias("component_id"))
@@ -389,7 +410,8 @@ def _unit_links(docs: DataFrame, chosen: DataFrame, blocks: DataFrame, order) ->
     placed = sets.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     # a set of block k goes to the pairs (j, k) with j <= k and (k, j) with j >= k
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    return placed.select("sid", "keys", "component", F.explode(pairs).alias("pair")).groupBy("component", "pair.i", "pair.j").applyInArrow(trie_join, "a long, b long")
+    return placed.select("sid", "keys", "component", "blocks", F.explode(pairs).alias("pair")).groupBy("component", "pair.i", "pair.j").applyInArrow(
+        trie_join, "a long, b long, blocks int")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
