@@ -57,8 +57,8 @@ def codepoint_to_string(n: Column) -> Column:
 def _decode_one(whole: Column, body: Column) -> Column:
     is_hex = body.startswith("#x") | body.startswith("#X")
     is_dec = body.startswith("#") & ~is_hex
-    hex_digits = F.regexp_replace(F.substring(body, 3, 1 << 20), "^0+", "")
-    dec_digits = F.regexp_replace(F.substring(body, 2, 1 << 20), "^0+", "")
+    hex_digits = F.regexp_replace(F.substring(body, F.lit(3), F.length(body)), "^0+", "")
+    dec_digits = F.regexp_replace(F.substring(body, F.lit(2), F.length(body)), "^0+", "")
     hex_val = F.when(F.length(hex_digits) == 0, F.lit(0)).when(
         F.length(hex_digits) <= 6, F.conv(hex_digits, 16, 10).cast("long"))
     dec_val = F.when(F.length(dec_digits) == 0, F.lit(0)).when(
@@ -88,10 +88,39 @@ def collapse_blocks(s: Column) -> Column:
     return js_trim(F.regexp_replace(s, f"{WS}{{3,}}", "\n\n"))
 
 
+def until_last(html: Column, closing: str) -> Column:
+    """The text up to and with the last match of ``closing``; '' if there is none.
+
+    A lazy pattern that ends in ``closing`` finds the same matches here, and
+    every opening has a closing to stop at: openings without one behind them
+    don't each search to the end of the page."""
+    return F.regexp_extract(html, rf"(?is)^.*(?:{closing})", 0)
+
+
+def after_last(html: Column, closing: str) -> Column:
+    return F.substring(html, F.length(until_last(html, closing)) + 1, F.length(html))
+
+
+def _drop(html: Column, pattern: str, closing: str, by: str = "") -> Column:
+    return F.concat(F.regexp_replace(until_last(html, closing), pattern, by), after_last(html, closing))
+
+
+def live_html(html: Column) -> Column:
+    """A page as a parser sees its elements: without comments, and with empty
+    scripts and styles (their content is text, whatever it looks like)."""
+    return _drop(html, r"(?is)(<(script|style)(?![A-Za-z0-9-])[^>]*>).*?(</\2[^>]*>)|<!--.*?-->", r"</(?:script|style)[^>]*>|-->", "$1$3")
+
+
+def spoken_html(html: Column) -> Column:
+    """A page without comments, scripts, styles and templates: what holds its words."""
+    return _drop(html, r"(?is)<(script|style|template)(?![A-Za-z0-9-])[^>]*>.*?</\1[^>]*>|<!--.*?-->",
+                 r"</(?:script|style|template)[^>]*>|-->", " ")
+
+
 def tags_to_text(html: Column) -> Column:
     """Drop comments, turn every tag into a space, decode entities once,
     collapse long whitespace runs and trim (no chrome removal)."""
-    no_comments = F.regexp_replace(html, COMMENT_PATTERN, "")
+    no_comments = _drop(html, COMMENT_PATTERN, "-->")
     spaced = F.regexp_replace(no_comments, ANY_TAG_PATTERN, " ")
     return collapse_blocks(decode_entities(spaced))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.html import attr_value
-from tessera.functions.text import WB_AFTER, WB_BEFORE, WS, decode_entities
+from tessera.functions.text import WB_AFTER, WB_BEFORE, WS, after_last, decode_entities, live_html, until_last
 
 # --- fixed values --------------------------------------------------------
 ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)"""
@@ -43,7 +43,7 @@ def forms_array(html: Column) -> Column:
         action = F.regexp_extract(attrs, FORM_ACTION_PATTERN, 1)
         return F.struct((i + 1).alias("form_no"), F.array_distinct(F.filter(names, lambda x: x != "")).alias("fields"),
                         method.alias("method"), action.alias("act"))
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0), form),
+    return F.filter(F.transform(F.regexp_extract_all(until_last(html, "</form>"), F.lit(FORM_PATTERN), 0), form),
                     lambda x: F.size(x["fields"]) > 0)
 
 
@@ -74,8 +74,7 @@ def _exact_attr(attrs: Column, name: str) -> Column:
 
 def _strip_text(inner: Column) -> Column:
     """Text of an element, each text piece stripped, pieces joined with ''."""
-    no_comments = F.regexp_replace(inner, r"(?s)<!--.*?-->", "")
-    pieces = F.split(no_comments, r"<[^>]*>", -1)
+    pieces = F.split(inner, r"<[^>]*>", -1)  # comments are gone before
     stripped = F.transform(pieces, lambda p: F.regexp_replace(decode_entities(p), f"^{PY_SPACE}+|{PY_SPACE}+$", ""))
     return F.array_join(F.filter(stripped, lambda p: p != ""), "")
 
@@ -90,7 +89,8 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Candidates are built and filtered as arrays in each page's row (so labels
     are computed once), then exploded and deduplicated with a window keyed by
     page_id."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    pages = pages.select("page_id", live_html(F.coalesce(F.col(html_col), F.lit(""))).alias("live"))
+    html = F.col("live")
 
     def button(m: Column, i: Column) -> Column:
         attrs = F.regexp_extract(m, BUTTON_PATTERN, 1)
@@ -103,22 +103,24 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
         return F.struct(i.cast("long").alias("pos"), _strip_text(F.regexp_extract(m, LINK_PATTERN, 2)).alias("label"),
                         _exact_attr(F.regexp_extract(m, LINK_PATTERN, 1), "href").alias("leads_to"))
 
-    btns = F.filter(F.transform(F.regexp_extract_all(html, F.lit(BUTTON_PATTERN), 0), button), lambda x: x["label"] != "")
-    lnks = F.filter(F.transform(F.regexp_extract_all(html, F.lit(LINK_PATTERN), 0), link),
+    btns = F.filter(F.transform(F.regexp_extract_all(until_last(html, "</button>"), F.lit(BUTTON_PATTERN), 0), button), lambda x: x["label"] != "")
+    lnks = F.filter(F.transform(F.regexp_extract_all(until_last(html, "</a>"), F.lit(LINK_PATTERN), 0), link),
                     lambda x: (x["label"] != "") & x["leads_to"].isNotNull() & (x["leads_to"] != "")
                     & ~x["leads_to"].startswith("mailto:") & ~x["leads_to"].startswith("javascript:")
                     & ~x["leads_to"].startswith("#"))
     b = pages.select("page_id", F.explode(btns).alias("x")).select(
-        "page_id", F.lit(1).alias("type_order"), F.col("x.pos").alias("pos"), F.lit("button").alias("type"),
+        "page_id", F.lit(1).alias("type_order"), F.struct(F.col("x.pos").alias("o"), F.lit(0).cast("long").alias("j")).alias("pos"), F.lit("button").alias("type"),
         F.col("x.label").alias("label"), F.col("x.leads_to").alias("leads_to"),
         F.lit(None).cast("string").alias("endpoint"), F.col("x.label").alias("key"))
     a = pages.select("page_id", F.explode(lnks).alias("x")).select(
-        "page_id", F.lit(2).alias("type_order"), F.col("x.pos").alias("pos"), F.lit("link").alias("type"),
+        "page_id", F.lit(2).alias("type_order"), F.struct(F.col("x.pos").alias("o"), F.lit(0).cast("long").alias("j")).alias("pos"), F.lit("link").alias("type"),
         F.col("x.label").alias("label"), F.col("x.leads_to").alias("leads_to"),
         F.lit(None).cast("string").alias("endpoint"), F.concat(F.col("x.label"), F.lit(":"), F.col("x.leads_to")).alias("key"))
     # Inputs: pieces outside forms and form bodies alternate in document order.
-    outside = F.split(html, FORM_PATTERN, -1)
-    forms = F.regexp_extract_all(html, F.lit(FORM_PATTERN), 0)
+    pages = pages.select("page_id", until_last(html, "</form>").alias("formed"), after_last(html, "</form>").alias("tail"))
+    split = F.split("formed", FORM_PATTERN, -1)
+    outside = F.concat(F.slice(split, F.lit(1), F.size(split) - 1), F.array(F.concat(F.element_at(split, -1), F.col("tail"))))
+    forms = F.regexp_extract_all("formed", F.lit(FORM_PATTERN), 0)
     # zip_with pads the shorter side with nulls: piece i is followed by form i.
     pairs = F.zip_with(outside, forms, lambda piece, f: F.struct(piece.alias("piece"), f.alias("f")))
     chunks = F.flatten(F.transform(pairs, lambda x, i: F.array(
@@ -140,7 +142,7 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
     endpoint = F.when(F.col("form_attrs").isNotNull(),
                       F.concat(faction, F.lit("?"), F.coalesce(F.col("x.nm"), F.lit("q")), F.lit("=")))
     inputs = c.select(
-        "page_id", F.lit(3).alias("type_order"), (F.col("o") * 1_000_000 + F.col("x.j")).cast("long").alias("pos"),
+        "page_id", F.lit(3).alias("type_order"), F.struct(F.col("o").cast("long").alias("o"), F.col("x.j").cast("long").alias("j")).alias("pos"),
         F.lit("input").alias("type"), F.col("x.label").alias("label"), F.lit(None).cast("string").alias("leads_to"),
         endpoint.alias("endpoint"), F.col("x.label").alias("key"))
     allx = b.unionByName(a).unionByName(inputs)
@@ -151,22 +153,23 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
         "type", "label", "leads_to", "endpoint")
 
 
-def actions_for_path(actions: DataFrame, paths: DataFrame, broadcast_limit: int = 1_000) -> DataFrame:
+#: Characters of a path's end that key the join of actions and paths.
+PATH_GRAM = 6
+
+
+def actions_for_path(actions: DataFrame, paths: DataFrame) -> DataFrame:
     """Actions whose non-null ``leads_to`` contains the requested path.
 
-    A request table of at most ``broadcast_limit`` rows (counted first) is
-    broadcast and matched with a nested-loop ``contains``. Above it the match
-    is an exact equi-join: each action emits its substrings of the requested
-    path lengths (the set of distinct lengths is bounded by the longest path)
-    and those are joined on equality with the paths.
+    A path is keyed by its last PATH_GRAM characters (by itself when it is
+    shorter); an action emits the distinct stretches of that length and of
+    each shorter one, and the equal keys are checked with ``contains``. Every
+    (action row, path row) pair meets at most once, so repeated rows stay
+    repeated, and the empty path is in every target.
     """
-    a = actions.where(F.col("leads_to").isNotNull())
-    if paths.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        return a.join(F.broadcast(paths), F.col("leads_to").contains(F.col("path")))
-    lengths = sorted(r[0] for r in paths.select(F.length("path")).distinct().collect() if r[0])
-    plen = F.explode(F.array(*[F.lit(x) for x in lengths]))
-    subs = a.select("*", plen.alias("plen")).where(F.col("plen") <= F.length("leads_to"))
-    subs = subs.select("*", F.explode(F.sequence(F.lit(1), F.length("leads_to") - F.col("plen") + 1)).alias("start"))
-    subs = subs.withColumn("path", F.substring("leads_to", F.col("start"), F.col("plen")))
-    subs = subs.dropDuplicates([*a.columns, "path"]).drop("start", "plen")
-    return subs.join(paths, "path")
+    t = F.col("leads_to")
+    lengths = F.sequence(F.lit(1), F.least(F.lit(PATH_GRAM), F.length(t)))
+    grams = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))))
+    grams = F.when(F.length(t) > 0, F.array_distinct(F.concat(F.array(F.lit("")), grams))).otherwise(F.array(F.lit("")))
+    keyed = actions.where(t.isNotNull()).select("*", F.explode(grams).alias("path gram"))
+    wanted = paths.select("*", F.when(F.length("path") > PATH_GRAM, F.right(F.col("path"), F.lit(PATH_GRAM))).otherwise(F.col("path")).alias("path key"))
+    return keyed.join(wanted, (F.col("path gram") == F.col("path key")) & t.contains(F.col("path"))).drop("path gram", "path key")

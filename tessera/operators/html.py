@@ -176,20 +176,19 @@ def strip_chrome(tokens: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, extras: dict[str, Column] | None = None,
-                id_col: str = "page_id", html_col: str = "html", prepartitioned: bool = False) -> DataFrame:
+                id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Clean text of every page (furniture removed, tags dropped,
     entities decoded once, long whitespace runs to one blank line).
 
     Pages are hash-partitioned on ``page_id`` first: every later window and
     aggregate is keyed by ``page_id``, so this is the only exchange of page
     bytes, and tokenising runs after it, spread over all tasks. ``extras``
-    are per-page expressions over ``html`` (title, hints, ...) computed after
+    are per-page expressions over the pages' columns (title, hints, ...) computed after
     the exchange and carried on each page's pseudo token.
     """
     extras = extras or {}
-    p = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).repartition("page_id")
-    if extras:
-        p = p.select("page_id", "html", *[e.alias(k) for k, e in extras.items()])
+    p = pages.repartition(id_col).select(
+        F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), *[e.alias(k) for k, e in extras.items()])
     carry = list(extras)
     stripped = strip_chrome(tokenize_html(p, carry=carry), carry)
     return stripped.withColumn("text", tags_to_text(F.col("kept_html")))

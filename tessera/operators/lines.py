@@ -10,6 +10,10 @@ computed once per file and the context is sliced around each hit.
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,33 +60,28 @@ def explode_lines(files: DataFrame) -> DataFrame:
 
 
 def check_pattern(query: str) -> None:
-    """Driver-side argument check for regex search: length cap, and no
-    repeated group whose body itself repeats (exponential backtracking)."""
+    """Argument check for regex search: a length cap, and no repetition of a
+    group that itself repeats something (it could backtrack exponentially).
+
+    Escapes and character classes become a plain letter; then groups are
+    rewritten from the inside out, each to a letter that is marked as
+    repeating if the group held a repetition."""
     if len(query) > MAX_QUERY_CHARS:
-        raise ValueError(f"pattern is {len(query)} chars (limit {MAX_QUERY_CHARS})")
-    stack: list[bool] = []
-    i, in_class = 0, False
-    while i < len(query):
-        ch = query[i]
-        if ch == "\\":
-            i += 2
-            continue
-        if in_class:
-            in_class = ch != "]"
-        elif ch == "[":
-            in_class = True
-        elif ch == "(":
-            stack.append(False)
-        elif ch == ")":
-            inner = stack.pop() if stack else False
-            quantified = i + 1 < len(query) and query[i + 1] in "*+{"
-            if inner and quantified:
-                raise ValueError(f"nested quantifier near position {i}")
-            if stack and (inner or quantified):
-                stack[-1] = True
-        elif ch in "*+{" and stack:
-            stack[-1] = True
-        i += 1
+        raise ValueError(f"the pattern has {len(query)} characters; {MAX_QUERY_CHARS} are allowed")
+    flat = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]?", "x", query, flags=re.S)
+    while group := re.search(r"\(([^()]*)\)([*+{]?)", flat):
+        repeats = re.search(r"[*+{]", group[1]) is not None
+        if repeats and group[2]:
+            raise ValueError(f"the pattern repeats a group that holds a repetition: {group[0]!r}")
+        flat = flat[:group.start()] + ("x+" if repeats else "x") + flat[group.end(1) + 1:]
+
+
+def _compiles(df: DataFrame, pattern: str) -> None:
+    """Compile once in the driver, so that a bad pattern never reaches a task."""
+    try:
+        df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError(f"the pattern is not a regular expression: {e}") from None
 
 
 def match_pattern(query: str, regex: bool) -> str:
@@ -105,9 +104,10 @@ def search_lines(files: DataFrame, query: str, regex: bool = False, ctx: int = 5
     (clipped at file ends). With ``max_results`` only the first k hits per
     file are returned, while ``occurrences`` counts every matching line."""
     pat = match_pattern(query, regex)
+    _compiles(files, pat)
     f = files.select("file_id", "lines", "total_lines").withColumn("hit_idx", _hits(F.col("lines"), pat))
     f = f.withColumn("occurrences", F.size("hit_idx").cast("int"))
-    shown = F.slice("hit_idx", 1, max_results) if max_results else F.col("hit_idx")
+    shown = F.col("hit_idx") if max_results is None else F.slice("hit_idx", 1, max_results)
     lines, n = F.col("lines"), F.col("total_lines")
 
     def hit(i: Column) -> Column:
@@ -128,8 +128,8 @@ def trim_line(line: Column, pat: str, max_chars: int = MAX_LINE_CHARS) -> dict[s
     at = F.regexp_instr(line, F.lit(pat))
     start = F.greatest(F.lit(0), F.when(at == 0, F.lit(0)).otherwise(at - 1) - max_chars // 2)
     long = F.length(line) > max_chars
-    note = F.concat(F.lit(f"  [line trimmed to {max_chars} of "), F.length(line).cast("string"), F.lit(" chars"),
-                    F.when(at == 0, F.lit("")).otherwise(F.concat(F.lit(", match at col "), at.cast("string"))),
+    note = F.concat(F.lit(f"  [{max_chars} of "), F.length(line).cast("string"), F.lit(" characters kept"),
+                    F.when(at == 0, F.lit("")).otherwise(F.concat(F.lit("; the match starts at "), at.cast("string"))),
                     F.lit("]"))
     text = F.when(long, F.concat(F.substring(line, start + 1, max_chars), note)).otherwise(line)
     return {"text": text, "trimmed": long, "n_chars": F.length(line).cast("int"),
@@ -138,7 +138,7 @@ def trim_line(line: Column, pat: str, max_chars: int = MAX_LINE_CHARS) -> dict[s
 
 def trimmed_hits(hits: DataFrame, query: str, regex: bool = False) -> DataFrame:
     """O12 over search output: every emitted line (context and hit) with its
-    trimmed text, plus per file the number of trimmed lines."""
+    trimmed text (``trimmed_per_file`` counts them)."""
     pat = match_pattern(query, regex)
     rows = hits.select(
         "file_id", F.col("line_no").alias("hit_line_no"),
@@ -158,16 +158,16 @@ def numbered(lines: Column, first: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x, i: F.format_string("%5d │ %s", first + i, x)), "\n")
 
 
-def read_chunk(files: DataFrame, requests: DataFrame, broadcast_limit: int = 100_000) -> DataFrame:
-    """Join (file_id, start, end) requests to files; clamp to [1, n];
-    numbered lines, or status 'empty' with the file length.
+def trimmed_per_file(trimmed: DataFrame) -> DataFrame:
+    """Per file of ``trimmed_hits``, the number of emitted lines that were cut."""
+    return trimmed.groupBy("file_id").agg(F.count_if("trimmed").cast("int").alias("n_trimmed"))
+
 
-    A request table of at most ``broadcast_limit`` rows (counted first) is
-    broadcast so the files never move; larger ones use a shuffle join.
-    """
+def read_chunk(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """Join (file_id, start, end) requests to files; clamp to [1, n];
+    numbered lines, or status 'empty' with the file length. Spark broadcasts
+    the requests when they are small by its statistics."""
     req = requests.select("file_id", "start", "end")
-    if req.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        req = F.broadcast(req)
     j = files.select("file_id", "lines", "total_lines").join(req, "file_id")
     s = F.greatest(F.lit(1), F.col("start"))
     e = F.least(F.col("total_lines"), F.col("end"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import WS, js_trim
+from tessera.session import saved
 
 # --- fixed values --------------------------------------------------------
 HREF_PATTERN = r"""(?i)href""" + WS + r"""*=""" + WS + r"""*["']([^"']+)["']"""
@@ -22,8 +23,9 @@ URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#
 PATH_ENCODE = r"[\x00-\x20\x22\x3C\x3E\x60\x7B\x7D\x7F-\x{10FFFF}]"
 QUERY_ENCODE = r"[\x00-\x20\x22\x23\x27\x3C\x3E\x7F-\x{10FFFF}]"
 FRAGMENT_ENCODE = r"[\x00-\x20\x22\x3C\x3E\x60\x7F-\x{10FFFF}]"
+SPECIAL_SCHEME = r"(?i)^(?:https?|wss?|ftp):"
+NUMERIC_HOST = r"(?i)(?:^|\.)(?:0x[0-9a-f]*|[0-9]+)\.?$"
 MAX_REDIRECTS = 5
-BROADCAST_ROWS = 200_000
 # Reserved IPv4 ranges (first, last as 32-bit numbers) in rule order.
 RESERVED_V4 = [
     ("0.0.0.0/8 (this network)", 0, 0x00FFFFFF),
@@ -52,13 +54,15 @@ def _percent_encode_all(s: Column, char_class: str) -> Column:
 
 
 def remove_dot_segments(path: Column) -> Column:
-    """Fold '.' and '..' segments of an absolute path (only paths that have
-    such a segment go through the fold)."""
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _fold_dot_segments(path)).otherwise(path)
+    """Fold '.' and '..' segments of an absolute path, also when percent-coded
+    (only paths that have such a segment go through the fold)."""
+    dot = r"(?:\.|%2[eE])"
+    plain = F.regexp_replace(F.regexp_replace(path, rf"(^|/){dot}{dot}(?=/|$)", "$1.."), rf"(^|/){dot}(?=/|$)", "$1.")
+    return F.when(path.rlike(rf"(^|/){dot}{{1,2}}(/|$)"), _fold_dot_segments(plain)).otherwise(path)
 
 
 def _fold_dot_segments(path: Column) -> Column:
-    segs = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    segs = F.slice(F.split(path, "/", -1), F.lit(2), F.length(path) + 1)
     n = F.size(segs)
     indexed = F.transform(segs, lambda s, i: F.struct(s.alias("s"), (i + 1 == n).alias("last")))
 
@@ -72,6 +76,84 @@ def _fold_dot_segments(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(folded, "/"))
 
 
+def canonical_url(url: Column) -> Column:
+    """Spelling variants that a URL parser accepts, made plain: outer control
+    characters and inner line breaks and tabs dropped, and for http-like
+    schemes any run of slashes or backslashes after the scheme is '//', and a
+    backslash before the query is a slash."""
+    u = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    head = F.regexp_extract(u, r"^([^?#]*)", 1)
+    slashed = F.regexp_replace(F.translate(head, "\\", "/"), r"^([A-Za-z]+):/*", "$1://")
+    fixed = F.concat(slashed, F.substring(u, F.length(head) + 1, F.length(u)))
+    return F.when(u.rlike(SPECIAL_SCHEME), fixed).otherwise(u)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _ipv4_part(x: Column) -> Column:
+    """One part of an IPv4 host: decimal, 0 octal or 0x hex; null if it is none."""
+    digits = F.regexp_replace(x, "^0[xX]", "")
+    number = (F.when(x.rlike("^0[xX][0-9a-fA-F]*$"), F.conv(F.concat(F.lit("0"), digits), 16, 10))
+              .when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).when(x.rlike("^(0|[1-9][0-9]*)$"), x))
+    return F.when(F.length(x) <= 16, number.cast("long"))
+
+
+def _ipv4_total(parts: Column) -> Column:
+    n = F.size(parts)
+    limit = F.element_at(F.array(*[F.lit(256 ** k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+    fits = (n <= 4) & ~F.exists(parts, lambda p: p.isNull()) & ~F.exists(F.slice(parts, F.lit(1), n - 1), lambda p: p > 255) & (
+        F.element_at(parts, -1) < limit)
+    place = F.array(*[F.lit(256 ** k) for k in (3, 2, 1)])
+    total = F.aggregate(F.transform(parts, lambda p, i: F.when(i < n - 1, p * F.get(place, i)).otherwise(p)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(fits, total)
+
+
+def ipv4_number(host: Column) -> Column:
+    """32-bit number of an IPv4 host in any form a URL parser takes: one to four
+    parts, the last filling the bytes that are left, each decimal, octal or
+    hexadecimal, with an optional final dot. Null if the host is not one."""
+    parts = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _ipv4_part)
+    return F.when(host.rlike(NUMERIC_HOST), _let(parts, _ipv4_total))
+
+
+def ipv4_text(number: Column) -> Column:
+    """Dotted quad of a 32-bit number."""
+    return F.concat_ws(".", *[F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
+
+
+def plain_host(host: Column) -> Column:
+    """Host as a URL parser keeps it: percent-decoded, lower-case, IPv4 as a dotted quad."""
+    def decoded(x: Column) -> Column:
+        return F.lower(F.when(x.contains("%"), F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)).otherwise(x))
+
+    def quad(x: Column) -> Column:
+        return F.when(x.rlike(NUMERIC_HOST), _let(ipv4_number(x), lambda n: F.when(n.isNull(), x).otherwise(ipv4_text(n)))).otherwise(x)
+
+    return _let(_let(host, decoded), quad)
+
+
+def ipv6_groups(host: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 host (no brackets); null if it is not one."""
+    def hexed(x: Column) -> Column:
+        pair = lambda n: F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+        tail = F.regexp_extract(x, r":([0-9]+\.[0-9.]+)$", 1)
+        return F.when(tail != "", F.concat(F.regexp_replace(x, r"[0-9]+\.[0-9.]+$", ""), _let(ipv4_number(tail), pair))).otherwise(x)
+
+    def filled(x: Column) -> Column:
+        sides = F.transform(F.split(x, "::"), lambda part: F.filter(F.split(part, ":"), lambda g: g != ""))
+        return _let(sides, lambda s: F.when(F.size(s) == 1, F.get(s, F.lit(0))).when(
+            F.size(s) == 2, F.concat(F.get(s, F.lit(0)), F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(F.flatten(s)))), F.get(s, F.lit(1)))))
+
+    def numbers(g: Column) -> Column:
+        return F.transform(g, lambda x: F.when(x.rlike("^[0-9a-f]{1,4}$"), F.conv(x, 16, 10).cast("long")))
+
+    groups = _let(_let(_let(host, hexed), filled), numbers)
+    return F.when(host.contains(":"), _let(groups, lambda g: F.when((F.size(g) == 8) & ~F.exists(g, lambda x: x.isNull()), g)))
+
+
 def url_parts(url: Column) -> dict[str, Column]:
     """scheme (lower), host (lower), port ('' when default), path, query
     ('?…' or ''), fragment ('#…' or '') of an absolute URL."""
@@ -117,6 +199,9 @@ def with_resolved_url(df: DataFrame, href: str, base: str, out: str = "target_ur
     if "_b_scheme" not in df.columns:
         d = _with_parts(d, base, "_b_")
     d = d.withColumn("_bpath", F.when(F.col("_b_path") == "", F.lit("/")).otherwise(F.col("_b_path")))
+    # for an http-like base a backslash before the query is a slash
+    plain = F.concat(F.translate(F.regexp_extract("_h", r"^([^?#]*)", 1), "\\", "/"), F.regexp_extract("_h", r"^[^?#]*(.*)$", 1))
+    d = d.withColumn("_h", F.when(F.col("_h").contains("\\") & F.col("_b_scheme").isin("http", "https"), plain).otherwise(F.col("_h")))
     h = F.col("_h")
     d = d.select("*", h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:").alias("_has_scheme"),
                  F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("_h_scheme"),
@@ -186,92 +271,97 @@ def split_anchors(links: DataFrame) -> DataFrame:
                         F.when(is_anchor, t["fragment"]).otherwise(F.col("target_url")).alias("value"))
 
 
-def resolve_redirects(urls: DataFrame, hops: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFrame:
+def _same_url(df: DataFrame, url: str, out: str) -> DataFrame:
+    """Add ``out``: the URL as a parser writes it back (null if it can't be used)."""
+    d = df.withColumn("_u", canonical_url(F.col(url)))
+    return with_resolved_url(d, "_u", "_u", out).drop("_u", out + "_origin", "_base_origin")
+
+
+def resolve_redirects(urls: DataFrame, hops: DataFrame, max_hops: int = MAX_REDIRECTS, allow: DataFrame | None = None) -> DataFrame:
     """Follow ``hops`` (url -> location) from each start URL.
 
-    Bounded loop of at most ``max_hops + 1`` joins (a constant, not data
-    dependent): status 'ok' (no further hop), 'too_many' (a hop is still
-    pending after ``max_hops``) or 'off_origin'; ``final_url`` is the last
-    URL reached. The hop table is joined by key, never collected.
+    Start and hop URLs meet in the spelling a URL parser gives them; of several
+    locations of one URL the smallest counts. Each location is resolved and
+    gated (``classify_destination``) once, in the hop table; the walk is at most
+    ``max_hops + 1`` joins on the URL, a constant.
+
+    Status: 'ok' (no further hop); 'off_origin' (ended on another origin);
+    'too_many' (a hop is still pending after ``max_hops``); 'no_location' (a hop
+    without a location); 'bad_location' (one that is no URL); 'blocked' (the start
+    or a hop leads to a destination that is not allowed; it is not followed).
+    ``final_url`` is the last URL reached.
     """
-    h = hops.select(F.col("url").alias("cur"), F.col("location").alias("nxt"))
-    # A hop table under the bound (counted first) is broadcast, so a URL that
-    # many chains pass through does not pile up in one task.
-    if h.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        h = F.broadcast(h)
-    state = urls.select("start_id", F.col("url").alias("start_url"), F.col("url").alias("cur"),
-                        F.lit(0).alias("n_hops"))
+    # written between the steps: a filter or join key that is pushed below the
+    # resolver's projections would inline them into one another
+    table = saved(_same_url(hops.select("url", F.coalesce("location", F.lit("")).alias("location")), "url", "at"), "hops")
+    table = table.where("at is not null").groupBy("at").agg(F.min("location").alias("location"))
+    table = with_resolved_url(table, "location", "at", "next")
+    table = saved(table.select("at", F.when(F.col("location") != "", F.col("next")).alias("next"), (F.col("location") == "").alias("bare")), "hops")
+    gate = classify_destination(table.select(F.col("at").alias("url_id"), F.coalesce("next", F.col("at")).alias("url")), allow)
+    gate = gate.select(F.col("url_id").alias("at"), (F.col("status") != "allowed").alias("barred"))
+    # one row a hop, read by every step of the walk
+    h = saved(table.join(gate, "at").select(
+        "at", "next", F.when(F.col("bare"), F.lit("no_location")).when(F.col("next").isNull(), F.lit("bad_location"))
+        .when(F.col("barred"), F.lit("blocked")).alias("stop")), "hops")
+    starts = saved(_same_url(urls.select("start_id", F.col("url").alias("start_url")), "start_url", "first"), "starts")
+    allowed = classify_destination(starts.select(F.struct("start_id", "start_url").alias("url_id"), F.coalesce("first", "start_url").alias("url")), allow)
+    state = allowed.select(
+        F.col("url_id.start_id").alias("start_id"), F.col("url_id.start_url").alias("start_url"), F.col("url").alias("first"),
+        F.col("url").alias("cur"), F.lit(0).alias("n_hops"), F.when(F.col("status") != "allowed", F.lit("blocked")).alias("status"))
     for _ in range(max_hops):
-        step = state.join(h, "cur", "left")
-        step = with_resolved_url(step.withColumn("nxt", F.coalesce("nxt", F.lit(""))), "nxt", "cur", "nxt_url")
-        state = step.select(
-            "start_id", "start_url",
-            F.when(F.col("nxt") != "", F.coalesce(F.col("nxt_url"), F.col("cur"))).otherwise(F.col("cur")).alias("cur"),
-            (F.col("n_hops") + F.when(F.col("nxt") != "", 1).otherwise(0)).alias("n_hops"))
-    last = state.join(h, "cur", "left")
-    pending = F.col("nxt").isNotNull()
-    off = origin_of(F.col("cur")) != origin_of(F.col("start_url"))
+        step = state.join(h, (F.col("cur") == F.col("at")) & F.col("status").isNull(), "left")
+        go = F.col("at").isNotNull() & F.col("stop").isNull()
+        state = step.select("start_id", "start_url", "first", F.when(go, F.col("next")).otherwise(F.col("cur")).alias("cur"),
+                            (F.col("n_hops") + go.cast("int")).alias("n_hops"), F.coalesce("status", "stop").alias("status"))
+    last = state.join(h, (F.col("cur") == F.col("at")) & F.col("status").isNull(), "left")
+    off = origin_of(F.col("cur")) != origin_of(F.col("first"))
     return last.select(
         "start_id", "start_url", F.col("cur").alias("final_url"), F.col("n_hops").cast("int").alias("n_hops"),
-        F.when(pending, F.lit("too_many")).when(off, F.lit("off_origin")).otherwise(F.lit("ok")).alias("status"))
+        F.coalesce("status", "stop", F.when(F.col("at").isNotNull(), F.lit("too_many")).when(off, F.lit("off_origin")), F.lit("ok")).alias("status"))
 
 
-def ipv4_number(host: Column) -> Column:
-    """Dotted quad -> 32-bit number (null if the host is not one)."""
-    ok = host.rlike(r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$")
-    o = F.split(host, r"\.")
-    num = (F.element_at(o, 1).cast("long") * 16777216 + F.element_at(o, 2).cast("long") * 65536
-           + F.element_at(o, 3).cast("long") * 256 + F.element_at(o, 4).cast("long"))
-    return F.when(ok, num)
+def reserved_rule(host: Column) -> Column:
+    """The rule of the reserved range that a literal IP host lies in, else null."""
+    def v4_rule(n: Column) -> Column:
+        rule = F.lit(None).cast("string")
+        for name, first, last in reversed(RESERVED_V4):
+            rule = F.when((n >= first) & (n <= last), F.lit(name)).otherwise(rule)
+        return rule
+
+    def v6_rule(groups: Column) -> Column:
+        g = lambda k: F.get(groups, F.lit(k))
+        mapped = F.forall(F.slice(groups, 1, 5), lambda x: x == 0) & (g(5) == 0xFFFF)
+        return (F.when(mapped, _let(g(6) * 65536 + g(7), v4_rule))
+                .when(F.forall(F.slice(groups, 1, 7), lambda x: x == 0) & (g(7) <= 1), F.lit("::/128, ::1/128 (unspecified/loopback)"))
+                .when(F.shiftright(g(0), 9) == (0xFC00 >> 9), F.lit("fc00::/7 (unique local)"))
+                .when(F.shiftright(g(0), 6) == (0xFE80 >> 6), F.lit("fe80::/10 (link-local)")))
+
+    return F.when(host.contains(":"), _let(ipv6_groups(host), v6_rule)).when(
+        host.rlike(NUMERIC_HOST), _let(ipv4_number(host), lambda n: F.when(n.isNull(), F.lit("not an address")).otherwise(v4_rule(n))))
 
 
 def classify_destination(urls: DataFrame, allow: DataFrame | None = None, allow_all: bool = False) -> DataFrame:
     """Blocked scheme; literal IPv4 / IPv4-mapped / IPv6 host in a
-    reserved range (with the rule's name); allow-list by host or host:port.
-
-    The range table is a fixed 8-row literal, so the range join is a
-    broadcast nested-loop join of bounded size; the allow-list is a
-    left-semi style join on the host key.
-    """
-    spark = urls.sparkSession
-    p = url_parts(F.col("url"))
-    host = F.regexp_replace(p["host"], r"^\[|\]$", "")
-    hostport = F.concat(p["host"], F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(F.lit("")))
-    raw_port = F.regexp_extract(F.regexp_extract(F.col("url"), URL_PATTERN, 2), r":([0-9]+)$", 1)
-    hostport_raw = F.concat(p["host"], F.when(raw_port != "", F.concat(F.lit(":"), raw_port)).otherwise(F.lit("")))
-    mapped = F.regexp_extract(host, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    v4 = ipv4_number(F.when(mapped != "", mapped).otherwise(host))
-    is_v6 = host.contains(":") & (mapped == "")
-    head = F.conv(F.regexp_extract(host, r"^([0-9a-f]{0,4}):", 1), 16, 10).cast("long")
-    head = F.coalesce(head, F.lit(0))
-    v6_rule = (F.when(host.isin("::", "::1"), F.lit("::/128, ::1/128 (unspecified/loopback)"))
-               .when(F.shiftright(head, 9) == (0xFC00 >> 9), F.lit("fc00::/7 (unique local)"))
-               .when(F.shiftright(head, 6) == (0xFE80 >> 6), F.lit("fe80::/10 (link-local)")))
-    d = urls.select("url_id", "url", p["scheme"].alias("scheme"), host.alias("host"),
-                    hostport.alias("hostport"), hostport_raw.alias("hostport_raw"),
-                    v4.alias("v4"), F.when(is_v6, v6_rule).alias("v6_rule"))
-    ranges = spark.createDataFrame([(i, r, lo, hi) for i, (r, lo, hi) in enumerate(RESERVED_V4)],
-                                   "prio int, rule string, lo long, hi long")
-    hit = (d.where(F.col("v4").isNotNull()).select("url_id", "v4")
-           .join(F.broadcast(ranges), (F.col("v4") >= F.col("lo")) & (F.col("v4") <= F.col("hi")))
-           .groupBy("url_id").agg(F.min_by("rule", "prio").alias("v4_rule")))
-    d = d.join(hit, "url_id", "left")
-    if allow is not None:
-        a = allow.select(F.lower(F.col("entry")).alias("entry")).distinct()
-        if a.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            a = F.broadcast(a)
-        by_host = a.select(F.col("entry").alias("host"), F.lit(True).alias("allow_host"))
-        by_hp = a.select(F.col("entry").alias("hostport_raw"), F.lit(True).alias("allow_hp"))
-        d = d.join(by_host, "host", "left").join(by_hp, "hostport_raw", "left")
-        allowed = F.coalesce(F.col("allow_host"), F.lit(False)) | F.coalesce(F.col("allow_hp"), F.lit(False))
-    else:
-        allowed = F.lit(False)
-    if allow_all:
-        allowed = F.lit(True)
-    rule = F.coalesce(F.col("v4_rule"), F.col("v6_rule"))
+    reserved range (with the rule's name), in any spelling a URL parser takes;
+    allow-list by host, or host:port with the scheme's default port dropped.
+
+    Ranges are a ``when`` chain in the row; only an allow-list adds a join."""
+    p = url_parts(F.col("canonical"))
+    d = urls.select("url_id", "url", canonical_url(F.col("url")).alias("canonical"))
+    d = d.select("url_id", "url", p["scheme"].alias("scheme"), p["host"].alias("raw_host"), p["port"].alias("port"))
+    d = d.select("url_id", "url", "scheme", "port", plain_host(F.col("raw_host")).alias("full_host"))
+    d = d.select("url_id", "url", "scheme", F.regexp_replace("full_host", r"^\[|\]$", "").alias("host"),
+                 F.concat("full_host", F.when(F.col("port") != "", F.concat(F.lit(":"), F.col("port"))).otherwise(F.lit(""))).alias("hostport"))
+    allowed = F.lit(allow_all)
+    if allow is not None and not allow_all:
+        entries = allow.select(F.lower(F.col("entry")).alias("entry")).where("entry is not null").distinct()
+        for name in ("host", "hostport"):
+            d = d.join(entries.select(F.col("entry").alias(f"{name} entry")), F.col(name) == F.col(f"{name} entry"), "left")
+        allowed = F.col("host entry").isNotNull() | F.col("hostport entry").isNotNull()
+    rule = reserved_rule(F.col("host"))
     status = (F.when(~F.col("scheme").isin("http", "https"), F.lit("blocked_scheme"))
               .when(allowed, F.lit("allowed"))
-              .when(rule.isNotNull(), F.lit("blocked_reserved"))
+              .when(F.col("rule").isNotNull(), F.lit("blocked_reserved"))
               .otherwise(F.lit("allowed")))
-    return d.select("url_id", "url", "host", status.alias("status"),
-                    F.when(status == "blocked_reserved", rule).alias("rule"))
+    return d.withColumn("rule", rule).select("url_id", "url", "host", status.alias("status"),
+                                             F.when(status == "blocked_reserved", F.col("rule")).alias("rule"))

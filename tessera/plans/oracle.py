@@ -286,7 +286,7 @@ ranked AS (
 best AS (
   SELECT page_id, want, arg_min(struct_pack(section_no := section_no, level := level, heading := heading, text := text),
                                  rnk * 1000000 + section_no) FILTER (WHERE rnk IS NOT NULL) AS hit,
-    string_agg({address('anchor', 'heading')}, ', ' ORDER BY section_no) FILTER (WHERE section_no IS NOT NULL) AS available
+    string_agg(CASE WHEN anchor IS NOT NULL THEN '#' || anchor ELSE heading END, ', ' ORDER BY section_no) FILTER (WHERE section_no IS NOT NULL) AS available
   FROM ranked GROUP BY page_id, want)
 SELECT page_id, want, CASE WHEN hit IS NOT NULL THEN 'found' ELSE 'missing' END AS status,
   hit.section_no AS section_no, hit.level AS level, hit.heading AS heading, hit.text AS text,
@@ -307,9 +307,24 @@ ORACLES["auth_word"] = with_web(
     f"SELECT page_id, coalesce(regexp_matches({tags_to_text('html')}, {lit(AUTH_WORD)}), false) AS auth_required "
     "FROM corpus")
 
+def live(x: str) -> str:
+    """No comments, empty scripts and styles."""
+    no_comments = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    for t in ("script", "style"):
+        no_comments = f"regexp_replace({no_comments}, '(?is)(<{t}(?:[^A-Za-z0-9>-][^>]*)?>).*?(</{t}[^>]*>)', '\\1\\2', 'g')"
+    return no_comments
+
+
+def spoken(x: str) -> str:
+    """No comments, scripts, styles and templates."""
+    for t in ("script", "style", "template"):
+        x = f"regexp_replace({x}, '(?is)<{t}(?:[^A-Za-z0-9>-][^>]*)?>.*?</{t}[^>]*>', ' ', 'g')"
+    return x
+
+
 ORACLES["auth_substring"] = with_web(
     "SELECT page_id, coalesce(" + " OR ".join(
-        f"contains(lower({tags_to_text('html')}), {lit(s)})"
+        f"contains(lower({tags_to_text(spoken('html'))}), {lit(s)})"
         for s in ["log in", "login", "sign in", "signin", "please authenticate", "unauthorized"])
     + ", false) AS auth_required FROM corpus")
 
@@ -490,14 +505,14 @@ def strip_text(x: str) -> str:
 
 
 ACTIONS = f""",
-b0 AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), {lit(BTN_RE)}) AS ms FROM corpus),
+b0 AS (SELECT page_id, regexp_extract_all({live("coalesce(html, '')")}, {lit(BTN_RE)}) AS ms FROM corpus),
 b1 AS (SELECT page_id, pos, ms[pos + 1] AS m FROM (SELECT page_id, ms, unnest(range(len(ms))) AS pos FROM b0)),
 b2 AS (SELECT page_id, pos, regexp_extract(m, {lit(BTN_RE)}, 1) AS ba, {strip_text(f"regexp_extract(m, {lit(BTN_RE)}, 2)")} AS label FROM b1),
 btn AS (SELECT page_id, 1 AS type_order, pos::BIGINT AS pos, 'button' AS type, label,
           CASE WHEN coalesce({exact_attr('ba', 'data-href')}, '') <> '' THEN {exact_attr('ba', 'data-href')}
                ELSE nullif({exact_attr('ba', 'formaction')}, '') END AS leads_to,
           NULL::VARCHAR AS endpoint, label AS k FROM b2),
-a0 AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), {lit(A_RE)}) AS ms FROM corpus),
+a0 AS (SELECT page_id, regexp_extract_all({live("coalesce(html, '')")}, {lit(A_RE)}) AS ms FROM corpus),
 a1 AS (SELECT page_id, pos, ms[pos + 1] AS m FROM (SELECT page_id, ms, unnest(range(len(ms))) AS pos FROM a0)),
 a2 AS (SELECT page_id, pos, {exact_attr(f"regexp_extract(m, {lit(A_RE)}, 1)", 'href')} AS href,
           {strip_text(f"regexp_extract(m, {lit(A_RE)}, 2)")} AS label FROM a1),
@@ -505,8 +520,8 @@ lnk AS (SELECT page_id, 2 AS type_order, pos::BIGINT AS pos, 'link' AS type, lab
           NULL::VARCHAR AS endpoint, label || ':' || href AS k FROM a2
         WHERE href IS NOT NULL AND href <> '' AND NOT starts_with(href, 'mailto:')
           AND NOT starts_with(href, 'javascript:') AND NOT starts_with(href, '#')),
-ch0 AS (SELECT page_id, regexp_split_to_array(coalesce(html, ''), {lit(FORM_RE)}) AS outs,
-          regexp_extract_all(coalesce(html, ''), {lit(FORM_RE)}) AS fs FROM corpus),
+ch0 AS (SELECT page_id, regexp_split_to_array({live("coalesce(html, '')")}, {lit(FORM_RE)}) AS outs,
+          regexp_extract_all({live("coalesce(html, '')")}, {lit(FORM_RE)}) AS fs FROM corpus),
 ch1 AS (SELECT page_id, i, outs[i + 1] AS piece, fs[i + 1] AS f
         FROM (SELECT page_id, outs, fs, unnest(range(len(outs))) AS i FROM ch0)),
 ch2 AS (SELECT page_id, i * 2 AS o, piece AS body, NULL::VARCHAR AS fattrs FROM ch1
@@ -560,7 +575,7 @@ sc0 AS (SELECT page_id, coalesce(html, '') AS html,
   FROM corpus),
 sc1 AS (SELECT page_id, html, list_transform(list_concat({_parts_starting_api('lines', '"')}, {_parts_starting_api('lines', "'")}),
     lambda p: split_part(split_part(p, '?', 1), ' ', 1)) AS from_scripts FROM sc0),
-at0 AS (SELECT page_id, html, from_scripts, regexp_extract_all(html, {lit(TAG)}, 3) AS attrs FROM sc1),
+at0 AS (SELECT page_id, html, from_scripts, regexp_extract_all({live('html')}, {lit(TAG)}, 3) AS attrs FROM sc1),
 at1 AS (SELECT page_id, from_scripts,
     flatten(list_transform(attrs, lambda a: regexp_extract_all(a, {lit(ATTRV_RE)}, 1))) AS ns,
     flatten(list_transform(attrs, lambda a: list_transform(range(1, len(regexp_extract_all(a, {lit(ATTRV_RE)}, 0)) + 1),
@@ -596,7 +611,7 @@ su2 AS (
 su3 AS (
   SELECT page_id, text, len(list_filter(raw_blocks, lambda b: length(b) > 800))::INTEGER AS trimmed,
     list_transform(raw_blocks, lambda b: CASE WHEN length(b) > 800 THEN
-      substring(b, greatest(0, strpos(lower(b), {lit(SEARCH_Q.lower())}) - 1 - 400) + 1, 800) || ' [block trimmed to 800 chars]'
+      substring(b, greatest(0, strpos(lower(b), {lit(SEARCH_Q.lower())}) - 1 - 400) + 1, 800) || ' [800 characters kept]'
       ELSE b END) AS blocks0
   FROM su2),
 su4 AS (
@@ -607,24 +622,19 @@ FROM (SELECT *, unnest(range(len(blocks))) AS block_no FROM su4)"""
 
 
 def _note(shown: str, bl: str) -> str:
-    return (f"(chr(10) || chr(10) || '[... truncated: ' || ({shown})::VARCHAR || ' of ' || ({bl})::VARCHAR "
-            f"|| ' chars shown. Use maxChars to increase.]')")
-
+    return f"(chr(10) || chr(10) || '[' || ({shown})::VARCHAR || ' of ' || ({bl})::VARCHAR || ' characters fit the budget]')"
 
-_budget_steps = []
-for _i in range(4):
-    _budget_steps.append(
-        f"b{_i + 1} AS (SELECT *, greatest(0, 1200 - hl - length({_note(f'least(k{_i}, bl)', 'bl')})) AS k{_i + 1} FROM b{_i})")
 
 ORACLES["text_budget"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + f""",
 hd AS (
   SELECT c.page_id, c.text, 'URL: ' || p.url || chr(10) || 'TITLE: ' || {title_expr('p.html')} || chr(10)
     || CASE WHEN si.unclosed IS NOT NULL THEN 'NOTE: <' || si.unclosed
-       || '> is never closed in the source — its navigation text was NOT stripped and appears below.' || chr(10) ELSE '' END
+       || '> has no end tag, so its text is kept below.' || chr(10) ELSE '' END
     || chr(10) AS header
   FROM clean c JOIN corpus p USING (page_id) JOIN stripinfo si USING (page_id)),
-b0 AS (SELECT *, length(header) AS hl, length(text) AS bl, greatest(0, 1200 - length(header)) AS k0 FROM hd),
-{", ".join(_budget_steps)},
+b0 AS (SELECT *, length(header) AS hl, length(text) AS bl FROM hd),
+-- the largest count that fits with its notice, found by trying all
+b4 AS (SELECT *, coalesce(list_max(list_filter(range(0, 1201), lambda k: hl + k + length({_note('k', 'bl')}) <= 1200)), 0) AS k4 FROM b0),
 outb AS (SELECT page_id, CASE WHEN hl + bl <= 1200 THEN header || text
                       ELSE header || substring(text, 1, k4) || {_note('k4', 'bl')} END AS body FROM b4)
 SELECT page_id, body, length(body)::INTEGER AS n_chars FROM outb"""
@@ -742,8 +752,8 @@ ORACLES["search_top"] = with_files(_HITS + "\nSELECT file_id, rank, line_no, occ
 def _trim(line: str) -> str:
     at = f"(CASE WHEN regexp_matches({line}, {lit(_SRCH)}) THEN length(regexp_extract({line}, '(?s)^(.*?)(?i:the)', 1)) + 1 ELSE 0 END)"
     start = f"greatest(0, (CASE WHEN {at} = 0 THEN 0 ELSE {at} - 1 END) - 400)"
-    return (f"CASE WHEN length({line}) > 800 THEN substring({line}, {start} + 1, 800) || '  [line trimmed to 800 of ' "
-            f"|| length({line})::VARCHAR || ' chars' || CASE WHEN {at} = 0 THEN '' ELSE ', match at col ' || {at}::VARCHAR END "
+    return (f"CASE WHEN length({line}) > 800 THEN substring({line}, {start} + 1, 800) || '  [800 of ' "
+            f"|| length({line})::VARCHAR || ' characters kept' || CASE WHEN {at} = 0 THEN '' ELSE '; the match starts at ' || {at}::VARCHAR END "
             f"|| ']' ELSE {line} END"), at
 
 
@@ -920,24 +930,31 @@ u AS (
   SELECT k AS url_id, o1, o2, o3, o4,
     o1::VARCHAR || '.' || o2::VARCHAR || '.' || o3::VARCHAR || '.' || o4::VARCHAR AS quad,
     CASE WHEN k % 7 = 0 THEN 'ftp' ELSE 'http' END AS scheme,
-    CASE WHEN k % 17 = 0 THEN 'name' WHEN k % 13 = 0 THEN 'v6' WHEN k % 11 = 0 THEN 'mapped' ELSE 'v4' END AS form,
+    CASE WHEN k % 17 = 0 THEN 'name' WHEN k % 13 = 0 THEN 'v6' WHEN k % 11 = 0 THEN 'mapped' WHEN k % 19 = 0 THEN 'spelled' ELSE 'v4' END AS form,
+    CASE WHEN k % 23 = 0 THEN ':/' WHEN k % 29 = 0 THEN ':' || chr(92) || chr(92) ELSE '://' END AS slashes,
     CASE WHEN k % 5 = 0 THEN ':8080' ELSE '' END AS port
   FROM c),
 u2 AS (
   SELECT *, CASE form WHEN 'name' THEN 'host' || url_id::VARCHAR || '.example' WHEN 'v6' THEN '[fe80::1]'
-                      WHEN 'mapped' THEN '[::ffff:' || quad || ']' ELSE quad END AS h
-  FROM u),
+                      WHEN 'mapped' THEN '[::ffff:' || quad || ']'
+                      WHEN 'spelled' THEN CASE url_id % 6 WHEN 0 THEN v4num::VARCHAR WHEN 1 THEN '0x' || printf('%x', v4num)
+                        WHEN 2 THEN quad || '.' WHEN 3 THEN o1::VARCHAR || '.' || (o2 * 65536 + o3 * 256 + o4)::VARCHAR
+                        WHEN 4 THEN replace(quad, '.', '%2E')
+                        ELSE '[0:0:0:0:0:ffff:' || printf('%x', o1 * 256 + o2) || ':' || printf('%x', o3 * 256 + o4) || ']' END
+                      ELSE quad END AS h,
+    -- the host as it must be read: the address itself, except for the IPv6 spelling
+    CASE WHEN form = 'spelled' AND url_id % 6 < 5 THEN quad END AS read
+  FROM (SELECT *, o1 * 16777216 + o2 * 65536 + o3 * 256 + o4 AS v4num FROM u)),
 allow AS (
   SELECT DISTINCT lower(u2.h || u2.port) AS entry FROM u2 JOIN customer cu ON cu.c_custkey = u2.url_id
   WHERE cu.c_mktsegment = 'BUILDING'),
 u3 AS (
-  SELECT *, scheme || '://' || h || port || '/p' AS url, lower(regexp_replace(h, '^\\[|\\]$', '', 'g')) AS host,
-    o1 * 16777216 + o2 * 65536 + o3 * 256 + o4 AS v4num
+  SELECT *, scheme || slashes || h || port || '/p' AS url, coalesce(read, lower(regexp_replace(h, '^\\[|\\]$', '', 'g'))) AS host
   FROM u2),
 u4 AS (
   SELECT *,
-    (host IN (SELECT lower(entry) FROM allow) OR (lower(h) || port) IN (SELECT lower(entry) FROM allow)) AS allowed,
-    CASE WHEN form IN ('v4', 'mapped') THEN
+    (host IN (SELECT lower(entry) FROM allow) OR (coalesce(read, lower(h)) || port) IN (SELECT lower(entry) FROM allow)) AS allowed,
+    CASE WHEN form IN ('v4', 'mapped', 'spelled') THEN
       CASE WHEN o1 = 0 THEN '0.0.0.0/8 (this network)' WHEN o1 = 10 THEN '10.0.0.0/8 (private)'
            WHEN o1 = 127 THEN '127.0.0.0/8 (loopback)'
            WHEN o1 = 169 AND o2 = 254 THEN '169.254.0.0/16 (link-local — cloud instance metadata)'

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tags_to_text
+from tessera.functions.text import spoken_html, tags_to_text
 from tessera.operators import elements as E
 from tessera.operators import html as H
 from tessera.operators import links as L
@@ -43,7 +43,7 @@ def _site_maps(spark, d):
     pages, walk = _walk(spark, d)
     clean = H.clean_pages(pages, extras={"title": P.page_title(F.col("html")),
                                          "api_hints": P.api_hints_quoted(F.col("html")),
-                                         "auth_required": P.auth_required_substring(tags_to_text(F.col("html")))})
+                                         "auth_required": P.auth_required_substring(tags_to_text(spoken_html(F.col("html"))))})
     facts = clean.select("page_id", "title", P.page_summary(F.col("text")).alias("summary"), "api_hints", "auth_required")
     forms = E.extract_forms(pages).groupBy("page_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("form_no", "page", "fields", "action", "method"))),

@@ -190,13 +190,23 @@ def synth_hosts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     k = F.col("c_custkey")
     quad = F.concat_ws(".", ((k * 37) % 256).cast("string"), ((k * 11) % 256).cast("string"),
                        (k % 256).cast("string"), ((k * 7) % 256).cast("string"))
+    o1, o2, o3, o4 = (k * 37) % 256, (k * 11) % 256, k % 256, (k * 7) % 256
+    number = o1 * 16777216 + o2 * 65536 + o3 * 256 + o4
+    # the same address as a number, in hex, with a final dot, in two parts, percent-coded, or in all eight groups
+    spelled = (F.when(k % 6 == 0, number.cast("string")).when(k % 6 == 1, F.concat(F.lit("0x"), F.lower(F.hex(number))))
+               .when(k % 6 == 2, F.concat(quad, F.lit(".")))
+               .when(k % 6 == 3, F.concat(o1.cast("string"), F.lit("."), (o2 * 65536 + o3 * 256 + o4).cast("string")))
+               .when(k % 6 == 4, F.replace(quad, F.lit("."), F.lit("%2E")))
+               .otherwise(F.concat(F.lit("[0:0:0:0:0:ffff:"), F.lower(F.hex(o1 * 256 + o2)), F.lit(":"), F.lower(F.hex(o3 * 256 + o4)), F.lit("]"))))
     host = (F.when(k % 17 == 0, F.concat(F.lit("host"), k.cast("string"), F.lit(".example")))
             .when(k % 13 == 0, F.lit("[fe80::1]"))
             .when(k % 11 == 0, F.concat(F.lit("[::ffff:"), quad, F.lit("]")))
+            .when(k % 19 == 0, spelled)
             .otherwise(quad))
     port = F.when(k % 5 == 0, F.lit(":8080")).otherwise(F.lit(""))
     scheme = F.when(k % 7 == 0, F.lit("ftp")).otherwise(F.lit("http"))
-    urls = c.select(k.alias("url_id"), F.concat(scheme, F.lit("://"), host, port, F.lit("/p")).alias("url"))
+    slashes = F.when(k % 23 == 0, F.lit(":/")).when(k % 29 == 0, F.lit(":\\\\")).otherwise(F.lit("://"))
+    urls = c.select(k.alias("url_id"), F.concat(scheme, slashes, host, port, F.lit("/p")).alias("url"))
     # The allow-list names the host (and port, when the URL has one) of every
     # customer in one market segment.
     allow = c.where(F.col("c_mktsegment") == "BUILDING").select(F.concat(host, port).alias("entry")).distinct()

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tags_to_text
+from tessera.functions.text import spoken_html, tags_to_text
 from tessera.operators import elements as E
 from tessera.operators import html as H
 from tessera.operators import links as L
@@ -121,7 +121,7 @@ def q_auth_word(spark, d):
 
 def q_auth_substring(spark, d):
     return _corpus(spark, d).select(
-        "page_id", P.auth_required_substring(tags_to_text(F.col("html"))).alias("auth_required"))
+        "page_id", P.auth_required_substring(tags_to_text(spoken_html(F.col("html")))).alias("auth_required"))
 
 
 def q_page_search(spark, d):
@@ -129,15 +129,13 @@ def q_page_search(spark, d):
 
 
 def q_text_budget(spark, d):
-    c = _clean(spark, d, title=P.page_title(F.col("html")))
-    urls = _corpus(spark, d).select("page_id", "url")
+    c = _clean(spark, d, title=P.page_title(F.col("html")), url=F.col("url"))
     note = F.when(F.col("unclosed").isNotNull(), F.concat(
-        F.lit("NOTE: <"), F.col("unclosed"),
-        F.lit("> is never closed in the source — its navigation text was NOT stripped and appears below.\n"))
+        F.lit("NOTE: <"), F.col("unclosed"), F.lit("> has no end tag, so its text is kept below.\n"))
     ).otherwise(F.lit(""))
     header = F.concat(F.lit("URL: "), F.col("url"), F.lit("\nTITLE: "), F.col("title"), F.lit("\n"), note, F.lit("\n"))
     out = P.budget_text(header, F.col("text"), TEXT_BUDGET)
-    return c.join(urls, "page_id").select("page_id", out.alias("body"), F.length(out).cast("int").alias("n_chars"))
+    return c.select("page_id", out.alias("body"), F.length(out).cast("int").alias("n_chars"))
 
 
 def q_site_outline(spark, d):

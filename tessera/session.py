@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _driver_memory() -> str:
@@ -46,16 +47,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     as is. Only when it is unset (local tests) a folder is made under /tmp.
     """
     conf = spark.sparkContext.getConf()
+    master = spark.sparkContext.master
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not path:
+        if not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the shared checkpoint folder and read it back.
+
+    Cuts the lineage without staging blocks on executors: the rows are
+    computed once, and a lost executor loses none of them. The size of the
+    result is known when later joins are planned.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Cut the lineage of an intermediate that several branches read.
 

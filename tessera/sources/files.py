@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # --- fixed values --------------------------------------------------------
 MAX_TEXT_BYTES = 32 * 1024 * 1024
 SNIFF_BYTES = 8192
-ROOTS_INLINE_LIMIT = 10_000
 # -------------------------------------------------------------------------
 
 
@@ -62,21 +61,20 @@ def confine_paths(files: DataFrame, roots: DataFrame, path_col: str = "path") ->
     'src1' does not admit 'src10/x'). An empty roots table keeps everything.
 
     Roots are matched by an equi-join on every ancestor folder of the path
-    (the path's prefixes ending at a '/'), so no nested-loop join is needed
-    however many roots there are.
+    (the path's prefixes ending at a '/'), over distinct paths only; file rows
+    then meet the admitted paths in a semi join, so no row id is needed and
+    repeated rows stay as they are.
     """
-    n_roots = roots.limit(ROOTS_INLINE_LIMIT + 1).count()
-    if n_roots == 0:
-        return files
-    r = roots.select(F.regexp_replace(F.col("root"), "/+$", "").alias("anc")).distinct()
+    anywhere = "/"  # no root ends in a slash, so this can't be one
+    named = roots.select(F.regexp_replace(F.col("root"), "/+$", "").alias("anc")).distinct()
+    none = roots.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(anywhere).alias("anc"))
+    path = F.coalesce(F.col(path_col), F.lit(""))
+    admitted = (files.select(path.alias("admitted path")).distinct()
+                .select("admitted path", F.explode(F.concat(_prefixes("admitted path"), F.array(F.lit(anywhere)))).alias("anc"))
+                .join(named.union(none), "anc", "left_semi").select("admitted path").distinct())
+    return files.join(admitted, path == F.col("admitted path"), "left_semi")
+
+
+def _prefixes(path_col: str) -> Column:
     parts = F.split(F.col(path_col), "/", -1)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                           lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    if n_roots <= ROOTS_INLINE_LIMIT:
-        # A short root list (counted first) is inlined: a narrow filter.
-        roots_list = [x[0] for x in r.collect()]
-        return files.where(F.arrays_overlap(prefixes, F.array(*[F.lit(x) for x in roots_list])))
-    keyed = files.withColumn("_fk", F.monotonically_increasing_id())
-    cand = keyed.select("*", F.explode(prefixes).alias("anc"))
-    hit = cand.join(r, "anc", "left_semi").drop("anc")
-    return hit.dropDuplicates(["_fk"]).drop("_fk")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tags_to_text
+from tessera.functions.text import spoken_html, tags_to_text
 from tessera.operators.html import clean_pages
 from tessera.operators.pages import (api_hints_quoted, auth_required_substring, auth_required_word,
                                      page_summary, page_title)
@@ -35,7 +35,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     raw_text = tags_to_text(html)
     return pages.where(F.octet_length(html) <= MAX_BODY_BYTES).select(
         "page_id", "url", page_title(html).alias("title"), api_hints_quoted(html).alias("api_hints"),
-        auth_required_word(raw_text).alias("auth_word"), auth_required_substring(raw_text).alias("auth_substring"))
+        auth_required_word(raw_text).alias("auth_word"), auth_required_substring(tags_to_text(spoken_html(html))).alias("auth_substring"))
 
 
 def clean_batch(batch: DataFrame) -> DataFrame:

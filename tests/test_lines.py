@@ -28,7 +28,7 @@ def test_long_line_trimmed_around_match(spark):
     f = _files(spark, [line])
     r = trimmed_hits(search_lines(f, "needle", ctx=0), "needle").collect()[0]
     assert r.trimmed and r.match_col == 50_001 and len(r.text.split("  [")[0]) == 800
-    assert "needle" in r.text and r.text.endswith("[line trimmed to 800 of 100006 chars, match at col 50001]")
+    assert "needle" in r.text and r.text.endswith("[800 of 100006 characters kept; the match starts at 50001]")
 
 
 def test_regex_argument_check():
@@ -36,6 +36,11 @@ def test_regex_argument_check():
         check_pattern("(a+)+$")
     with pytest.raises(ValueError):
         check_pattern("x" * 201)
+    for bad in ("((a+))*", "(a{2,3}b)+", r"(x(?:y*)z){2}", "((ab)*c)+"):
+        with pytest.raises(ValueError):
+            check_pattern(bad)
+    for good in ("(a+)(b*)", "(ab)+c*", "(a+)?", r"(\+)+", "([+*])+"):
+        check_pattern(good)
     check_pattern(r"foo\(bar")
     check_pattern(r"[(a+)+]")
 

@@ -47,7 +47,7 @@ def test_bucketed_pages_need_no_exchange(spark):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS tessera_t LOCATION '{wh}'")
     save_pages_bucketed(pages, "tessera_t.pages_b", 8)
     b = spark.table("tessera_t.pages_b")
-    df = clean_pages(b, prepartitioned=True).select("page_id", "text")
+    df = clean_pages(b).select("page_id", "text")
     plan = _final_plan(df)
     assert "Exchange" not in plan
     want = {r.page_id: r.text for r in clean_pages(pages).select("page_id", "text").collect()}
