@@ -737,16 +737,20 @@ ORACLES["search_regex"] = with_files(f"SELECT file_id, line_no, line FROM flines
 
 _HITS = f""",
 hits AS (
-  SELECT f.file_id, l.line_no, l.line, f.lines, f.total_lines,
-    (row_number() OVER (PARTITION BY f.file_id ORDER BY l.line_no))::INTEGER AS rank,
-    (count(*) OVER (PARTITION BY f.file_id))::INTEGER AS occurrences
-  FROM flines l JOIN files2 f USING (file_id) WHERE regexp_matches(l.line, {lit(_SRCH)})),
-ctx AS (
-  SELECT *, lines[greatest(1, line_no - 5):line_no - 1] AS before,
-    lines[line_no + 1:least(total_lines, line_no + 5)] AS after FROM hits)"""
-
-ORACLES["search_context"] = with_files(_HITS + "\nSELECT file_id, line_no, before, after FROM ctx")
-ORACLES["search_top"] = with_files(_HITS + "\nSELECT file_id, rank, line_no, occurrences FROM ctx WHERE rank <= 20")
+  SELECT file_id, line_no, line,
+    (row_number() OVER (PARTITION BY file_id ORDER BY line_no))::INTEGER AS rank,
+    (count(*) OVER (PARTITION BY file_id))::INTEGER AS occurrences
+  FROM flines WHERE regexp_matches(line, {lit(_SRCH)}))"""
+
+# context from a frame of eleven line rows, so that no hit carries its whole file
+ORACLES["search_context"] = with_files(f"""
+, framed AS (
+  SELECT file_id, line_no, line,
+    list(line) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before,
+    list(line) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS after
+  FROM flines)
+SELECT file_id, line_no, coalesce(before, []) AS before, coalesce(after, []) AS after FROM framed WHERE regexp_matches(line, {lit(_SRCH)})""")
+ORACLES["search_top"] = with_files(_HITS + "\nSELECT file_id, rank, line_no, occurrences FROM hits WHERE rank <= 20")
 
 
 def _trim(line: str) -> str:
@@ -761,7 +765,7 @@ _tt, _at = _trim("e.line")
 ORACLES["trim_match"] = with_files(_HITS + f""",
 emitted AS (
   SELECT c.file_id, c.line_no AS hit_line_no, l.line_no, l.line
-  FROM ctx c JOIN flines l ON l.file_id = c.file_id AND l.line_no BETWEEN greatest(1, c.line_no - 5) AND c.line_no + 5
+  FROM hits c JOIN flines l ON l.file_id = c.file_id AND l.line_no BETWEEN greatest(1, c.line_no - 5) AND c.line_no + 5
   WHERE c.rank <= 20)
 SELECT e.file_id, e.hit_line_no, e.line_no, {_tt} AS text, length(e.line) > 800 AS trimmed,
   length(e.line)::INTEGER AS n_chars, CASE WHEN length(e.line) > 800 AND {_at} > 0 THEN {_at}::INTEGER END AS match_col
