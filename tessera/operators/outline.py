@@ -3,33 +3,22 @@ and Markdown (O17) files, docstring mask (O18), block ends (O19, O20),
 nesting (O21), listing (O22), depth cut (O23), symbol fetch (O24) and
 accuracy against a truth table (O25).
 
-Plan shape. Files are hash-partitioned on ``file_id`` once; every later
-window, aggregate and union is keyed by ``file_id`` first, so the line rows
-never move again. The character scanners of a line-by-line reader become:
-
-* one lexing regex per file (comments, triple/one-line strings) whose
-  tokens are rewritten into a "clean" text with the same line breaks;
-* prefix sums over lines (bracket depth, masked ranges, last code line);
-* "first later line meeting a threshold" lookups (signature end, stop
-  line, brace end). A file has only a few distinct thresholds (header
-  indents, bracket depths), so each lookup is a window over the union of
-  query rows and qualifying line rows, partitioned by (file, threshold),
-  running backwards: linear in lines, no pairwise join.
-
-Nesting uses depth from start/end events and "previous symbol one level
-up", which equals the nearest covering symbol whenever ranges nest.
+Plan shape. A file's text never leaves its row. One lexing regex per file
+rewrites comments and strings into a "clean" text with the same line breaks;
+each line becomes a few numbers and flags (bracket change, indent, last
+characters); and one fold over a file's lines keeps the blocks that are still
+open, each with the indent or bracket depth that ends it. The fold is linear in
+lines times open blocks. Nesting, likewise, folds a file's symbols in line order
+over the stack of symbols that may still cover the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import WS, js_trim
 from tessera.operators.lines import numbered
-from tessera.session import materialize
 from tessera.sources.files import split_lines
 
 # --- fixed values --------------------------------------------------------
@@ -69,16 +58,27 @@ MASK_CLOSE = "\u0002"
 SHOW_CANDIDATES = 20
 # -------------------------------------------------------------------------
 
-def _run():
-    return Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _rows(files: DataFrame, symbols: str) -> DataFrame:
+    """One row a symbol. (``explode`` would have Spark infer a filter that folds
+    every file a second time.)"""
+    s = files.select("file_id", F.explode_outer(symbols).alias("s")).where("s is not null")
+    return s.select("file_id", "s.kind", "s.name", "s.start_line", "s.end_line")
+
 
+SYMBOL = "struct<kind:string,name:string,start_line:int,end_line:int>"
 
-def _before():
-    return Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
 
+def _symbol(kind: Column, name: Column, start: Column, end: Column) -> Column:
+    return F.struct(kind.alias("kind"), name.alias("name"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
 
-def _whole():
-    return Window.partitionBy("file_id")
+
+def _none(element: str) -> Column:
+    return F.array().cast(f"array<{element}>")
 
 
 def _clean_text(text: Column, lex: str, rewrite) -> Column:
@@ -109,82 +109,69 @@ def _js_rewrite(t: Column) -> Column:
             .otherwise(F.substring(t, 1, 1)))
 
 
-def _line_rows(files: DataFrame, lex: str, rewrite) -> DataFrame:
-    """(file_id, total_lines, line_no, raw, clean) with files hash-partitioned
-    on file_id (the only exchange of file text)."""
-    f = files.select("file_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).repartition("file_id")
-    f = f.select("file_id", split_lines(F.col("text")).alias("raw"),
-                 F.split(_clean_text(F.col("text"), lex, rewrite), "\n", -1).alias("clean"))
-    f = f.select("file_id", F.size("raw").cast("int").alias("total_lines"),
-                 F.posexplode(F.zip_with("raw", F.slice("clean", 1, F.size("raw")),
-                                         lambda r, c: F.struct(r.alias("raw"), c.alias("clean")))).alias("i", "l"))
-    return f.select("file_id", "total_lines", (F.col("i") + 1).cast("int").alias("line_no"),
-                    F.col("l.raw").alias("raw"), F.col("l.clean").alias("clean"))
-
-
-def _first_point(queries: DataFrame, points: DataFrame, keys: Sequence[str], strict: bool,
-                 payload: Sequence[str] = ()) -> DataFrame:
-    """For each query row (keys, pos, q...) the first point row (keys, pos,
-    payload...) at pos >= (or >) the query's pos, as struct ``hit``.
-
-    One window over the union, partitioned by ``keys`` (file_id first) and
-    running from the end of the file backwards."""
-    qcols = [c for c in queries.columns]
-    q = queries.select(*keys, F.col("pos"), F.lit(0 if strict else 1).alias("_typ"),
-                       F.struct(*qcols).alias("_q"), F.lit(None).alias("_p"))
-    p = points.select(*keys, F.col("pos"), F.lit(1 if strict else 0).alias("_typ"),
-                      F.lit(None).alias("_q"), F.struct(F.col("pos").alias("pos"), *payload).alias("_p"))
-    q = q.withColumn("_p", F.col("_p").cast(p.schema["_p"].dataType))
-    p = p.withColumn("_q", F.col("_q").cast(q.schema["_q"].dataType))
-    u = q.unionByName(p)
-    w = (Window.partitionBy(*keys).orderBy(F.col("pos").desc(), F.col("_typ"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("hit", F.min("_p").over(w))
-    return u.where(F.col("_q").isNotNull()).select("_q.*", "hit")
-
-
-def _explode_thresholds(rows: DataFrame, set_col: str, test) -> DataFrame:
-    """Repeat each row once per threshold in ``set_col`` that ``test`` admits."""
-    return rows.select("*", F.explode(F.filter(set_col, test)).alias("thr"))
+def _lines(files: DataFrame, lex: str, rewrite) -> DataFrame:
+    """(file_id, total_lines, lines): each line as (i, raw, clean), i from 1."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    f = files.select("file_id", split_lines(text).alias("raw"), F.split(_clean_text(text, lex, rewrite), "\n", -1).alias("clean"))
+    line = lambda x, i: F.struct((i + 1).alias("i"), x["raw"].alias("raw"), x["clean"].alias("clean"))
+    zipped = F.arrays_zip("raw", F.slice("clean", F.lit(1), F.size("raw")).alias("clean"))
+    return f.select("file_id", F.size("raw").cast("int").alias("total_lines"), F.transform(zipped, line).alias("lines"))
 
 
 # ----------------------------------------------------------------- Python
 
-def python_lines(files: DataFrame) -> DataFrame:
-    """Line rows of Python files with mask, bracket depth, colon facts and
-    code flags (O18 is ``masked``)."""
-    r = _line_rows(files, PY_LEX, _py_rewrite)
-    clean = F.col("clean")
-    # anchored (one start position) and only on the rare lines holding a marker
-    span = F.when(clean.contains(MASK_OPEN),
-                  F.regexp_extract(clean, "^.*" + MASK_OPEN + r"(\d+)" + MASK_CLOSE, 1)).otherwise(F.lit(""))
-    opens = F.length(F.regexp_replace(clean, r"[^(\[{]", ""))
-    closes = F.length(F.regexp_replace(clean, r"[^)\]}]", ""))
-    trimmed = js_trim(F.col("raw"))
-    r = r.select("*",
-                 F.when(span != "", F.col("line_no") + span.cast("int")).alias("mask_end"),
-                 (opens - closes).alias("delta"),
-                 clean.contains(":").alias("has_colon"),
-                 (js_trim(F.regexp_extract(clean, r":([^:]*)$", 1)) != "").alias("after_colon"),
-                 F.length(F.regexp_extract(F.col("raw"), "^(" + WS + "*)", 1)).alias("indent"),
-                 ((trimmed != "") & ~trimmed.startswith("#")).alias("is_code"))
-    cls = F.regexp_extract("raw", PY_CLASS, 2)
-    dfn = F.regexp_extract("raw", PY_DEF, 2)
-    r = r.withColumn("kind0", F.when(cls != "", F.lit("class")).when(dfn != "", F.lit("def")))
-    r = r.withColumn("name", F.when(cls != "", cls).when(dfn != "", dfn))
-    # Only per-line scalars go on to the windows: the line strings stay behind.
-    r = r.drop("raw", "clean")
-    r = r.withColumn("masked", F.coalesce(F.max("mask_end").over(_before()) >= F.col("line_no"), F.lit(False)))
-    r = r.withColumn("depth_after", F.sum("delta").over(_run()))
-    cm = F.col("is_code") | F.col("masked")
-    r = r.withColumn("last_cm_before", F.max(F.when(cm, F.col("line_no"))).over(_before()))
-    r = r.withColumn("last_cm_file", F.max(F.when(cm, F.col("line_no"))).over(_whole()))
-    r = r.withColumn("kind", F.when(~F.col("masked"), F.col("kind0"))).drop("kind0")
-    r = r.withColumn("name", F.when(F.col("kind").isNotNull(), F.col("name")))
-    sym = F.col("kind").isNotNull()
-    r = r.withColumn("indent_set", F.collect_set(F.when(sym, F.col("indent"))).over(_whole()))
-    r = r.withColumn("depth_set", F.collect_set(F.when(sym, F.col("depth_after") - F.col("delta"))).over(_whole()))
-    return r
+def _python_facts(files: DataFrame) -> DataFrame:
+    """(file_id, total_lines, facts): what the fold needs of each line."""
+    def fact(x: Column) -> Column:
+        raw, clean = x["raw"], x["clean"]
+        span = F.when(clean.contains(MASK_OPEN), F.regexp_extract(clean, "^.*" + MASK_OPEN + r"(\d+)" + MASK_CLOSE, 1)).otherwise(F.lit(""))
+        opens, closes = F.length(F.regexp_replace(clean, r"[^(\[{]", "")), F.length(F.regexp_replace(clean, r"[^)\]}]", ""))
+        trimmed = js_trim(raw)
+        cls, dfn = F.regexp_extract(raw, PY_CLASS, 2), F.regexp_extract(raw, PY_DEF, 2)
+        return F.struct(
+            x["i"].alias("i"), F.when(span != "", x["i"] + span.cast("int")).otherwise(F.lit(0)).alias("mask_end"), (opens - closes).alias("delta"),
+            clean.contains(":").alias("colon"), (js_trim(F.regexp_extract(clean, r":([^:]*)$", 1)) != "").alias("after_colon"),
+            F.length(F.regexp_extract(raw, "^(" + WS + "*)", 1)).alias("indent"), ((trimmed != "") & ~trimmed.startswith("#")).alias("is_code"),
+            F.when(cls != "", F.lit("class")).when(dfn != "", F.lit("def")).alias("kind"), F.when(cls != "", cls).otherwise(dfn).alias("name"))
+    return _lines(files, PY_LEX, _py_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
+
+
+#: An open block: header indent and bracket depth, and the line its signature ends on.
+_PY_OPEN = "struct<kind:string,name:string,st:int,indent:int,depth:int,sig:int,end:int>"
+
+
+def _python_fold(facts: Column, total: Column) -> Column:
+    def state(mask_end, depth, last, open_, done) -> Column:
+        return F.struct(mask_end.cast("int").alias("mask_end"), depth.cast("int").alias("depth"), last.cast("int").alias("last"),
+                        open_.alias("open"), done.alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        i, masked, depth = x["i"], acc["mask_end"] >= x["i"], acc["depth"] + x["delta"]
+        last = F.when(x["is_code"] | masked, i).otherwise(acc["last"])
+
+        def judge(s: Column) -> Column:
+            # the signature ends at the first ':' with the brackets closed; a statement behind it makes the block one line
+            sig = F.when(s["sig"].isNull() & x["colon"] & (depth <= s["depth"]), i).otherwise(s["sig"])
+            # the body ends before the first code line that is not indented further than the header
+            left = s["sig"].isNotNull() & x["is_code"] & ~masked & (x["indent"] <= s["indent"])
+            end = (F.when(s["sig"].isNull() & sig.isNotNull() & x["after_colon"], sig)
+                   .when(left, F.greatest(s["sig"], F.coalesce(acc["last"], s["sig"]))))
+            return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["st"].alias("st"), s["indent"].alias("indent"),
+                            s["depth"].alias("depth"), sig.cast("int").alias("sig"), end.cast("int").alias("end"))
+
+        header = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), x["indent"].alias("indent"), acc["depth"].alias("depth"),
+                          F.lit(None).cast("int").alias("sig"), F.lit(None).cast("int").alias("end"))
+        opened = F.when(x["kind"].isNotNull() & ~masked, F.concat(acc["open"], F.array(header).cast(f"array<{_PY_OPEN}>"))).otherwise(acc["open"])
+        mask_end = F.greatest(acc["mask_end"], x["mask_end"])
+        return _let(F.transform(opened, judge).cast(f"array<{_PY_OPEN}>"), lambda b: state(
+            mask_end, depth, last, F.filter(b, lambda s: s["end"].isNull()), F.concat(acc["done"], F.filter(b, lambda s: s["end"].isNotNull()))))
+
+    def finish(acc: Column) -> Column:
+        at_end = lambda s: F.coalesce(s["end"], F.when(s["sig"].isNull(), total).otherwise(F.greatest(s["sig"], F.coalesce(acc["last"], s["sig"]))))
+        return F.transform(F.concat(acc["done"], acc["open"]), lambda s: _symbol(s["kind"], s["name"], s["st"], at_end(s)))
+
+    zero = state(F.lit(0), F.lit(0), F.lit(None), _none(_PY_OPEN), _none(_PY_OPEN))
+    return F.aggregate(facts, zero, step, finish)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -192,55 +179,69 @@ def python_symbols(files: DataFrame) -> DataFrame:
     last body line: signature end by bracket depth and last ':', one-liners
     end on their header, the body is the lines indented past the header
     (blank and comment lines neutral, string lines in the body)."""
-    r = materialize(python_lines(files))
-    syms = r.where(F.col("kind").isNotNull()).select(
-        "file_id", "total_lines", "kind", "name", F.col("line_no").alias("start_line"), F.col("indent").alias("h"),
-        (F.col("depth_after") - F.col("delta")).alias("thr"), F.col("line_no").alias("pos"),
-        "last_cm_file")
-    # signature end: first line >= start with a ':' and depth back to the header's
-    sig_pts = _explode_thresholds(r.where("has_colon"), "depth_set", lambda t: F.col("depth_after") <= t) \
-        .select("file_id", "thr", F.col("line_no").alias("pos"), "after_colon")
-    s = _first_point(syms, sig_pts, ["file_id", "thr"], strict=False, payload=["after_colon"])
-    s = s.withColumn("sig_end", F.col("hit.pos")).withColumn("one_liner", F.coalesce(F.col("hit.after_colon"), F.lit(False)))
-    s = s.drop("hit", "thr").withColumn("thr", F.col("h")).withColumn("pos", F.coalesce("sig_end", "total_lines"))
-    # stop: first later unmasked code line indented no deeper than the header
-    stop_pts = _explode_thresholds(r.where(F.col("is_code") & ~F.col("masked")), "indent_set",
-                                   lambda t: F.col("indent") <= t) \
-        .select("file_id", "thr", F.col("line_no").alias("pos"), "last_cm_before")
-    s = _first_point(s, stop_pts, ["file_id", "thr"], strict=True, payload=["last_cm_before"])
-    j = F.col("pos")
-    end = (F.when(F.col("sig_end").isNull(), F.col("total_lines"))
-           .when(F.col("one_liner"), j)
-           .when(F.col("hit").isNotNull(), F.greatest(j, F.coalesce(F.col("hit.last_cm_before"), j)))
-           .otherwise(F.greatest(j, F.coalesce(F.col("last_cm_file"), j))))
-    return s.select("file_id", "kind", "name", "start_line", end.cast("int").alias("end_line"))
+    f = _python_facts(files).select("file_id", _python_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
+    return _rows(f, "symbols")
 
 
 def docstring_mask(files: DataFrame) -> DataFrame:
     """(file_id, line_no) of lines that begin inside a triple-quoted
     string (the opening line is not masked, the closing line is)."""
-    return python_lines(files).where("masked").select("file_id", "line_no")
+    spans = F.filter("facts", lambda x: (x["mask_end"] > x["i"]) & (x["i"] < F.col("total_lines")))
+    masked = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["i"] + 1, F.least(x["mask_end"], F.col("total_lines"))))))
+    f = _python_facts(files).select("file_id", masked.alias("masked"))
+    f = f.select("file_id", F.explode_outer("masked").alias("line_no")).where("line_no is not null")
+    return f.select("file_id", F.col("line_no").cast("int").alias("line_no"))
 
 
 # ------------------------------------------------------- JavaScript / TS
 
-def js_lines(files: DataFrame) -> DataFrame:
-    r = _line_rows(files, JS_LEX, _js_rewrite)
-    clean = F.col("clean")
-    opens = F.length(F.regexp_replace(clean, r"[^{]", ""))
-    closes = F.length(F.regexp_replace(clean, r"[^}]", ""))
-    tail = F.regexp_extract(F.regexp_replace(clean, WS, ""), r"(.{0,2})$", 1)
-    r = r.select("*", (opens - closes).alias("delta"), (opens > 0).alias("has_open"), tail.alias("tail"))
-    r = r.withColumn("p_after", F.sum("delta").over(_run()))
-    kind = F.lit(None).cast("string")
-    name = F.lit(None).cast("string")
-    for pat, k in reversed(JS_PATTERNS):
-        hit = F.col("raw").rlike(pat)
-        kind = F.when(hit, F.lit(k)).otherwise(kind)
-        name = F.when(hit, F.regexp_extract("raw", pat, 1)).otherwise(name)
-    r = r.withColumn("kind", kind).withColumn("name", name).drop("raw", "clean")
-    r = r.withColumn("p_set", F.collect_set(F.when(F.col("kind").isNotNull(), F.col("p_after") - F.col("delta"))).over(_whole()))
-    return r
+def _js_facts(files: DataFrame) -> DataFrame:
+    def fact(x: Column) -> Column:
+        raw, clean = x["raw"], x["clean"]
+        opens, closes = F.length(F.regexp_replace(clean, r"[^{]", "")), F.length(F.regexp_replace(clean, r"[^}]", ""))
+        tail = F.regexp_extract(F.regexp_replace(clean, WS, ""), r"(.{0,2})$", 1)
+        kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for pat, k in reversed(JS_PATTERNS):
+            hit = raw.rlike(pat)
+            kind = F.when(hit, F.lit(k)).otherwise(kind)
+            name = F.when(hit, F.regexp_extract(raw, pat, 1)).otherwise(name)
+        return F.struct(x["i"].alias("i"), (opens - closes).alias("delta"), (opens > 0).alias("opens"), tail.endswith(";").alias("semi"),
+                        (tail == "=>").alias("arrow"), kind.alias("kind"), name.alias("name"))
+    return _lines(files, JS_LEX, _js_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
+
+
+#: An open block: the brace depth before its header, and whether a brace opened it.
+_JS_OPEN = "struct<kind:string,name:string,st:int,depth:int,started:boolean,end:int>"
+
+
+def _js_fold(facts: Column, total: Column) -> Column:
+    def state(depth, open_, done) -> Column:
+        return F.struct(depth.cast("int").alias("depth"), open_.alias("open"), done.alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        i, depth = x["i"], acc["depth"] + x["delta"]
+
+        def judge(s: Column) -> Column:
+            near = i <= s["st"] + JS_LOOKAHEAD
+            started = s["started"] | (x["opens"] & near)
+            back = depth <= s["depth"]
+            end = (F.when(started, F.when(back & ~x["arrow"], i))
+                   .when(~x["opens"] & x["semi"] & back & near, i)
+                   .when(x["opens"] | (i >= s["st"] + JS_LOOKAHEAD), s["st"]))
+            return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["st"].alias("st"), s["depth"].alias("depth"),
+                            started.alias("started"), end.cast("int").alias("end"))
+
+        header = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), acc["depth"].alias("depth"),
+                          F.lit(False).alias("started"), F.lit(None).cast("int").alias("end"))
+        opened = F.when(x["kind"].isNotNull(), F.concat(acc["open"], F.array(header).cast(f"array<{_JS_OPEN}>"))).otherwise(acc["open"])
+        return _let(F.transform(opened, judge).cast(f"array<{_JS_OPEN}>"), lambda b: state(
+            depth, F.filter(b, lambda s: s["end"].isNull()), F.concat(acc["done"], F.filter(b, lambda s: s["end"].isNotNull()))))
+
+    def finish(acc: Column) -> Column:
+        at_end = lambda s: F.coalesce(s["end"], F.when(s["started"], total).otherwise(s["st"]))
+        return F.transform(F.concat(acc["done"], acc["open"]), lambda s: _symbol(s["kind"], s["name"], s["st"], at_end(s)))
+
+    return F.aggregate(facts, state(F.lit(0), _none(_JS_OPEN), _none(_JS_OPEN)), step, finish)
 
 
 def js_symbols(files: DataFrame) -> DataFrame:
@@ -248,34 +249,8 @@ def js_symbols(files: DataFrame) -> DataFrame:
     (strings and comments ignored, settled only at line ends, never on a
     line ending in '=>', expression arrows end at ';', no '{' within 20
     lines -> the header line)."""
-    r = materialize(js_lines(files))
-    syms = r.where(F.col("kind").isNotNull()).select(
-        "file_id", "total_lines", "kind", "name", F.col("line_no").alias("start_line"),
-        (F.col("p_after") - F.col("delta")).alias("thr"), F.col("line_no").alias("pos"))
-    # first line at or after the header holding a '{'
-    open_pts = r.where("has_open").select("file_id", F.lit(0).alias("thr"), F.col("line_no").alias("pos"))
-    s = _first_point(syms.withColumn("thr0", F.col("thr")).drop("thr").withColumn("thr", F.lit(0)),
-                     open_pts, ["file_id", "thr"], strict=False)
-    s = s.withColumn("first_open", F.col("hit.pos")).drop("hit", "thr").withColumnRenamed("thr0", "thr")
-    # not yet started: a line ending in ';' (not '=>') with depth back to the header's
-    semi_pts = _explode_thresholds(r.where(F.col("tail").endswith(";") & (F.col("tail") != "=>")), "p_set",
-                                   lambda t: F.col("p_after") <= t).select("file_id", "thr", F.col("line_no").alias("pos"))
-    s = _first_point(s, semi_pts, ["file_id", "thr"], strict=False)
-    s = s.withColumn("semi_end", F.col("hit.pos")).drop("hit")
-    # started: first line at or after the first '{' with depth back (not '=>')
-    close_pts = _explode_thresholds(r.where(F.col("tail") != "=>"), "p_set", lambda t: F.col("p_after") <= t) \
-        .select("file_id", "thr", F.col("line_no").alias("pos"))
-    s2 = s.withColumn("pos", F.coalesce("first_open", F.lit(1 << 30)))
-    s2 = _first_point(s2, close_pts, ["file_id", "thr"], strict=False)
-    st = F.col("start_line")
-    fo = F.col("first_open")
-    semi_ok = F.col("semi_end").isNotNull() & (F.col("semi_end") <= st + JS_LOOKAHEAD) & \
-        (fo.isNull() | (F.col("semi_end") < fo))
-    started = fo.isNotNull() & (fo <= st + JS_LOOKAHEAD)
-    end = (F.when(semi_ok, F.col("semi_end"))
-           .when(started, F.coalesce(F.col("hit.pos"), F.col("total_lines")))
-           .otherwise(st))
-    return s2.select("file_id", "kind", "name", "start_line", end.cast("int").alias("end_line"))
+    f = _js_facts(files).select("file_id", _js_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
+    return _rows(f, "symbols")
 
 
 # ----------------------------------------------------------------- Markdown
@@ -284,42 +259,21 @@ def markdown_symbols(files: DataFrame) -> DataFrame:
     """O17: '#'-'###' headings outside fenced code (a fence opens with 3+
     backticks or tildes after at most 3 spaces and closes only with the same
     character); fence lines are never headings; no end line."""
-    f = files.select("file_id", F.coalesce("text", F.lit("")).alias("text")).repartition("file_id")
-    f = f.select("file_id", F.posexplode(split_lines(F.col("text"))).alias("i", "raw"))
-    f = f.select("file_id", (F.col("i") + 1).cast("int").alias("line_no"), "raw",
-                 F.regexp_extract("raw", MD_FENCE, 1).alias("fence"))
-    fences = f.where(F.col("fence") != "").groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", F.substring("fence", 1, 1).alias("ch")))).alias("fl"))
-    # Fold the (few) fence lines of a file into opening/closing line pairs.
-    acc0 = F.struct(F.lit(None).cast("string").alias("open_ch"), F.lit(None).cast("int").alias("open_at"),
-                    F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+    def fact(x: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("i"), F.substring(F.regexp_extract(x, MD_FENCE, 1), 1, 1).alias("fence"),
+                        F.regexp_extract(x, MD_HEADING, 1).alias("hashes"), js_trim(F.regexp_extract(x, MD_HEADING, 2)).alias("name"))
 
     def step(acc: Column, x: Column) -> Column:
-        opening = acc["open_ch"].isNull()
-        closing = ~opening & (x["ch"] == acc["open_ch"])
-        return (F.when(opening, F.struct(x["ch"].alias("open_ch"), x["line_no"].alias("open_at"), acc["spans"].alias("spans")))
-                .when(closing, F.struct(F.lit(None).cast("string").alias("open_ch"), F.lit(None).cast("int").alias("open_at"),
-                                        F.concat(acc["spans"], F.array(F.struct(acc["open_at"].alias("a"),
-                                                                                x["line_no"].alias("b")))).alias("spans")))
-                .otherwise(acc))
+        # within a fence only its own character ends it
+        fence = F.when(x["fence"] == "", acc["fence"]).when(acc["fence"] == "", x["fence"]).when(acc["fence"] == x["fence"], F.lit("")).otherwise(acc["fence"])
+        heading = _symbol(F.concat(F.lit("h"), F.length(x["hashes"]).cast("string")), x["name"], x["i"], F.lit(None))
+        found = F.when((x["fence"] == "") & (acc["fence"] == "") & (x["hashes"] != ""), F.concat(acc["done"], F.array(heading).cast(f"array<{SYMBOL}>")))
+        return F.struct(fence.alias("fence"), found.otherwise(acc["done"]).alias("done"))
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["open_ch"].isNotNull(), F.concat(acc["spans"], F.array(F.struct(
-            acc["open_at"].alias("a"), F.lit(1 << 30).alias("b"))))).otherwise(acc["spans"])
-    spans = fences.select("file_id", F.explode(F.aggregate("fl", acc0, step, finish)).alias("s"))
-    ev = spans.select("file_id", F.col("s.a").alias("line_no"), F.lit(0).alias("ev"),
-                      F.col("s.b").alias("fence_end"))
-    rows = f.select("file_id", "line_no", "raw", "fence", F.lit(1).alias("ev"), F.lit(None).cast("int").alias("fence_end"))
-    u = rows.unionByName(ev.select("file_id", "line_no", F.lit(None).cast("string").alias("raw"),
-                                   F.lit(None).cast("string").alias("fence"), "ev", "fence_end"))
-    u = u.withColumn("reach", F.max("fence_end").over(
-        Window.partitionBy("file_id").orderBy("line_no", "ev").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    u = u.where((F.col("ev") == 1) & (F.col("fence") == "") & ~F.coalesce(F.col("reach") >= F.col("line_no"), F.lit(False)))
-    hashes = F.regexp_extract("raw", MD_HEADING, 1)
-    h = u.where(hashes != "")
-    return h.select("file_id", F.concat(F.lit("h"), F.length(hashes).cast("string")).alias("kind"),
-                    js_trim(F.regexp_extract("raw", MD_HEADING, 2)).alias("name"),
-                    F.col("line_no").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    facts = F.filter(F.transform(split_lines(F.coalesce(F.col("text"), F.lit(""))), fact), lambda x: (x["fence"] != "") | (x["hashes"] != ""))
+    zero = F.struct(F.lit("").alias("fence"), _none(SYMBOL).alias("done"))
+    f = files.select("file_id", facts.alias("facts")).select("file_id", F.aggregate("facts", zero, step, lambda acc: acc["done"]).alias("symbols"))
+    return _rows(f, "symbols")
 
 
 # -------------------------------------------------------------- all languages
@@ -333,106 +287,37 @@ def outline_symbols(files: DataFrame) -> DataFrame:
     return py.unionByName(js).unionByName(md)
 
 
-def _nest_laminar(s: DataFrame) -> DataFrame:
-    """Depth = number of covering symbols (start/end events, running sum);
-    parent = the previous symbol one level up. Exact when ranges nest."""
-    has_body = F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))
-    ev_open = s.where(has_body).select("file_id", F.col("start_line").alias("pos"), F.lit(2).alias("typ"),
-                                       F.lit(1).alias("d"))
-    ev_close = s.where(has_body).select("file_id", (F.col("end_line") + 1).alias("pos"), F.lit(0).alias("typ"),
-                                        F.lit(-1).alias("d"))
-    q = s.select("file_id", F.col("start_line").alias("pos"), F.lit(1).alias("typ"), F.lit(0).alias("d"),
-                 F.struct(*s.columns).alias("sym"))
-    evs = ev_open.unionByName(ev_close).withColumn("sym", F.lit(None).cast(q.schema["sym"].dataType))
-    u = q.unionByName(evs)
-    u = u.withColumn("cov", F.sum("d").over(Window.partitionBy("file_id").orderBy("pos", "typ")
-                                          .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    d = materialize(u.where(F.col("sym").isNotNull()).select("sym.*", (F.col("cov") + 1).cast("int").alias("depth")))
-    cands = d.where(F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))).select(
-        "file_id", F.col("depth").alias("lvl"), F.col("start_line").alias("pos"), F.lit(0).alias("typ"),
-        F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e")).alias("cand"), F.lit(None).alias("me"))
-    me = d.select("file_id", (F.col("depth") - 1).alias("lvl"), F.col("start_line").alias("pos"), F.lit(1).alias("typ"),
-                  F.lit(None).cast(cands.schema["cand"].dataType).alias("cand"), F.struct(*d.columns).alias("me"))
-    cands = cands.withColumn("me", F.col("me").cast(me.schema["me"].dataType))
-    u2 = me.unionByName(cands)
-    u2 = u2.withColumn("parent", F.max("cand").over(
-        Window.partitionBy("file_id", "lvl").orderBy("pos", "typ").rowsBetween(Window.unboundedPreceding, -1)))
-    r = u2.where(F.col("me").isNotNull()).select(
-        "me.*", F.when(F.col("me.depth") > 1, F.col("parent")).alias("parent"))
-    # A parent that does not cover its child's start, or a child that ends
-    # past its parent, means the file's ranges cross.
-    bad = (F.col("parent").isNotNull()
-           & ((F.col("parent.e") < F.col("start_line"))
-              | (F.col("end_line").isNotNull() & (F.col("end_line") > F.col("parent.e")))))
-    r = r.withColumn("crossing", F.max(bad.cast("int")).over(Window.partitionBy("file_id")) == 1)
-    return r.select(*s.columns, "depth", F.col("parent.s").cast("int").alias("parent_start"), "crossing")
-
-
-SEGMENT_LEVELS = 26        # line numbers below 2**26 (32 MiB files have fewer lines)
-
-
-def _nest_exact(s: DataFrame) -> DataFrame:
-    """Nearest covering start for any ranges (crossing ones too).
-
-    Each range (start, end] is cut into its canonical segment-tree blocks (at
-    most two per level) and each block keeps the latest start assigned to it;
-    a symbol's parent is the latest start over the blocks on the path from its
-    line to the root. Depth then follows parent pointers (a few rounds: the
-    files that need this are the rare ones with crossing ranges)."""
-    n = 1 << SEGMENT_LEVELS
-    has_body = F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))
-    iv = s.where(has_body).select("file_id", "start_line",
-                                  (F.col("start_line") + 1 + n).cast("long").alias("l"),
-                                  (F.col("end_line") + 1 + n).cast("long").alias("r"))
-    zero = F.struct(F.col("l").alias("l"), F.col("r").alias("r"), F.array().cast("array<long>").alias("nodes"))
-
-    def step(acc: Column, _k: Column) -> Column:
-        l, r = acc["l"], acc["r"]
-        take_l = (l < r) & (l % 2 == 1)
-        nodes = F.when(take_l, F.concat(acc["nodes"], F.array(l))).otherwise(acc["nodes"])
-        l2 = F.when(take_l, l + 1).otherwise(l)
-        take_r = (l2 < r) & (r % 2 == 1)
-        r2 = F.when(take_r, r - 1).otherwise(r)
-        nodes = F.when(take_r, F.concat(nodes, F.array(r2))).otherwise(nodes)
-        return F.struct(F.shiftright(l2, 1).alias("l"), F.shiftright(r2, 1).alias("r"), nodes.alias("nodes"))
-    cover = F.aggregate(F.sequence(F.lit(0), F.lit(SEGMENT_LEVELS)), zero, step)["nodes"]
-    blocks = (iv.select("file_id", "start_line", F.explode(cover).alias("node"))
-              .groupBy("file_id", "node").agg(F.max("start_line").alias("best")))
-    leaf = (F.col("start_line") + n).cast("long")
-    ups = s.select("file_id", "start_line",
-                   F.explode(F.array(*[F.shiftright(leaf, k) for k in range(SEGMENT_LEVELS + 1)])).alias("node"))
-    par = (ups.join(blocks, ["file_id", "node"], "left").groupBy("file_id", "start_line")
-           .agg(F.max("best").cast("int").alias("parent_start")))
-    t = materialize(s.join(par, ["file_id", "start_line"]))
-    # depth along parent pointers
-    state = t.select("file_id", "start_line", F.col("parent_start").alias("anc"), F.lit(1).alias("depth"))
-    links = t.select("file_id", F.col("start_line").alias("anc"), F.col("parent_start").alias("next"))
-    while not state.where(F.col("anc").isNotNull()).isEmpty():
-        state = materialize(state.join(links, ["file_id", "anc"], "left").select(
-            "file_id", "start_line", F.col("next").alias("anc"),
-            (F.col("depth") + F.when(F.col("anc").isNotNull(), 1).otherwise(0)).alias("depth")))
-    return t.join(state.select("file_id", "start_line", F.col("depth").cast("int").alias("depth")),
-                  ["file_id", "start_line"]).select(*s.columns, "depth", "parent_start")
+_STACK = "struct<st:int,end:int,depth:int>"
+_NESTED = "struct<kind:string,name:string,start_line:int,end_line:int,depth:int,parent_start:int>"
 
 
 def nest_symbols(symbols: DataFrame) -> DataFrame:
     """parent = nearest earlier symbol whose [start, end] covers this
     start; depth is 1 for roots.
 
-    Files whose ranges nest (the normal case) use windows only: depth from
-    start/end events, parent = previous symbol one level up. A file where
-    that answer shows a crossing (a parent not covering its child's start, or
-    a child ending past its parent) is recomputed with the exact block method
-    of ``_nest_exact``."""
-    s = materialize(symbols.select("file_id", "kind", "name", "start_line", "end_line"))
-    lam = materialize(_nest_laminar(s))
-    cols = [*s.columns, "depth", "parent_start"]
-    crossing = lam.where("crossing")
-    if crossing.isEmpty():
-        return lam.select(*cols)
-    files = crossing.select("file_id").distinct()
-    exact = _nest_exact(s.join(files, "file_id", "left_semi"))
-    return lam.where(~F.col("crossing")).select(*cols).unionByName(exact.select(*cols))
+    A file's symbols are folded in line order over the stack of earlier ones:
+    those that end before a symbol's line can't cover it or any later one, so
+    what is on top after dropping them is the parent, whether or not ranges
+    cross."""
+    def step(acc: Column, x: Column) -> Column:
+        still = lambda: F.filter(acc["stack"], lambda p: p["end"] >= x["start_line"])
+
+        def place(stack: Column) -> Column:
+            top = F.get(stack, F.size(stack) - 1)
+            depth = F.coalesce(top["depth"], F.lit(0)) + 1
+            row = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"),
+                           depth.alias("depth"), top["st"].alias("parent_start"))
+            own = F.struct(x["start_line"].alias("st"), x["end_line"].alias("end"), depth.alias("depth"))
+            grown = F.when(x["end_line"] > x["start_line"], F.concat(stack, F.array(own).cast(f"array<{_STACK}>"))).otherwise(stack)
+            return F.struct(grown.alias("stack"), F.concat(acc["done"], F.array(row).cast(f"array<{_NESTED}>")).alias("done"))
+
+        return _let(still(), place)
+
+    item = F.struct("start_line", "end_line", "kind", "name")
+    files = symbols.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("symbols"))
+    zero = F.struct(_none(_STACK).alias("stack"), _none(_NESTED).alias("done"))
+    folded = files.select("file_id", F.aggregate("symbols", zero, step, lambda acc: acc["done"]).alias("nested"))
+    return folded.select("file_id", F.explode_outer("nested").alias("s")).where("s is not null").select("file_id", "s.*")
 
 
 def outline_listing(nested: DataFrame, max_rows: int = 200, offset: int = 0) -> DataFrame:
@@ -452,27 +337,16 @@ def outline_depth(nested: DataFrame, max_depth: int, max_rows: int = 200, offset
     number of all its hidden descendants; hidden rows use no row numbers;
     ``total`` still counts every symbol. ``next_offset`` is null when no
     visible rows remain (the reference prints a 'more' marker instead)."""
-    nested = materialize(nested)
-    has_body = F.col("end_line").isNotNull() & (F.col("end_line") > F.col("start_line"))
-    # descendants of p = symbols with p.start < start <= p.end: a running count
-    # of symbols, looked up at p.end through the union below.
-    syms = nested.select("file_id", F.col("start_line").alias("pos"), F.lit(0).alias("typ"),
-                         F.lit(1).alias("c"), F.lit(None).cast("int").alias("probe_start"))
-    probes = nested.where((F.col("depth") == max_depth) & has_body).select(
-        "file_id", F.col("end_line").alias("pos"), F.lit(1).alias("typ"), F.lit(0).alias("c"),
-        F.col("start_line").alias("probe_start"))
-    u = syms.unionByName(probes).withColumn("upto", F.sum("c").over(
-        Window.partitionBy("file_id").orderBy("pos", "typ").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rank = nested.select("file_id", "start_line", F.row_number().over(
-        Window.partitionBy("file_id").orderBy("start_line")).alias("rank_all"))
-    hidden = (u.where(F.col("probe_start").isNotNull())
-              .select("file_id", F.col("probe_start").alias("start_line"), "upto")
-              .join(rank, ["file_id", "start_line"])
-              .select("file_id", "start_line", (F.col("upto") - F.col("rank_all")).cast("int").alias("hidden_members")))
+    # Rows below the cut hang from one at the cut depth: the nearest before them, since
+    # every row's parent comes before it and depth grows by one along a branch.
+    order = Window.partitionBy("file_id").orderBy("start_line", F.col("end_line").asc_nulls_first(), "kind", "name")
+    cut_no = F.sum((F.col("depth") == max_depth).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nested = nested.withColumn("cut_no", cut_no)
+    below = F.sum((F.col("depth") > max_depth).cast("int")).over(Window.partitionBy("file_id", "cut_no"))
+    nested = nested.withColumn("hidden_members", F.when(F.col("depth") == max_depth, below).cast("int"))
     total = F.count("*").over(Window.partitionBy("file_id"))
     v = nested.withColumn("total", total.cast("int")).where(F.col("depth") <= max_depth)
-    v = v.join(hidden, ["file_id", "start_line"], "left")
-    v = v.withColumn("hidden_members", F.when(F.col("hidden_members") > 0, F.col("hidden_members")))
+    v = v.drop("cut_no").withColumn("hidden_members", F.when(F.col("hidden_members") > 0, F.col("hidden_members")))
     w = Window.partitionBy("file_id").orderBy("start_line")
     v = v.withColumn("row_no", F.row_number().over(w).cast("int"))
     v = v.withColumn("n_visible", F.count("*").over(Window.partitionBy("file_id")))
