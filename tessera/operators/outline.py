@@ -362,7 +362,8 @@ def fetch_symbol(files: DataFrame, nested: DataFrame, requests: DataFrame, max_l
     and their direct children. Several -> 'ambiguous' with up to 20
     candidates; exactly one with an end -> 'symbol' with its body (at most
     ``max_lines`` lines, ``continue_at`` when cut); otherwise a text search
-    ('text' with up to 5 hit lines and the true count, or 'none')."""
+    ('text' with up to 5 hit lines, each with ``ctx`` numbered lines on either
+    side, and the true count, or 'none')."""
     req = requests.select("file_id", "target")
     cand = nested.where(F.col("depth") <= 2).select(
         "file_id", F.lower("name").alias("lname"), "kind", "name", "start_line", "end_line")
@@ -380,38 +381,30 @@ def fetch_symbol(files: DataFrame, nested: DataFrame, requests: DataFrame, max_l
               .when((F.col("n_matches") == 1) & F.col("one.end_line").isNotNull(), F.lit("symbol"))
               .otherwise(F.lit("search")))
     g = g.withColumn("status", status)
-    sym = g.where(F.col("status") == "symbol").join(files.select("file_id", "lines"), "file_id")
-    last = F.least(F.col("one.end_line"), F.col("one.start_line") + max_lines - 1)
-    sym = sym.select("file_id", "target", "status", "n_matches", F.col("one.kind").alias("kind"),
-                     F.col("one.name").alias("name"), F.col("one.start_line").alias("start_line"),
-                     F.col("one.end_line").alias("end_line"),
-                     numbered(F.slice("lines", F.col("one.start_line"), last - F.col("one.start_line") + 1),
-                              F.col("one.start_line")).alias("body"),
-                     F.when(last < F.col("one.end_line"), last + 1).cast("int").alias("continue_at"),
-                     F.lit(None).cast("array<string>").alias("candidates"),
-                     F.lit(None).cast("int").alias("occurrences"), F.lit(None).cast("array<int>").alias("hit_lines"))
-    amb = g.where(F.col("status") == "ambiguous").select(
-        "file_id", "target", "status", "n_matches", F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("start_line"),
-        F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("body"),
-        F.lit(None).cast("int").alias("continue_at"), "candidates",
-        F.lit(None).cast("int").alias("occurrences"), F.lit(None).cast("array<int>").alias("hit_lines"))
-    srch = g.where(F.col("status") == "search").select("file_id", "target", "n_matches")
-    # text search per request: the target as a case-insensitive literal
-    fl = srch.join(files.select("file_id", "lines"), "file_id")
-    fl = fl.withColumn("needle", F.lower(F.col("target")))
-    fl = fl.withColumn("hit_idx", F.transform(F.filter(
-        F.transform("lines", lambda x, i: F.struct((i + 1).alias("i"), F.lower(x).alias("l"))),
-        lambda x: x["l"].contains(F.col("needle"))), lambda x: x["i"]))
-    txt = fl.select(
-        "file_id", "target",
-        F.when(F.size("hit_idx") > 0, F.lit("text")).otherwise(F.lit("none")).alias("status"), "n_matches",
-        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"),
-        F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"),
-        F.lit(None).cast("string").alias("body"), F.lit(None).cast("int").alias("continue_at"),
-        F.lit(None).cast("array<string>").alias("candidates"),
-        F.size("hit_idx").cast("int").alias("occurrences"), F.slice("hit_idx", 1, max_hits).alias("hit_lines"))
-    return sym.unionByName(amb).unionByName(txt)
+    # one join of the files, whatever the status
+    j = g.join(files.select("file_id", "lines", "total_lines"), "file_id")
+    needle = F.lower(F.col("target"))
+    numbered_lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("i"), F.lower(x).alias("l")))
+    hits = F.transform(F.filter(numbered_lines, lambda x: x["l"].contains(needle)), lambda x: x["i"])
+    j = j.withColumn("hits", F.when(F.col("status") == "search", hits))
+    sym, search = F.col("status") == "symbol", F.col("status") == "search"
+    first = F.col("one.start_line")
+    last = F.least(F.col("one.end_line"), first + max_lines - 1)
+    shown = F.slice("hits", 1, max_hits)
+
+    def around(i: Column) -> Column:
+        lo = F.greatest(F.lit(1), i - ctx)
+        return numbered(F.slice("lines", lo, F.least(F.col("total_lines"), i + ctx) - lo + 1), lo)
+
+    return j.select(
+        "file_id", "target", F.when(~search, F.col("status")).when(F.size("hits") > 0, F.lit("text")).otherwise(F.lit("none")).alias("status"), "n_matches",
+        F.when(sym, F.col("one.kind")).alias("kind"), F.when(sym, F.col("one.name")).alias("name"),
+        F.when(sym, first).alias("start_line"), F.when(sym, F.col("one.end_line")).alias("end_line"),
+        F.when(sym, numbered(F.slice("lines", first, last - first + 1), first)).alias("body"),
+        F.when(sym & (last < F.col("one.end_line")), last + 1).cast("int").alias("continue_at"),
+        F.when(F.col("status") == "ambiguous", F.col("candidates")).alias("candidates"),
+        F.when(search, F.size("hits")).cast("int").alias("occurrences"),
+        F.when(search, shown).alias("hit_lines"), F.when(search, F.transform(shown, around)).alias("hit_context"))
 
 
 def outline_accuracy(symbols: DataFrame, truth: DataFrame, floors: dict[str, float] | None = None) -> DataFrame:

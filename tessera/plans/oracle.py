@@ -849,35 +849,41 @@ FROM vis v JOIN tot USING (file_id) LEFT JOIN kids k ON k.file_id = v.file_id AN
 WHERE v.row_no <= 200""")
 
 ORACLES["fetch_symbol"] = with_truth("""
-, fl AS (SELECT file_id, lines FROM files2 WHERE file_id >= 1000000000000 AND file_id < 2000000000000),
+, fl AS (SELECT file_id, lines FROM files2),
 firstln AS (SELECT l_orderkey, arg_min(l_linenumber, (l_linenumber, l_partkey, l_suppkey)) AS ln FROM lineitem GROUP BY l_orderkey),
 req AS (
   SELECT 1000000000000 + o_orderkey AS file_id, 'Order' || o_orderkey::VARCHAR AS target FROM orders
   UNION ALL SELECT 1000000000000 + l_orderkey, 'LINE_' || ln::VARCHAR FROM firstln
   UNION ALL SELECT 1000000000000 + o_orderkey, 'fake_' || o_orderkey::VARCHAR FROM orders
-  UNION ALL SELECT 1000000000000 + o_orderkey, 'nothing_' || o_orderkey::VARCHAR FROM orders),
+  UNION ALL SELECT 1000000000000 + o_orderkey, 'nothing_' || o_orderkey::VARCHAR FROM orders
+  UNION ALL SELECT file_id, 'the' FROM files2
+  UNION ALL SELECT DISTINCT file_id, name FROM truth2 WHERE language = 'Markdown'),
 m AS (
   SELECT r.file_id, r.target, t.kind, t.name, t.start_line, t.end_line FROM req r
   LEFT JOIN truth2 t ON t.file_id = r.file_id AND lower(t.name) = lower(r.target) AND t.depth <= 2),
 g AS (
   SELECT file_id, target, count(start_line)::INTEGER AS n_matches, min(start_line) AS s, min(end_line) AS e,
     min(kind) AS kind, min(name) AS name,
-    list(kind || ' ' || name || '  lines ' || start_line::VARCHAR || '–' || end_line::VARCHAR ORDER BY start_line)
+    list(kind || ' ' || name || '  lines ' || start_line::VARCHAR || coalesce('–' || end_line::VARCHAR, '') ORDER BY start_line)
       FILTER (WHERE start_line IS NOT NULL) AS cands
   FROM m GROUP BY file_id, target)
-SELECT g.file_id::BIGINT AS file_id, g.target,
-  CASE WHEN n_matches > 1 THEN 'ambiguous' WHEN n_matches = 1 THEN 'symbol'
-       WHEN EXISTS (SELECT 1 FROM unnest(fl.lines) AS u(x) WHERE contains(lower(x), lower(g.target))) THEN 'text' ELSE 'none' END AS status,
-  n_matches,
-  CASE WHEN n_matches = 1 THEN kind END AS kind, CASE WHEN n_matches = 1 THEN name END AS name,
-  CASE WHEN n_matches = 1 THEN s END::INTEGER AS start_line, CASE WHEN n_matches = 1 THEN e END::INTEGER AS end_line,
-  CASE WHEN n_matches = 1 THEN array_to_string(list_transform(range(s, least(e, s + 249) + 1),
-       lambda n: format('{:5d}', n) || ' │ ' || fl.lines[n]), chr(10)) END AS body,
-  CASE WHEN n_matches = 1 AND e > s + 249 THEN s + 250 END::INTEGER AS continue_at,
+, h AS (
+  SELECT g.*, fl.lines, n_matches = 1 AND e IS NOT NULL AS one,
+    CASE WHEN n_matches = 0 OR n_matches = 1 AND e IS NULL
+         THEN list_filter(range(1, len(fl.lines) + 1), lambda i: contains(lower(fl.lines[i]), lower(g.target))) END AS hits
+  FROM g JOIN fl USING (file_id))
+SELECT file_id::BIGINT AS file_id, target,
+  CASE WHEN n_matches > 1 THEN 'ambiguous' WHEN one THEN 'symbol' WHEN len(hits) > 0 THEN 'text' ELSE 'none' END AS status, n_matches,
+  CASE WHEN one THEN kind END AS kind, CASE WHEN one THEN name END AS name,
+  CASE WHEN one THEN s END::INTEGER AS start_line, CASE WHEN one THEN e END::INTEGER AS end_line,
+  CASE WHEN one THEN array_to_string(list_transform(range(s, least(e, s + 249) + 1),
+       lambda n: format('{:5d}', n) || ' │ ' || lines[n]), chr(10)) END AS body,
+  CASE WHEN one AND e > s + 249 THEN s + 250 END::INTEGER AS continue_at,
   CASE WHEN n_matches > 1 THEN cands[1:20] END AS candidates,
-  CASE WHEN n_matches = 0 THEN len(list_filter(range(1, len(fl.lines) + 1), lambda i: contains(lower(fl.lines[i]), lower(g.target))))::INTEGER END AS occurrences,
-  CASE WHEN n_matches = 0 THEN list_filter(range(1, len(fl.lines) + 1), lambda i: contains(lower(fl.lines[i]), lower(g.target)))[1:5]::INTEGER[] END AS hit_lines
-FROM g JOIN fl USING (file_id)""", files=True)
+  len(hits)::INTEGER AS occurrences, hits[1:5]::INTEGER[] AS hit_lines,
+  list_transform(hits[1:5], lambda i: array_to_string(list_transform(range(greatest(1, i - 10), least(len(lines), i + 10) + 1),
+       lambda n: format('{:5d}', n) || ' │ ' || lines[n]), chr(10))) AS hit_context
+FROM h""", files=True)
 
 ORACLES["outline_accuracy"] = with_truth("""
 SELECT language, count(*)::INTEGER AS n_truth, count(*)::INTEGER AS n_found, count(*)::INTEGER AS n_exact,
