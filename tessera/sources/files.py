@@ -46,12 +46,15 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(path)
-    admitted = admit_text(raw)
+    # the size rule is pushed into the source: an oversized file is listed, never read
+    small = admit_text(reader.load(path).where(F.col("length") <= MAX_TEXT_BYTES))
     text = F.when(F.col("status") == "ok", F.make_valid_utf8(F.col("content").cast("string")))
-    out = admitted.select(
+    read = small.select("path", "length", "status", text.alias("text"))
+    large = reader.load(path).where(F.col("length") > MAX_TEXT_BYTES).select(
+        "path", "length", F.lit("too_large").alias("status"), F.lit(None).cast("string").alias("text"))
+    out = read.unionByName(large).select(
         F.regexp_replace("path", "^file:", "").alias("path"),
-        file_name(F.col("path")).alias("name"), F.col("length").alias("n_bytes"), "status", text.alias("text"))
+        file_name(F.col("path")).alias("name"), F.col("length").alias("n_bytes"), "status", "text")
     lines = split_lines(F.col("text"))
     return out.withColumn("lines", lines).withColumn("total_lines", F.size("lines").cast("int"))
 
