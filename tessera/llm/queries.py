@@ -109,4 +109,21 @@ bad_hosts AS (SELECT DISTINCT source FROM rules JOIN prior USING (rule) WHERE ro
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad_hosts), true) AS kept
 FROM b
+""", "op1_suffix_dedup": rf"""
+WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(text, '{WORD}') AS w FROM documents WHERE text IS NOT NULL),
+win AS (SELECT doc_id, text, i - 1 AS s, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT doc_id, text, s, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, text, s) > 1 AS repeated, count(*) OVER (PARTITION BY g) AS c FROM win),
+-- windows of one role that overlap or touch are one span
+n AS (SELECT *, coalesce(s > lag(s) OVER o + 50, true) AS fresh FROM f WHERE c > 1 WINDOW o AS (PARTITION BY doc_id, text, repeated ORDER BY s)),
+p AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, text, repeated ORDER BY s) AS part FROM n)
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 AS BIGINT) AS end_word, repeated FROM p GROUP BY doc_id, text, repeated, part
+""", "op10_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams, len(w) AS n_words FROM d),
+s AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram, least(n_words, 5) AS k FROM g),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gram AND a.k = b.k AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT g.doc_id, CAST(len(g.grams) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM g JOIN reach r ON r.a = g.doc_id GROUP BY g.doc_id, g.grams
 """}
