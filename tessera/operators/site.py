@@ -33,16 +33,22 @@ def site_outline(page_facts: DataFrame, links: DataFrame) -> DataFrame:
                       F.col("n_api_hints").cast("int").alias("n_api_hints"))
 
 
-def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max_pages: int = 10) -> DataFrame:
+def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max_pages: int = 10,
+                   redirects: DataFrame | None = None) -> DataFrame:
     """FIFO breadth-first walk inside a stored snapshot, one walk per
     site, all sites at once.
 
     snapshot: (site, path, page_id) — the pages that exist; a queued path not
     in it is a failed attempt ('missing'). edges: (page_id, link_no,
     target_path) — same-origin links of each page. starts: (site, path).
+    redirects: (site, path, final_site, final_path) — paths whose stored answer
+    led elsewhere (see ``resolve_redirects``); a page is filed under, and its
+    links come from, the final path.
 
     Returns one row per queued path: site, path, rank (queue order), level,
-    outcome in {'mapped', 'missing', 'unvisited'} and page_id when mapped.
+    outcome in {'mapped', 'missing', 'unvisited', 'off_origin' (the redirect left
+    the site), 'duplicate' (its final path was mapped before)}, page_id when
+    mapped, and final_site and final_path.
     The budget counts attempts including failures: queued paths beyond it are
     the leftover queue (outcome 'unvisited', rank null).
     """
@@ -53,10 +59,28 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
     frontier = materialize(starts.select("site", "path", F.lit(1).cast("long").alias("rank"), F.lit(0).alias("level")))
     queued = frontier
     level = 0
+    if redirects is not None:
+        redirects = materialize(redirects.select("site", "path", "final_site", "final_path"))
+
+    def fetched(paths: DataFrame) -> DataFrame:
+        """With where each path leads, and the page there if it is on the site."""
+        if redirects is None:
+            led = paths.withColumn("final_site", F.col("site")).withColumn("final_path", F.col("path"))
+        else:
+            led = paths.join(redirects, ["site", "path"], "left") \
+                .withColumn("final_site", F.coalesce("final_site", "site")).withColumn("final_path", F.coalesce("final_path", "path"))
+        there = snap.select(F.col("site").alias("final_site"), F.col("path").alias("final_path"), "page_id")
+        return led.join(there, ["final_site", "final_path"], "left").withColumn("page_id", F.when(F.col("final_site") == F.col("site"), F.col("page_id")))
+
+    earlier = None  # pages mapped on the levels before, kept only if paths can lead to one page twice
     while True:
-        attempt = frontier.where(F.col("rank") <= max_pages)
-        fetched = attempt.join(snap, ["site", "path"], "left")
-        mapped = fetched.where(F.col("page_id").isNotNull())
+        mapped = fetched(frontier.where(F.col("rank") <= max_pages)).where(F.col("page_id").isNotNull())
+        if redirects is not None:
+            mapped = mapped.groupBy("site", "page_id").agg(F.min("rank").alias("rank"))
+            if earlier is not None:
+                mapped = mapped.join(earlier.select("page_id"), "page_id", "left_anti")
+            mapped = materialize(mapped)
+            earlier = mapped if earlier is None else earlier.unionByName(mapped)
         new = (mapped.select("site", F.col("rank").alias("parent_rank"), F.col("page_id").alias("parent_id"))
                .join(ed, "parent_id")
                .select("site", F.col("target_path").alias("path"), "parent_rank", "link_no"))
@@ -80,11 +104,16 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
         frontier = nxt.where(F.col("rank").isNotNull())
         if level >= max_pages or frontier.isEmpty():
             break
-    out = queued.join(snap, ["site", "path"], "left")
-    outcome = (F.when(F.col("rank").isNull() | (F.col("rank") > max_pages), F.lit("unvisited"))
-               .when(F.col("page_id").isNotNull(), F.lit("mapped")).otherwise(F.lit("missing")))
+    out = fetched(queued)
+    visited = F.col("rank").isNotNull() & (F.col("rank") <= max_pages)
+    first = F.lit(True)
+    if redirects is not None:
+        out = out.withColumn("first_rank", F.min(F.when(visited, F.col("rank"))).over(Window.partitionBy("site", "final_site", "final_path")))
+        first = F.col("rank") == F.col("first_rank")
+    outcome = (F.when(~visited, F.lit("unvisited")).when(F.col("final_site") != F.col("site"), F.lit("off_origin"))
+               .when(F.col("page_id").isNull(), F.lit("missing")).when(first, F.lit("mapped")).otherwise(F.lit("duplicate")))
     return out.select("site", "path", "rank", "level", outcome.alias("outcome"),
-                      F.when(outcome == "mapped", F.col("page_id")).alias("page_id"))
+                      F.when(outcome == "mapped", F.col("page_id")).alias("page_id"), "final_site", "final_path")
 
 
 def site_awareness(walk: DataFrame, page_facts: DataFrame, max_pages: int = 10) -> DataFrame:
@@ -98,12 +127,14 @@ def site_awareness(walk: DataFrame, page_facts: DataFrame, max_pages: int = 10)
         F.count_if(F.col("outcome") != "unvisited").cast("int").alias("pages_attempted"),
         F.count_if(F.col("outcome") == "missing").cast("int").alias("pages_failed"),
         F.count_if(F.col("outcome") == "unvisited").cast("int").alias("links_queued_unvisited"),
-        F.transform(F.array_sort(F.collect_list(F.when(mapped, F.struct("rank", "path", "title", "summary")))),
-                    lambda x: F.struct(x["path"].alias("path"), x["title"].alias("title"),
+        F.transform(F.array_sort(F.collect_list(F.when(mapped, F.struct("rank", "final_path", "title", "summary")))),
+                    lambda x: F.struct(x["final_path"].alias("path"), x["title"].alias("title"),
                                        x["summary"].alias("summary"))).alias("pages"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == "missing", F.struct("rank", "path")))),
                     lambda x: F.struct(F.concat(F.col("site"), x["path"]).alias("url"),
                                        F.lit("not in the snapshot").alias("error"))).alias("failures"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == "off_origin", F.struct("rank", "path", "final_site", "final_path")))),
+                    lambda x: F.concat(F.col("site"), x["path"], F.lit(" -> "), x["final_site"], x["final_path"])).alias("off_origin_redirects_skipped"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(mapped, F.struct("rank", "forms")))),
                               lambda x: x["forms"])).alias("forms"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(mapped, F.col("api_hints")))))).alias("api_hints"),

@@ -1009,7 +1009,13 @@ def _crawl_sql(budget: int = CRAWL_BUDGET) -> str:
   SELECT site, path, min(page_id) AS page_id FROM (
     SELECT page_id, {page_site} AS site, {page_path} AS path FROM pn) GROUP BY site, path),
 edges AS (SELECT page_id, link_no, {page_path} AS target_path FROM links),
-q0 AS (SELECT site, arg_min(path, page_id) AS path, 1::BIGINT AS rank, 0 AS level FROM snap GROUP BY site)""",
+q0 AS (SELECT site, arg_min(path, page_id) AS path, 1::BIGINT AS rank, 0 AS level FROM snap GROUP BY site),
+-- the linked sites' redirects, from the base rows: two of three missing paths lead on
+rd AS (
+  SELECT regexp_extract(url, '^(.*)/c/', 1) AS site, '/gone/' || i::VARCHAR AS path,
+    CASE WHEN i % 3 = 0 THEN regexp_extract(url, '^(.*)/c/', 1) ELSE 'https://elsewhere.example' END AS fsite,
+    CASE WHEN i % 3 = 0 THEN '/c/' || (4 * i)::VARCHAR ELSE '/g/' || i::VARCHAR END AS fpath
+  FROM (SELECT url, regexp_extract(url, '/c/([0-9]+)$', 1)::BIGINT AS i FROM corpus WHERE regexp_matches(url, '\\.links\\.example/c/[0-9]+$')) WHERE i % 3 < 2)""",
     ]
     body = []
     for lv in range(1, budget + 1):
@@ -1017,8 +1023,12 @@ q0 AS (SELECT site, arg_min(path, page_id) AS path, 1::BIGINT AS rank, 0 AS leve
         body.append(f"""seen{lv} AS ({seen}),
 new{lv} AS (
   SELECT q.site, e.target_path AS path, q.rank AS parent_rank, e.link_no
-  FROM q{lv - 1} q JOIN snap s ON s.site = q.site AND s.path = q.path JOIN edges e ON e.page_id = s.page_id
-  WHERE q.rank IS NOT NULL AND q.rank <= {budget}),
+  FROM (SELECT x.site, x.path, x.rank, s.page_id, row_number() OVER (PARTITION BY x.site, s.page_id ORDER BY x.rank) AS nth
+        FROM seen{lv} x LEFT JOIN rd ON rd.site = x.site AND rd.path = x.path
+        JOIN snap s ON s.site = x.site AND s.path = coalesce(rd.fpath, x.path)
+        WHERE x.rank <= {budget} AND coalesce(rd.fsite, x.site) = x.site) m
+  JOIN q{lv - 1} q ON q.site = m.site AND q.path = m.path JOIN edges e ON e.page_id = m.page_id
+  WHERE m.nth = 1),
 first{lv} AS (
   SELECT site, path, parent_rank, link_no FROM new{lv} n
   WHERE NOT EXISTS (SELECT 1 FROM seen{lv} x WHERE x.site = n.site AND x.path = n.path)
@@ -1029,11 +1039,16 @@ q{lv} AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY parent_rank, link_no) AS rn FROM first{lv}) f
   JOIN (SELECT site, max(rank) AS top FROM seen{lv} GROUP BY site) t USING (site))""")
     allq = " UNION ALL ".join(f"SELECT site, path, rank, level FROM q{k}" for k in range(budget + 1))
-    tail = f"""allq AS ({allq})
+    tail = f"""allq AS (
+  SELECT x.*, coalesce(rd.fsite, x.site) AS fsite, s.page_id AS pid,
+    row_number() OVER (PARTITION BY x.site, coalesce(rd.fsite, x.site), coalesce(rd.fpath, x.path) ORDER BY x.rank NULLS LAST) AS nth
+  FROM ({allq}) x LEFT JOIN rd ON rd.site = x.site AND rd.path = x.path
+  LEFT JOIN snap s ON s.site = x.site AND s.path = coalesce(rd.fpath, x.path) AND coalesce(rd.fsite, x.site) = x.site)
 SELECT a.site, a.path, a.rank, a.level::INTEGER AS level,
-  CASE WHEN a.rank IS NULL OR a.rank > {budget} THEN 'unvisited' WHEN s.page_id IS NOT NULL THEN 'mapped' ELSE 'missing' END AS outcome,
-  CASE WHEN a.rank IS NOT NULL AND a.rank <= {budget} AND s.page_id IS NOT NULL THEN s.page_id END AS page_id
-FROM allq a LEFT JOIN snap s ON s.site = a.site AND s.path = a.path"""
+  CASE WHEN a.rank IS NULL OR a.rank > {budget} THEN 'unvisited' WHEN fsite <> site THEN 'off_origin' WHEN pid IS NULL THEN 'missing'
+       WHEN nth = 1 THEN 'mapped' ELSE 'duplicate' END AS outcome,
+  CASE WHEN a.rank <= {budget} AND nth = 1 THEN pid END AS page_id
+FROM allq a"""
     return parts[0] + ",\n" + parts[1] + ",\n" + parts[2] + ",\n" + ",\n".join(body) + ",\n" + tail
 
 

@@ -11,7 +11,7 @@ from tessera.operators import html as H
 from tessera.operators import links as L
 from tessera.operators import pages as P
 from tessera.operators import site as S
-from tessera.plans.synth import synth_hosts, synth_links, synth_redirects, web_corpus
+from tessera.plans.synth import synth_hosts, synth_link_hops, synth_links, synth_redirects, web_corpus
 from tessera.session import materialize
 
 CRAWL_BUDGET = 10
@@ -32,15 +32,24 @@ def _walk(spark, d, budget=CRAWL_BUDGET):
     edges = S.split_url(links.select("page_id", "link_no", F.col("target_url").alias("url"))) \
         .select("page_id", "link_no", F.col("path").alias("target_path"))
     starts = snap.groupBy("site").agg(F.min_by("path", "page_id").alias("path"))
-    return pages, S.crawl_snapshot(snap, edges, starts, max_pages=budget)
+    # stored redirects: where each one ends; one that ends nowhere stays a missing path
+    hop_starts, hops = synth_link_hops(spark, d)
+    ends = L.resolve_redirects(hop_starts, hops).where(F.col("status").isin("ok", "off_origin"))
+    ends = S.split_url(ends.select(F.col("start_url").alias("url"), "final_url"))
+    ends = S.split_url(ends.select("site", "path", F.col("final_url").alias("url")).withColumnsRenamed({"site": "s", "path": "p"}))
+    redirects = ends.select(F.col("s").alias("site"), F.col("p").alias("path"), F.col("site").alias("final_site"), F.col("path").alias("final_path"))
+    return pages, S.crawl_snapshot(snap, edges, starts, max_pages=budget, redirects=redirects)
 
 
 def q_crawl_walk(spark, d):
-    return _walk(spark, d)[1]
+    return _walk(spark, d)[1].select("site", "path", "rank", "level", "outcome", "page_id")
 
 
 def _site_maps(spark, d):
     pages, walk = _walk(spark, d)
+    walk = materialize(walk)
+    # only the pages that the walk mapped are cleaned
+    pages = pages.join(walk.where("outcome = 'mapped'").select("page_id"), "page_id", "left_semi")
     clean = H.clean_pages(pages, extras={"title": P.page_title(F.col("html")),
                                          "api_hints": P.api_hints_quoted(F.col("html")),
                                          "auth_required": P.auth_required_substring(tags_to_text(spoken_html(F.col("html"))))})

@@ -166,6 +166,20 @@ def synth_links(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.lit(".links.example/c/"), i.cast("string")).alias("url"), html.alias("html"))
 
 
+def synth_link_hops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(starts, hops) of the linked sites' missing paths: two of three /gone/{i}
+    redirect, one to /c/{4i} by way of /moved/{i}, one to another site."""
+    pages = synth_links(spark, sf_dir).select("page_id", F.regexp_extract("url", "^(.*)/c/", 1).alias("site"),
+                                              F.regexp_extract("url", "/c/([0-9]+)$", 1).cast("long").alias("i"))
+    i, gone = F.col("i"), F.concat("site", F.lit("/gone/"), F.col("i").cast("string"))
+    to = (F.when(i % 3 == 0, F.concat(F.lit("/moved/"), i.cast("string")))
+          .when(i % 3 == 1, F.concat(F.lit("https://elsewhere.example/g/"), i.cast("string"))))
+    first = pages.select(F.col("page_id").alias("start_id"), gone.alias("url"), to.alias("location")).where(F.col("location").isNotNull())
+    second = pages.where(i % 3 == 0).select(F.concat("site", F.lit("/moved/"), i.cast("string")).alias("url"),
+                                            F.concat(F.lit("/c/"), (4 * i).cast("string")).alias("location"))
+    return first.select("start_id", "url"), first.select("url", "location").unionByName(second)
+
+
 def synth_redirects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(starts, hops) from customer keys: in groups of 8 consecutive keys each
     URL redirects to the next one (a relative location); the last of every
