@@ -60,16 +60,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: list[str] = []
+
+
+def drop_saved(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``saved`` wrote after its first ``since``, but for the last ``keep``.
+
+    For use between steps, when no DataFrame still reads those tables;
+    ``saved_count()`` at the start of the steps gives ``since``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for k in range(since, len(_written) - keep):
+        if _written[k]:
+            path = jvm.org.apache.hadoop.fs.Path(_written[k])
+            path.getFileSystem(conf).delete(path, True)
+            _written[k] = ""
+
+
+def saved_count() -> int:
+    return len(_written)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back.
 
     Cuts the lineage without staging blocks on executors: the rows are
     computed once, and a lost executor loses none of them. The size of the
-    result is known when later joins are planned.
+    result is known when later joins are planned. ``drop_saved`` deletes it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
