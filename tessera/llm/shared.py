@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
+from tessera.session import drop_saved, saved, saved_count  # noqa: F401  (for the operators)
 
 #: The six white-space bytes that separate words, as a Java and DuckDB class.
 SPACE = r"\x20\x09-\x0D"
@@ -19,18 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared checkpoint folder and read it back.
-
-    Cuts the lineage without staging blocks on executors: the rows are
-    computed once, and a lost executor loses none of them.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
