@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, jaccard, mixing, rules, suffixes
-from tessera.llm.shared import documents, saved
+from tessera.llm.shared import documents, drop_saved, saved, saved_count
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
+    """All stages over ``documents``; each one's rows are written before the next reads them."""
+    docs, before = documents(spark, sf_dir), saved_count()
+    for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), "stage")
+        drop_saved(spark, since=before, keep=1)  # what led to these rows is not read again
     return STAGES[-1][1](spark, docs, sf_dir)
