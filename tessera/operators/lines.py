@@ -190,17 +190,23 @@ def summarize_files(files: DataFrame, symbol_counts: DataFrame, head: int = 40,
         F.when(tail_start < n, numbered(F.slice("lines", tail_start + 1, n - tail_start), tail_start + 1)).alias("tail"))
 
 
-def language_coverage(files: DataFrame, symbol_counts: DataFrame) -> DataFrame:
-    """Per language the files, how many a scanner ran on, symbols
-    found, and the note kind for files with no symbols and no scanner."""
+def file_notes(files: DataFrame, symbol_counts: DataFrame) -> DataFrame:
+    """Per file its language, whether a scanner ran on it, its symbols, and
+    the kind of note for a file that nothing scanned: 'unrecognised' (by its
+    extension) or 'unscanned' (a known language without a scanner)."""
     f = files.select("file_id", "language").join(symbol_counts, "file_id", "left")
     scanned = F.col("language").isin(*SCANNED_LANGUAGES)
-    ns = F.coalesce(F.col("n_symbols"), F.lit(0))
-    note = (F.when(scanned | (ns > 0), F.lit(None).cast("string"))
+    n = F.coalesce(F.col("n_symbols"), F.lit(0))
+    note = (F.when(scanned | (n > 0), F.lit(None).cast("string"))
             .when(F.col("language") == "text", F.lit("unrecognised")).otherwise(F.lit("unscanned")))
-    return f.groupBy("language").agg(
+    return f.select("file_id", "language", scanned.alias("scanned"), n.alias("n_symbols"), note.alias("note"))
+
+
+def language_coverage(files: DataFrame, symbol_counts: DataFrame) -> DataFrame:
+    """``file_notes`` rolled up by language."""
+    return file_notes(files, symbol_counts).groupBy("language").agg(
         F.count("*").cast("int").alias("n_files"),
-        F.count_if(scanned).cast("int").alias("n_scanned"),
-        F.sum(ns).cast("long").alias("n_symbols"),
-        F.count_if(note.isNotNull()).cast("int").alias("n_noted"),
-        F.max(note).alias("note"))
+        F.count_if("scanned").cast("int").alias("n_scanned"),
+        F.sum("n_symbols").cast("long").alias("n_symbols"),
+        F.count_if(F.col("note").isNotNull()).cast("int").alias("n_noted"),
+        F.max("note").alias("note"))

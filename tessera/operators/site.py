@@ -118,8 +118,12 @@ def crawl_snapshot(snapshot: DataFrame, edges: DataFrame, starts: DataFrame, max
 
 def site_awareness(walk: DataFrame, page_facts: DataFrame, max_pages: int = 10) -> DataFrame:
     """One nested row per site from a walk and per-page facts
-    (page_id, title, summary, forms array, api_hints array, auth_required)."""
+    (page_id, title, summary, forms array, api_hints array, auth_required, and
+    if there are such columns actions array and content)."""
     w = walk.join(page_facts, "page_id", "left")
+    for name, kind in (("actions", "array<struct<type:string,label:string,leads_to:string,endpoint:string>>"), ("content", "string")):
+        if name not in w.columns:
+            w = w.withColumn(name, F.lit(None).cast(kind))
     mapped = F.col("outcome") == "mapped"
     g = w.groupBy("site").agg(
         F.max(F.when(F.col("rank") == 1, F.concat(F.col("site"), F.col("path")))).alias("url"),
@@ -127,9 +131,9 @@ def site_awareness(walk: DataFrame, page_facts: DataFrame, max_pages: int = 10)
         F.count_if(F.col("outcome") != "unvisited").cast("int").alias("pages_attempted"),
         F.count_if(F.col("outcome") == "missing").cast("int").alias("pages_failed"),
         F.count_if(F.col("outcome") == "unvisited").cast("int").alias("links_queued_unvisited"),
-        F.transform(F.array_sort(F.collect_list(F.when(mapped, F.struct("rank", "final_path", "title", "summary")))),
+        F.transform(F.array_sort(F.collect_list(F.when(mapped, F.struct("rank", "final_path", "title", "summary", "content")))),
                     lambda x: F.struct(x["final_path"].alias("path"), x["title"].alias("title"),
-                                       x["summary"].alias("summary"))).alias("pages"),
+                                       x["summary"].alias("summary"), x["content"].alias("content"))).alias("pages"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == "missing", F.struct("rank", "path")))),
                     lambda x: F.struct(F.concat(F.col("site"), x["path"]).alias("url"),
                                        F.lit("not in the snapshot").alias("error"))).alias("failures"),
@@ -137,6 +141,8 @@ def site_awareness(walk: DataFrame, page_facts: DataFrame, max_pages: int = 10)
                     lambda x: F.concat(F.col("site"), x["path"], F.lit(" -> "), x["final_site"], x["final_path"])).alias("off_origin_redirects_skipped"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(mapped, F.struct("rank", "forms")))),
                               lambda x: x["forms"])).alias("forms"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(mapped & F.col("actions").isNotNull(), F.struct("rank", "actions")))),
+                              lambda x: x["actions"])).alias("actions"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(mapped, F.col("api_hints")))))).alias("api_hints"),
         F.coalesce(F.bool_or(F.when(mapped, F.col("auth_required"))), F.lit(False)).alias("auth_required"))
     return g.withColumn("budget_exhausted",

@@ -53,13 +53,19 @@ def _site_maps(spark, d):
     clean = H.clean_pages(pages, extras={"title": P.page_title(F.col("html")),
                                          "api_hints": P.api_hints_quoted(F.col("html")),
                                          "auth_required": P.auth_required_substring(tags_to_text(spoken_html(F.col("html"))))})
-    facts = clean.select("page_id", "title", P.page_summary(F.col("text")).alias("summary"), "api_hints", "auth_required")
+    facts = clean.select("page_id", "title", P.page_summary(F.col("text")).alias("summary"), "api_hints", "auth_required",
+                         F.col("text").alias("content"))
     forms = E.extract_forms(pages).groupBy("page_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("form_no", "page", "fields", "action", "method"))),
                     lambda x: F.struct(x["page"].alias("page"), x["fields"].alias("fields"),
                                        x["action"].alias("action"), x["method"].alias("method"))).alias("forms"))
     facts = facts.join(forms, "page_id", "left").withColumn(
         "forms", F.coalesce("forms", F.array().cast("array<struct<page:string,fields:array<string>,action:string,method:string>>")))
+    actions = E.extract_actions(pages).groupBy("page_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("action_no", "type", "label", "leads_to", "endpoint"))),
+                    lambda x: F.struct(x["type"].alias("type"), x["label"].alias("label"), x["leads_to"].alias("leads_to"),
+                                       x["endpoint"].alias("endpoint"))).alias("actions"))
+    facts = facts.join(actions, "page_id", "left")
     return S.site_awareness(walk, facts, max_pages=CRAWL_BUDGET)
 
 

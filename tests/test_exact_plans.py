@@ -79,3 +79,21 @@ def test_backslashes_and_coded_dots_in_links(spark):
     df = spark.createDataFrame([("\\x\\y", "https://e.example/d/p"), ("/a/%2e%2e/b", "https://e.example/d/p"), ("/a/%2E/b?x=\\", "https://e.example/")], "h string, b string")
     out = [r["target_url"] for r in with_resolved_url(df, "h", "b").collect()]
     assert out == ["https://e.example/x/y", "https://e.example/b", "https://e.example/a/b?x=\\"]
+
+
+def test_walk_through_redirects(spark):
+    from tessera.operators.site import crawl_snapshot, site_awareness
+    site = "https://s.example"
+    snap = spark.createDataFrame([(site, "/", 1), (site, "/a", 2), (site, "/b", 3)], "site string, path string, page_id long")
+    edges = spark.createDataFrame([(1, 1, "/old-a"), (1, 2, "/a"), (1, 3, "/out"), (1, 4, "/none"), (2, 1, "/b")], "page_id long, link_no int, target_path string")
+    red = spark.createDataFrame([(site, "/old-a", site, "/a"), (site, "/out", "https://t.example", "/")], "site string, path string, final_site string, final_path string")
+    walk = crawl_snapshot(snap, edges, spark.createDataFrame([(site, "/")], "site string, path string"), redirects=red)
+    got = {r["path"]: (r["rank"], r["outcome"], r["page_id"]) for r in walk.collect()}
+    assert got == {"/": (1, "mapped", 1), "/old-a": (2, "mapped", 2), "/a": (3, "duplicate", None), "/out": (4, "off_origin", None),
+                   "/none": (5, "missing", None), "/b": (6, "mapped", 3)}
+    facts = spark.createDataFrame([(k, f"T{k}", "s", [], [], False, [("link", "go", "/b", None)], f"text {k}") for k in (1, 2, 3)],
+                                  "page_id long, title string, summary string, forms array<string>, api_hints array<string>, auth_required boolean, "
+                                  "actions array<struct<type:string,label:string,leads_to:string,endpoint:string>>, content string")
+    m = site_awareness(walk, facts).collect()[0]
+    assert [p["path"] for p in m["pages"]] == ["/", "/a", "/b"] and m["pages"][1]["content"] == "text 2" and len(m["actions"]) == 3
+    assert m["off_origin_redirects_skipped"] == ["https://s.example/out -> https://t.example/"] and m["pages_failed"] == 1

@@ -61,5 +61,8 @@ def test_walk_matches_fifo_queue(spark):
         site_pages[s.site][s.path] = by_page.get(s.page_id, [])
         if s.site not in first or s.page_id < first[s.site][1]:
             first[s.site] = (s.path, s.page_id)
-    want = {site: bfs(first[site][0], site_pages[site], PS.CRAWL_BUDGET) for site in site_pages}
+    # the linked sites' missing paths: one in three leads to /c/{4i}, one to another site
+    leads = {f"/gone/{i}": f"/c/{4 * i}" if i % 3 == 0 else None for i in range(1, 200) if i % 3 < 2}
+    want = {site: bfs(first[site][0], site_pages[site], PS.CRAWL_BUDGET, leads if ".links.example" in site else None) for site in site_pages}
+    assert {r["outcome"] for r in rows} >= {"mapped", "missing", "unvisited", "off_origin"}
     assert _summary(rows) == want

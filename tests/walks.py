@@ -47,17 +47,22 @@ def strip_spans(html: str, is_chrome) -> tuple[str, int, int, str | None]:
     return "".join(out), len(cuts), kept, (drop[0] if drop else None)
 
 
-def bfs(start: str, pages: dict[str, list[str]], budget: int) -> dict:
-    """FIFO walk: pages maps path -> linked paths (missing path = failure)."""
-    queue, seen, attempted, mapped, failed = [start], {start}, 0, [], []
+def bfs(start: str, pages: dict[str, list[str]], budget: int, leads: dict[str, str | None] | None = None) -> dict:
+    """FIFO walk: pages maps path -> linked paths (missing path = failure);
+    leads maps a redirecting path to where it ends (None: another site)."""
+    queue, seen, attempted, mapped, failed, done = [start], {start}, 0, [], [], set()
     while queue and attempted < budget:
         cur = queue.pop(0)
         attempted += 1
-        if cur not in pages:
+        end = (leads or {}).get(cur, cur)
+        if end is None or end in done:
+            continue
+        if end not in pages:
             failed.append(cur)
             continue
+        done.add(end)
         mapped.append(cur)
-        for t in pages[cur]:
+        for t in pages[end]:
             if t not in seen:
                 seen.add(t)
                 queue.append(t)
