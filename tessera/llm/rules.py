@@ -110,11 +110,16 @@ def judge(docs: DataFrame, host: str = "source", with_facts: bool = True) -> Dat
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and whose host is not rejected."""
-    judged = judge(docs.select("doc_id", "text", host).withColumn("own uid", F.xxhash64("text")), host)
-    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("bad id"), F.col("own uid").alias("bad uid"),
-                                              F.col(f"`{host}`").alias("bad host"), F.col("base_failed").alias("bad text")).distinct()
-    # written, so that its size is known when the join with the texts is planned
-    bad = saved(bad, "rejected")
-    same_host = F.col("bad text") | F.col("bad host").eqNullSafe(F.col(f"`{host}`"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad id")) & (F.xxhash64("text") == F.col("bad uid")) & same_host, "left_anti")
+    """The rows of ``docs`` that pass the base rules and whose host is not rejected.
+
+    The text is read twice, for the hosts' sums and for the rows, and never
+    shuffled: only the table of rejected hosts meets the rows.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept row")
+    facts = text_facts(docs.select(row, "text", F.col(f"`{host}`").alias("fact host")))
+    rejected = host_verdicts(facts.select("fact host", *FACTS), "fact host").where("host_rejected").select(F.col("host").alias("rejected host"))
+    # one row or none: a plain filter would be pushed into the projections below
+    # and evaluate a text's words anew for each of them
+    passes = F.explode_outer(F.when(~F.col("base_failed"), F.array(F.lit(1)))).alias("passes")
+    good = facts.select("kept row", "fact host", passes).where("passes is not null")
+    return good.join(rejected, F.col("fact host") == F.col("rejected host"), "left_anti").select("kept row.*")
