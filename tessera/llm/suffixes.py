@@ -8,19 +8,19 @@ position, is the original; words covered by a later one are repeated words.
    smallest hash; only suffixes at these minimiser positions are retained.
    The choice depends on content alone, so equal windows retain the same
    suffix at the same offset. About 1 word in 13 starts a retained suffix.
-2. Suffixes are sorted: by the hash of their first 25 words, the words that
-   follow (to the right), then the words before (to the left). Range
-   partitioning by the whole key splits a passage that a third of all
-   documents share over many tasks, each of which streams its rows in chunks.
-3. Suffixes whose first 25 words equal a neighbour's are extended to the left
-   and right: a pair of extensions that makes up 50 words and is found at two
-   places is a repeat. A run of equal suffixes that touches a chunk's edge
+   It carries a 64-bit hash over all words of each window that names it: 8 bytes a
+   word of text.
+2. Suffixes are sorted by the hash of their first 25 words, then by the hashes of
+   their windows. Range partitioning by the whole key splits a passage that a
+   third of all documents share over many tasks, each of which streams its rows in
+   chunks.
+3. Among suffixes whose first 25 words equal a neighbour's, a window that is found
+   at two places is a repeat. A run of equal suffixes that touches a chunk's edge
    sends, for each window, its first occurrence in the chunk on to be compared
    with other chunks' (one row a window and chunk).
 
-The 25 words around a suffix travel as 16-bit codes; the first 25 are compared
-by a 64-bit hash. A window is taken for repeated wrongly if a word beside a real
-match of 25 words or more differs but has the same code (1 in 65,536).
+Windows are compared by a 64-bit hash over their 50 words' 64-bit hashes and in
+no shorter form.
 
 Defined cases: a null text or one of under 50 words has no repeats; rows equal in
 id and text are one document; rows that share an id but not the text are
@@ -37,58 +37,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import saved, shuffle_parts
-from tessera.llm.vectors import U, Words, mix, slices, window_hashes
+from tessera.llm.vectors import BASE, U, Words, mix, slices, window_hashes
 
 LEAST, GRAM = 50, 25
-SIDE = LEAST - GRAM  # words of context on either side
+SIDE = LEAST - GRAM  # words of a window besides the gram
 #: Rows of a chunk in the sorted stream.
 CHUNK = 50_000
 LAST_ID = np.iinfo(np.int64).max
 
 
 def retained(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text's word hashes: positions of retained suffixes, their 25-gram
-    hashes, and the first and last start of the windows that name each."""
+    """For a text's word hashes: the hashes of its windows; and for each retained
+    suffix its 25-gram hash and the first start and number of the windows that name it."""
     if len(h) < LEAST:
         none = np.zeros(0, np.int64)
-        return none, np.zeros(0, U), none, none
+        return np.zeros(0, U), np.zeros(0, U), none, none
     grams = window_hashes(h, GRAM)
-    starts = np.arange(len(h) - LEAST + 1)
+    windows = mix(grams[:-SIDE] * U(BASE) + grams[SIDE:])  # a window is two grams
+    starts = np.arange(len(windows))
     at = starts + np.lib.stride_tricks.sliding_window_view(grams, SIDE + 1).argmin(axis=1)
     new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[new[1:] - 1, len(at) - 1]
-    return at[new], grams[at[new]], new, last
+    return windows, grams[at[new]], new, np.diff(np.r_[new, len(windows)])
 
 
-def _codes(codes: np.ndarray, begin: np.ndarray, length: np.ndarray, step: int) -> pa.Array:
-    """Binary values: ``length`` codes from ``begin`` on, forwards or backwards, high byte first."""
-    ends = np.r_[0, np.cumsum(length)]
-    within = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
-    flat = codes[np.repeat(begin, length) + step * within].astype(">u2")
-    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+def _packed(values: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Binary values: of 64-bit ``values``, the next ``length`` for each row."""
+    ends = 8 * np.r_[0, np.cumsum(length)]
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, at, key, right, left) for each retained suffix."""
-    schema = "doc_id long, uid long, at int, key binary, right binary, left binary"
+    """(doc_id, uid, start, key, windows) for each retained suffix; the windows from ``start`` on name it."""
+    schema = "doc_id long, uid long, start int, key binary, windows binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             words = Words(part.column(2))
-            codes = (words.hash >> U(48)).astype(np.uint16)
             found = [retained(words.hash[a:b]) for a, b in zip(words.first, words.first[1:])]
-            n = np.array([len(f[0]) for f in found])
+            n = np.array([len(f[1]) for f in found])
             if not n.sum():
                 continue
-            base = np.repeat(words.first[:-1], n)
-            at, gram, low, high = (np.concatenate([f[i] for f in found]) for i in range(4))
-            row = np.repeat(np.arange(len(n)), n)
-            key = gram.astype(">u8").tobytes()
+            windows, gram, start, length = (np.concatenate([f[i] for f in found]) for i in range(4))
+            row = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays([
-                part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)),
-                pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((8 * np.arange(len(row) + 1)).astype(np.int32).tobytes()), pa.py_buffer(key)]),
-                _codes(codes, base + at + GRAM, high + LEAST - at - GRAM, 1), _codes(codes, base + at - 1, at - low, -1)],
-                names=["doc_id", "uid", "at", "key", "right", "left"])
+                part.column(0).take(row), part.column(1).take(row), pa.array(start.astype(np.int32)),
+                _packed(gram.astype(">u8"), np.ones(len(gram), np.int64)), _packed(windows, length)],
+                names=["doc_id", "uid", "start", "key", "windows"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), "text").mapInArrow(run, schema)
 
@@ -101,19 +95,6 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8), np.diff(ends)
 
 
-def _extensions(side: pa.ChunkedArray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """hash[i, j]: of seed i and the first j codes of side i; and the sides' lengths."""
-    data, length = _binary(side)
-    length = length // 2
-    table = np.zeros((len(length), SIDE), np.uint16)
-    table[np.arange(SIDE) < length[:, None]] = data.view(">u2")
-    out = np.empty((len(length), SIDE + 1), U)
-    out[:, 0] = seed
-    for j in range(SIDE):
-        out[:, j + 1] = mix(out[:, j] + table[:, j].astype(U) + U(j + 1))
-    return out, length
-
-
 def _repeats(chunk: pa.Table) -> Iterator[dict]:
     """Windows of a sorted chunk: spans that are settled here (kind 0) and windows
     to compare with other chunks' (kind 1)."""
@@ -123,16 +104,12 @@ def _repeats(chunk: pa.Table) -> Iterator[dict]:
     kept = np.flatnonzero(np.r_[False, same] | np.r_[same, False] | edge)
     rows = chunk.take(pa.array(kept))
     gram, edge = gram[kept], edge[kept]
-    by_right, right = _extensions(rows.column("right"), gram)
-    by_left, most = _extensions(rows.column("left"), np.zeros(len(gram), U))
-    least = SIDE - right  # least and most words to the left
-    n = most - least + 1
+    data, length = _binary(rows.column("windows"))
+    window, n = data.view(U), length // 8
     row = np.repeat(np.arange(len(n)), n)
-    before = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) + least[row]
-    window = mix(by_right[row, SIDE - before] ^ mix(by_left[row, before] + before.astype(U)))
     doc = np.asarray(rows.column("doc_id").combine_chunks().fill_null(LAST_ID))
-    uid, at = np.asarray(rows.column("uid")), np.asarray(rows.column("at")).astype(np.int64)
-    start = at[row] - before
+    uid, low = np.asarray(rows.column("uid")), np.asarray(rows.column("start")).astype(np.int64)
+    start = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     order = np.lexsort((start, uid[row], doc[row], window))
     window, row, start = window[order], row[order], start[order]
     head = np.r_[True, window[1:] != window[:-1]]
@@ -194,7 +171,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     suffixes = _suffixes(docs)
-    order = ["key", "right", "left", "doc_id", "uid", "at"]
+    order = ["key", "windows", "doc_id", "uid", "start"]
     ranged = suffixes.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
     found = saved(_compare(ranged), "repeats")
     # first occurrences of the windows at chunk edges: at most one a window and chunk

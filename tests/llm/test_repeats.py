@@ -2,10 +2,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import SCHEMA, awkward, awkward_rows, component_ids, empty, prose, words
 
 from tessera.llm import imatch, jaccard, suffixes
+from tessera.llm.vectors import Words
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,6 +102,24 @@ def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
     assert found[True] == repeated and found[False] == original
 
 
+def test_words_beside_a_shared_passage_are_compared_in_full(spark):
+    # pairs of different words whose hashes agree in the first 16 bits, on either side of 49 shared words
+    names = [f"n{k}" for k in range(3000)]
+    codes, pairs = {}, []
+    for name, h in zip(names, Words(pa.array(names)).hash):
+        other = codes.setdefault(int(h) >> 48, name)
+        if other != name:
+            pairs.append((other, name))
+    assert len(pairs) >= 4
+    rng = random.Random(6)
+    rows = []
+    for k, (a, b) in enumerate(pairs[:4]):
+        p = prose(rng, 49, 9000)
+        rows += [(2 * k, f"{a} {p}" if k % 2 else f"{p} {a}", "en", "a", 1), (2 * k + 1, f"{b} {p}" if k % 2 else f"{p} {b}", "en", "a", 1)]
+    assert plain_repeats(rows) == ({}, {})
+    assert suffixes.repeated_passages(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
 def test_cutting_repeats(spark):
     rng = random.Random(8)
     p = prose(rng, 60, 9000)
