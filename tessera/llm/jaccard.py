@@ -10,13 +10,13 @@ node, named by the hash of the set; the join looks for links between nodes.
    rest are ordered by hash. Any order gives the same links; this one keeps
    shared passages out of the prefixes. The broadcast list of frequent shingles
    has at most ``LIST_MAX`` entries: if there are more, the bound on "frequent"
-   rises until they fit.
+   rises until they fit, and the others keep their place by hash.
 2. Two sets of at least 0.8 likeness share a shingle among the first
-   n - ceil(0.8 n) + 1 of both. Prefix entries meet by shingle. For a rare
-   shingle (few sets by definition) pairs are counted and kept when the shared
-   part of their prefixes still allows the likeness. For a frequent one only a
-   star is drawn: each chunk of rows links its sets to one of them and sends
-   that one on, so a hot shingle costs one row a chunk.
+   n - ceil(0.8 n) + 1 of both. Prefix entries meet by shingle. For a shingle that
+   fewer than ``FREQUENT`` prefixes hold, pairs are counted and kept when the shared
+   part of their prefixes still allows the likeness. For any other only a
+   star is drawn. For one on the list each chunk of rows links its sets to one of
+   them and sends that one on, so a hot shingle costs one row a chunk.
 3. Components of these candidate edges are the units of the join: a link's
    two sets are always in one. The sets of a unit go to a task, which
    stores them in a trie in global order. A probe walks the trie depth first;
@@ -219,7 +219,7 @@ def _prefix_entries(docs: DataFrame, order, n_buckets: int) -> DataFrame:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Candidate pairs of a bucket: counted for rare shingles (shared > 0), stars of frequent ones (shared 0)."""
+    """Candidate pairs of a bucket: counted for shingles of under FREQUENT sets (shared > 0), stars of others (shared 0)."""
     parts = []
     for x in table.column("blob").to_pylist():
         m = len(x) // 24
@@ -232,7 +232,7 @@ def _meet(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[first, len(token)])
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    hot = token[first] >= _HEAVY
+    hot = (token[first] >= _HEAVY) | (size >= FREQUENT)  # a star joins all pairs that are not counted
     for g in np.unique(size[(size > 1) & ~hot]):
         at = first[(size == g) & ~hot]
         i, j = np.triu_indices(int(g), 1)

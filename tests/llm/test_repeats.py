@@ -2,6 +2,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import SCHEMA, awkward, awkward_rows, component_ids, empty, prose, words
@@ -64,6 +65,26 @@ def test_components_of_the_test_table(spark):
     assert order([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out]) == order(plain_components(rows))
 
 
+def test_frequent_shingles_beyond_the_list_are_stars(spark, monkeypatch):
+    # 2,000 sets that share a shingle which isn't on the list, and two that share another one
+    n = 2000
+    token = np.r_[np.full(n, 5), 6, 6].astype(np.uint64)
+    sid = np.r_[np.arange(n), 7, 9].astype(np.uint64)
+    blob = token.tobytes() + sid.tobytes() + np.full(n + 2, 10, np.uint32).tobytes() + np.zeros(n + 2, np.uint32).tobytes()
+    met = jaccard._meet(pa.table({"blob": pa.array([blob], pa.binary())})).to_pylist()
+    assert len(met) == n  # n - 1 spokes and the counted pair
+    assert len(set(component_ids([(r["a"], r["b"]) for r in met], range(n)).values())) == 1
+    assert [(r["a"], r["b"], r["shared"]) for r in met if r["shared"]] == [(7, 9, 1)]
+    # no list at all: the groups that would be on it still give the same components
+    monkeypatch.setattr(jaccard, "LIST_MAX", 0)
+    rng = random.Random(12)
+    texts = [t for copies, edits in ((150, 4), (5, 2)) for t in near_copies(rng, copies, edits)] + [prose(rng, 90) for _ in range(5)]
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
+    assert not len(jaccard.global_order(spark.createDataFrame(rows, SCHEMA))[0])
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert order([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out]) == order(plain_components(rows))
+
+
 def test_one_of_each_group_stays(spark):
     docs = awkward(spark)
     kept = jaccard.keep_one(docs)
