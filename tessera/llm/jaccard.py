@@ -162,9 +162,9 @@ def global_order(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_entries(docs: DataFrame, order, n_buckets: int) -> DataFrame:
-    """Kind 0: documents (doc_id, a = set id, n). 1: edges (a, b) within a chunk. 2: packed prefix entries of a bucket."""
+    """Kind 0: documents (doc_id, uid = xxhash64 of the text, a = set id, n). 1: edges (a, b) within a chunk. 2: packed prefix entries of a bucket."""
     shift = U(64 - n_buckets.bit_length() + 1)
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
     def batch(**cols):
         n = len(next(iter(cols.values())))
@@ -197,7 +197,7 @@ def _prefix_entries(docs: DataFrame, order, n_buckets: int) -> DataFrame:
 
         for part, sets in _sets(batches):
             ids = [_set_id(s) if len(s) else None for s in sets]
-            yield batch(kind=[0] * len(sets), doc_id=part.column(0).to_pylist(), a=[_signed(i) for i in ids], n=[len(s) for s in sets])
+            yield batch(kind=[0] * len(sets), doc_id=part.column(0).to_pylist(), uid=part.column(2).to_pylist(), a=[_signed(i) for i in ids], n=[len(s) for s in sets])
             for s, i in zip(sets, ids):
                 if i is None or i in seen:
                     continue
@@ -215,7 +215,7 @@ def _prefix_entries(docs: DataFrame, order, n_buckets: int) -> DataFrame:
         if kept:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(send, "kind int, doc_id long, a long, b long, n long, bucket int, blob binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("uid")).mapInArrow(send, "kind int, doc_id long, uid long, a long, b long, n long, bucket int, blob binary")
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -324,7 +324,8 @@ def trie_join(table: pa.Table) -> pa.Table:
     """Links (a, b) between the sets of one unit."""
     ids = table.column("sid").to_pylist()
     sets = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
-    order = sorted(range(len(sets)), key=lambda i: (sets[i].astype(">u8").tobytes(), ids[i]))
+    once = {sid: i for i, sid in enumerate(ids)}  # tasks may repeat a set
+    order = sorted(once.values(), key=lambda i: (sets[i].astype(">u8").tobytes(), ids[i]))
     pairs = Trie([sets[i] for i in order]).links()
     found = pa.table({"a": pa.array([ids[order[i]] for i, _ in pairs], pa.int64()), "b": pa.array([ids[order[j]] for _, j in pairs], pa.int64())})
     blocks = table.column("blocks")[0].as_py()
@@ -356,21 +357,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = _prefix_entries(docs, order, n_buckets)
     routed = entries.withColumn("bucket", F.coalesce("bucket", F.pmod(F.hash("kind", "doc_id", "a", "b"), F.lit(n_buckets))))
     met = saved(_through(routed), "jaccard-met")
-    rows = met.where("kind = 0").select("doc_id", F.col("a").alias("set_id"), F.col("n").alias("n_shingles"))
+    rows = met.where("kind = 0").select("doc_id", "uid", F.col("a").alias("set_id"), F.col("n").alias("n_shingles"))
     pairs = (met.where("kind = 1 and shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("lacks").alias("lacks"))
              .where("shared >= lacks").select("a", "b"))
     stars = met.where("kind = 1 and shared = 0").select("a", "b").distinct()
     units = saved(components(pairs.union(stars), "a", "b"), "jaccard-units")
-    # one document of each set in a unit
-    chosen = (rows.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.max("n_shingles").alias("size"))
-              .join(units, F.col("set_id") == F.col("node")).select("set_id", "rep_id", "size", "component"))
+    # one document of each set, by id (nulls last) and text
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("rep"), F.max("n_shingles").alias("size"))
+    chosen = classes.join(units, F.col("set_id") == F.col("node")).select(
+        "set_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.uid").alias("rep_uid"), "size", "component")
     blocks = chosen.groupBy("component").agg((F.floor(F.sum("size") / BLOCK) + 1).cast("int").alias("blocks"))
     found = saved(_unit_links(docs, chosen, blocks, order), "jaccard-links")
     # links never leave a unit, so only units of several blocks need another round
     links = labels(found.where("blocks = 1"), "a", "b").union(components(found.where("blocks > 1"), "a", "b"))
-    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep_id"))
-    labelled = classes.join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "rep_id", F.coalesce("component", "set_id").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("rep_id").alias("component_id"))
+    labelled = classes.join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"))
     names = labelled.join(least, "label").select(F.col("set_id").alias("named"), "component_id")
     return rows.join(names, F.col("set_id") == F.col("named"), "left").select(
         "doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -380,28 +382,32 @@ def _through(routed: DataFrame) -> DataFrame:
     """Documents and chunk edges as they are; prefix entries as candidate pairs."""
     def run(table: pa.Table) -> pa.Table:
         kind = np.asarray(table.column("kind"))
-        plain = table.filter(pa.array(kind < 2)).select(["kind", "doc_id", "a", "b", "n"])
+        plain = table.filter(pa.array(kind < 2)).select(["kind", "doc_id", "uid", "a", "b", "n"])
         plain = plain.append_column("shared", pa.array(np.zeros(len(plain)), pa.int64())).append_column("lacks", pa.array(np.zeros(len(plain)), pa.int64()))
         blobs = table.filter(pa.array(kind == 2))
         if not len(blobs):
             return plain
         found = _meet(blobs)
         nothing = pa.nulls(len(found), pa.int64())
-        found = pa.table({"kind": pa.array(np.ones(len(found)), pa.int32()), "doc_id": nothing, "a": found["a"], "b": found["b"], "n": nothing,
+        found = pa.table({"kind": pa.array(np.ones(len(found)), pa.int32()), "doc_id": nothing, "uid": nothing, "a": found["a"], "b": found["b"], "n": nothing,
                           "shared": found["shared"], "lacks": found["lacks"]})
         return pa.concat_tables([plain, found])
 
-    return routed.groupBy("bucket").applyInArrow(run, "kind int, doc_id long, a long, b long, n long, shared long, lacks long")
+    return routed.groupBy("bucket").applyInArrow(run, "kind int, doc_id long, uid long, a long, b long, n long, shared long, lacks long")
 
 
 def _unit_links(docs: DataFrame, chosen: DataFrame, blocks: DataFrame, order) -> DataFrame:
-    texts = docs.select(F.col("doc_id").alias("rep_id"), "text").join(chosen, "rep_id").select("set_id", "text", "component")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("uid")).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("uid") == F.col("rep_uid"))).select("set_id", "text", "component")
 
     def run(batches):
         by = Order(*order.value)
+        seen: set[int] = set()
         for part, sets in _sets(batches):
-            # rows that share an id but not the text are told apart by their set
-            own = [len(s) > 0 and _set_id(s) == i % (1 << 64) for s, i in zip(sets, part.column(0).to_pylist())]
+            # repeated rows: a task sends a set once
+            own = [not (i in seen or seen.add(i)) for i in part.column(0).to_pylist()]
+            if len(seen) > 1_000_000:
+                seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).filter(pa.array(own)), part.column(2).filter(pa.array(own)), pa.array([by.keys(s).tobytes() for s, ok in zip(sets, own) if ok], pa.binary())],
                 names=["sid", "component", "keys"])

@@ -85,6 +85,24 @@ def test_frequent_shingles_beyond_the_list_are_stars(spark, monkeypatch):
     assert order([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out]) == order(plain_components(rows))
 
 
+def test_rows_with_null_ids_link_others(spark):
+    rng = random.Random(21)
+    base = prose(rng, 120, 3000).split()
+    far = list(base)
+    far[20:24] = "a b c d".split()
+    further = list(far)
+    further[90:94] = "p q r s".split()
+    # a ~ n ~ b with a null id in the middle, but not a ~ b
+    rows = [(1, " ".join(base), "en", "a", 1), (None, " ".join(far), "en", "a", 1), (2, " ".join(further), "en", "a", 1)]
+    rows += [(None, " ".join(far), "en", "b", 1)] * 3 + [(None, prose(rng, 80), "en", "a", 1)]
+    rows += [(None, t, "en", "a", 1) for t in near_copies(rng, 3, 2)] + [(9, prose(rng, 60), "en", "a", 1), (9, prose(rng, 70), "en", "a", 1)]
+    a, n, b = (shingle_set(r[1]) for r in rows[:3])
+    assert 100 * len(a & b) < 80 * len(a | b) and 100 * len(a & n) >= 80 * len(a | n) and 100 * len(b & n) >= 80 * len(b | n)
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r["component_id"] for r in out if r["doc_id"] == 2] == [1]
+    assert order([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out]) == order(plain_components(rows))
+
+
 def test_one_of_each_group_stays(spark):
     docs = awkward(spark)
     kept = jaccard.keep_one(docs)
