@@ -349,8 +349,12 @@ def _stars(links: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(far, pa.int64()), "b": pa.array([find(x) for x in far], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) for each row of ``docs`` (doc_id, text)."""
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, uid, n_shingles, set_id, component_id, first) for each row of ``docs`` (doc_id, text).
+
+    ``uid`` is xxhash64 of the text, ``first`` the first document of the row's
+    component: (no_id, doc_id, uid), null for a text without words.
+    """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(global_order(docs))
     n_buckets = _buckets(spark)
@@ -372,10 +376,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # links never leave a unit, so only units of several blocks need another round
     links = labels(found.where("blocks = 1"), "a", "b").union(components(found.where("blocks > 1"), "a", "b"))
     labelled = classes.join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"))
-    names = labelled.join(least, "label").select(F.col("set_id").alias("named"), "component_id")
+    # nulls come last, so the first document has the component's smallest non-null id
+    least = labelled.groupBy("label").agg(F.min("rep").alias("first"))
+    names = labelled.join(least, "label").select(F.col("set_id").alias("named"), "first")
     return rows.join(names, F.col("set_id") == F.col("named"), "left").select(
-        "doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "uid", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, set_id, component_id) for each row of ``docs`` (doc_id, text)."""
+    return _named(docs).select("doc_id", "n_shingles", "set_id", "component_id")
 
 
 def _through(routed: DataFrame) -> DataFrame:
@@ -421,12 +431,21 @@ def _unit_links(docs: DataFrame, chosen: DataFrame, blocks: DataFrame, order) ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document for each component: the one whose id names it.
+    """The rows of ``docs`` with one row for each component: its first document by id (nulls last) and text.
 
-    Rows that share an id stay or go together; rows with a null id stay.
+    A document is an id (or none) and a text, so rows that share an id are judged
+    apart. Of rows that repeat both, one stays: the smallest by its other columns.
+    A text without words is a component for each id.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone id")).distinct()
+    found = _named(docs.select(F.col("doc_id").cast("long"), "text"))
+    first = F.col("set_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("uid") == F.col("first.uid")))
+    # documents that go, and those that stay but have several rows;
     # written, so that its size is known when the join with the texts is planned
-    gone = saved(gone, "jaccard-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")
+    met = saved(found.groupBy(F.col("doc_id").alias("met id"), F.col("uid").alias("met uid"))
+                .agg(F.min(first).alias("met first"), F.count(F.lit(1)).alias("met rows")).where("not `met first` or `met rows` > 1"), "jaccard-met-again")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("met id")) & (F.xxhash64("text") == F.col("met uid"))
+    alone = docs.join(met, same, "left_anti")
+    # one row of each, taken map-side first; nothing to read where no row repeats
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("met row")
+    several = docs.join(met.where("`met first`"), same).groupBy("met id", "met uid").agg(F.min(row).alias("met row")).select("met row.*")
+    return alone.union(several)

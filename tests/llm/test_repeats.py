@@ -112,6 +112,21 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.keep_one(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays_by_id_and_text(spark):
+    rng = random.Random(31)
+    own = prose(rng, 80)
+    copies, nulls, more = near_copies(rng, 2, 1), near_copies(rng, 3, 1), near_copies(rng, 2, 1)
+    rows = [(3, copies[0], "en", "a", 1), (17, copies[1], "en", "a", 1), (17, own, "en", "a", 1)]  # a shared id
+    rows += [(None, t, "en", "a", 1) for t in nulls]  # near copies without an id
+    rows += [(5, more[0], "fr", "b", 1), (5, more[0], "en", "b", 1), (5, more[0], "en", "b", 1), (6, more[1], "en", "b", 1)]  # repeated rows
+    rows += [(8, "", "en", "c", 0), (9, None, "en", "c", 0), (9, None, "en", "c", 0), (None, " ", "en", "c", 1)]  # without words
+    kept = order(tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
+    without_id = [r for r in kept if r[0] is None and r[1] != " "]
+    assert len(without_id) == 1 and without_id[0][1] in nulls
+    assert [r for r in kept if r not in without_id] == order(
+        [(3, copies[0], "en", "a", 1), (5, more[0], "en", "b", 1), (17, own, "en", "a", 1), (8, "", "en", "c", 0), (9, None, "en", "c", 0), (None, " ", "en", "c", 1)])
+
+
 def plain_repeats(rows):
     """Words covered by a 50-word window that occurs before, and by the first occurrence of such a window."""
     first, repeated, original = {}, {}, {}
