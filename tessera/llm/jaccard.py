@@ -369,8 +369,9 @@ def _named(docs: DataFrame) -> DataFrame:
     # one document of each set, by id (nulls last) and text
     classes = rows.where("set_id is not null").groupBy("set_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("rep"), F.max("n_shingles").alias("size"))
-    chosen = classes.join(units, F.col("set_id") == F.col("node")).select(
-        "set_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.uid").alias("rep_uid"), "size", "component")
+    # written, so that its size is known when the join with the texts is planned
+    chosen = saved(classes.join(units, F.col("set_id") == F.col("node")).select(
+        "set_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.uid").alias("rep_uid"), "size", "component"), "jaccard-chosen")
     blocks = chosen.groupBy("component").agg((F.floor(F.sum("size") / BLOCK) + 1).cast("int").alias("blocks"))
     found = saved(_unit_links(docs, chosen, blocks, order), "jaccard-links")
     # links never leave a unit, so only units of several blocks need another round
