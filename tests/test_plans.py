@@ -2,7 +2,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from samples import SF_SMALL
 from tessera.operators.html import clean_pages
 from tessera.operators.pages import page_title
 

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from samples import SF_SMALL
 from tessera.operators.site import crawl_snapshot
 from tessera.plans import site as PS
 from walks import bfs

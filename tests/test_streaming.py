@@ -1,7 +1,7 @@
 import glob
 import tempfile
 
-from conftest import SF_SMALL
+from samples import SF_SMALL
 from tessera.streaming.pages import page_facts, read_page_stream, start_clean_stream
 
 
