@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, imatch, jaccard, language, mixing, quality, rules, shards, suffixes, tokens
+from tessera.llm import bpe, imatch, jaccard, language, mixing, negatives, quality, rules, search, shards, suffixes, tokens, toxicity
 from tessera.llm.shared import documents
 
 
@@ -56,9 +56,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(vectors, F.col("id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.5)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality_classifier, op3_token_counts, op4_byte_bpe, op5_sharding, op6_mixing, op7_quality_rules,
-    op8_language_id, op9_imatch, op10_ngram_jaccard)}
+    op8_language_id, op9_imatch, op10_ngram_jaccard, op11_ranked_search, op12_hard_negatives, op13_toxicity)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -126,4 +141,30 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gr
           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT g.doc_id, CAST(len(g.grams) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM g JOIN reach r ON r.a = g.doc_id GROUP BY g.doc_id, g.grams
+""", "op11_ranked_search": r"""
+WITH t AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+           FROM (SELECT *, row_number() OVER () AS row FROM documents)),
+size AS (SELECT row, doc_id, count(*) AS n FROM t GROUP BY ALL),
+total AS (SELECT count(*) AS d, CAST(sum(n) AS BIGINT) AS l FROM size),
+tf AS (SELECT row, term, count(*) AS tf FROM t GROUP BY ALL),
+q AS (SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM (SELECT *, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * d + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total WHERE term IN (SELECT term FROM q) GROUP BY term, d),
+s AS (SELECT item, item_id, row, size.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * d) // l)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN size USING (row), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+""", "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """}

@@ -51,9 +51,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """The words of a slice of texts: ``start``/``end`` byte positions within
-    ``data``, ``hash`` and, for text i, the words first[i] to first[i + 1]."""
+    ``data``, ``hash`` and, for text i, the words first[i] to first[i + 1].
+    ``breaks`` marks the bytes between words."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True, breaks: np.ndarray = _SPACE):
         if texts.null_count:
             texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
         wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
@@ -63,7 +64,7 @@ class Words:
         raw = buffers[2]
         self.data = np.frombuffer(raw, np.uint8)[at[0]:at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
         self.text_at = at - at[0]
-        word = ~_SPACE[self.data]
+        word = ~breaks[self.data]
         size = len(self.data)
         edge = np.zeros(size + 1, bool)
         edge[self.text_at] = True

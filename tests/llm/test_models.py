@@ -3,7 +3,7 @@ import zlib
 
 from helpers import awkward, awkward_rows, empty
 
-from tessera.llm import language, quality
+from tessera.llm import language, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,3 +60,54 @@ def test_votes_within_the_family():
     model = {"langs": ["de", "en", "es", "fr"], "families": ["germanic", "romance"], "pairs": [(0, 1), (2, 3)]}
     names, scores = language.decide(model, np.array([[3.0, 0, -1, 5], [0, 3.0, 5, -1]], float))
     assert names == ["en", "fr"] and (0 < scores).all() and (scores < 1).all()
+
+
+def test_toxicity_on_held_out_documents(spark):
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    out = toxicity.classify(docs, labels).collect()
+    assert len(out) == docs.count() and all(r["held_out"] == in_fold(r["doc_id"]) and r["predicted"] == int(r["score"] >= 0.5) for r in out)
+    tested = [r for r in out if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = ([r["predicted"] for r in tested if truth[r["doc_id"]] == y] for y in (1, 0))
+    assert sum(toxic) / len(toxic) > 0.85 and sum(clean) / len(clean) < 0.02
+    assert not any(in_fold(r["doc_id"]) for r in toxicity.training_sample(docs, labels).collect())
+
+
+def test_toxicity_edge_cases(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (10, 0, 1), (12, 0, None), (None, 1, 0), (14, None, 1), (1, 1, 0), (14, 1, 0)], "doc_id long, quality int, toxic int")
+    out = toxicity.classify(docs, labels).collect()
+    assert len(out) == len(awkward_rows()) and all(0 <= r["score"] <= 1 for r in out)
+    assert 14 not in {r["doc_id"] for r in toxicity.training_sample(docs, labels).collect()}  # labelled both ways
+    assert {r["score"] for r in toxicity.classify(docs, labels.where("false")).collect()} == {0.0}
+    assert {r["predicted"] for r in toxicity.classify(docs, labels.where("toxic = 1")).collect()} <= {0, 1}
+    assert toxicity.classify(empty(spark), labels).count() == 0
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    y = rng.random(3000) < 0.3
+    rates = [(0.02, 0.8), (0.1, 0.6), (0.3, 0.3), (0.05, 0.7)]
+    fires = np.stack([np.where(y, rng.random(3000) < b, rng.random(3000) < a) for a, b in rates], 1)
+    fires = np.c_[fires, fires[:, 1] ^ (rng.random(3000) < 0.02)]  # nearly repeats voter 1
+    anchors = np.where(np.arange(3000) < 300, y.astype(float), np.nan)
+    m = toxicity.LabelModel(fires, anchors)
+    assert np.abs(m.rates[:, :4].T - rates).max() < 0.06 and abs(m.prior[1] - 0.3) < 0.05
+    assert m.parent[4] == 1 or m.parent[1] == 4
+    assert ((m.posterior > 0.5) == y).mean() > 0.93
+    # the repeat adds nothing: a tree trusts both together hardly more than one
+    plain = toxicity.LabelModel(fires[:, :4], anchors)
+    assert np.abs(m.posterior - plain.posterior).mean() < 0.02
+
+
+def test_toxic_copies_are_learned_once(spark):
+    import random
+
+    from helpers import prose
+    rng = random.Random(1)
+    text = prose(rng, 200)
+    rows = [(k, 1, text + f" end{k}") for k in range(20)] + [(k, 0, prose(rng, 100)) for k in range(100, 105)] + [(200, 0, text), (201, 1, ""), (202, 1, " ")]
+    left = {r["doc_id"] for r in toxicity.without_copies(spark.createDataFrame(rows, "doc_id long, label int, text string")).collect()}
+    assert left == {0, 100, 101, 102, 103, 104, 200, 201, 202}
