@@ -21,7 +21,8 @@ its own, and the best rows of other labels inside it are its hard negatives.
    falling scores have left. It holds an anchor's open windows, never its rows.
 
 Scores are exact: products are summed in doubles while every partial sum stays
-below 2**53, else in 64-bit integers (which wrap beyond 2**63).
+below 2**53, else in 64-bit integers; scores must stay within 9e16, so that their
+percentages fit 64 bits.
 
 Defined cases: rows with a null label, a null vector, or a null or non-finite
 component take no part; of two vectors of unlike length the shorter counts as
