@@ -57,10 +57,12 @@ def sampled_features(docs: DataFrame, sample: DataFrame, label: str, **spec) ->
     """(label, buckets, counts) of the sampled documents, in order of id.
 
     ``sample`` (doc_id, label) has a bounded number of rows, so it is broadcast,
-    and a row's features are bounded by the number of buckets.
+    and a row's features are bounded by the number of buckets. Where the label is a
+    column of ``docs``, only rows of that label are met, so that rows which share an
+    id are learned under their own.
     """
-    met = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", F.col(label).cast("string").alias("label"))), "doc_id").select(
-        "doc_id", "text", "label")
+    own = ["doc_id", label] if label in docs.columns else ["doc_id"]
+    met = docs.select(*own, "text").join(F.broadcast(sample.select("doc_id", label)), own).select("doc_id", "text", F.col(label).cast("string").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):

@@ -7,7 +7,8 @@ shares of a text's lower-cased one- to four-byte grams, hashed into
 2 ** BITS buckets, and trained by stochastic gradient descent in numpy on at most
 ``PER_LANGUAGE`` documents a language (first in a seeded order of ids).
 
-Families of languages that ``FAMILIES`` doesn't list are families of their own.
+A value's language is its part before ``-`` or ``_``, in lower case (``pt-BR`` is
+``pt``); one that ``FAMILIES`` doesn't list is a family of its own.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 documents with a null lang, a null id or an id of the held-out fold are never
@@ -49,7 +50,8 @@ FAMILIES = {
 
 
 def family(lang: str) -> str:
-    return next((name for name, members in FAMILIES.items() if lang in members), lang)
+    code = lang.lower().replace("_", "-").split("-")[0]
+    return next((name for name, members in FAMILIES.items() if code in members), code)
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -171,12 +173,13 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 letters = [bool(_has_letter(f, i)) for i in range(len(texts))]
                 names, scores = ["und"] * len(texts), np.zeros(len(texts))
                 if model is not None:
-                    x = np.zeros((len(texts), 1 << BITS), np.float32)
+                    # one text's shares at a time: a vector of 2 ** BITS, never a matrix of texts
+                    z = np.tile(model["biases"], (len(texts), 1))
                     for i in range(len(texts)):
                         ids = f.text(i)
                         if len(ids):
-                            x[i] = np.bincount(ids, minlength=1 << BITS) / np.float32(len(ids))
-                    names, scores = decide(model, x @ model["weights"] + model["biases"])
+                            z[i] += (np.bincount(ids, minlength=1 << BITS) / np.float32(len(ids))).astype(np.float32) @ model["weights"]
+                    names, scores = decide(model, z)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array([n if ok else "und" for n, ok in zip(names, letters)]), pa.array([float(s) if ok else 0.0 for s, ok in zip(scores, letters)])],
                     names=["doc_id", "lang_pred", "score"])

@@ -11,7 +11,7 @@ Scoring needs only, for each bucket, the difference that its vector makes
 between the two classes' outputs, so the broadcast model is one number a bucket.
 
 Defined cases: rows without an id, or whose id falls in the held-out fold, are
-never learned from; labels that are null are ignored; a text without a word or
+never learned from; labels that are null are ignored, and so is an id labelled both 0 and 1; a text without a word or
 gram is scored by the classes' biases; without two classes to learn, every score
 is the share of label 1 among those learned (0.5 if there are none).
 """
@@ -36,7 +36,8 @@ SPEC = {"grams": GRAMS, "bits": BITS, "words": True, "lower": False}
 
 def training_sample(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, quality): at most ``per_class`` labelled ids a class, outside the held-out fold."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+        F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).where("quality = most").select("doc_id", "quality")
     parts = [known.where(F.col("quality") == c).orderBy(seeded_order(F.col("doc_id"), "quality"), "doc_id").limit(per_class) for c in (0, 1)]
     return parts[0].union(parts[1])
 

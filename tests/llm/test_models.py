@@ -111,3 +111,24 @@ def test_toxic_copies_are_learned_once(spark):
     rows = [(k, 1, text + f" end{k}") for k in range(20)] + [(k, 0, prose(rng, 100)) for k in range(100, 105)] + [(200, 0, text), (201, 1, ""), (202, 1, " ")]
     left = {r["doc_id"] for r in toxicity.without_copies(spark.createDataFrame(rows, "doc_id long, label int, text string")).collect()}
     assert left == {0, 100, 101, 102, 103, 104, 200, 201, 202}
+
+
+def test_rows_that_share_an_id_keep_their_own_language(spark):
+    rows = [(1, "the same words again", "en", "a", 1), (1, "und noch ein Satz", "de", "a", 1), (1, "nothing known", None, "a", 1), (2, "another text of it", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").where("doc_id < 3")
+    found = language.sampled_features(docs, language.training_sample(docs), "lang", **language.SPEC)
+    kept = [r for r in rows if r[2] and not in_fold(r[0])]
+    assert sorted(f[0] for f in found) == sorted(r[2] for r in kept)
+    sizes = {(f[0], int(f[2].sum())) for f in found}
+    grams = lambda t: sum(max(0, len(t.encode()) - n + 1) for n in language.GRAMS)
+    assert sizes == {(r[2], grams(r[1])) for r in kept}
+
+
+def test_quality_ignores_ids_labelled_both_ways(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    got = {tuple(r) for r in quality.training_sample(labels).collect()}
+    assert got == {(i, y) for i, y in ((2, 1), (3, 0)) if not in_fold(i)}
+
+
+def test_families_of_regional_codes():
+    assert [language.family(x) for x in ("EN", "pt-BR", "zh_TW", "fr")] == ["germanic", "romance", "zh", "romance"]
