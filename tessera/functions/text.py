@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 # class is spelled out; it is used wherever the reference trims or collapses.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+# The same characters as a list, for functions that take characters instead of a pattern.
+WS_CHARS = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # ASCII word boundaries (the reference's regexes use ASCII \b).
 WB_BEFORE = r"(?<![A-Za-z0-9_])"
 WB_AFTER = r"(?![A-Za-z0-9_])"
@@ -79,6 +82,12 @@ def decode_entities(s: Column) -> Column:
     return F.array_join(F.zip_with(parts, padded, lambda p, d: F.concat(p, d)), "")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once. (A fold over one element hands its
+    result on as it is, while ``transform`` copies every array inside it.)"""
+    return F.aggregate(F.array(F.lit(0)), value, lambda v, _: v, then)
+
+
 def js_trim(s: Column) -> Column:
     return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
 

@@ -6,10 +6,13 @@ accuracy against a truth table (O25).
 Plan shape. A file's text never leaves its row. One lexing regex per file
 rewrites comments and strings into a "clean" text with the same line breaks;
 each line becomes a few numbers and flags (bracket change, indent, last
-characters); and one fold over a file's lines keeps the blocks that are still
-open, each with the indent or bracket depth that ends it. The fold is linear in
-lines times open blocks. Nesting, likewise, folds a file's symbols in line order
-over the stack of symbols that may still cover the next one.
+characters); and one fold over a file's lines keeps a stack of the blocks that are
+still open. Its largest indent (or bracket depth) is a number of the state, so a
+line that opens, settles and ends nothing costs a few comparisons; any other looks
+at the open blocks. Finished blocks leave the state with their chunk of lines.
+The work is linear in lines, plus events times nesting depth. Nesting, likewise,
+folds a file's symbols in line order over the stack of symbols that may still
+cover the next one.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WS, js_trim
+from tessera.functions.text import WS, WS_CHARS, js_trim, let
 from tessera.operators.lines import numbered
 from tessera.sources.files import split_lines
 
@@ -58,9 +61,25 @@ MASK_CLOSE = "\u0002"
 SHOW_CANDIDATES = 20
 # -------------------------------------------------------------------------
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+#: Items of a chunk of a fold.
+CHUNK = 1024
+
+
+def _fold_chunks(items: Column, state, zero: dict, step, done: str) -> Column:
+    """The state after folding ``items`` with ``step``.
+
+    The state is ``state(**fields)``, its field ``done`` an array that only grows. It
+    is empty at the start of each chunk and joins the finished ones at its end, so a
+    step never copies more than a chunk's results."""
+    def chunk(all_items: Column):
+        def run(acc: Column, k: Column) -> Column:
+            own = F.slice(all_items, k * CHUNK + 1, F.lit(CHUNK))
+            fresh = state(**{f: _none(done) if f == "done" else acc[f] for f in zero})
+            return let(F.aggregate(own, fresh, step), lambda now: state(**{f: F.concat(acc["done"], now["done"]) if f == "done" else now[f] for f in zero}))
+        return run
+
+    last = lambda a: F.greatest(F.floor((F.size(a) - 1) / CHUNK).cast("int"), F.lit(0))
+    return let(items, lambda a: F.aggregate(F.sequence(F.lit(0), last(a)), state(**zero), chunk(a)))
 
 
 def _rows(files: DataFrame, symbols: str) -> DataFrame:
@@ -89,6 +108,11 @@ def _clean_text(text: Column, lex: str, rewrite) -> Column:
     return F.array_join(F.zip_with(gaps, new, lambda g, t: F.concat(g, t)), "")
 
 
+def _balance(t: Column, opening: str, closing: str) -> Column:
+    """Opening minus closing characters of a line."""
+    return F.length(F.translate(t, closing, "")) - F.length(F.translate(t, opening, ""))
+
+
 def _newlines(t: Column) -> Column:
     return F.regexp_replace(t, r"[^\n]", "")
 
@@ -124,54 +148,70 @@ def _python_facts(files: DataFrame) -> DataFrame:
     """(file_id, total_lines, facts): what the fold needs of each line."""
     def fact(x: Column) -> Column:
         raw, clean = x["raw"], x["clean"]
-        span = F.when(clean.contains(MASK_OPEN), F.regexp_extract(clean, "^.*" + MASK_OPEN + r"(\d+)" + MASK_CLOSE, 1)).otherwise(F.lit(""))
-        opens, closes = F.length(F.regexp_replace(clean, r"[^(\[{]", "")), F.length(F.regexp_replace(clean, r"[^)\]}]", ""))
-        trimmed = js_trim(raw)
-        cls, dfn = F.regexp_extract(raw, PY_CLASS, 2), F.regexp_extract(raw, PY_DEF, 2)
+        span = F.when(clean.contains(MASK_OPEN), F.regexp_extract(clean, "^.*" + MASK_OPEN + r"(\d+)" + MASK_CLOSE, 1))
+        cls = F.when(raw.contains("class"), F.regexp_extract(raw, PY_CLASS, 2))
+        dfn = F.when(raw.contains("def"), F.regexp_extract(raw, PY_DEF, 2))
+        body = F.ltrim(raw, F.lit(WS_CHARS))
         return F.struct(
-            x["i"].alias("i"), F.when(span != "", x["i"] + span.cast("int")).otherwise(F.lit(0)).alias("mask_end"), (opens - closes).alias("delta"),
-            clean.contains(":").alias("colon"), (js_trim(F.regexp_extract(clean, r":([^:]*)$", 1)) != "").alias("after_colon"),
-            F.length(F.regexp_extract(raw, "^(" + WS + "*)", 1)).alias("indent"), ((trimmed != "") & ~trimmed.startswith("#")).alias("is_code"),
+            x["i"].alias("i"), F.coalesce(x["i"] + F.nullif(span, F.lit("")).cast("int"), F.lit(0)).alias("mask_end"), _balance(clean, "([{", ")]}").alias("delta"),
+            clean.contains(":").alias("colon"), (clean.contains(":") & (F.ltrim(F.substring_index(clean, ":", -1), F.lit(WS_CHARS)) != "")).alias("after_colon"),
+            (F.length(raw) - F.length(body)).alias("indent"), ((body != "") & ~body.startswith("#")).alias("is_code"),
             F.when(cls != "", F.lit("class")).when(dfn != "", F.lit("def")).alias("kind"), F.when(cls != "", cls).otherwise(dfn).alias("name"))
     return _lines(files, PY_LEX, _py_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
 
 
-#: An open block: header indent and bracket depth, and the line its signature ends on.
-_PY_OPEN = "struct<kind:string,name:string,st:int,indent:int,depth:int,sig:int,end:int>"
+#: A header whose signature has not ended (bracket depth before it); an open block (header indent, last line of the signature).
+_PY_HEAD = "struct<kind:string,name:string,st:int,indent:int,depth:int>"
+_PY_OPEN = "struct<kind:string,name:string,st:int,indent:int,sig:int>"
+_LEAST = -(2**31)
 
 
 def _python_fold(facts: Column, total: Column) -> Column:
-    def state(mask_end, depth, last, open_, done) -> Column:
-        return F.struct(mask_end.cast("int").alias("mask_end"), depth.cast("int").alias("depth"), last.cast("int").alias("last"),
-                        open_.alias("open"), done.alias("done"))
+    def state(mask_end, depth, last, top, wait, heads, open_, done) -> Column:
+        return F.struct(mask_end.cast("int").alias("mask_end"), depth.cast("int").alias("depth"), last.cast("int").alias("last"), top.cast("int").alias("top"),
+                        wait.cast("int").alias("wait"), heads.alias("heads"), open_.alias("open_"), done.alias("done"))
+
+    def opened(s: Column, sig: Column) -> Column:
+        return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["st"].alias("st"), s["indent"].alias("indent"), sig.cast("int").alias("sig"))
+
+    def ended(s: Column, last: Column) -> Column:
+        # the body ends with its last code or string line, at least with the signature
+        return _symbol(s["kind"], s["name"], s["st"], F.greatest(s["sig"], F.coalesce(last, s["sig"])))
 
     def step(acc: Column, x: Column) -> Column:
         i, masked, depth = x["i"], acc["mask_end"] >= x["i"], acc["depth"] + x["delta"]
-        last = F.when(x["is_code"] | masked, i).otherwise(acc["last"])
-
-        def judge(s: Column) -> Column:
-            # the signature ends at the first ':' with the brackets closed; a statement behind it makes the block one line
-            sig = F.when(s["sig"].isNull() & x["colon"] & (depth <= s["depth"]), i).otherwise(s["sig"])
-            # the body ends before the first code line that is not indented further than the header
-            left = s["sig"].isNotNull() & x["is_code"] & ~masked & (x["indent"] <= s["indent"])
-            end = (F.when(s["sig"].isNull() & sig.isNotNull() & x["after_colon"], sig)
-                   .when(left, F.greatest(s["sig"], F.coalesce(acc["last"], s["sig"]))))
-            return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["st"].alias("st"), s["indent"].alias("indent"),
-                            s["depth"].alias("depth"), sig.cast("int").alias("sig"), end.cast("int").alias("end"))
-
-        header = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), x["indent"].alias("indent"), acc["depth"].alias("depth"),
-                          F.lit(None).cast("int").alias("sig"), F.lit(None).cast("int").alias("end"))
-        opened = F.when(x["kind"].isNotNull() & ~masked, F.concat(acc["open"], F.array(header).cast(f"array<{_PY_OPEN}>"))).otherwise(acc["open"])
-        mask_end = F.greatest(acc["mask_end"], x["mask_end"])
-        return _let(F.transform(opened, judge).cast(f"array<{_PY_OPEN}>"), lambda b: state(
-            mask_end, depth, last, F.filter(b, lambda s: s["end"].isNull()), F.concat(acc["done"], F.filter(b, lambda s: s["end"].isNotNull()))))
+        numbers = (F.greatest(acc["mask_end"], x["mask_end"]), depth, F.when(x["is_code"] | masked, i).otherwise(acc["last"]))
+        header = x["kind"].isNotNull() & ~masked
+        # a code line ends the blocks whose headers are indented as far as it, or further
+        ends = x["is_code"] & ~masked & (x["indent"] <= acc["top"])
+        # a ':' ends the signatures whose brackets are closed
+        settles = x["colon"] & (depth <= acc["wait"])
+
+        def event() -> Column:
+            own = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), x["indent"].alias("indent"), acc["depth"].alias("depth"))
+            heads = F.when(header, F.concat(acc["heads"], F.array(own).cast(f"array<{_PY_HEAD}>"))).otherwise(acc["heads"])
+            open_ = F.when(ends, F.filter(acc["open_"], lambda s: s["indent"] < x["indent"])).otherwise(acc["open_"])
+            done = F.when(ends, F.concat(acc["done"], F.transform(F.filter(acc["open_"], lambda s: s["indent"] >= x["indent"]), lambda s: ended(s, acc["last"])))).otherwise(acc["done"])
+
+            def settle(h: Column) -> Column:
+                ready = F.filter(h, lambda s: x["colon"] & (depth <= s["depth"]))
+                left = F.filter(h, lambda s: ~(x["colon"] & (depth <= s["depth"])))
+                # a statement behind the ':' makes the block one line
+                grown = F.when(x["after_colon"], open_).otherwise(F.concat(open_, F.transform(ready, lambda s: opened(s, i))))
+                over = F.when(x["after_colon"], F.concat(done, F.transform(ready, lambda s: _symbol(s["kind"], s["name"], s["st"], i)))).otherwise(done)
+                return let(F.struct(left.alias("left"), grown.alias("grown")), lambda v: state(
+                    *numbers, F.coalesce(F.array_max(F.transform(v["grown"], lambda s: s["indent"])), F.lit(-1)),
+                    F.coalesce(F.array_max(F.transform(v["left"], lambda s: s["depth"])), F.lit(_LEAST)), v["left"], v["grown"], over))
+            return let(heads, settle)
+
+        return F.when(header | ends | settles, event()).otherwise(state(*numbers, acc["top"], acc["wait"], acc["heads"], acc["open_"], acc["done"]))
 
     def finish(acc: Column) -> Column:
-        at_end = lambda s: F.coalesce(s["end"], F.when(s["sig"].isNull(), total).otherwise(F.greatest(s["sig"], F.coalesce(acc["last"], s["sig"]))))
-        return F.transform(F.concat(acc["done"], acc["open"]), lambda s: _symbol(s["kind"], s["name"], s["st"], at_end(s)))
+        without = F.transform(acc["heads"], lambda s: _symbol(s["kind"], s["name"], s["st"], total))
+        return F.concat(acc["done"], F.transform(acc["open_"], lambda s: ended(s, acc["last"])), without)
 
-    zero = state(F.lit(0), F.lit(0), F.lit(None), _none(_PY_OPEN), _none(_PY_OPEN))
-    return F.aggregate(facts, zero, step, finish)
+    zero = {"mask_end": F.lit(0), "depth": F.lit(0), "last": F.lit(None), "top": F.lit(-1), "wait": F.lit(_LEAST), "heads": _none(_PY_HEAD), "open_": _none(_PY_OPEN), "done": _none(SYMBOL)}
+    return let(_fold_chunks(facts, state, zero, step, SYMBOL), finish)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -179,8 +219,11 @@ def python_symbols(files: DataFrame) -> DataFrame:
     last body line: signature end by bracket depth and last ':', one-liners
     end on their header, the body is the lines indented past the header
     (blank and comment lines neutral, string lines in the body)."""
-    f = _python_facts(files).select("file_id", _python_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
-    return _rows(f, "symbols")
+    return _rows(_python_arrays(files), "symbols")
+
+
+def _python_arrays(files: DataFrame) -> DataFrame:
+    return _python_facts(files).select("file_id", _python_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
 
 
 def docstring_mask(files: DataFrame) -> DataFrame:
@@ -195,53 +238,74 @@ def docstring_mask(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------- JavaScript / TS
 
+#: What a line must hold for a pattern to match at all.
+_JS_HINTS = (["function"], ["class"], ["=>", "="], ["(", "{"], ["(", "{"], ["(", "="])
+
+
 def _js_facts(files: DataFrame) -> DataFrame:
     def fact(x: Column) -> Column:
         raw, clean = x["raw"], x["clean"]
-        opens, closes = F.length(F.regexp_replace(clean, r"[^{]", "")), F.length(F.regexp_replace(clean, r"[^}]", ""))
-        tail = F.regexp_extract(F.regexp_replace(clean, WS, ""), r"(.{0,2})$", 1)
-        kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for pat, k in reversed(JS_PATTERNS):
-            hit = raw.rlike(pat)
-            kind = F.when(hit, F.lit(k)).otherwise(kind)
-            name = F.when(hit, F.regexp_extract(raw, pat, 1)).otherwise(name)
-        return F.struct(x["i"].alias("i"), (opens - closes).alias("delta"), (opens > 0).alias("opens"), tail.endswith(";").alias("semi"),
-                        (tail == "=>").alias("arrow"), kind.alias("kind"), name.alias("name"))
+        which = F.lit(None).cast("int")
+        for k in reversed(range(len(JS_PATTERNS))):
+            may = raw.contains(_JS_HINTS[k][0])
+            for hint in _JS_HINTS[k][1:]:
+                may = may & raw.contains(hint)
+            which = F.when(may & raw.rlike(JS_PATTERNS[k][0]), F.lit(k)).otherwise(which)
+
+        def named(w: Column) -> Column:
+            kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+            for k, (pat, kind_k) in enumerate(JS_PATTERNS):
+                kind = F.when(w == k, F.lit(kind_k)).otherwise(kind)
+                name = F.when(w == k, F.regexp_extract(raw, pat, 1)).otherwise(name)
+            tail = F.right(F.translate(clean, WS_CHARS, ""), F.lit(2))
+            return F.struct(x["i"].alias("i"), _balance(clean, "{", "}").alias("delta"), clean.contains("{").alias("opens"), tail.endswith(";").alias("semi"),
+                            (tail == "=>").alias("arrow"), kind.alias("kind"), name.alias("name"))
+        return let(which, named)
     return _lines(files, JS_LEX, _js_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
 
 
-#: An open block: the brace depth before its header, and whether a brace opened it.
-_JS_OPEN = "struct<kind:string,name:string,st:int,depth:int,started:boolean,end:int>"
+#: A block with the brace depth before its header.
+_JS_OPEN = "struct<kind:string,name:string,st:int,depth:int>"
 
 
 def _js_fold(facts: Column, total: Column) -> Column:
-    def state(depth, open_, done) -> Column:
-        return F.struct(depth.cast("int").alias("depth"), open_.alias("open"), done.alias("done"))
+    def state(depth, top, waiting, open_, done) -> Column:
+        return F.struct(depth.cast("int").alias("depth"), top.cast("int").alias("top"), waiting.alias("waiting"), open_.alias("open_"), done.alias("done"))
+
+    def to(s: Column, end: Column) -> Column:
+        return _symbol(s["kind"], s["name"], s["st"], end)
 
     def step(acc: Column, x: Column) -> Column:
-        i, depth = x["i"], acc["depth"] + x["delta"]
-
-        def judge(s: Column) -> Column:
-            near = i <= s["st"] + JS_LOOKAHEAD
-            started = s["started"] | (x["opens"] & near)
-            back = depth <= s["depth"]
-            end = (F.when(started, F.when(back & ~x["arrow"], i))
-                   .when(~x["opens"] & x["semi"] & back & near, i)
-                   .when(x["opens"] | (i >= s["st"] + JS_LOOKAHEAD), s["st"]))
-            return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["st"].alias("st"), s["depth"].alias("depth"),
-                            started.alias("started"), end.cast("int").alias("end"))
-
-        header = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), acc["depth"].alias("depth"),
-                          F.lit(False).alias("started"), F.lit(None).cast("int").alias("end"))
-        opened = F.when(x["kind"].isNotNull(), F.concat(acc["open"], F.array(header).cast(f"array<{_JS_OPEN}>"))).otherwise(acc["open"])
-        return _let(F.transform(opened, judge).cast(f"array<{_JS_OPEN}>"), lambda b: state(
-            depth, F.filter(b, lambda s: s["end"].isNull()), F.concat(acc["done"], F.filter(b, lambda s: s["end"].isNotNull()))))
+        i, depth, header = x["i"], acc["depth"] + x["delta"], x["kind"].isNotNull()
+        # blocks end where the braces are back at their header's depth, but not behind '=>'
+        ends = (depth <= acc["top"]) & ~x["arrow"]
+
+        def event() -> Column:
+            own = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), acc["depth"].alias("depth"))
+            # headers without a brace so far: JS_LOOKAHEAD lines at most
+            heads = F.when(header, F.concat(acc["waiting"], F.array(own).cast(f"array<{_JS_OPEN}>"))).otherwise(acc["waiting"])
+
+            def settle(h: Column) -> Column:
+                near = lambda s: i <= s["st"] + JS_LOOKAHEAD
+                starts = lambda s: x["opens"] & near(s)
+                # an expression ends at ';'; without a brace the block is its header
+                given_up = lambda s: F.when(~x["opens"] & x["semi"] & (depth <= s["depth"]) & near(s), i).when(x["opens"] | (i >= s["st"] + JS_LOOKAHEAD), s["st"])
+                still = F.filter(h, lambda s: ~starts(s) & given_up(s).isNull())
+                over = F.transform(F.filter(h, lambda s: ~starts(s) & given_up(s).isNotNull()), lambda s: to(s, given_up(s)))
+                grown = F.concat(acc["open_"], F.filter(h, starts))
+                closes = lambda s: (depth <= s["depth"]) & ~x["arrow"]
+                return let(grown, lambda g: let(F.filter(g, lambda s: ~closes(s)), lambda left: state(
+                    depth, F.coalesce(F.array_max(F.transform(left, lambda s: s["depth"])), F.lit(_LEAST)), still, left,
+                    F.concat(acc["done"], over, F.transform(F.filter(g, closes), lambda s: to(s, i))))))
+            return let(heads, settle)
+
+        return F.when(header | ends | (F.size(acc["waiting"]) > 0), event()).otherwise(state(depth, acc["top"], acc["waiting"], acc["open_"], acc["done"]))
 
     def finish(acc: Column) -> Column:
-        at_end = lambda s: F.coalesce(s["end"], F.when(s["started"], total).otherwise(s["st"]))
-        return F.transform(F.concat(acc["done"], acc["open"]), lambda s: _symbol(s["kind"], s["name"], s["st"], at_end(s)))
+        return F.concat(acc["done"], F.transform(acc["open_"], lambda s: to(s, total)), F.transform(acc["waiting"], lambda s: to(s, s["st"])))
 
-    return F.aggregate(facts, state(F.lit(0), _none(_JS_OPEN), _none(_JS_OPEN)), step, finish)
+    zero = {"depth": F.lit(0), "top": F.lit(_LEAST), "waiting": _none(_JS_OPEN), "open_": _none(_JS_OPEN), "done": _none(SYMBOL)}
+    return let(_fold_chunks(facts, state, zero, step, SYMBOL), finish)
 
 
 def js_symbols(files: DataFrame) -> DataFrame:
@@ -249,8 +313,11 @@ def js_symbols(files: DataFrame) -> DataFrame:
     (strings and comments ignored, settled only at line ends, never on a
     line ending in '=>', expression arrows end at ';', no '{' within 20
     lines -> the header line)."""
-    f = _js_facts(files).select("file_id", _js_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
-    return _rows(f, "symbols")
+    return _rows(_js_arrays(files), "symbols")
+
+
+def _js_arrays(files: DataFrame) -> DataFrame:
+    return _js_facts(files).select("file_id", _js_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
 
 
 # ----------------------------------------------------------------- Markdown
@@ -259,6 +326,10 @@ def markdown_symbols(files: DataFrame) -> DataFrame:
     """O17: '#'-'###' headings outside fenced code (a fence opens with 3+
     backticks or tildes after at most 3 spaces and closes only with the same
     character); fence lines are never headings; no end line."""
+    return _rows(_markdown_arrays(files), "symbols")
+
+
+def _markdown_arrays(files: DataFrame) -> DataFrame:
     def fact(x: Column, i: Column) -> Column:
         return F.struct((i + 1).alias("i"), F.substring(F.regexp_extract(x, MD_FENCE, 1), 1, 1).alias("fence"),
                         F.regexp_extract(x, MD_HEADING, 1).alias("hashes"), js_trim(F.regexp_extract(x, MD_HEADING, 2)).alias("name"))
@@ -268,55 +339,85 @@ def markdown_symbols(files: DataFrame) -> DataFrame:
         fence = F.when(x["fence"] == "", acc["fence"]).when(acc["fence"] == "", x["fence"]).when(acc["fence"] == x["fence"], F.lit("")).otherwise(acc["fence"])
         heading = _symbol(F.concat(F.lit("h"), F.length(x["hashes"]).cast("string")), x["name"], x["i"], F.lit(None))
         found = F.when((x["fence"] == "") & (acc["fence"] == "") & (x["hashes"] != ""), F.concat(acc["done"], F.array(heading).cast(f"array<{SYMBOL}>")))
-        return F.struct(fence.alias("fence"), found.otherwise(acc["done"]).alias("done"))
+        return state(fence, found.otherwise(acc["done"]))
+
+    def state(fence: Column, done: Column) -> Column:
+        return F.struct(fence.alias("fence"), done.alias("done"))
 
     facts = F.filter(F.transform(split_lines(F.coalesce(F.col("text"), F.lit(""))), fact), lambda x: (x["fence"] != "") | (x["hashes"] != ""))
-    zero = F.struct(F.lit("").alias("fence"), _none(SYMBOL).alias("done"))
-    f = files.select("file_id", facts.alias("facts")).select("file_id", F.aggregate("facts", zero, step, lambda acc: acc["done"]).alias("symbols"))
-    return _rows(f, "symbols")
+    zero = {"fence": F.lit(""), "done": _none(SYMBOL)}
+    return files.select("file_id", _fold_chunks(facts, state, zero, step, SYMBOL)["done"].alias("symbols"))
 
 
 # -------------------------------------------------------------- all languages
 
+def _arrays(files: DataFrame) -> DataFrame:
+    """(file_id, symbols) of every scanned file."""
+    py = _python_arrays(files.where(F.col("language") == "Python"))
+    js = _js_arrays(files.where(F.col("language").isin("JavaScript", "TypeScript")))
+    md = _markdown_arrays(files.where(F.col("language") == "Markdown"))
+    return py.unionByName(js).unionByName(md)
+
+
 def outline_symbols(files: DataFrame) -> DataFrame:
     """Flat symbols of every scanned file: (file_id, kind, name, start_line,
     end_line). ``files`` has file_id, language and text."""
-    py = python_symbols(files.where(F.col("language") == "Python"))
-    js = js_symbols(files.where(F.col("language").isin("JavaScript", "TypeScript")))
-    md = markdown_symbols(files.where(F.col("language") == "Markdown"))
-    return py.unionByName(js).unionByName(md)
+    return _rows(_arrays(files), "symbols")
+
+
+def outline_tree(files: DataFrame) -> DataFrame:
+    """``nest_symbols`` of ``outline_symbols``, in the files' own rows: no shuffle."""
+    in_order = F.array_sort(F.transform("symbols", lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
+                                                                       s["kind"].alias("kind"), s["name"].alias("name"))))
+    return _nested_rows(_arrays(files).select("file_id", in_order.alias("symbols")))
 
 
 _STACK = "struct<st:int,end:int,depth:int>"
+_NEVER = 2**31 - 1
 _NESTED = "struct<kind:string,name:string,start_line:int,end_line:int,depth:int,parent_start:int>"
 
 
-def nest_symbols(symbols: DataFrame) -> DataFrame:
-    """parent = nearest earlier symbol whose [start, end] covers this
-    start; depth is 1 for roots.
+def nested_array(symbols: Column) -> Column:
+    """The symbols of one file (an array), each with its depth and its parent's first line.
+
+    They are folded in line order over the stack of earlier ones: those that end
+    before a symbol's line can't cover it or any later one, so what is on top after
+    dropping them is the parent, whether or not ranges cross. ``low`` is the smallest
+    end on the stack: nothing is dropped before that line is passed."""
+    def state(low, stack, done) -> Column:
+        return F.struct(low.cast("int").alias("low"), stack.alias("stack"), done.alias("done"))
 
-    A file's symbols are folded in line order over the stack of earlier ones:
-    those that end before a symbol's line can't cover it or any later one, so
-    what is on top after dropping them is the parent, whether or not ranges
-    cross."""
     def step(acc: Column, x: Column) -> Column:
-        still = lambda: F.filter(acc["stack"], lambda p: p["end"] >= x["start_line"])
+        left = lambda: F.filter(acc["stack"], lambda p: p["end"] >= x["start_line"])
+        fewer = let(left(), lambda s: F.struct(s.alias("stack"), F.coalesce(F.array_min(F.transform(s, lambda p: p["end"])), F.lit(_NEVER)).alias("low")))
+        now = F.when(x["start_line"] > acc["low"], fewer).otherwise(F.struct(acc["stack"].alias("stack"), acc["low"].alias("low")))
+        return let(now, lambda n: placed(n["low"], n["stack"], acc["done"], x))
+
+    def placed(low: Column, stack: Column, done: Column, x: Column) -> Column:
+        top = F.get(stack, F.size(stack) - 1)
+        depth = F.coalesce(top["depth"], F.lit(0)) + 1
+        row = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"),
+                       depth.alias("depth"), top["st"].alias("parent_start"))
+        own = F.struct(x["start_line"].alias("st"), x["end_line"].alias("end"), depth.alias("depth"))
+        covers = F.coalesce(x["end_line"] > x["start_line"], F.lit(False))
+        grown = F.when(covers, F.concat(stack, F.array(own).cast(f"array<{_STACK}>"))).otherwise(stack)
+        return state(F.when(covers, F.least(low, x["end_line"])).otherwise(low), grown, F.concat(done, F.array(row).cast(f"array<{_NESTED}>")))
 
-        def place(stack: Column) -> Column:
-            top = F.get(stack, F.size(stack) - 1)
-            depth = F.coalesce(top["depth"], F.lit(0)) + 1
-            row = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"),
-                           depth.alias("depth"), top["st"].alias("parent_start"))
-            own = F.struct(x["start_line"].alias("st"), x["end_line"].alias("end"), depth.alias("depth"))
-            grown = F.when(x["end_line"] > x["start_line"], F.concat(stack, F.array(own).cast(f"array<{_STACK}>"))).otherwise(stack)
-            return F.struct(grown.alias("stack"), F.concat(acc["done"], F.array(row).cast(f"array<{_NESTED}>")).alias("done"))
+    zero = {"low": F.lit(_NEVER), "stack": _none(_STACK), "done": _none(_NESTED)}
+    return _fold_chunks(symbols, state, zero, step, _NESTED)["done"]
 
-        return _let(still(), place)
 
+def nest_symbols(symbols: DataFrame) -> DataFrame:
+    """parent = nearest earlier symbol whose [start, end] covers this
+    start; depth is 1 for roots. ``outline_tree`` does the same in the files' own rows."""
     item = F.struct("start_line", "end_line", "kind", "name")
     files = symbols.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("symbols"))
-    zero = F.struct(_none(_STACK).alias("stack"), _none(_NESTED).alias("done"))
-    folded = files.select("file_id", F.aggregate("symbols", zero, step, lambda acc: acc["done"]).alias("nested"))
+    return _nested_rows(files)
+
+
+def _nested_rows(files: DataFrame) -> DataFrame:
+    """One row a symbol from (file_id, symbols in order)."""
+    folded = files.select("file_id", nested_array(F.col("symbols")).alias("nested"))
     return folded.select("file_id", F.explode_outer("nested").alias("s")).where("s is not null").select("file_id", "s.*")
 
 

@@ -830,6 +830,7 @@ ORACLES["docstring_mask"] = (
     "SELECT (1000000000000 + o_orderkey)::BIGINT AS file_id, unnest([6, 7, 8, 9])::INTEGER AS line_no FROM orders")
 ORACLES["nest_symbols"] = with_truth(
     "SELECT file_id, kind, name, start_line, end_line, depth, parent_start FROM truth2")
+ORACLES["nest_symbol_rows"] = ORACLES["nest_symbols"]
 ORACLES["outline_listing"] = with_truth("""
 , ranked AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY start_line))::INTEGER AS row_no,
                (count(*) OVER (PARTITION BY file_id))::INTEGER AS total FROM truth2),

@@ -30,7 +30,7 @@ def _symbols(spark, d):
 
 
 def _nested(spark, d):
-    return O.nest_symbols(_symbols(spark, d))
+    return O.outline_tree(_sources(spark, d))
 
 
 def truth_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -112,6 +112,11 @@ def q_nest_symbols(spark, d):
     return _nested(spark, d)
 
 
+def q_nest_symbol_rows(spark, d):
+    """The same from a table of symbols."""
+    return O.nest_symbols(_symbols(spark, d))
+
+
 def q_outline_listing(spark, d):
     return O.outline_listing(_nested(spark, d), max_rows=3, offset=1).select(
         "file_id", "row_no", "kind", "name", "start_line", "end_line", "depth", "total", "next_offset")
@@ -164,6 +169,7 @@ QUERIES = {
     "markdown_headings": q_markdown_headings,
     "docstring_mask": q_docstring_mask,
     "nest_symbols": q_nest_symbols,
+    "nest_symbol_rows": q_nest_symbol_rows,
     "outline_listing": q_outline_listing,
     "outline_depth": q_outline_depth,
     "fetch_symbol": q_fetch_symbol,

@@ -2,6 +2,7 @@ import ast
 import glob
 import os
 import sysconfig
+import time
 
 from pyspark.sql import functions as F
 
@@ -157,3 +158,29 @@ def test_stdlib_block_end_accuracy(spark):
     r = O.outline_accuracy(O.python_symbols(src), t).collect()[0]
     assert r.n_found >= 0.99 * r.n_truth
     assert r.accuracy >= 0.995 and r.passed
+
+
+def _rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_chunks_of_lines_change_nothing(spark, monkeypatch):
+    src = _src(spark, [(1, "a/hard.py", HARD_PY), (2, "a/hard.ts", HARD_TS), (3, "r.md", "# A\n~~~\n# b\n~~~\n## C\n### D\n"), (4, "none.py", None)])
+    whole = _rows_of(O.nest_symbols(O.outline_symbols(src)))
+    assert whole == _rows_of(O.outline_tree(src)) and len(whole) > 12
+    monkeypatch.setattr(O, "CHUNK", 3)
+    assert whole == _rows_of(O.outline_tree(src))
+
+
+def test_long_files_cost_linear_time(spark):
+    def seconds(n):
+        py = "".join(f"def f{k}(a, b):\n    x = a\n    return [b]\n" for k in range(n))
+        js = "".join(f"function f{k}(a) {{\n  x = a;\n}}\n" for k in range(n))
+        began = time.time()
+        out = O.outline_tree(_src(spark, [(1, "a.py", py), (2, "b.ts", js)]))
+        rows = out.groupBy("file_id").agg(F.count("*").alias("n"), F.sum(F.col("end_line") - F.col("start_line")).alias("s")).collect()
+        assert sorted((r.file_id, r.n, r.s) for r in rows) == [(1, n, 2 * n), (2, n, 2 * n)]
+        return time.time() - began
+    seconds(100)
+    first, last = seconds(16_000), seconds(64_000)
+    assert first < 30 and last < 6 * max(first, 5)
