@@ -15,16 +15,22 @@ node, named by the hash of the set; the join looks for links between nodes.
    n - ceil(0.8 n) + 1 of both. Prefix entries meet by shingle. For a shingle that
    fewer than ``FREQUENT`` prefixes hold, pairs are counted and kept when the shared
    part of their prefixes still allows the likeness. For any other only a
-   star is drawn. For one on the list each chunk of rows links its sets to one of
-   them and sends that one on, so a hot shingle costs one row a chunk.
+   star is drawn, over each stretch of sizes that are near enough to be linked. For
+   one on the list each chunk of rows links its own sets and sends on the smallest
+   and largest of each size class, so a hot shingle costs a few rows a chunk.
 3. Components of these candidate edges are the units of the join: a link's
-   two sets are always in one. The sets of a unit go to a task, which
+   two sets are always in one. The sets of a unit go to a cell, which
    stores them in a trie in global order. A probe walks the trie depth first;
    the overlap with a path is computed once for all sets below it, and a
    subtree is left when the overlap plus what remains (of the probe, or of
    the longest set below) can't reach what the shortest set below needs, or
    when all sets below are already linked with the probe. A unit of more
-   than ``BLOCK`` shingles is split into blocks, and each pair of blocks is a task.
+   than ``BLOCK`` shingles is dealt to several cells: its sets are classed by size,
+   so that linked sets are of one class or of neighbouring ones, classes are cut into
+   blocks, and each pair of blocks that can hold links is a cell.
+   Which sets go to which cells is known before the texts are read again; a filter
+   of fixed size (``FILTER_BITS``) drops nearly all other texts before they are
+   shuffled, and keys go through one exchange, by cell.
 4. Components of the verified links give the answer.
 
 Blobs: tasks send their keys as a few packed arrays a bucket, not as rows.
@@ -42,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components, labels
@@ -52,10 +58,24 @@ from tessera.llm.vectors import U, Words, mix, shingles, slices
 PERCENT = 80
 FREQUENT, LIST_MAX = 64, 1 << 20
 #: Keys a task gathers before it sends them on; shingles in a block of the join.
-CHUNK, BLOCK = 2_000_000, 2_000_000
+CHUNK, BLOCK = 500_000, 2_000_000
+#: Candidate pairs worked on at a time; bytes of text; bits of the filter of represented texts (8 MiB).
+SLAB, TEXTS, FILTER_BITS = 500_000, 1 << 18, 26
 _HEAVY = U(1) << U(63)
 
 
+def _bounds() -> list[int]:
+    """Least sizes of the size classes: each times 100 over PERCENT, rounded up, is the next, so that
+    sets of one class can be linked, and those further apart than neighbouring classes can't."""
+    out = [1]
+    while out[-1] < 2**40:
+        out.append(-(-100 * out[-1] // PERCENT))
+    return out
+
+
+_BOUNDS = np.array(_bounds())
+
+
 def need(a, b):
     """Overlap that sets of a and b members need for the likeness."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
@@ -72,7 +92,7 @@ def _buckets(spark) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int = 1):
     """(row's other column as Arrow, list of sets) by slices."""
-    for part in slices(batches, column):
+    for part in slices(batches, column, TEXTS):
         w = Words(part.column(column), lower=True)
         yield part, [shingles(w, i) for i in range(part.num_rows)]
 
@@ -183,14 +203,18 @@ def _prefix_entries(docs: DataFrame, order, n_buckets: int) -> DataFrame:
             n = np.repeat(np.array([k[2] for k in kept], np.uint32), lens)
             rest = np.repeat(np.array([k[3] for k in kept], np.uint32), lens)
             hot = token >= _HEAVY
-            if hot.any():  # link a hot shingle's sets to one of them here, and send on that one alone
+            if hot.any():  # link a hot shingle's sets here, and send on those that can stand for them
                 at = np.flatnonzero(hot)
-                at = at[np.lexsort((sid[at], token[at]))]
-                new = np.r_[True, token[at][1:] != token[at][:-1]]
-                star = np.unique(np.stack([sid[at][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))][~new], sid[at][~new]], 1), axis=0)
+                at = at[np.lexsort((sid[at], n[at], token[at]))]
+                head = _heads(token[at], n[at])
+                spoke = head != np.arange(len(at))
+                star = np.unique(np.stack([sid[at][head[spoke]], sid[at][spoke]], 1), axis=0)
                 if len(star):
                     yield batch(kind=np.full(len(star), 1, np.int32), a=star[:, 0].astype(np.int64), b=star[:, 1].astype(np.int64))
-                left = np.r_[np.flatnonzero(~hot), at[new]]
+                # the smallest and the largest of each size class: any set that can be linked to one between them can be linked to one of these
+                kind = np.stack([token[at], head.astype(U), np.searchsorted(_BOUNDS, n[at], "right").astype(U)])
+                change = (kind[:, 1:] != kind[:, :-1]).any(axis=0)
+                left = np.r_[np.flatnonzero(~hot), at[np.r_[True, change] | np.r_[change, True]]]
                 token, sid, n, rest = token[left], sid[left], n[left], rest[left]
             rows = list(_by_bucket((mix(token) >> shift).astype(np.int32), [token, sid, n, rest]))
             yield batch(kind=np.full(len(rows), 2, np.int32), bucket=[r[0] for r in rows], blob=[b"".join(r[1]) for r in rows])
@@ -207,7 +231,7 @@ def _prefix_entries(docs: DataFrame, order, n_buckets: int) -> DataFrame:
                 light = int(np.searchsorted(prefix, _HEAVY))
                 kept.append((prefix, i, len(keys), len(keys) - light))
                 size += len(prefix)
-            if size >= CHUNK // 4:
+            if size >= CHUNK // 2:
                 yield from flush()
                 kept, size = [], 0
                 if len(seen) > 1_000_000:
@@ -231,14 +255,40 @@ def _meet(table: pa.Table) -> pa.Table:
     token, sid, n, rest = token[once], sid[once], n[once], rest[once]
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[first, len(token)])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     hot = (token[first] >= _HEAVY) | (size >= FREQUENT)  # a star joins all pairs that are not counted
+    counted = [np.zeros((0, 4), np.int64)]
     for g in np.unique(size[(size > 1) & ~hot]):
-        at = first[(size == g) & ~hot]
-        i, j = np.triu_indices(int(g), 1)
-        a.append((at[:, None] + i).ravel())
-        b.append((at[:, None] + j).ravel())
-    a, b = np.concatenate(a), np.concatenate(b)
+        groups, step = first[(size == g) & ~hot], max(1, SLAB // int(g * (g - 1) // 2))
+        for at in range(0, len(groups), step):
+            counted.append(_pairs(groups[at:at + step], int(g), sid, n, rest))
+    counted = np.concatenate(counted)
+    many = np.flatnonzero(np.repeat(hot, size))
+    many = many[np.lexsort((sid[many], n[many], token[many]))]
+    head = _heads(token[many], n[many])
+    own = head != np.arange(len(many))
+    hub, spoke = many[head[own]], many[own]
+    nothing = np.zeros(len(hub), np.int64)
+    return pa.table({"a": np.r_[counted[:, 0], sid[hub].astype(np.int64)], "b": np.r_[counted[:, 1], sid[spoke].astype(np.int64)],
+                     "shared": np.r_[counted[:, 2], nothing], "lacks": np.r_[counted[:, 3], nothing]})
+
+
+def _heads(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For rows sorted by shingle and size, the first row of the stretch of its shingle
+    in which no size is too far from the one before to be linked.
+
+    Two sets that can be linked are in one stretch: what lies between them in size is
+    near enough too. So stretches, joined as stars, hold every link of a hot shingle."""
+    if not len(token):
+        return np.zeros(0, np.int64)
+    n = n.astype(np.int64)
+    new = np.r_[True, (token[1:] != token[:-1]) | (100 * n[:-1] < PERCENT * n[1:])]
+    return np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+
+
+def _pairs(first: np.ndarray, g: int, sid: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """(a, b, shingles shared here, shared prefix shingles that the pair needs) for the pairs within groups of g postings."""
+    i, j = np.triu_indices(g, 1)
+    a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
     near = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
     a, b = a[near], b[near]
     by = np.lexsort((sid[b], sid[a]))
@@ -246,12 +296,8 @@ def _meet(table: pa.Table) -> pa.Table:
     head = np.flatnonzero(np.r_[True, (sid[a][1:] != sid[a][:-1]) | (sid[b][1:] != sid[b][:-1])]) if len(a) else np.zeros(0, int)
     shared = np.diff(np.r_[head, len(a)])
     a, b = a[head], b[head]
-    lacks = need(n[a], n[b]) - np.maximum(rest[a], rest[b])  # shared prefix shingles that the pair needs
-    many = np.flatnonzero(hot & (size > 1))
-    spoke = np.concatenate([np.arange(first[k] + 1, first[k] + size[k]) for k in many]) if len(many) else np.zeros(0, int)
-    hub = np.repeat(first[many], size[many] - 1)
-    return pa.table({"a": np.r_[sid[a], sid[hub]].astype(np.int64), "b": np.r_[sid[b], sid[spoke]].astype(np.int64),
-                     "shared": np.r_[shared, np.zeros(len(hub), int)].astype(np.int64), "lacks": np.r_[lacks, np.zeros(len(hub), int)].astype(np.int64)})
+    lacks = need(n[a], n[b]) - np.maximum(rest[a], rest[b])
+    return np.stack([sid[a].astype(np.int64), sid[b].astype(np.int64), shared.astype(np.int64), lacks], axis=1)
 
 
 class Trie:
@@ -287,8 +333,20 @@ class Trie:
         return root
 
     def links(self) -> list[tuple[int, int]]:
-        """Links that join all sets which are linked directly or through others."""
-        label = np.arange(len(self.sets))
+        """Links that join all sets which are linked directly or through others.
+
+        A node whose sets are known to be joined with each other (``linked``) is left
+        by a probe that is joined with one of them. The mark is found when a probe
+        passes the node and all its children have it."""
+        parent = list(range(len(self.sets)))
+
+        def find(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        linked: set[int] = set()
         out = []
         for x in range(1, len(self.sets)):
             probe, nx = self.sets[x], len(self.sets[x])
@@ -299,8 +357,11 @@ class Trie:
                 start, end, lo, hi, shortest, longest, children = node
                 if lo >= x or longest < low or shortest > high:
                     continue
-                mine = label[lo:min(hi, x)]
-                if (mine == label[x]).all():
+                if children and hi <= x and id(node) not in linked:
+                    one = find(lo)
+                    if all((not c[6] or id(c) in linked) and find(c[2]) == one for c in children):
+                        linked.add(id(node))
+                if (not children or id(node) in linked) and find(lo) == find(x):
                     continue
                 passed = 0
                 if end > start:
@@ -316,7 +377,7 @@ class Trie:
                     todo.extend((c, overlap) for c in children)
                 elif 100 * overlap >= PERCENT * (nx + len(self.sets[lo]) - overlap):
                     out.append((lo, x))
-                    label[label == label[x]] = label[lo]
+                    parent[find(x)] = find(lo)
         return out
 
 
@@ -328,8 +389,9 @@ def trie_join(table: pa.Table) -> pa.Table:
     order = sorted(once.values(), key=lambda i: (sets[i].astype(">u8").tobytes(), ids[i]))
     pairs = Trie([sets[i] for i in order]).links()
     found = pa.table({"a": pa.array([ids[order[i]] for i, _ in pairs], pa.int64()), "b": pa.array([ids[order[j]] for _, j in pairs], pa.int64())})
-    blocks = table.column("blocks")[0].as_py()
-    return (_stars(found) if blocks == 1 else found).append_column("blocks", pa.array([blocks] * len(found), pa.int32()))
+    several = table.column("several")[0].as_py()
+    found = found if several else _stars(found)
+    return found.append_column("several", pa.array([several] * len(found), pa.bool_()))
 
 
 def _stars(links: pa.Table) -> pa.Table:
@@ -372,10 +434,9 @@ def _named(docs: DataFrame) -> DataFrame:
     # written, so that its size is known when the join with the texts is planned
     chosen = saved(classes.join(units, F.col("set_id") == F.col("node")).select(
         "set_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.uid").alias("rep_uid"), "size", "component"), "jaccard-chosen")
-    blocks = chosen.groupBy("component").agg((F.floor(F.sum("size") / BLOCK) + 1).cast("int").alias("blocks"))
-    found = saved(_unit_links(docs, chosen, blocks, order), "jaccard-links")
-    # links never leave a unit, so only units of several blocks need another round
-    links = labels(found.where("blocks = 1"), "a", "b").union(components(found.where("blocks > 1"), "a", "b"))
+    found = saved(_unit_links(docs, saved(_cells(chosen), "jaccard-cells"), order), "jaccard-links")
+    # links never leave a unit, so only units of several cells need another round
+    links = labels(found.where("not several"), "a", "b").union(components(found.where("several"), "a", "b"))
     labelled = classes.join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("label"))
     # nulls come last, so the first document has the component's smallest non-null id
     least = labelled.groupBy("label").agg(F.min("rep").alias("first"))
@@ -407,28 +468,85 @@ def _through(routed: DataFrame) -> DataFrame:
     return routed.groupBy("bucket").applyInArrow(run, "kind int, doc_id long, uid long, a long, b long, n long, shared long, lacks long")
 
 
-def _unit_links(docs: DataFrame, chosen: DataFrame, blocks: DataFrame, order) -> DataFrame:
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("uid")).join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("uid") == F.col("rep_uid"))).select("set_id", "text", "component")
+def size_class(size: Column) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in _bounds()]), lambda b: b <= size))
+
+
+def _cells(chosen: DataFrame) -> DataFrame:
+    """``chosen`` with the cells of each set, and whether its unit has several.
+
+    A small unit is the cell (0, 0). In another, a set is in block ``own`` of its size
+    class, and meets its class's blocks and those of the neighbouring classes.
+    """
+    classed = chosen.withColumn("class", size_class(F.col("size")))
+    # shingles by class: some 120 classes a unit at most
+    counts = classed.groupBy("component", "class").agg(F.sum("size").alias("n"))
+    units = counts.groupBy("component").agg(
+        (F.sum("n") > BLOCK).alias("several"), F.map_from_entries(F.collect_list(F.struct("class", (F.floor(F.col("n") / BLOCK) + 1).cast("int")))).alias("blocks"))
+    met = classed.join(units.withColumnRenamed("component", "unit"), F.col("component") == F.col("unit"))
+    blocks = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
+    name = lambda c, b: c.cast("long") * (1 << 32) + b
+    own = F.pmod(F.xxhash64("set_id"), blocks(F.col("class"))).cast("int")
+    mine = name(F.col("class"), own)
+    others = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.when(blocks(F.col("class") + d) > 0, F.transform(
+        F.sequence(F.lit(0), blocks(F.col("class") + d) - 1), lambda k: name(F.col("class") + d, k))).otherwise(F.array().cast("array<bigint>"))))
+    pairs = F.transform(others, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    return met.select("set_id", "rep_id", "rep_uid", "component", "several", F.when(F.col("several"), pairs).otherwise(one).alias("cells"))
+
+
+def _text_key(doc_id: Column, uid: Column) -> Column:
+    """Place of a text in the filter."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, uid), 64 - FILTER_BITS).cast("int")
+
+
+def _filter_of(chosen: DataFrame):
+    """A broadcast bitmap of 2 ** FILTER_BITS bits, whatever the table's size: set where a represented text falls.
+
+    At most 2 ** (FILTER_BITS - 16) rows of 8 KiB reach the driver."""
+    def packed(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[np.asarray(table.column("bit").combine_chunks())] = 1
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    places = chosen.select(_text_key(F.col("rep_id"), F.col("rep_uid")).alias("at")).distinct()  # 65,536 a part at most
+    parts = places.select(F.shiftright("at", 16).alias("part"), F.col("at").bitwiseAND(0xFFFF).alias("bit")).groupBy("part").applyInArrow(packed, "part int, bits binary")
+    bitmap = np.zeros((1 << (FILTER_BITS - 16), 1 << 13), np.uint8)
+    for row in parts.collect():
+        bitmap[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return chosen.sparkSession.sparkContext.broadcast(bitmap.ravel())
+
+
+def _unit_links(docs: DataFrame, cells: DataFrame, order) -> DataFrame:
+    seen_texts = _filter_of(cells)
+
+    def wanted(batches):
+        bitmap = seen_texts.value
+        for b in batches:
+            at = np.asarray(b.column(3))
+            here = (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            if here.any():
+                yield b.select([0, 1, 2]).filter(pa.array(here.astype(bool)))
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("uid"), _text_key(F.col("doc_id"), F.xxhash64("text")).alias("at"))
+    texts = keyed.mapInArrow(wanted, "doc_id long, text string, uid long").join(
+        cells, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("uid") == F.col("rep_uid"))).select("set_id", "text", "component", "several", "cells")
 
     def run(batches):
         by = Order(*order.value)
         seen: set[int] = set()
         for part, sets in _sets(batches):
             # repeated rows: a task sends a set once
-            own = [not (i in seen or seen.add(i)) for i in part.column(0).to_pylist()]
+            own = pa.array([not (i in seen or seen.add(i)) for i in part.column(0).to_pylist()])
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).filter(pa.array(own)), part.column(2).filter(pa.array(own)), pa.array([by.keys(s).tobytes() for s, ok in zip(sets, own) if ok], pa.binary())],
-                names=["sid", "component", "keys"])
-
-    sets = texts.mapInArrow(run, "sid long, component long, keys binary")
-    placed = sets.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    # a set of block k goes to the pairs (j, k) with j <= k and (k, j) with j >= k
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    return placed.select("sid", "keys", "component", "blocks", F.explode(pairs).alias("pair")).groupBy("component", "pair.i", "pair.j").applyInArrow(
-        trie_join, "a long, b long, blocks int")
+            keys = pa.array([by.keys(s).tobytes() if ok else b"" for s, ok in zip(sets, own.to_pylist())], pa.binary())
+            columns = [part.column(0), part.column(2), part.column(3), part.column(4), keys]
+            yield pa.RecordBatch.from_arrays([c.filter(own) for c in columns], names=["sid", "component", "several", "cells", "keys"])
+
+    sets = texts.mapInArrow(run, "sid long, component long, several boolean, cells array<struct<i:bigint,j:bigint>>, keys binary")
+    return sets.select("sid", "keys", "component", "several", F.explode("cells").alias("cell")).groupBy("component", "cell.i", "cell.j").applyInArrow(
+        trie_join, "a long, b long, several boolean")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

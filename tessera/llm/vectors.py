@@ -85,8 +85,8 @@ class Words:
             self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about SLICE_BYTES of the text in ``column``."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of the text in ``column``."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -96,7 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
         at = 0
         while at < b.num_rows:
             base = upto[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(upto, base + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(upto, base + size, "right")))
             yield b.slice(at, to - at)
             at = to
 

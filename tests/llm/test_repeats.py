@@ -215,3 +215,25 @@ def test_fingerprint_is_the_sorted_terms_of_the_band(spark):
     pair = spark.createDataFrame([(1, 1, a["text"], b["text"])], "key long, key_id long, text string, edited string")
     r = imatch.fingerprints(pair, imatch.lexicon(docs), ["text", "edited"]).collect()[0]
     assert r["f_text"] == r["f_edited"] and len(r["f_text"]) == imatch.SLOTS * imatch.LEVELS * imatch.WIDTH
+
+
+def test_size_classes_hold_all_that_can_be_linked():
+    bounds = jaccard._BOUNDS
+    for n in [*range(1, 400), 10**6, 123457]:
+        far = 100 * n // jaccard.PERCENT  # the largest set that can be linked with one of n
+        assert np.searchsorted(bounds, far, "right") - np.searchsorted(bounds, n, "right") <= 1
+    for a, z in zip(bounds[:60], bounds[1:60]):
+        assert 100 * a >= jaccard.PERCENT * (z - 1)
+    token = np.array([5, 5, 5, 5, 7, 7, 7], np.uint64)
+    assert jaccard._heads(token, np.array([10, 12, 16, 19, 10, 12, 15])).tolist() == [0, 0, 2, 2, 4, 4, 4]
+
+
+def test_trie_links_join_what_brute_force_joins():
+    rng = random.Random(12)
+    base = [rng.sample(range(10**6), 40) for _ in range(6)]
+    sets = {tuple(sorted(set(b[rng.randrange(0, 4):]) | set(rng.sample(range(10**6), rng.randrange(0, 6))))) for b in base for _ in range(30)}
+    sets = [np.array(s, np.uint64) for s in sorted(sets)]
+    nodes = range(len(sets))
+    plain = component_ids([(i, j) for i in nodes for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))], nodes)
+    links = jaccard.Trie(sets).links()
+    assert component_ids(links, nodes) == plain and len(links) < len(sets)
