@@ -97,40 +97,66 @@ def collapse_blocks(s: Column) -> Column:
     return js_trim(F.regexp_replace(s, f"{WS}{{3,}}", "\n\n"))
 
 
-def until_last(html: Column, closing: str) -> Column:
-    """The text up to and with the last match of ``closing``; '' if there is none.
+#: Put behind the '<' of an opening tag that no closing one follows. A noncharacter: no page may hold it.
+DEAD = "\uffff"
 
-    A lazy pattern that ends in ``closing`` finds the same matches here, and
-    every opening has a closing to stop at: openings without one behind them
-    don't each search to the end of the page."""
-    return F.regexp_extract(html, rf"(?is)^.*(?:{closing})", 0)
 
+def cut_tail(html: Column, then) -> Column:
+    """``then(head, tail)``: the text up to its last '>', and what follows. No tag or
+    comment ends in the tail, so a pattern for them need not look there."""
+    return let(html, lambda h: let(F.substring_index(h, ">", -1), lambda tail: then(F.substring(h, F.lit(1), F.length(h) - F.length(tail)), tail)))
 
-def after_last(html: Column, closing: str) -> Column:
-    return F.substring(html, F.length(until_last(html, closing)) + 1, F.length(html))
 
+def mark_unclosed(html: Column, kinds: list[tuple[str, str]]) -> Column:
+    """The text with DEAD in every opening that has no closing of its kind behind it.
 
-def _drop(html: Column, pattern: str, closing: str, by: str = "") -> Column:
-    return F.concat(F.regexp_replace(until_last(html, closing), pattern, by), after_last(html, closing))
+    ``kinds`` are pairs of patterns: what follows the '<' of an opening, and a closing.
+    An opening that ends at or before the last '>' in front of the last closing has one;
+    any other has none. A lazy pattern from an unmarked opening to its closing
+    therefore always finds one, and reads each character once, whatever mixture of
+    openings and closings a page holds."""
+    def mark(text: Column, opening: str, closing: str) -> Column:
+        # a comment's opening ends in front of its closing; a tag's at some '>'
+        live = r"(?is)^.*(?=-->)" if opening == "!--" else rf"(?is)^.*>(?=[^>]*{closing})"
+        dead = lambda t, upto: F.concat(upto, F.regexp_replace(F.substring(t, F.length(upto) + 1, F.length(t)), rf"(?i)<(?={opening})", "<" + DEAD))
+        return let(text, lambda t: F.when(t.rlike(rf"(?i)<{opening}"), let(F.regexp_extract(t, live, 0), lambda upto: dead(t, upto))).otherwise(t))
+
+    def all_kinds(head: Column, tail: Column) -> Column:
+        for opening, closing in kinds:
+            head = mark(head, opening, closing)
+        return F.concat(head, F.regexp_replace(tail, "(?i)<(?=" + "|".join(o for o, _ in kinds) + ")", "<" + DEAD))
+    return cut_tail(html, all_kinds)
+
+
+def unmark(s: Column) -> Column:
+    return F.replace(s, F.lit("<" + DEAD), F.lit("<"))
+
+
+COMMENT = ("!--", "-->")
+
+
+def _elements(*names: str) -> list[tuple[str, str]]:
+    return [(rf"{n}(?![A-Za-z0-9-])", rf"</{n}[^>]*>") for n in names]
 
 
 def live_html(html: Column) -> Column:
     """A page as a parser sees its elements: without comments, and with empty
     scripts and styles (their content is text, whatever it looks like)."""
-    return _drop(html, r"(?is)(<(script|style)(?![A-Za-z0-9-])[^>]*>).*?(</\2[^>]*>)|<!--.*?-->", r"</(?:script|style)[^>]*>|-->", "$1$3")
+    marked = mark_unclosed(html, [COMMENT, *_elements("script", "style")])
+    return unmark(F.regexp_replace(marked, r"(?is)(<(script|style)(?![A-Za-z0-9-])[^>]*>).*?(</\2[^>]*>)|<!--.*?-->", "$1$3"))
 
 
 def spoken_html(html: Column) -> Column:
     """A page without comments, scripts, styles and templates: what holds its words."""
-    return _drop(html, r"(?is)<(script|style|template)(?![A-Za-z0-9-])[^>]*>.*?</\1[^>]*>|<!--.*?-->",
-                 r"</(?:script|style|template)[^>]*>|-->", " ")
+    marked = mark_unclosed(html, [COMMENT, *_elements("script", "style", "template")])
+    return unmark(F.regexp_replace(marked, r"(?is)<(script|style|template)(?![A-Za-z0-9-])[^>]*>.*?</\1[^>]*>|<!--.*?-->", " "))
 
 
 def tags_to_text(html: Column) -> Column:
     """Drop comments, turn every tag into a space, decode entities once,
     collapse long whitespace runs and trim (no chrome removal)."""
-    no_comments = _drop(html, COMMENT_PATTERN, "-->")
-    spaced = F.regexp_replace(no_comments, ANY_TAG_PATTERN, " ")
+    no_comments = unmark(F.regexp_replace(mark_unclosed(html, [COMMENT]), COMMENT_PATTERN, ""))
+    spaced = cut_tail(no_comments, lambda head, tail: F.concat(F.regexp_replace(head, ANY_TAG_PATTERN, " "), tail))
     return collapse_blocks(decode_entities(spaced))
 
 

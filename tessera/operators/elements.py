@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.html import attr_value
-from tessera.functions.text import WB_AFTER, WB_BEFORE, WS, after_last, decode_entities, live_html, until_last
+from tessera.functions.text import WB_AFTER, WB_BEFORE, WS, cut_tail, decode_entities, live_html, mark_unclosed, unmark
 
 # --- fixed values --------------------------------------------------------
 ATTRS = r"""((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)"""
@@ -28,6 +28,12 @@ PY_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 # -------------------------------------------------------------------------
 
 
+#: Openings and closings that are paired.
+FORMS = [("form", "</form>")]
+BUTTONS = [("button(?![A-Za-z0-9_-])", "</button>")]
+LINKS = [("a(?![A-Za-z0-9_-])", "</a>")]
+
+
 def forms_array(html: Column) -> Column:
     """Per page, the forms that have fields: array of (form_no, fields,
     method, act) with act '' when the form names no action."""
@@ -43,8 +49,8 @@ def forms_array(html: Column) -> Column:
         action = F.regexp_extract(attrs, FORM_ACTION_PATTERN, 1)
         return F.struct((i + 1).alias("form_no"), F.array_distinct(F.filter(names, lambda x: x != "")).alias("fields"),
                         method.alias("method"), action.alias("act"))
-    return F.filter(F.transform(F.regexp_extract_all(until_last(html, "</form>"), F.lit(FORM_PATTERN), 0), form),
-                    lambda x: F.size(x["fields"]) > 0)
+    found = F.regexp_extract_all(mark_unclosed(html, FORMS), F.lit(FORM_PATTERN), 0)
+    return F.filter(F.transform(found, lambda f, i: form(unmark(f), i)), lambda x: F.size(x["fields"]) > 0)
 
 
 def extract_forms(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -103,8 +109,8 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
         return F.struct(i.cast("long").alias("pos"), _strip_text(F.regexp_extract(m, LINK_PATTERN, 2)).alias("label"),
                         _exact_attr(F.regexp_extract(m, LINK_PATTERN, 1), "href").alias("leads_to"))
 
-    btns = F.filter(F.transform(F.regexp_extract_all(until_last(html, "</button>"), F.lit(BUTTON_PATTERN), 0), button), lambda x: x["label"] != "")
-    lnks = F.filter(F.transform(F.regexp_extract_all(until_last(html, "</a>"), F.lit(LINK_PATTERN), 0), link),
+    btns = F.filter(F.transform(F.regexp_extract_all(mark_unclosed(html, BUTTONS), F.lit(BUTTON_PATTERN), 0), lambda m, i: button(unmark(m), i)), lambda x: x["label"] != "")
+    lnks = F.filter(F.transform(F.regexp_extract_all(mark_unclosed(html, LINKS), F.lit(LINK_PATTERN), 0), lambda m, i: link(unmark(m), i)),
                     lambda x: (x["label"] != "") & x["leads_to"].isNotNull() & (x["leads_to"] != "")
                     & ~x["leads_to"].startswith("mailto:") & ~x["leads_to"].startswith("javascript:")
                     & ~x["leads_to"].startswith("#"))
@@ -117,10 +123,9 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
         F.col("x.label").alias("label"), F.col("x.leads_to").alias("leads_to"),
         F.lit(None).cast("string").alias("endpoint"), F.concat(F.col("x.label"), F.lit(":"), F.col("x.leads_to")).alias("key"))
     # Inputs: pieces outside forms and form bodies alternate in document order.
-    pages = pages.select("page_id", until_last(html, "</form>").alias("formed"), after_last(html, "</form>").alias("tail"))
-    split = F.split("formed", FORM_PATTERN, -1)
-    outside = F.concat(F.slice(split, F.lit(1), F.size(split) - 1), F.array(F.concat(F.element_at(split, -1), F.col("tail"))))
-    forms = F.regexp_extract_all("formed", F.lit(FORM_PATTERN), 0)
+    pages = pages.select("page_id", mark_unclosed(html, FORMS).alias("formed"))
+    outside = F.transform(F.split("formed", FORM_PATTERN, -1), unmark)
+    forms = F.transform(F.regexp_extract_all("formed", F.lit(FORM_PATTERN), 0), unmark)
     # zip_with pads the shorter side with nulls: piece i is followed by form i.
     pairs = F.zip_with(outside, forms, lambda piece, f: F.struct(piece.alias("piece"), f.alias("f")))
     chunks = F.flatten(F.transform(pairs, lambda x, i: F.array(
@@ -135,7 +140,7 @@ def extract_actions(pages: DataFrame, html_col: str = "html") -> DataFrame:
         label = (F.when(F.coalesce(ph, F.lit("")) != "", ph).when(F.coalesce(nm, F.lit("")) != "", nm)
                  .otherwise(F.coalesce(iid, F.lit(""))))
         return F.struct(j.alias("j"), _exact_attr(ia, "type").alias("type"), nm.alias("nm"), label.alias("label"))
-    ins = F.filter(F.transform(F.regexp_extract_all(F.col("c.body"), F.lit(INPUT_PATTERN), 1), text_input),
+    ins = F.filter(F.transform(cut_tail(F.col("c.body"), lambda head, _: F.regexp_extract_all(head, F.lit(INPUT_PATTERN), 1)), text_input),
                    lambda x: x["type"].isin("search", "text") & (x["label"] != ""))
     c = c.select("page_id", F.col("c.o").alias("o"), F.col("c.form_attrs").alias("form_attrs"), F.explode(ins).alias("x"))
     faction = F.coalesce(_exact_attr(F.col("form_attrs"), "action"), F.lit(""))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.html import (MAIN_CONTENT_PATTERN, TAG_PATTERN, VOID_TAGS,
                                     is_chrome_open)
-from tessera.functions.text import WS, tags_to_text
+from tessera.functions.text import WS, cut_tail, let, tags_to_text
 
 _BIG = 1 << 62
 
@@ -35,10 +35,14 @@ def tokenize_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     rest) so per-page values travel with the tokens without being copied.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    tags = F.regexp_extract_all(html, F.lit(TAG_PATTERN), 0)
-    segs = F.split(html, TAG_PATTERN, -1)
-    pairs = F.zip_with(F.concat(F.array(F.lit("")), tags), segs,
-                       lambda r, s: F.struct(r.alias("raw"), s.alias("seg")))
+
+    def pairs_of(head: Column, tail: Column) -> Column:
+        """Tags, each with the text up to the next; no tag ends behind the last '>'."""
+        tags = F.regexp_extract_all(head, F.lit(TAG_PATTERN), 0)
+        return let(F.split(head, TAG_PATTERN, -1), lambda segs: F.zip_with(
+            F.concat(F.array(F.lit("")), tags), F.concat(F.slice(segs, F.lit(1), F.size(segs) - 1), F.array(F.concat(F.element_at(segs, -1), tail))),
+            lambda r, s: F.struct(r.alias("raw"), s.alias("seg"))))
+    pairs = cut_tail(html, pairs_of)
     exploded = pages.select(
         F.col(id_col).alias("page_id"),
         *[F.col(c) for c in carry],

@@ -1,14 +1,16 @@
 """One plan whatever the table sizes; elements as a parser sees them; linear pairing; host spellings."""
+import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.text import spoken_html, tags_to_text
+from tessera.functions.text import live_html, spoken_html, tags_to_text
 from tessera.operators.elements import actions_for_path, extract_actions, extract_forms
 from tessera.operators.lines import files_from_text, search_lines, trimmed_hits, trimmed_per_file
 from tessera.operators.links import classify_destination, resolve_redirects, with_resolved_url
-from tessera.operators.pages import api_hints_script, auth_required_substring
+from tessera.operators.pages import api_hints_script, auth_required_substring, page_sections
 from tessera.sources.files import confine_paths
 
 
@@ -97,3 +99,43 @@ def test_walk_through_redirects(spark):
     m = site_awareness(walk, facts).collect()[0]
     assert [p["path"] for p in m["pages"]] == ["/", "/a", "/b"] and m["pages"][1]["content"] == "text 2" and len(m["actions"]) == 3
     assert m["off_origin_redirects_skipped"] == ["https://s.example/out -> https://t.example/"] and m["pages_failed"] == 1
+
+
+@pytest.mark.parametrize("text", ["<h1>" * 1_300_000 + "</h2>", "<style>" * 700_000 + "</script>", "<script " * 600_000 + "</script>", "<a>" * 1_700_000, "<a " * 1_700_000,
+                                  "<!--" * 600_000 + "<style></script>" * 150_000, "<" * 5_000_000, "</script" * 600_000])
+def test_mixed_openings_and_closings_cost_linear_time(spark, text):
+    pages = spark.createDataFrame([(1, "https://e.example/", text)], "page_id long, url string, html string")
+    began = time.time()
+    assert page_sections(pages.withColumnRenamed("html", "kept_html")).count() == 0 and extract_actions(pages).count() == 0 and extract_forms(pages).count() == 0
+    r = pages.select(api_hints_script(F.col("html")).alias("h"), auth_required_substring(tags_to_text(spoken_html(F.col("html")))).alias("a")).collect()[0]
+    assert r["h"] == [] and r["a"] is False
+    assert time.time() - began < 90
+
+
+def test_pairing_equals_the_plain_pattern(spark):
+    """Marked openings change no match: random mixtures against one sequential pattern."""
+    rng = random.Random(5)
+    bits = ["<script>", "</script>", "<style a='1'>", "</style >", "<!--", "-->", "<!-->", "text ", "<scripty>", "</scripts>", "<script ", ">", "<template>", "</template>", "<b>", "<SCRIPT>", "</Style>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    live = re.compile(r"(<(script|style)(?![A-Za-z0-9-])[^>]*>).*?(</\2[^>]*>)|<!--.*?-->", re.I | re.S)
+    spoken = re.compile(r"<(script|style|template)(?![A-Za-z0-9-])[^>]*>.*?</\1[^>]*>|<!--.*?-->", re.I | re.S)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", live_html(F.col("t")).alias("live"), spoken_html(F.col("t")).alias("spoken")).collect():
+        assert r["live"] == live.sub(lambda m: (m[1] or "") + (m[3] or ""), r["t"]), r["t"]
+        assert r["spoken"] == spoken.sub(" ", r["t"]), r["t"]
+
+
+def test_headings_equal_the_plain_pattern(spark):
+    rng = random.Random(6)
+    bits = ["<h1>", "</h1>", "<h2 id='x'>", "</h2>", "<h3", ">", "</h3>", "a", "b ", "<h10>", "<p>", "</p>", "<H2>", "&amp;", "</h6>", "<h1 name=n>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(16))) for _ in range(800)]
+    plain = re.compile(r"<h([1-6])(?![A-Za-z0-9_])([^>]*)>(.*?)</h\1>", re.I | re.S)
+    clear = lambda x: re.sub(r"<[^>]+>", " ", x).replace("&amp;", "&").strip()
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, kept_html string")
+    got = {}
+    for r in page_sections(df).collect():
+        got.setdefault(r["page_id"], []).append((r["section_no"], r["level"], r["heading"]))
+    for k, t in enumerate(texts):
+        found = [(int(m[1]), " ".join(clear(m[3]).split())) for m in plain.finditer(t)]
+        kept = [f for f in found if f[1]]
+        assert sorted(got.get(k, [])) == [(i + 1, *f) for i, f in enumerate(kept)], t
