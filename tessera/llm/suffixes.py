@@ -8,19 +8,23 @@ position, is the original; words covered by a later one are repeated words.
    smallest hash; only suffixes at these minimiser positions are retained.
    The choice depends on content alone, so equal windows retain the same
    suffix at the same offset. About 1 word in 13 starts a retained suffix.
-   It carries a 64-bit hash over all words of each window that names it: 8 bytes a
-   word of text.
-2. Suffixes are sorted by the hash of their first 25 words, then by the hashes of
-   their windows. Range partitioning by the whole key splits a passage that a
-   third of all documents share over many tasks, each of which streams its rows in
-   chunks.
-3. Among suffixes whose first 25 words equal a neighbour's, a window that is found
-   at two places is a repeat. A run of equal suffixes that touches a chunk's edge
-   sends, for each window, its first occurrence in the chunk on to be compared
-   with other chunks' (one row a window and chunk).
-
-Windows are compared by a 64-bit hash over their 50 words' 64-bit hashes and in
-no shorter form.
+2. First the grams of retained suffixes are counted. A filter of fixed size
+   (``FILTER_BITS``), set where a gram occurs twice, keeps nearly all other suffixes
+   from being written in the second pass. A kept suffix carries the 64-bit hashes of
+   the words right and left of its gram, as far as a window that names it reaches.
+3. Suffixes are sorted by the hash of their first 25 words, then by the words that
+   follow. Range partitioning by the whole key splits a passage that a third of all
+   documents share over many tasks, each of which streams its rows in chunks.
+4. Neighbours are compared word by word: how far two neighbours agree to the right
+   tells, for each length, which suffixes agree so far. The same comparison of
+   neighbours in the order of the words to the left (nearest first) extends the
+   match to the other side. Two suffixes that agree on l words to the left and
+   25 - l to the right share a window, which is a repeat. A run of equal grams that
+   touches a chunk's edge sends, for each window, its first occurrence in the chunk
+   on to be compared with other chunks' (one row a window and chunk).
+
+Windows are compared by the 64-bit hashes of their words; only the windows of runs at
+a chunk's edge meet by one 64-bit hash over those.
 
 Defined cases: a null text or one of under 50 words has no repeats; rows equal in
 id and text are one document; rows that share an id but not the text are
@@ -37,9 +41,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import saved, shuffle_parts
-from tessera.llm.vectors import BASE, U, Words, mix, slices, window_hashes
+from tessera.llm.jaccard import _buckets, _by_bucket
+from tessera.llm.vectors import BASE, U, Words, mix, rolling_hashes, slices
 
 LEAST, GRAM = 50, 25
+#: Bits of the filter of grams that occur twice (8 MiB); grams of a task's flush.
+FILTER_BITS, FLUSH = 26, 500_000
 SIDE = LEAST - GRAM  # words of a window besides the gram
 #: Rows of a chunk in the sorted stream.
 CHUNK = 50_000
@@ -47,17 +54,16 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 def retained(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text's word hashes: the hashes of its windows; and for each retained
-    suffix its 25-gram hash and the first start and number of the windows that name it."""
+    """The retained suffixes of a text of word hashes: the hash of the 25-gram, its
+    position, and the first start and the number of the windows that name it."""
     if len(h) < LEAST:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U), np.zeros(0, U), none, none
-    grams = window_hashes(h, GRAM)
-    windows = mix(grams[:-SIDE] * U(BASE) + grams[SIDE:])  # a window is two grams
-    starts = np.arange(len(windows))
+        return np.zeros(0, U), none, none, none
+    grams = rolling_hashes(h, GRAM)
+    starts = np.arange(len(h) - LEAST + 1)
     at = starts + np.lib.stride_tricks.sliding_window_view(grams, SIDE + 1).argmin(axis=1)
     new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return windows, grams[at[new]], new, np.diff(np.r_[new, len(windows)])
+    return grams[at[new]], at[new], new, np.diff(np.r_[new, len(starts)])
 
 
 def _packed(values: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -66,63 +72,156 @@ def _packed(values: np.ndarray, length: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def _ragged(first: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+    """first, first + step, ... of each row, ``size`` of them."""
+    ends = np.cumsum(size)
+    return np.repeat(first, size) + step * (np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size))
+
+
+def _twice(docs: DataFrame):
+    """A broadcast bitmap of 2 ** FILTER_BITS bits, whatever the table's size: set where a gram occurs twice.
+
+    A task sends each gram of a flush at most twice, so a hot passage costs no more
+    than two entries a flush; one row of bits a bucket reaches the driver."""
+    spark = docs.sparkSession
+    n_buckets = min(_buckets(spark), 1 << 12)
+    shift, span = U(64 - n_buckets.bit_length() + 1), (1 << FILTER_BITS) // n_buckets
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(kept: list[np.ndarray]) -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(kept), return_counts=True)
+            gram = np.repeat(gram, np.minimum(n, 2))
+            rows = list(_by_bucket((gram >> shift).astype(np.int32), [gram]))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][0] for r in rows], pa.binary())], names=["bucket", "grams"])
+
+        kept, size = [], 0
+        for part in slices(batches, 0):
+            words = Words(part.column(0))
+            for a, b in zip(words.first, words.first[1:]):
+                kept.append(retained(words.hash[a:b])[0])
+                size += len(kept[-1])
+            if size >= FLUSH:
+                yield flush(kept)
+                kept, size = [], 0
+        if size:
+            yield flush(kept)
+
+    def mark(table: pa.Table) -> pa.Table:
+        gram = np.sort(np.concatenate([np.frombuffer(x, U) for x in table.column("grams").to_pylist()]))
+        bits, bucket = np.zeros(span, np.uint8), table.column("bucket")[0].as_py()
+        again = gram[1:][gram[1:] == gram[:-1]]
+        bits[(again >> U(64 - FILTER_BITS)).astype(np.int64) - bucket * span] = 1
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    found = docs.select("text").mapInArrow(send, "bucket int, grams binary").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary")
+    bitmap = np.zeros((n_buckets, span // 8), np.uint8)
+    for row in found.toLocalIterator():
+        bitmap[row["bucket"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return spark.sparkContext.broadcast(bitmap.ravel())
+
+
 def _suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, start, key, windows) for each retained suffix; the windows from ``start`` on name it."""
-    schema = "doc_id long, uid long, start int, key binary, windows binary"
+    """(doc_id, uid, start, n, key, right, left) for each retained suffix whose gram passes the filter of grams
+    that occur twice; the n windows from ``start`` on name it."""
+    schema = "doc_id long, uid long, start int, n int, key binary, right binary, left binary"
+    twice = _twice(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = twice.value
         for part in slices(batches, 2):
             words = Words(part.column(2))
             found = [retained(words.hash[a:b]) for a, b in zip(words.first, words.first[1:])]
-            n = np.array([len(f[1]) for f in found])
-            if not n.sum():
+            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            gram, at, start, n = (np.concatenate([f[i] for f in found]) for i in range(4))
+            place = (gram >> U(64 - FILTER_BITS)).astype(np.int64)
+            kept = ((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
+            if not kept.any():
                 continue
-            windows, gram, start, length = (np.concatenate([f[i] for f in found]) for i in range(4))
-            row = pa.array(np.repeat(np.arange(len(n)), n))
+            row, gram, at, start, n = row[kept], gram[kept], at[kept], start[kept], n[kept]
+            base, before = words.first[row], at - start
+            after = SIDE - before + n - 1
+            right = words.hash[_ragged(base + at + GRAM, after, 1)]
+            left = words.hash[_ragged(base + at - 1, before, -1)]
+            take = pa.array(row)
             yield pa.RecordBatch.from_arrays([
-                part.column(0).take(row), part.column(1).take(row), pa.array(start.astype(np.int32)),
-                _packed(gram.astype(">u8"), np.ones(len(gram), np.int64)), _packed(windows, length)],
-                names=["doc_id", "uid", "start", "key", "windows"])
+                part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+                _packed(gram.astype(">u8"), np.ones(len(gram), np.int64)), _packed(right.astype(">u8"), after), _packed(left.astype(">u8"), before)],
+                names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("uid"), "text").mapInArrow(run, schema)
 
 
-def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and lengths of a column without nulls, without a Python object a row."""
+def _words_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column of packed words as a matrix of SIDE words a row (zeros behind the last), and their numbers."""
     values = column.combine_chunks()
-    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).astype(np.int64)
     raw = values.buffers()[2]
-    return np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8), np.diff(ends)
+    words = np.frombuffer(raw, np.uint8)[ends[0]:ends[-1]].view(">u8").astype(U) if ends[-1] > ends[0] else np.zeros(0, U)
+    size = np.diff(ends) // 8
+    out = np.zeros((len(size), SIDE), U)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, _ragged(np.zeros(len(size), np.int64), size, 1)] = words
+    return out, size
+
+
+def _agreement(gram: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of rows sorted by gram and words: on how many words each agrees with the one before (-1: another gram)."""
+    if not len(gram):
+        return np.zeros(0, np.int64)
+    differ = words[1:] != words[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), SIDE)
+    return np.r_[-1, np.where(gram[1:] == gram[:-1], common, -1)]
 
 
 def _repeats(chunk: pa.Table) -> Iterator[dict]:
     """Windows of a sorted chunk: spans that are settled here (kind 0) and windows
     to compare with other chunks' (kind 1)."""
-    gram = _binary(chunk.column("key"))[0].view(">u8").astype(U)
+    gram = _words_of(chunk.column("key"))[0][:, 0]
     same = gram[1:] == gram[:-1]
     edge = (gram == gram[0]) | (gram == gram[-1])
     kept = np.flatnonzero(np.r_[False, same] | np.r_[same, False] | edge)
     rows = chunk.take(pa.array(kept))
     gram, edge = gram[kept], edge[kept]
-    data, length = _binary(rows.column("windows"))
-    window, n = data.view(U), length // 8
-    row = np.repeat(np.arange(len(n)), n)
+    (right, n_right), (left, n_left) = _words_of(rows.column("right")), _words_of(rows.column("left"))
+    by_right = np.lexsort((*right.T[::-1], gram))
+    by_left = np.lexsort((*left.T[::-1], gram))
+    agree_right, agree_left = _agreement(gram[by_right], right[by_right]), _agreement(gram[by_left], left[by_left])
     doc = np.asarray(rows.column("doc_id").combine_chunks().fill_null(LAST_ID))
     uid, low = np.asarray(rows.column("uid")), np.asarray(rows.column("start")).astype(np.int64)
-    start = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    # windows with l words to the left: two are equal if their rows agree on l words there and on the rest to the right
+    found = []
+    for l in range(SIDE + 1):  # noqa: E741
+        row = np.flatnonzero((n_left >= l) & (n_right >= SIDE - l))
+        if len(row):
+            group = [np.empty(len(gram), np.int64) for _ in range(2)]
+            group[0][by_right], group[1][by_left] = np.cumsum(agree_right < SIDE - l), np.cumsum(agree_left < l)
+            found.append((row, (group[0][row] * (len(gram) + 1) + group[1][row]) * LEAST + l, low[row] + n_left[row] - l, np.full(len(row), l)))
+    row, window, start, reach = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
     order = np.lexsort((start, uid[row], doc[row], window))
-    window, row, start = window[order], row[order], start[order]
-    head = np.r_[True, window[1:] != window[:-1]]
+    window, row, start, reach = window[order], row[order], start[order], reach[order]
+    head = np.r_[True, window[1:] != window[:-1]][:len(window)]
     # rows that are equal in id, text and place are one occurrence
-    again = ~head & np.r_[False, (doc[row][1:] == doc[row][:-1]) & (uid[row][1:] == uid[row][:-1]) & (start[1:] == start[:-1])]
-    window, row, start, head = window[~again], row[~again], start[~again], head[~again]
+    again = ~head & np.r_[False, (doc[row][1:] == doc[row][:-1]) & (uid[row][1:] == uid[row][:-1]) & (start[1:] == start[:-1])][:len(window)]
+    row, start, reach, head = row[~again], start[~again], reach[~again], head[~again]
     size = np.diff(np.r_[np.flatnonzero(head), len(head)])
     several = np.repeat(size > 1, size)
     settled = several & ~(head & edge[row])
-    to = lambda pick, kind: {"kind": np.full(pick.sum(), kind, np.int32), "doc_id": doc[row[pick]], "uid": uid[row[pick]], "start": start[pick],
-                             "window": window[pick].astype(np.int64), "repeated": ~head[pick], "several": several[pick]}
-    yield to(settled, 0)
-    yield to(head & edge[row], 1)
+
+    def to(pick: np.ndarray, kind: int, named) -> dict:
+        at = np.flatnonzero(pick)
+        return {"kind": np.full(len(at), kind, np.int32), "doc_id": doc[row[at]], "uid": uid[row[at]], "start": start[at],
+                "window": named(row[at], reach[at]).astype(np.int64), "repeated": ~head[at], "several": several[at]}
+
+    yield to(settled, 0, lambda r, l: np.zeros(len(r), U))
+    yield to(head & edge[row], 1, lambda r, l: _window_hash(gram[r], left[r], right[r], l))
+
+
+def _window_hash(gram: np.ndarray, left: np.ndarray, right: np.ndarray, l: np.ndarray) -> np.ndarray:  # noqa: E741
+    """One hash of the windows that reach l words to the left of their gram and SIDE - l to the right."""
+    column = np.arange(SIDE)
+    power = np.multiply.accumulate(np.full(SIDE, BASE, U))
+    sums = [np.where(column < reach[:, None], words * power, U(0)).sum(axis=1, dtype=U) for words, reach in ((left, l), (right, SIDE - l))]
+    return mix(mix(mix(gram + l.astype(U)) + sums[0]) * U(BASE) + sums[1])
 
 
 def _joined(found: dict) -> dict:
@@ -141,7 +240,7 @@ def _joined(found: dict) -> dict:
 _SPANS = "kind int, doc_id long, uid long, start long, end long, window long, repeated boolean, several boolean"
 
 
-def _compare(sorted_rows: DataFrame) -> DataFrame:
+def _compare(sorted_rows: DataFrame, chunk: int) -> DataFrame:
     def batch(f: dict) -> pa.RecordBatch:
         f = _joined(f) if len(f["kind"]) and f["kind"][0] == 0 else f | {"end": f["start"] + LEAST}
         ids = pa.array(f["doc_id"], pa.int64(), mask=f["doc_id"] == LAST_ID)
@@ -152,28 +251,29 @@ def _compare(sorted_rows: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= CHUNK:
-                yield from map(batch, _repeats(pa.Table.from_batches(held)))
-                held, rows = [], 0
+            for at in range(0, b.num_rows, chunk):
+                held.append(b.slice(at, chunk))
+                rows += held[-1].num_rows
+                if rows >= chunk:
+                    yield from map(batch, _repeats(pa.Table.from_batches(held)))
+                    held, rows = [], 0
         if rows:
             yield from map(batch, _repeats(pa.Table.from_batches(held)))
 
     return sorted_rows.mapInArrow(run, _SPANS)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, uid, start_word, end_word, repeated): disjoint spans of words, ends excluded.
 
     ``repeated`` is false for the first occurrence of a passage and true for the
     later ones. ``uid`` is xxhash64 of the text.
     """
     spark = docs.sparkSession
-    suffixes = _suffixes(docs)
-    order = ["key", "windows", "doc_id", "uid", "start"]
+    suffixes = saved(_suffixes(docs), "suffixes")  # written: the boundaries of the ranges are sampled from it
+    order = ["key", "right", "left", "doc_id", "uid", "start"]
     ranged = suffixes.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
-    found = saved(_compare(ranged), "repeats")
+    found = saved(_compare(ranged, chunk), "repeats")
     # first occurrences of the windows at chunk edges: at most one a window and chunk
     meet = Window.partitionBy("window")
     turn = meet.orderBy(F.col("doc_id").asc_nulls_last(), "uid", "start")

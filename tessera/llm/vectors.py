@@ -101,6 +101,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
             at = to
 
 
+def rolling_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position on, from running sums: a few steps whatever k."""
+    n = len(word_hash) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    power, inverse = _power_tables(len(word_hash))
+    sums = np.zeros(len(word_hash) + 1, U)
+    np.cumsum(mix(word_hash) * power, out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * inverse[:n])
+
+
 def window_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position on (len - k + 1 values)."""
     n = len(word_hash) - k + 1

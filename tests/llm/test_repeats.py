@@ -141,16 +141,15 @@ def plain_repeats(rows):
     return repeated, original
 
 
-@pytest.mark.parametrize("chunk", [200_000, 40])
-def test_repeats_equal_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+@pytest.mark.parametrize("chunk", [200_000, 40, 7])
+def test_repeats_equal_brute_force(spark, chunk):
     rng = random.Random(4)
     passages = [prose(rng, n, 9000) for n in (49, 50, 51, 80, 300)]
     rows = [(200 + k, f"{prose(rng, rng.randrange(40))} {p} {prose(rng, rng.randrange(40))}", "en", "a", 1) for k, p in enumerate(passages * 4)]
     rows += [r for r in awkward_rows() if r[0] != 17]
     docs = spark.createDataFrame(rows, SCHEMA)
     found = {True: {}, False: {}}
-    for r in suffixes.repeated_passages(docs).collect():
+    for r in suffixes.repeated_passages(docs, chunk).collect():
         found[r["repeated"]].setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
     repeated, original = plain_repeats(rows)
     assert found[True] == repeated and found[False] == original
@@ -237,3 +236,19 @@ def test_trie_links_join_what_brute_force_joins():
     plain = component_ids([(i, j) for i in nodes for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))], nodes)
     links = jaccard.Trie(sets).links()
     assert component_ids(links, nodes) == plain and len(links) < len(sets)
+
+
+def test_extension_to_both_sides_of_one_gram(spark):
+    # a passage of 60 words with other words on either side at other distances: each pair agrees over another stretch
+    rng = random.Random(17)
+    p = prose(rng, 60, 9000).split()
+    rows = []
+    for k, (a, z) in enumerate([(0, 60), (5, 60), (0, 55), (9, 59), (10, 60), (11, 60), (4, 54), (0, 49), (3, 60), (0, 60)]):
+        rows.append((k, " ".join([f"l{k}"] * k + p[a:z] + [f"r{k}"] * 3), "en", "a", 1))
+    rng.shuffle(rows)
+    repeated, original = plain_repeats(rows)
+    for chunk in (1000, 3):
+        found = {True: {}, False: {}}
+        for r in suffixes.repeated_passages(spark.createDataFrame(rows, SCHEMA), chunk).collect():
+            found[r["repeated"]].setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+        assert found[True] == repeated and found[False] == original
