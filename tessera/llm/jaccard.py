@@ -482,11 +482,13 @@ def _cells(chosen: DataFrame) -> DataFrame:
     # shingles by class: some 120 classes a unit at most
     counts = classed.groupBy("component", "class").agg(F.sum("size").alias("n"))
     units = counts.groupBy("component").agg(
-        (F.sum("n") > BLOCK).alias("several"), F.map_from_entries(F.collect_list(F.struct("class", (F.floor(F.col("n") / BLOCK) + 1).cast("int")))).alias("blocks"))
-    met = classed.join(units.withColumnRenamed("component", "unit"), F.col("component") == F.col("unit"))
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", (F.floor(F.col("n") / BLOCK) + 1).cast("int")))).alias("blocks"))
+    # only units of several cells are looked up (one for BLOCK shingles at most); written, so that their number is known
+    several = saved(units.where(F.col("total") > BLOCK).select(F.col("component").alias("unit"), "blocks"), "jaccard-large")
+    met = classed.join(several, F.col("component") == F.col("unit"), "left").withColumn("several", F.col("unit").isNotNull())
     blocks = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
     name = lambda c, b: c.cast("long") * (1 << 32) + b
-    own = F.pmod(F.xxhash64("set_id"), blocks(F.col("class"))).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), F.greatest(blocks(F.col("class")), F.lit(1))).cast("int")
     mine = name(F.col("class"), own)
     others = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.when(blocks(F.col("class") + d) > 0, F.transform(
         F.sequence(F.lit(0), blocks(F.col("class") + d) - 1), lambda k: name(F.col("class") + d, k))).otherwise(F.array().cast("array<bigint>"))))
