@@ -61,6 +61,10 @@ def q_trim_match(spark, d):
     return LN.trimmed_hits(hits, SEARCH_LITERAL)
 
 
+def q_trimmed_per_file(spark, d):
+    return LN.trimmed_per_file(q_trim_match(spark, d))
+
+
 def q_read_chunk(spark, d):
     f = _files(spark, d)
     req = (f.select("file_id", F.lit(2).alias("start"), F.lit(4).alias("end"))
@@ -79,5 +83,6 @@ QUERIES = {
     "search_context": q_search_context,
     "search_top": q_search_top,
     "trim_match": q_trim_match,
+    "trimmed_per_file": q_trimmed_per_file,
     "read_chunk": q_read_chunk,
 }

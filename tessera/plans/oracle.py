@@ -259,6 +259,9 @@ ORACLES["page_title"] = with_web(f"SELECT page_id, {title_expr('html')} AS title
 ORACLES["page_summary"] = with_web(
     "SELECT page_id, replace(substring(text, 1, 200), chr(10), ' ') AS summary FROM clean", strip=True)
 
+ORACLES["page_summary_300"] = with_web(
+    f"SELECT page_id, replace({js_trim('substring(text, 1, 300)')}, chr(10), ' ') AS summary FROM clean", strip=True)
+
 ORACLES["page_sections"] = "WITH RECURSIVE " + SYNTH_HTML.strip() + "," + STRIP + SECTIONS + """
 SELECT page_id, section_no, level, heading, anchor, text, length(text)::INTEGER AS n_chars FROM sections"""
 
@@ -753,23 +756,18 @@ SELECT file_id, line_no, coalesce(before, []) AS before, coalesce(after, []) AS
 ORACLES["search_top"] = with_files(_HITS + "\nSELECT file_id, rank, line_no, occurrences FROM hits WHERE rank <= 20")
 
 
-def _trim(line: str) -> str:
-    at = f"(CASE WHEN regexp_matches({line}, {lit(_SRCH)}) THEN length(regexp_extract({line}, '(?s)^(.*?)(?i:the)', 1)) + 1 ELSE 0 END)"
-    start = f"greatest(0, (CASE WHEN {at} = 0 THEN 0 ELSE {at} - 1 END) - 400)"
-    return (f"CASE WHEN length({line}) > 800 THEN substring({line}, {start} + 1, 800) || '  [800 of ' "
-            f"|| length({line})::VARCHAR || ' characters kept' || CASE WHEN {at} = 0 THEN '' ELSE '; the match starts at ' || {at}::VARCHAR END "
-            f"|| ']' ELSE {line} END"), at
-
-
-_tt, _at = _trim("e.line")
-ORACLES["trim_match"] = with_files(_HITS + f""",
-emitted AS (
-  SELECT c.file_id, c.line_no AS hit_line_no, l.line_no, l.line
-  FROM hits c JOIN flines l ON l.file_id = c.file_id AND l.line_no BETWEEN greatest(1, c.line_no - 5) AND c.line_no + 5
-  WHERE c.rank <= 20)
-SELECT e.file_id, e.hit_line_no, e.line_no, {_tt} AS text, length(e.line) > 800 AS trimmed,
-  length(e.line)::INTEGER AS n_chars, CASE WHEN length(e.line) > 800 AND {_at} > 0 THEN {_at}::INTEGER END AS match_col
-FROM emitted e""")
+# only long lines are trimmed, each once; hits meet the lines around them by number
+ORACLES["trim_match"] = with_files(_HITS + """,
+long0 AS (SELECT file_id, line_no, line, strpos(lower(line), 'the') AS hit_at FROM flines WHERE length(line) > 800),
+long AS (
+  SELECT file_id, line_no, hit_at, substring(line, greatest(0, greatest(hit_at - 1, 0) - 400) + 1, 800) || '  [800 of ' || length(line)::VARCHAR
+    || ' characters kept' || CASE WHEN hit_at = 0 THEN '' ELSE '; the match starts at ' || hit_at::VARCHAR END || ']' AS cut
+  FROM long0),
+around AS (SELECT file_id, line_no AS hit_line_no, line_no + unnest(range(-5, 6)) AS line_no FROM hits WHERE rank <= 20)
+SELECT file_id, hit_line_no, line_no::INTEGER AS line_no, coalesce(cut, line) AS text, length(line) > 800 AS trimmed,
+  length(line)::INTEGER AS n_chars, nullif(hit_at, 0)::INTEGER AS match_col
+FROM around JOIN flines USING (file_id, line_no) LEFT JOIN long USING (file_id, line_no)""")
+ORACLES["trimmed_per_file"] = "SELECT file_id, count(*) FILTER (WHERE trimmed)::INTEGER AS n_trimmed FROM (" + ORACLES["trim_match"] + ") GROUP BY file_id"
 
 ORACLES["read_chunk"] = with_files("""
 , req AS (
@@ -899,6 +897,13 @@ SELECT f.file_id, f.name, f.language, f.total_lines, coalesce(sc.n, 0)::INTEGER
       lambda n: format('{:5d}', n) || ' │ ' || f.lines[n]), chr(10)) END AS tail
 FROM files2 f LEFT JOIN sc USING (file_id)""", files=True)
 
+ORACLES["file_notes"] = with_truth("""
+, sc AS (SELECT file_id, count(*)::INTEGER AS n FROM truth2 GROUP BY file_id),
+fn AS (SELECT f.file_id, f.language, f.language IN ('Python', 'JavaScript', 'TypeScript', 'Markdown') AS scanned, coalesce(sc.n, 0)::INTEGER AS n_symbols
+       FROM files2 f LEFT JOIN sc USING (file_id))
+SELECT file_id, language, scanned, n_symbols,
+  CASE WHEN scanned OR n_symbols > 0 THEN NULL WHEN language = 'text' THEN 'unrecognised' ELSE 'unscanned' END AS note FROM fn""", files=True)
+
 ORACLES["language_coverage"] = with_truth("""
 , sc AS (SELECT file_id, count(*)::INTEGER AS n FROM truth2 GROUP BY file_id),
 fx AS (SELECT f.language, coalesce(sc.n, 0) AS n_sym,
@@ -999,7 +1004,8 @@ corpus AS (
   UNION ALL SELECT page_id, url, html FROM slinks)"""
 
 
-def _crawl_sql(budget: int = CRAWL_BUDGET) -> str:
+def _crawl_ctes(budget: int = CRAWL_BUDGET) -> str:
+    """The walk's queue as ``allq``."""
     synth = SYNTH_HTML.strip()
     synth = synth[:synth.index("corpus AS (")].rstrip().rstrip(",")
     page_site, page_path = _scan_split("target_url")
@@ -1041,16 +1047,63 @@ q{lv} AS (
   JOIN (SELECT site, max(rank) AS top FROM seen{lv} GROUP BY site) t USING (site))""")
     allq = " UNION ALL ".join(f"SELECT site, path, rank, level FROM q{k}" for k in range(budget + 1))
     tail = f"""allq AS (
-  SELECT x.*, coalesce(rd.fsite, x.site) AS fsite, s.page_id AS pid,
+  SELECT x.*, coalesce(rd.fsite, x.site) AS fsite, coalesce(rd.fpath, x.path) AS fpath, s.page_id AS pid,
     row_number() OVER (PARTITION BY x.site, coalesce(rd.fsite, x.site), coalesce(rd.fpath, x.path) ORDER BY x.rank NULLS LAST) AS nth
   FROM ({allq}) x LEFT JOIN rd ON rd.site = x.site AND rd.path = x.path
-  LEFT JOIN snap s ON s.site = x.site AND s.path = coalesce(rd.fpath, x.path) AND coalesce(rd.fsite, x.site) = x.site)
-SELECT a.site, a.path, a.rank, a.level::INTEGER AS level,
-  CASE WHEN a.rank IS NULL OR a.rank > {budget} THEN 'unvisited' WHEN fsite <> site THEN 'off_origin' WHEN pid IS NULL THEN 'missing'
-       WHEN nth = 1 THEN 'mapped' ELSE 'duplicate' END AS outcome,
-  CASE WHEN a.rank <= {budget} AND nth = 1 THEN pid END AS page_id
-FROM allq a"""
+  LEFT JOIN snap s ON s.site = x.site AND s.path = coalesce(rd.fpath, x.path) AND coalesce(rd.fsite, x.site) = x.site)"""
     return parts[0] + ",\n" + parts[1] + ",\n" + parts[2] + ",\n" + ",\n".join(body) + ",\n" + tail
 
 
-ORACLES["crawl_walk"] = _crawl_sql()
+_WALK = f"""SELECT a.site, a.path, a.rank, a.level::INTEGER AS level,
+  CASE WHEN a.rank IS NULL OR a.rank > {CRAWL_BUDGET} THEN 'unvisited' WHEN fsite <> site THEN 'off_origin' WHEN pid IS NULL THEN 'missing'
+       WHEN nth = 1 THEN 'mapped' ELSE 'duplicate' END AS outcome,
+  CASE WHEN a.rank <= {CRAWL_BUDGET} AND nth = 1 THEN pid END AS page_id"""
+ORACLES["crawl_walk"] = _crawl_ctes() + "\n" + _WALK + "\nFROM allq a"
+
+
+def _json_fields(**fields: str) -> str:
+    """A JSON object; fields that are null are left out."""
+    return "'{' || concat_ws(',', " + ", ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + ") || '}'"
+
+
+def _text(x: str) -> str:
+    return f"to_json({x})::VARCHAR"
+
+
+def _json_list(items: str) -> str:
+    return f"'[' || coalesce({items}, '') || ']'"
+
+
+def _agg(item: str, order: str, where: str) -> str:
+    return f"string_agg({item}, ',' ORDER BY {order}) FILTER (WHERE {where})"
+
+
+# what is known of each mapped page, and one JSON text a site
+_auth = " OR ".join(f"contains(lower({tags_to_text(spoken('html'))}), {lit(w)})" for w in ["log in", "login", "sign in", "signin", "please authenticate", "unauthorized"])
+_SITE_FACTS = f""",
+walk AS ({_WALK}, a.fsite, a.fpath FROM allq a),
+stored AS (SELECT page_id, url, coalesce(html, '') AS html FROM corpus),
+facts AS (
+  WITH RECURSIVE corpus AS (SELECT page_id, url, html FROM stored WHERE page_id IN (SELECT page_id FROM walk WHERE outcome = 'mapped')),
+  {STRIP}{FORMS}{ACTIONS},
+  pf AS (SELECT page_id, string_agg({_json_fields(page=_text("page"), fields=_text("fields"), action=_text("method || ' ' || act"), method=_text("method"))}, ',' ORDER BY form_no) AS forms
+         FROM forms WHERE len(fields) > 0 GROUP BY page_id),
+  pa AS (SELECT page_id, string_agg({_json_fields(type=_text("type"), label=_text("label"), leads_to=_text("leads_to"), endpoint=_text("endpoint"))}, ',' ORDER BY action_no) AS actions
+         FROM actions GROUP BY page_id)
+  SELECT page_id, {title_expr("html")} AS title, replace(substring(text, 1, 200), chr(10), ' ') AS summary, text AS content,
+    regexp_extract_all(html, {lit(API_Q)}, 1) AS hints, ({_auth}) AS auth, forms, actions
+  FROM corpus JOIN clean USING (page_id) LEFT JOIN pf USING (page_id) LEFT JOIN pa USING (page_id))"""
+_mapped = "outcome = 'mapped'"
+_page = _json_fields(path=_text("fpath"), title=_text("title"), summary=_text("summary"), content=_text("content"))
+_gone = _json_fields(url=_text("site || path"), error="'\"not in the snapshot\"'")
+_count = lambda where: f"(count(*) FILTER (WHERE {where}))::VARCHAR"
+ORACLES["site_map_json"] = _crawl_ctes() + _SITE_FACTS + f"""
+SELECT site, {_json_fields(
+    site=_text("site"), url=_text("max(site || path) FILTER (WHERE rank = 1)"), pages_scanned=_count(_mapped), pages_attempted=_count("outcome <> 'unvisited'"),
+    pages_failed=_count("outcome = 'missing'"), links_queued_unvisited=_count("outcome = 'unvisited'"), pages=_json_list(_agg(_page, "rank", _mapped)),
+    failures=_json_list(_agg(_gone, "rank, path", "outcome = 'missing'")),
+    off_origin_redirects_skipped=_json_list(_agg(_text("site || path || ' -> ' || fsite || fpath"), "rank, path", "outcome = 'off_origin'")),
+    forms=_json_list(_agg("forms", "rank", _mapped)), actions=_json_list(_agg("actions", "rank", _mapped)),
+    api_hints=_text(f"list_sort(list_distinct(coalesce(flatten(list(hints) FILTER (WHERE {_mapped})), [])))"), auth_required=f"coalesce(bool_or(auth) FILTER (WHERE {_mapped}), false)::VARCHAR",
+    budget_exhausted=f"(count(*) FILTER (WHERE outcome <> 'unvisited') >= {CRAWL_BUDGET} AND count(*) FILTER (WHERE outcome = 'unvisited') > 0)::VARCHAR")} AS json
+FROM walk LEFT JOIN facts USING (page_id) GROUP BY site"""

@@ -163,6 +163,11 @@ def q_language_coverage(spark, d):
     return LN.language_coverage(files, _symbol_counts(spark, d))
 
 
+def q_file_notes(spark, d):
+    files = LN.files_from_text(file_corpus(spark, d), "file_id", "path", "text")
+    return LN.file_notes(files, _symbol_counts(spark, d))
+
+
 QUERIES = {
     "python_symbols": q_python_symbols,
     "js_symbols": q_js_symbols,
@@ -176,4 +181,5 @@ QUERIES = {
     "outline_accuracy": q_outline_accuracy,
     "file_summary": q_file_summary,
     "language_coverage": q_language_coverage,
+    "file_notes": q_file_notes,
 }

@@ -65,6 +65,11 @@ def q_page_summary(spark, d):
     return _clean(spark, d).select("page_id", P.page_summary(F.col("text")).alias("summary"))
 
 
+def q_page_summary_300(spark, d):
+    """The library's variant: 300 characters, trimmed."""
+    return _clean(spark, d).select("page_id", P.page_summary(F.col("text"), n=300, trim=True).alias("summary"))
+
+
 def _sections(spark, d):
     return P.page_sections(_clean(spark, d))
 
@@ -178,6 +183,7 @@ QUERIES = {
     "page_text": q_page_text,
     "page_title": q_page_title,
     "page_summary": q_page_summary,
+    "page_summary_300": q_page_summary_300,
     "page_sections": q_page_sections,
     "page_outline": q_page_outline,
     "fetch_section": q_fetch_section,

@@ -56,7 +56,7 @@ def test_every_query_has_an_entry():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     # the library's own queries; those of the removable part have their own tests
-    assert set(all_queries()) - set(all_oracles()) == {"site_awareness", "site_map_json"}
+    assert set(all_queries()) - set(all_oracles()) == {"site_awareness"}
 
 
 def test_entry_smoke(spark):
