@@ -10,8 +10,10 @@ position, is the original; words covered by a later one are repeated words.
    suffix at the same offset. About 1 word in 13 starts a retained suffix.
 2. First the grams of retained suffixes are counted. A filter of fixed size
    (``FILTER_BITS``), set where a gram occurs twice, keeps nearly all other suffixes
-   from being written in the second pass. A kept suffix carries the 64-bit hashes of
-   the words right and left of its gram, as far as a window that names it reaches.
+   from being sent in the second pass. A kept suffix carries the 64-bit hashes of the
+   words right and left of its gram, as far as a window that names it reaches. (Range
+   boundaries are sampled from that pass, which is run twice: writing its rows first
+   would double the disk.)
 3. Suffixes are sorted by the hash of their first 25 words, then by the words that
    follow. Range partitioning by the whole key splits a passage that a third of all
    documents share over many tasks, each of which streams its rows in chunks.
@@ -270,7 +272,7 @@ def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     later ones. ``uid`` is xxhash64 of the text.
     """
     spark = docs.sparkSession
-    suffixes = saved(_suffixes(docs), "suffixes")  # written: the boundaries of the ranges are sampled from it
+    suffixes = _suffixes(docs)
     order = ["key", "right", "left", "doc_id", "uid", "start"]
     ranged = suffixes.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
     found = saved(_compare(ranged, chunk), "repeats")
