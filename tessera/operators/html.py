@@ -1,27 +1,35 @@
 """HTML operators: tokenise (O26), furniture classes (O27), furniture spans
 (O28) and clean text (O29).
 
-Plan shape. A page is tokenised in its own row (narrow: one regex scan plus
-one split). Token rows then go through exactly one exchange, hash on
-``page_id``; every later window and aggregate is keyed by ``page_id`` first,
-so Spark reuses that partitioning (no second exchange of token rows). A page
-is capped at 5 MiB by ``scan_pages``, which bounds every per-page group. When
-the pages table is bucketed by ``page_id`` the exchange disappears too.
+Plan shape. A page is worked on in its own row: one regex scan and one split make
+its tokens, each token becomes a few flags, and one fold over them finds the spans
+to cut, with a count of open tags of the span's own name as its state. The text is
+then put together from the stretches between cuts. No page bytes are exchanged, and
+no token is a row. A page is capped at 5 MiB by ``scan_pages``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.functions.html import (MAIN_CONTENT_PATTERN, TAG_PATTERN, VOID_TAGS,
-                                    is_chrome_open)
-from tessera.functions.text import WS, cut_tail, let, tags_to_text
+from tessera.functions.folds import fold_chunks, none_of
+from tessera.functions.html import CHROME_TAGS, MAIN_CONTENT_PATTERN, TAG_PATTERN, VOID_TAGS, is_chrome_open
+from tessera.functions.text import WS, WS_CHARS, cut_tail, let, tags_to_text
 
-_BIG = 1 << 62
+
+def token_array(html: Column) -> Column:
+    """A page's tags in order, each as (raw, seg): the tag and the text up to the next. The
+    first has an empty tag, so all raw and seg joined are the page."""
+    def pairs_of(head: Column, tail: Column) -> Column:
+        # no tag ends behind the last '>'
+        tags = F.regexp_extract_all(head, F.lit(TAG_PATTERN), 0)
+        return let(F.split(head, TAG_PATTERN, -1), lambda segs: F.zip_with(
+            F.concat(F.array(F.lit("")), tags), F.concat(F.slice(segs, F.lit(1), F.size(segs) - 1), F.array(F.concat(F.element_at(segs, -1), tail))),
+            lambda r, s: F.struct(r.alias("raw"), s.alias("seg"))))
+    return cut_tail(F.coalesce(html, F.lit("")), pairs_of)
 
 
 def tokenize_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
@@ -34,15 +42,7 @@ def tokenize_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     page. Columns in ``carry`` are kept on the pseudo row only (null on the
     rest) so per-page values travel with the tokens without being copied.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-
-    def pairs_of(head: Column, tail: Column) -> Column:
-        """Tags, each with the text up to the next; no tag ends behind the last '>'."""
-        tags = F.regexp_extract_all(head, F.lit(TAG_PATTERN), 0)
-        return let(F.split(head, TAG_PATTERN, -1), lambda segs: F.zip_with(
-            F.concat(F.array(F.lit("")), tags), F.concat(F.slice(segs, F.lit(1), F.size(segs) - 1), F.array(F.concat(F.element_at(segs, -1), tail))),
-            lambda r, s: F.struct(r.alias("raw"), s.alias("seg"))))
-    pairs = cut_tail(html, pairs_of)
+    pairs = token_array(F.col(html_col))
     exploded = pages.select(
         F.col(id_col).alias("page_id"),
         *[F.col(c) for c in carry],
@@ -75,108 +75,80 @@ def classify_chrome(tokens: DataFrame) -> DataFrame:
         F.coalesce(opening & is_chrome_open(F.col("tag"), F.col("attrs")), F.lit(False)))
 
 
-def chrome_candidates(tokens: DataFrame) -> DataFrame:
-    """Windows over the token stream: furniture opens with their balanced end.
+_SPAN = "struct<s:int,e:int,action:string,tag:string>"
+
+
+def _flags(token: Column, i: Column) -> Column:
+    """What the fold needs of a token: its name, which way it counts, whether it may begin
+    furniture, and whether main content begins with it or behind it."""
+    raw, seg = token["raw"], token["seg"]
+    closing = raw.startswith("</")
+    skip = F.when(closing, F.lit(2)).otherwise(F.lit(1))
+
+    def named(name: Column) -> Column:
+        attrs = F.substring(raw, skip + F.length(name) + 1, F.greatest(F.length(raw) - skip - F.length(name) - 1, F.lit(0)))
+
+        def flags(a: Column) -> Column:
+            alone = name.isin(*VOID_TAGS) | F.rtrim(a, F.lit(WS_CHARS)).endswith("/")
+            chrome = ~closing & ~alone & (name.isin(*CHROME_TAGS) | ((F.trim(a) != "") & is_chrome_open(name, a)))
+            # a tag that can't be one of the three is looked through only where it holds another '<'
+            may = F.exists(F.array(*[F.lit(n) for n in ("main", "article", "h1")]), lambda n: name.startswith(n)) | seg.contains("<") | a.contains("<")
+            return F.struct(i.alias("i"), name.alias("tag"), F.when(closing, F.lit(-1)).when(alone | (raw == ""), F.lit(0)).otherwise(F.lit(1)).alias("counts"),
+                            ((raw != "") & chrome).alias("chrome"), (may & F.concat(raw, seg).rlike(MAIN_CONTENT_PATTERN)).alias("main"))
+        return let(attrs, flags)
+    return let(F.lower(F.regexp_extract(raw, "^</?([a-zA-Z][a-zA-Z0-9-]*)", 1)), named)
 
-    depth per (page, tag) = running sum of +1 (open, not self-closing) and -1
-    (close); an open sits at the depth after it, a close at the depth before
-    it. The end of an open is the next counted row of the same (page, tag,
-    level), when that row is a close; otherwise the open is unclosed.
-    ``main`` says whether the span holds ``<main``, ``<article`` or ``<h1``.
-    """
-    t = classify_chrome(tokens)
-    page_w = Window.partitionBy("page_id").orderBy("pos")
-    main_flag = F.concat(F.col("raw"), F.col("seg")).rlike(MAIN_CONTENT_PATTERN).cast("int")
-    t = t.withColumn("cme", F.coalesce(
-        F.sum(main_flag).over(page_w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    delta = (F.when(F.col("closing"), F.lit(-1))
-             .when(~F.col("self_closing"), F.lit(1)).otherwise(F.lit(0)))
-    t = t.withColumn("depth", F.sum(delta).over(
-        Window.partitionBy("page_id", "tag").orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    t = t.withColumn("level", F.when(F.col("closing"), F.col("depth") + 1)
-                     .when(~F.col("self_closing"), F.col("depth")))
-    lw = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
-    t = (t.withColumn("nxt_pos", F.lead("pos").over(lw))
-          .withColumn("nxt_closing", F.lead("closing").over(lw))
-          .withColumn("nxt_cme", F.lead("cme").over(lw)))
-    return t
-
-
-def _fold_chosen(cands: DataFrame) -> DataFrame:
-    """Greedy pass over furniture candidates of each page in start order:
-    skip any that starts inside the last chosen span; a chosen unclosed one
-    stops the pass. Candidates are first cut into clusters (a new cluster
-    starts where no earlier candidate reaches), so each fold sees only the
-    few overlapping candidates of one cluster."""
-    w = Window.partitionBy("page_id").orderBy("s")
-    reach = F.coalesce(F.col("e"), F.lit(_BIG))
-    c = cands.withColumn("prev_reach", F.max(reach).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    c = c.withColumn("root", (F.col("prev_reach").isNull() | (F.col("s") > F.col("prev_reach"))).cast("int"))
-    c = c.withColumn("cluster", F.sum("root").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    item = F.struct(F.col("s"), F.col("e"), F.col("main"), F.col("tag"))
-    grouped = c.groupBy("page_id", "cluster").agg(F.array_sort(F.collect_list(item)).alias("cands"))
-    item_type = T.StructType([
-        T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()),
-        T.StructField("main", T.BooleanType()), T.StructField("tag", T.StringType())])
-    zero = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(False).alias("stop"),
-                    F.array().cast(T.ArrayType(item_type)).alias("chosen"))
+
+def chrome_spans(tokens: Column) -> Column:
+    """The furniture spans of a page's tokens, in order: (s, e, action, tag).
+
+    The first furniture tag outside an earlier span begins one, and the tag that
+    balances it (counting its own name only) ends it. A span with main content is
+    'kept', else 'cut'; one that nothing ends is 'unclosed', and the last."""
+    def state(tag, s, depth, main, done) -> Column:
+        return F.struct(tag.cast("string").alias("tag"), s.cast("int").alias("s"), depth.cast("int").alias("depth"), main.alias("main"), done.alias("done"))
+
+    def span(acc: Column, e: Column, action: Column) -> Column:
+        return F.struct(acc["s"].alias("s"), e.cast("int").alias("e"), action.alias("action"), acc["tag"].alias("tag")).cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        skip = acc["stop"] | (x["s"] <= acc["last"])
-        taken = F.struct(F.coalesce(x["e"].cast("long"), F.lit(_BIG)).alias("last"),
-                         x["e"].isNull().alias("stop"),
-                         F.concat(acc["chosen"], F.array(x.cast(item_type))).alias("chosen"))
-        return F.when(skip, acc).otherwise(taken)
-
-    folded = grouped.select("page_id", F.explode(F.aggregate("cands", zero, step)["chosen"]).alias("c"))
-    return folded.select(
-        "page_id", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.col("c.tag").alias("tag"),
-        F.when(F.col("c.e").isNull(), F.lit("unclosed"))
-        .when(F.col("c.main"), F.lit("kept")).otherwise(F.lit("cut")).alias("action"))
-
-
-def chrome_spans(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """O28 spans: returns (annotated tokens, chosen spans with their action)."""
-    t = chrome_candidates(tokens)
-    cands = t.where(F.col("is_chrome")).select(
-        "page_id", F.col("pos").alias("s"),
-        F.when(F.col("nxt_closing"), F.col("nxt_pos")).alias("e"),
-        F.when(F.col("nxt_closing"), (F.col("nxt_cme") - F.col("cme")) > 0)
-        .otherwise(F.lit(False)).alias("main"),
-        "tag")
-    return t, _fold_chosen(cands)
-
-
-def strip_chrome(tokens: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Per page, the HTML with furniture spans cut out, plus ``cuts``,
-    ``kept`` (spans spared because they hold main content) and ``unclosed``
+        within = F.coalesce(acc["s"] >= 0, F.lit(False))
+        same = within & (x["tag"] == acc["tag"]) & (x["counts"] != 0)
+        ended = same & (acc["depth"] + x["counts"] == 0)
+        closed = span(acc, x["i"], F.when(acc["main"], F.lit("kept")).otherwise(F.lit("cut")))
+        return (F.when(ended, state(F.lit(None), F.lit(-1), F.lit(0), F.lit(False), F.concat(acc["done"], F.array(closed))))
+                .when(within, state(acc["tag"], acc["s"], acc["depth"] + F.when(same, x["counts"]).otherwise(F.lit(0)), acc["main"] | x["main"], acc["done"]))
+                .when(x["chrome"], state(x["tag"], x["i"], F.lit(1), x["main"], acc["done"]))
+                .otherwise(acc))
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["s"] >= 0, F.concat(acc["done"], F.array(span(acc, F.lit(None), F.lit("unclosed"))))).otherwise(acc["done"])
+
+    zero = {"tag": F.lit(None), "s": F.lit(-1), "depth": F.lit(0), "main": F.lit(False), "done": none_of(_SPAN)}
+    return let(fold_chunks(F.transform(tokens, _flags), state, zero, step, _SPAN), finish)
+
+
+def _without(tokens: Column, cuts: Column) -> Column:
+    """The page without the spans ``cuts``; what follows a span's last tag stays."""
+    def stretch(t: Column, c: Column, k: Column) -> Column:
+        begins = F.when(k == 0, F.lit(0)).otherwise(F.get(c, k - 1)["e"] + 1)
+        ends = F.coalesce(F.get(c, k)["s"], F.size(t))
+        rest = F.array_join(F.transform(F.slice(t, begins + 1, F.greatest(ends - begins, F.lit(0))), lambda x: F.concat(x["raw"], x["seg"])), "")
+        return F.concat(F.when(k == 0, F.lit("")).otherwise(F.get(t, begins - 1)["seg"]), rest)
+    return let(tokens, lambda t: let(cuts, lambda c: F.array_join(F.transform(F.sequence(F.lit(0), F.size(c)), lambda k: stretch(t, c, k)), "")))
+
+
+def strip_chrome(pages: DataFrame) -> DataFrame:
+    """From (page_id, html, ...) the HTML with furniture spans cut out (``kept_html``), plus
+    ``cuts``, ``kept`` (spans spared because they hold main content) and ``unclosed``
     (the furniture tag that never closed and stopped the cutting)."""
-    t, spans = chrome_spans(tokens)
-    base_cols = ["page_id", "pos", "raw", "seg", *carry]
-    tok = t.select(*base_cols, F.lit(1).alias("ev"), F.lit(None).cast("int").alias("cut_end"),
-                   F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("span_tag"))
-    ev = spans.select(
-        "page_id", F.col("s").alias("pos"), F.lit(None).cast("string").alias("raw"),
-        F.lit(None).cast("string").alias("seg"), *[F.lit(None).alias(c) for c in carry],
-        F.lit(0).alias("ev"), F.when(F.col("action") == "cut", F.col("e")).alias("cut_end"),
-        "action", F.col("tag").alias("span_tag"))
-    u = tok.unionByName(ev)
-    w = Window.partitionBy("page_id").orderBy("pos", "ev").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumn("reach", F.max("cut_end").over(w))
-    covered = F.coalesce(F.col("reach") >= F.col("pos"), F.lit(False))
-    seg_gone = F.coalesce(F.col("reach") > F.col("pos"), F.lit(False))
-    piece = F.concat(F.when(covered, F.lit("")).otherwise(F.col("raw")),
-                     F.when(seg_gone, F.lit("")).otherwise(F.col("seg")))
-    u = u.withColumn("piece", F.when(F.col("ev") == 1, F.struct(F.col("pos"), piece.alias("p"))))
-    agg = u.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["p"]), "").alias("kept_html"),
-        F.count_if(F.col("action") == "cut").cast("int").alias("cuts"),
-        F.count_if(F.col("action") == "kept").cast("int").alias("kept"),
-        F.max(F.when(F.col("action") == "unclosed", F.col("span_tag"))).alias("unclosed"),
-        *[F.max(c).alias(c) for c in carry],
-    )
-    return agg
+    others = [c for c in pages.columns if c != "html"]
+    tokens = pages.select(*others, token_array(F.col("html")).alias("tokens"))
+    spans = tokens.select("*", let(F.col("tokens"), chrome_spans).alias("spans"))
+    of = lambda action: F.filter("spans", lambda x: x["action"] == action)
+    return spans.select(
+        *others, _without(F.col("tokens"), of("cut")).alias("kept_html"), F.size(of("cut")).cast("int").alias("cuts"),
+        F.size(of("kept")).cast("int").alias("kept"), F.get(of("unclosed"), F.lit(0))["tag"].alias("unclosed"))
 
 
 def clean_pages(pages: DataFrame, extras: dict[str, Column] | None = None,
@@ -184,15 +156,7 @@ def clean_pages(pages: DataFrame, extras: dict[str, Column] | None = None,
     """Clean text of every page (furniture removed, tags dropped,
     entities decoded once, long whitespace runs to one blank line).
 
-    Pages are hash-partitioned on ``page_id`` first: every later window and
-    aggregate is keyed by ``page_id``, so this is the only exchange of page
-    bytes, and tokenising runs after it, spread over all tasks. ``extras``
-    are per-page expressions over the pages' columns (title, hints, ...) computed after
-    the exchange and carried on each page's pseudo token.
-    """
-    extras = extras or {}
-    p = pages.repartition(id_col).select(
-        F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), *[e.alias(k) for k, e in extras.items()])
-    carry = list(extras)
-    stripped = strip_chrome(tokenize_html(p, carry=carry), carry)
-    return stripped.withColumn("text", tags_to_text(F.col("kept_html")))
+    Narrow: every page in its own row, in the partitioning of ``pages``. ``extras`` are
+    per-page expressions over the pages' columns (title, hints, ...)."""
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), *[e.alias(k) for k, e in (extras or {}).items()])
+    return strip_chrome(p).withColumn("text", tags_to_text(F.col("kept_html")))

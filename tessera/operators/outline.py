@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.folds import fold_chunks, none_of
 from tessera.functions.text import WS, WS_CHARS, js_trim, let
 from tessera.operators.lines import numbered
 from tessera.sources.files import split_lines
@@ -61,27 +62,6 @@ MASK_CLOSE = "\u0002"
 SHOW_CANDIDATES = 20
 # -------------------------------------------------------------------------
 
-#: Items of a chunk of a fold.
-CHUNK = 1024
-
-
-def _fold_chunks(items: Column, state, zero: dict, step, done: str) -> Column:
-    """The state after folding ``items`` with ``step``.
-
-    The state is ``state(**fields)``, its field ``done`` an array that only grows. It
-    is empty at the start of each chunk and joins the finished ones at its end, so a
-    step never copies more than a chunk's results."""
-    def chunk(all_items: Column):
-        def run(acc: Column, k: Column) -> Column:
-            own = F.slice(all_items, k * CHUNK + 1, F.lit(CHUNK))
-            fresh = state(**{f: _none(done) if f == "done" else acc[f] for f in zero})
-            return let(F.aggregate(own, fresh, step), lambda now: state(**{f: F.concat(acc["done"], now["done"]) if f == "done" else now[f] for f in zero}))
-        return run
-
-    last = lambda a: F.greatest(F.floor((F.size(a) - 1) / CHUNK).cast("int"), F.lit(0))
-    return let(items, lambda a: F.aggregate(F.sequence(F.lit(0), last(a)), state(**zero), chunk(a)))
-
-
 def _rows(files: DataFrame, symbols: str) -> DataFrame:
     """One row a symbol. (``explode`` would have Spark infer a filter that folds
     every file a second time.)"""
@@ -96,10 +76,6 @@ def _symbol(kind: Column, name: Column, start: Column, end: Column) -> Column:
     return F.struct(kind.alias("kind"), name.alias("name"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
 
 
-def _none(element: str) -> Column:
-    return F.array().cast(f"array<{element}>")
-
-
 def _clean_text(text: Column, lex: str, rewrite) -> Column:
     """Text with every lexed token rewritten (line breaks kept)."""
     gaps = F.split(text, lex, -1)
@@ -210,8 +186,8 @@ def _python_fold(facts: Column, total: Column) -> Column:
         without = F.transform(acc["heads"], lambda s: _symbol(s["kind"], s["name"], s["st"], total))
         return F.concat(acc["done"], F.transform(acc["open_"], lambda s: ended(s, acc["last"])), without)
 
-    zero = {"mask_end": F.lit(0), "depth": F.lit(0), "last": F.lit(None), "top": F.lit(-1), "wait": F.lit(_LEAST), "heads": _none(_PY_HEAD), "open_": _none(_PY_OPEN), "done": _none(SYMBOL)}
-    return let(_fold_chunks(facts, state, zero, step, SYMBOL), finish)
+    zero = {"mask_end": F.lit(0), "depth": F.lit(0), "last": F.lit(None), "top": F.lit(-1), "wait": F.lit(_LEAST), "heads": none_of(_PY_HEAD), "open_": none_of(_PY_OPEN), "done": none_of(SYMBOL)}
+    return let(fold_chunks(facts, state, zero, step, SYMBOL), finish)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -304,8 +280,8 @@ def _js_fold(facts: Column, total: Column) -> Column:
     def finish(acc: Column) -> Column:
         return F.concat(acc["done"], F.transform(acc["open_"], lambda s: to(s, total)), F.transform(acc["waiting"], lambda s: to(s, s["st"])))
 
-    zero = {"depth": F.lit(0), "top": F.lit(_LEAST), "waiting": _none(_JS_OPEN), "open_": _none(_JS_OPEN), "done": _none(SYMBOL)}
-    return let(_fold_chunks(facts, state, zero, step, SYMBOL), finish)
+    zero = {"depth": F.lit(0), "top": F.lit(_LEAST), "waiting": none_of(_JS_OPEN), "open_": none_of(_JS_OPEN), "done": none_of(SYMBOL)}
+    return let(fold_chunks(facts, state, zero, step, SYMBOL), finish)
 
 
 def js_symbols(files: DataFrame) -> DataFrame:
@@ -345,8 +321,8 @@ def _markdown_arrays(files: DataFrame) -> DataFrame:
         return F.struct(fence.alias("fence"), done.alias("done"))
 
     facts = F.filter(F.transform(split_lines(F.coalesce(F.col("text"), F.lit(""))), fact), lambda x: (x["fence"] != "") | (x["hashes"] != ""))
-    zero = {"fence": F.lit(""), "done": _none(SYMBOL)}
-    return files.select("file_id", _fold_chunks(facts, state, zero, step, SYMBOL)["done"].alias("symbols"))
+    zero = {"fence": F.lit(""), "done": none_of(SYMBOL)}
+    return files.select("file_id", fold_chunks(facts, state, zero, step, SYMBOL)["done"].alias("symbols"))
 
 
 # -------------------------------------------------------------- all languages
@@ -403,8 +379,8 @@ def nested_array(symbols: Column) -> Column:
         grown = F.when(covers, F.concat(stack, F.array(own).cast(f"array<{_STACK}>"))).otherwise(stack)
         return state(F.when(covers, F.least(low, x["end_line"])).otherwise(low), grown, F.concat(done, F.array(row).cast(f"array<{_NESTED}>")))
 
-    zero = {"low": F.lit(_NEVER), "stack": _none(_STACK), "done": _none(_NESTED)}
-    return _fold_chunks(symbols, state, zero, step, _NESTED)["done"]
+    zero = {"low": F.lit(_NEVER), "stack": none_of(_STACK), "done": none_of(_NESTED)}
+    return fold_chunks(symbols, state, zero, step, _NESTED)["done"]
 
 
 def nest_symbols(symbols: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tessera.functions import folds
 from tessera.operators import outline as O
 from tessera.operators.lines import language_of
 
@@ -168,7 +169,7 @@ def test_chunks_of_lines_change_nothing(spark, monkeypatch):
     src = _src(spark, [(1, "a/hard.py", HARD_PY), (2, "a/hard.ts", HARD_TS), (3, "r.md", "# A\n~~~\n# b\n~~~\n## C\n### D\n"), (4, "none.py", None)])
     whole = _rows_of(O.nest_symbols(O.outline_symbols(src)))
     assert whole == _rows_of(O.outline_tree(src)) and len(whole) > 12
-    monkeypatch.setattr(O, "CHUNK", 3)
+    monkeypatch.setattr(folds, "CHUNK", 3)
     assert whole == _rows_of(O.outline_tree(src))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from samples import SF_SMALL
 from tessera.operators.html import clean_pages
+from tessera.operators.outline import outline_tree
 from tessera.operators.pages import page_title
 
 
@@ -13,13 +14,14 @@ def _final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
-def test_page_bytes_are_exchanged_once(spark):
+def test_page_bytes_are_not_exchanged(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
-    p = _final_plan(clean_pages(pages).select("page_id", "text", "cuts"))
-    fresh = [l for l in p.split("\n") if "Exchange hashpartitioning(page_id" in l and "Reused" not in l]
-    # one shuffle of (page_id, html); the second branch reuses it
-    assert len(fresh) == 1
-    assert "ReusedExchange" in p
+    assert "Exchange" not in _final_plan(clean_pages(pages).select("page_id", "text", "cuts"))
+
+
+def test_file_text_is_not_exchanged(spark):
+    files = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(F.col("doc_id").alias("file_id"), "text", F.lit("Python").alias("language"))
+    assert "Exchange" not in _final_plan(outline_tree(files))
 
 
 def test_scan_reads_only_needed_columns(spark):
