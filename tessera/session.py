@@ -3,6 +3,7 @@ checkpoint folder taken from the session (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -76,6 +77,14 @@ def drop_saved(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
             _written[k] = ""
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    """Tables live as long as the driver; one whose session was stopped before leaves them to the folder's owner."""
+    try:
+        drop_saved(spark)
+    except Exception:  # the session, or its JVM, is gone
+        pass
+
+
 def saved_count() -> int:
     return len(_written)
 
@@ -85,28 +94,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage without staging blocks on executors: the rows are
     computed once, and a lost executor loses none of them. The size of the
-    result is known when later joins are planned. ``drop_saved`` deletes it.
+    result is known when later joins are planned. ``drop_saved`` deletes it, at the
+    latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_drop_at_exit, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize(df):
+def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate that several branches read.
 
-    Writes it once with ``checkpoint()`` into the session's checkpoint folder
-    (shared storage on a cluster), so the branches read the saved rows
-    instead of recomputing them, and a lost executor does not send the job
-    back to the source. The partitioning of ``df`` is kept.
-    """
-    from pyspark import StorageLevel
-    checkpoint_dir(df.sparkSession)
-    # Persist first: a reliable checkpoint otherwise computes its input twice
-    # (once for the job, once for the write).
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    saved = df.checkpoint(eager=True)
-    df.unpersist()
-    return saved
+    Written once into the shared checkpoint folder, so the branches read the saved rows
+    instead of recomputing them, and a lost executor does not send the job back to the
+    source."""
+    return saved(df, "step")
