@@ -497,13 +497,13 @@ def _cells(chosen: DataFrame) -> DataFrame:
     return met.select("set_id", "rep_id", "rep_uid", "component", "several", F.when(F.col("several"), pairs).otherwise(one).alias("cells"))
 
 
-def _text_key(doc_id: Column, uid: Column) -> Column:
+def text_key(doc_id: Column, uid: Column) -> Column:
     """Place of a text in the filter."""
     return F.shiftrightunsigned(F.xxhash64(doc_id, uid), 64 - FILTER_BITS).cast("int")
 
 
-def _filter_of(chosen: DataFrame):
-    """A broadcast bitmap of 2 ** FILTER_BITS bits, whatever the table's size: set where a represented text falls.
+def text_filter(texts: DataFrame, id_col: str, uid_col: str):
+    """A broadcast bitmap of 2 ** FILTER_BITS bits, whatever the table's size: set where one of the texts falls.
 
     At most 2 ** (FILTER_BITS - 16) rows of 8 KiB reach the driver."""
     def packed(table: pa.Table) -> pa.Table:
@@ -511,26 +511,30 @@ def _filter_of(chosen: DataFrame):
         bits[np.asarray(table.column("bit").combine_chunks())] = 1
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    places = chosen.select(_text_key(F.col("rep_id"), F.col("rep_uid")).alias("at")).distinct()  # 65,536 a part at most
+    places = texts.select(text_key(F.col(id_col), F.col(uid_col)).alias("at")).distinct()  # 65,536 a part at most
     parts = places.select(F.shiftright("at", 16).alias("part"), F.col("at").bitwiseAND(0xFFFF).alias("bit")).groupBy("part").applyInArrow(packed, "part int, bits binary")
     bitmap = np.zeros((1 << (FILTER_BITS - 16), 1 << 13), np.uint8)
     for row in parts.collect():
         bitmap[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return chosen.sparkSession.sparkContext.broadcast(bitmap.ravel())
+    return texts.sparkSession.sparkContext.broadcast(bitmap.ravel())
+
+
+def passed(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each place's bit is set."""
+    return ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _unit_links(docs: DataFrame, cells: DataFrame, order) -> DataFrame:
-    seen_texts = _filter_of(cells)
+    seen_texts = text_filter(cells, "rep_id", "rep_uid")
 
     def wanted(batches):
         bitmap = seen_texts.value
         for b in batches:
-            at = np.asarray(b.column(3))
-            here = (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            here = passed(bitmap, np.asarray(b.column(3)))
             if here.any():
-                yield b.select([0, 1, 2]).filter(pa.array(here.astype(bool)))
+                yield b.select([0, 1, 2]).filter(pa.array(here))
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("uid"), _text_key(F.col("doc_id"), F.xxhash64("text")).alias("at"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("uid"), text_key(F.col("doc_id"), F.xxhash64("text")).alias("at"))
     texts = keyed.mapInArrow(wanted, "doc_id long, text string, uid long").join(
         cells, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("uid") == F.col("rep_uid"))).select("set_id", "text", "component", "several", "cells")
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import saved, shuffle_parts
-from tessera.llm.jaccard import _buckets, _by_bucket
+from tessera.llm.jaccard import _buckets, _by_bucket, passed, text_filter, text_key
 from tessera.llm.vectors import BASE, U, Words, mix, rolling_hashes, slices
 
 LEAST, GRAM = 50, 25
@@ -135,8 +135,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
             found = [retained(words.hash[a:b]) for a, b in zip(words.first, words.first[1:])]
             row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             gram, at, start, n = (np.concatenate([f[i] for f in found]) for i in range(4))
-            place = (gram >> U(64 - FILTER_BITS)).astype(np.int64)
-            kept = ((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
+            kept = passed(bitmap, (gram >> U(64 - FILTER_BITS)).astype(np.int64))
             if not kept.any():
                 continue
             row, gram, at, start, n = row[kept], gram[kept], at[kept], start[kept], n[kept]
@@ -305,9 +304,21 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     # written, so that its size is known when the join with the texts is planned
     spans = saved(spans.select(F.col("doc_id").alias("cut_id"), F.col("uid").alias("cut_uid"), "cuts"), "cuts")
     row = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("cut row")
-    met = docs.select(row, F.col("doc_id").cast("long").alias("own id"), "text", F.xxhash64("text").alias("own uid")).join(
-        spans, F.col("own id").eqNullSafe(F.col("cut_id")) & (F.col("own uid") == F.col("cut_uid")), "left").select("cut row", "text", "cuts")
-    row_type = met.schema["cut row"].dataType.simpleString()
+    own_id, uid = F.col("doc_id").cast("long"), F.xxhash64("text")
+    keyed = docs.select(row, "text", own_id.alias("own id"), uid.alias("own uid"), text_key(own_id, uid).alias("at"))
+    row_type = keyed.schema["cut row"].dataType.simpleString()
+    # a filter of fixed size tells texts that may have cuts: only those are shuffled to meet them
+    cut_texts = text_filter(spans, "cut_id", "cut_uid")
+
+    def dealt(some: bool) -> DataFrame:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                here = passed(cut_texts.value, np.asarray(b.column(4))) == some
+                if here.any():
+                    yield b.select([0, 1, 2, 3]).filter(pa.array(here))
+        return keyed.mapInArrow(pick, f"`cut row` {row_type}, text string, `own id` long, `own uid` long")
+
+    met = dealt(True).join(spans, F.col("own id").eqNullSafe(F.col("cut_id")) & (F.col("own uid") == F.col("cut_uid")), "left").select("cut row", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -320,7 +331,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             stays = pa.array([not (c and not t) for c, t in zip(cuts, texts)])
             yield pa.RecordBatch.from_arrays([part.column(0).filter(stays), pa.array(texts, pa.string()).filter(stays)], names=["cut row", "text"])
 
-    out = met.mapInArrow(run, f"`cut row` {row_type}, text string")
+    out = met.mapInArrow(run, f"`cut row` {row_type}, text string").union(dealt(False).select("cut row", "text"))
     fresh = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
     return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`cut row`.`{c}`") for c in columns])
 
