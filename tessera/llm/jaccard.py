@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components, labels
-from tessera.llm.shared import saved, shuffle_parts
+from tessera.llm.shared import bounded_batches, saved, shuffle_parts
 from tessera.llm.vectors import U, Words, mix, shingles, slices
 
 PERCENT = 80
@@ -418,6 +418,7 @@ def _named(docs: DataFrame) -> DataFrame:
     component: (no_id, doc_id, uid), null for a text without words.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     order = spark.sparkContext.broadcast(global_order(docs))
     n_buckets = _buckets(spark)
     entries = _prefix_entries(docs, order, n_buckets)

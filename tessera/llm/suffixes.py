@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import saved, shuffle_parts
+from tessera.llm.shared import bounded_batches, saved, shuffle_parts
 from tessera.llm.jaccard import _buckets, _by_bucket, passed, text_filter, text_key
 from tessera.llm.vectors import BASE, U, Words, mix, rolling_hashes, slices
 
@@ -271,6 +271,7 @@ def repeated_passages(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     later ones. ``uid`` is xxhash64 of the text.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     suffixes = _suffixes(docs)
     order = ["key", "right", "left", "doc_id", "uid", "start"]
     ranged = suffixes.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
