@@ -94,8 +94,7 @@ def match_pattern(query: str, regex: bool) -> str:
 
 def _hits(lines: Column, pat: str) -> Column:
     """1-based numbers of matching lines (no outer array captured in the lambda)."""
-    numbered_lines = F.transform(lines, lambda x, i: F.struct((i + 1).alias("i"), x.alias("l")))
-    return F.transform(F.filter(numbered_lines, lambda x: x["l"].rlike(pat)), lambda x: x["i"])
+    return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pat), i + 1)), lambda i: i.isNotNull())
 
 
 def search_lines(files: DataFrame, query: str, regex: bool = False, ctx: int = 5,
@@ -155,7 +154,9 @@ def trimmed_hits(hits: DataFrame, query: str, regex: bool = False) -> DataFrame:
 
 def numbered(lines: Column, first: Column) -> Column:
     """Lines joined with a right-aligned 5-wide number gutter."""
-    return F.array_join(F.transform(lines, lambda x, i: F.format_string("%5d │ %s", first + i, x)), "\n")
+    def gutter(n: Column) -> Column:
+        return F.when(n < 100_000, F.lpad(n.cast("string"), 5, " ")).otherwise(n.cast("string"))
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(gutter(first + i), F.lit(" │ "), F.coalesce(x, F.lit("null")))), "\n")
 
 
 def trimmed_per_file(trimmed: DataFrame) -> DataFrame:

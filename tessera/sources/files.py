@@ -19,7 +19,8 @@ SNIFF_BYTES = 8192
 def split_lines(text: Column) -> Column:
     """Lines of a text: split on \\n or \\r\\n, exactly one trailing empty
     line dropped (so a 0-byte file has 0 lines); null text has 0 lines."""
-    arr = F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1)
+    # one plain character to split at needs no pattern
+    arr = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n", -1)
     return F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
 
 
