@@ -85,12 +85,26 @@ def _clean_text(text: Column, lex: str, rewrite) -> Column:
 
 
 def _balance(t: Column, opening: str, closing: str) -> Column:
-    """Opening minus closing characters of a line."""
-    return F.length(F.translate(t, closing, "")) - F.length(F.translate(t, opening, ""))
+    """Opening minus closing characters of a line (all ASCII, so bytes count them)."""
+    def left(chars: str) -> Column:
+        out = t
+        for c in chars:
+            out = F.replace(out, F.lit(c), F.lit(""))
+        return F.octet_length(out)
+    return left(closing) - left(opening)
+
+
+def _ltrim(t: Column) -> Column:
+    """Without the whitespace in front (plain spaces, the usual indent, in one go)."""
+    return F.ltrim(F.ltrim(t), F.lit(WS_CHARS))
+
+
+def _rtrim(t: Column) -> Column:
+    return F.rtrim(F.rtrim(t), F.lit(WS_CHARS))
 
 
 def _newlines(t: Column) -> Column:
-    return F.regexp_replace(t, r"[^\n]", "")
+    return F.when(t.contains("\n"), F.regexp_replace(t, r"[^\n]+", "")).otherwise(F.lit(""))
 
 
 def _py_rewrite(t: Column) -> Column:
@@ -127,10 +141,10 @@ def _python_facts(files: DataFrame) -> DataFrame:
         span = F.when(clean.contains(MASK_OPEN), F.regexp_extract(clean, "^.*" + MASK_OPEN + r"(\d+)" + MASK_CLOSE, 1))
         cls = F.when(raw.contains("class"), F.regexp_extract(raw, PY_CLASS, 2))
         dfn = F.when(raw.contains("def"), F.regexp_extract(raw, PY_DEF, 2))
-        body = F.ltrim(raw, F.lit(WS_CHARS))
+        body = _ltrim(raw)
         return F.struct(
             x["i"].alias("i"), F.coalesce(x["i"] + F.nullif(span, F.lit("")).cast("int"), F.lit(0)).alias("mask_end"), _balance(clean, "([{", ")]}").alias("delta"),
-            clean.contains(":").alias("colon"), (clean.contains(":") & (F.ltrim(F.substring_index(clean, ":", -1), F.lit(WS_CHARS)) != "")).alias("after_colon"),
+            clean.contains(":").alias("colon"), (clean.contains(":") & (_ltrim(F.substring_index(clean, ":", -1)) != "")).alias("after_colon"),
             (F.length(raw) - F.length(body)).alias("indent"), ((body != "") & ~body.startswith("#")).alias("is_code"),
             F.when(cls != "", F.lit("class")).when(dfn != "", F.lit("def")).alias("kind"), F.when(cls != "", cls).otherwise(dfn).alias("name"))
     return _lines(files, PY_LEX, _py_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
@@ -233,9 +247,11 @@ def _js_facts(files: DataFrame) -> DataFrame:
             for k, (pat, kind_k) in enumerate(JS_PATTERNS):
                 kind = F.when(w == k, F.lit(kind_k)).otherwise(kind)
                 name = F.when(w == k, F.regexp_extract(raw, pat, 1)).otherwise(name)
-            tail = F.right(F.translate(clean, WS_CHARS, ""), F.lit(2))
-            return F.struct(x["i"].alias("i"), _balance(clean, "{", "}").alias("delta"), clean.contains("{").alias("opens"), tail.endswith(";").alias("semi"),
-                            (tail == "=>").alias("arrow"), kind.alias("kind"), name.alias("name"))
+            # the last two characters that are not whitespace
+            arrow = F.when(clean.contains(">"), let(_rtrim(clean), lambda t: t.endswith(">") & _rtrim(F.substring(t, F.lit(1), F.length(t) - 1)).endswith("="))).otherwise(F.lit(False))
+            semi = clean.contains(";") & _rtrim(clean).endswith(";")
+            return F.struct(x["i"].alias("i"), _balance(clean, "{", "}").alias("delta"), clean.contains("{").alias("opens"), semi.alias("semi"),
+                            arrow.alias("arrow"), kind.alias("kind"), name.alias("name"))
         return let(which, named)
     return _lines(files, JS_LEX, _js_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
 
@@ -343,7 +359,7 @@ def outline_symbols(files: DataFrame) -> DataFrame:
 
 def outline_tree(files: DataFrame) -> DataFrame:
     """``nest_symbols`` of ``outline_symbols``, in the files' own rows: no shuffle."""
-    in_order = F.array_sort(F.transform("symbols", lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
+    in_order = F.sort_array(F.transform("symbols", lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
                                                                        s["kind"].alias("kind"), s["name"].alias("name"))))
     return _nested_rows(_arrays(files).select("file_id", in_order.alias("symbols")))
 
@@ -387,7 +403,7 @@ def nest_symbols(symbols: DataFrame) -> DataFrame:
     """parent = nearest earlier symbol whose [start, end] covers this
     start; depth is 1 for roots. ``outline_tree`` does the same in the files' own rows."""
     item = F.struct("start_line", "end_line", "kind", "name")
-    files = symbols.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("symbols"))
+    files = symbols.groupBy("file_id").agg(F.sort_array(F.collect_list(item)).alias("symbols"))
     return _nested_rows(files)
 
 

@@ -28,6 +28,24 @@ def test_sources_share_one_exchange_of_lineitems(spark, tmp_path):
         "export class Order2 {\n  line1(part: number): number {\n    return part * 1;\n  }\n}\n\nexport const total2 = (x: number) => x * 2;\n"]
 
 
+def test_line_facts_by_plain_searches(spark):
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("([{)]}=>; \t  xé:") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    rows += ["=>", "= >", "x =  >  ", ">", "=>;", "  \t x"]
+    x = F.col("x")
+    df = spark.createDataFrame([(r,) for r in rows], "x string")
+    plan = _plan(O._python_facts(df.select(F.lit(1).alias("file_id"), x.alias("text")))) + _plan(O._js_facts(df.select(F.lit(1).alias("file_id"), x.alias("text"))))
+    assert "translate(" not in plan  # one table look-up a character
+    got = df.select("x", O._balance(x, "([{", ")]}").alias("b"), O._ltrim(x).alias("l"), O._rtrim(x).alias("r"), O._newlines(F.concat(x, F.lit("\n"), x)).alias("n")).collect()
+    for r in got:
+        t = r["x"]
+        assert r["b"] == sum(c in "([{" for c in t) - sum(c in ")]}" for c in t)
+        assert (r["l"], r["r"], r["n"]) == (t.lstrip(WS_CHARS), t.rstrip(WS_CHARS), "\n")
+    facts = O._js_facts(df.select(F.monotonically_increasing_id().alias("file_id"), x.alias("text"))).where(F.size("facts") > 0)
+    seen = {(f["arrow"], f["semi"]) for r in facts.collect() for f in r["facts"]}
+    assert {(True, False), (False, True), (False, False)} == seen
+
+
 def test_lines_and_gutters(spark):
     texts = ["", "a", "a\n", "a\r\nb", "a\r\r\nb\r", "\r\n\n\r", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(split_lines(F.col("t")).alias("l"))
