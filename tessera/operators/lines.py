@@ -204,10 +204,13 @@ def file_notes(files: DataFrame, symbol_counts: DataFrame) -> DataFrame:
 
 
 def language_coverage(files: DataFrame, symbol_counts: DataFrame) -> DataFrame:
-    """``file_notes`` rolled up by language."""
-    return file_notes(files, symbol_counts).groupBy("language").agg(
-        F.count("*").cast("int").alias("n_files"),
-        F.count_if("scanned").cast("int").alias("n_scanned"),
+    """``file_notes`` rolled up by language, first by language and note: the
+    largest note among single files would have Spark sort every file."""
+    notes = file_notes(files, symbol_counts).groupBy("language", "note").agg(
+        F.count("*").alias("n_files"), F.count_if("scanned").alias("n_scanned"), F.sum("n_symbols").alias("n_symbols"))
+    return notes.groupBy("language").agg(
+        F.sum("n_files").cast("int").alias("n_files"),
+        F.sum("n_scanned").cast("int").alias("n_scanned"),
         F.sum("n_symbols").cast("long").alias("n_symbols"),
-        F.count_if(F.col("note").isNotNull()).cast("int").alias("n_noted"),
+        F.coalesce(F.sum(F.when(F.col("note").isNotNull(), F.col("n_files"))), F.lit(0)).cast("int").alias("n_noted"),
         F.max("note").alias("note"))

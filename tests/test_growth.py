@@ -15,6 +15,18 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_language_coverage_sorts_no_files(spark):
+    files = spark.createDataFrame([(1, "a.py"), (2, "b.go"), (3, "c.go"), (4, "d.xyz"), (5, "e"), (6, "f.xyz")], "file_id long, path string")
+    files = LN.files_from_text(files.withColumn("text", F.lit("x")), "file_id", "path", "text")
+    counts = spark.createDataFrame([(1, 3), (3, 2), (6, 1)], "file_id long, n_symbols int")
+    out = LN.language_coverage(files, counts)
+    grouping = _plan(out).partition("Join")[0]
+    # strings can't be kept as a running largest value: only the few rows by language and note are sorted
+    assert grouping.count("SortAggregate") == 2 and grouping.count("HashAggregate") - grouping.count("ObjectHashAggregate") == 2
+    got = {r["language"]: tuple(r)[1:] for r in out.collect()}
+    assert got == {"Python": (1, 1, 3, 0, None), "Go": (2, 0, 2, 1, "unscanned"), "text": (3, 0, 1, 2, "unrecognised")}
+
+
 def test_sources_share_one_exchange_of_lineitems(spark, tmp_path):
     spark.createDataFrame([(1, 7), (2, None), (None, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, 2, 5, 1), (1, 1, 6, 1), (1, 1, 6, 1), (2, 1, None, 1), (None, 1, 1, 1)],
