@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
-Every match of the split pattern is encoded on its own. The bytes of a match
+Every match of the split pattern is encoded on its own. A match of up to ``SHORT``
+bytes keeps the ranks of its neighbouring pairs in a list, whose smallest entry is
+merged until none is left. For a longer one, the bytes of the match
 start as one node each; a segment tree over the byte positions holds the rank
 of the pair that starts at each live node, and its root names the leftmost
 pair of minimum rank. A merge touches the merged node and its live neighbour
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 
 #: Entries kept in a task's table of encoded matches, and the longest match kept.
 MEMO, MEMO_CHARS = 400_000, 64
+#: Bytes of the longest match merged in a plain list.
+SHORT = 64
 NONE = 1 << 60
 
 
@@ -39,12 +44,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _encode_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Node k of the match goes from ``at[k]`` to ``at[k + 1]``; ``rank[k]`` is the rank of nodes k and k + 1 as one."""
+    known = ranks.get
+    at = list(range(len(piece) + 1))
+    rank = [known(piece[i:i + 2], NONE) for i in range(len(piece) - 1)]
+    while rank and (least := min(rank)) != NONE:
+        i = rank.index(least)  # the leftmost
+        del rank[i], at[i + 1]
+        if i < len(rank):
+            rank[i] = known(piece[at[i]:at[i + 2]], NONE)
+        if i:
+            rank[i - 1] = known(piece[at[i - 1]:at[i + 1]], NONE)
+    return [ranks[piece[a:b]] for a, b in zip(at, at[1:])]
+
+
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one match by repeatedly merging the leftmost pair of lowest rank."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n <= SHORT:
+        return _encode_short(piece, ranks)
     size = 1
     while size < n:
         size *= 2
@@ -102,11 +124,14 @@ class Codec:
         import regex
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.piece = {v: k for k, v in ranks.items()}
+        self.pieces = np.empty(max(ranks.values(), default=-1) + 1, dtype=object)
+        for piece, rank in ranks.items():
+            self.pieces[rank] = piece
         self.memo: dict[str, bytes] = {}
 
     def _packed(self, match: str) -> bytes:
-        ids = np.array(encode_piece(match.encode("utf-8"), self.ranks), dtype="<u4").tobytes()
+        found = encode_piece(match.encode("utf-8"), self.ranks)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(match) <= MEMO_CHARS:
             self.memo[match] = ids
         return ids
@@ -119,7 +144,7 @@ class Codec:
         return b"".join([known(m) or self._packed(m) for m in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.piece.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b"".join(self.pieces[np.frombuffer(ids, dtype="<u4")].tolist())
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None,

@@ -27,6 +27,14 @@ def test_encoding_equals_tiktoken_on_awkward_rows(spark):
     assert bpe.encode_documents(empty(spark), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN).count() == 0
 
 
+def test_short_and_long_matches_merge_alike(monkeypatch):
+    words = [(x * n)[:n].encode() for x in ("the", "aab", "é ", "x0\n", "zqzqj") for n in (1, 2, 7, bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1, 200)]
+    got = [bpe.encode_piece(w, RANKS) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert got == [bpe.encode_piece(w, RANKS) for w in words]
+    assert all(b"".join(bpe.Codec(RANKS, vocab.PATTERN).pieces[g].tolist()) == w for g, w in zip(got, words))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60))
 def test_encoding_equals_tiktoken_on_any_text(text):
