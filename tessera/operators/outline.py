@@ -4,39 +4,44 @@ nesting (O21), listing (O22), depth cut (O23), symbol fetch (O24) and
 accuracy against a truth table (O25).
 
 Plan shape. A file's text never leaves its row. One lexing regex per file
-rewrites comments and strings into a "clean" text with the same line breaks;
-each line becomes a few numbers and flags (bracket change, indent, last
-characters); and one fold over a file's lines keeps a stack of the blocks that are
-still open. Its largest indent (or bracket depth) is a number of the state, so a
-line that opens, settles and ends nothing costs a few comparisons; any other looks
-at the open blocks. Finished blocks leave the state with their chunk of lines.
-The work is linear in lines, plus events times nesting depth. Nesting, likewise,
-folds a file's symbols in line order over the stack of symbols that may still
-cover the next one.
+rewrites comments and strings into a "clean" text with the same line breaks, and
+a small fold in an Arrow task (``functions.blocks``) passes over a file's lines
+once with a stack of the blocks that are still open. The work is linear in lines,
+plus events times nesting depth. Nesting, likewise, folds a file's symbols in line
+order over the stack of symbols that may still cover the next one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate, chain
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import blocks
+from tessera.functions.blocks import brace_blocks, compiled, indent_blocks
 from tessera.functions.folds import fold_chunks, none_of
 from tessera.functions.text import WS, WS_CHARS, js_trim, let
 from tessera.operators.lines import numbered
 from tessera.sources.files import split_lines
 
+cloudpickle.register_pickle_by_value(blocks)  # executors need not have this package
+
 # --- fixed values --------------------------------------------------------
 W = "[A-Za-z0-9_]"
-PY_LEX = (r"#[^\n]*+"
+PY_LEX = (r"""(?=["'#])(?:#[^\n]*+"""
           r'|"""(?s:.*?)(?:"""|\z)'
           r"|'''(?s:.*?)(?:'''|\z)"
           r'|"(?:[^"\\\n]++|\\.)*+"?'
-          r"|'(?:[^'\\\n]++|\\.)*+'?")
-JS_LEX = (r"//[^\n]*+"
+          r"|'(?:[^'\\\n]++|\\.)*+'?)")
+JS_LEX = (r"""(?=[/"'`])(?://[^\n]*+"""
           r"|/\*(?s:.*?)(?:\*/|\z)"
           r'|"(?:[^"\\\n]++|\\.)*+"?'
           r"|'(?:[^'\\\n]++|\\.)*+'?"
-          r"|`(?:[^`\\\n]++|\\.)*+`?")
+          r"|`(?:[^`\\\n]++|\\.)*+`?)")
 PY_CLASS = r"^(" + WS + r"*)class" + WS + r"+(" + W + r"+)"
 PY_DEF = r"^(" + WS + r"*)(?:async" + WS + r"+)?def" + WS + r"+(" + W + r"+)"
 # JavaScript / TypeScript line patterns, tried in this order; first wins.
@@ -60,6 +65,7 @@ MD_HEADING = r"^(#{1,3})" + WS + r"+(.+)"
 MASK_OPEN = "\u0001"
 MASK_CLOSE = "\u0002"
 SHOW_CANDIDATES = 20
+FOLD_ROWS = 1024
 # -------------------------------------------------------------------------
 
 def _rows(files: DataFrame, symbols: str) -> DataFrame:
@@ -77,11 +83,12 @@ def _symbol(kind: Column, name: Column, start: Column, end: Column) -> Column:
 
 
 def _clean_text(text: Column, lex: str, rewrite) -> Column:
-    """Text with every lexed token rewritten (line breaks kept)."""
+    """Text with every lexed token rewritten (line breaks kept). A token begins with one of a
+    few characters; most of a text is passed by with one look at each."""
     gaps = F.split(text, lex, -1)
     toks = F.regexp_extract_all(text, F.lit(lex), 0)
     new = F.concat(F.transform(toks, rewrite), F.array(F.lit("")))
-    return F.array_join(F.zip_with(gaps, new, lambda g, t: F.concat(g, t)), "")
+    return F.when(text.rlike(lex[:lex.index(")") + 1]), F.array_join(F.zip_with(gaps, new, lambda g, t: F.concat(g, t)), "")).otherwise(text)
 
 
 def _balance(t: Column, opening: str, closing: str) -> Column:
@@ -132,6 +139,25 @@ def _lines(files: DataFrame, lex: str, rewrite) -> DataFrame:
     return f.select("file_id", F.size("raw").cast("int").alias("total_lines"), F.transform(zipped, line).alias("lines"))
 
 
+def _folded(files: DataFrame, lex: str, rewrite, fold) -> DataFrame:
+    """(file_id, symbols): ``fold(text, clean text)`` of each file."""
+    text = F.make_valid_utf8(F.coalesce(F.col("text"), F.lit("")))
+    f = files.select("file_id", text.alias("text")).select("file_id", "text", _clean_text(F.col("text"), lex, rewrite).alias("clean"))
+    fields = ["kind", "name", "start_line", "end_line"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FOLD_ROWS):
+                b = batch.slice(at, FOLD_ROWS)
+                found = [fold(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                columns = list(zip(*chain.from_iterable(found))) or [[]] * len(fields)
+                rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=fields)
+                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, rows)], names=["file_id", "symbols"])
+    return f.mapInArrow(run, f"file_id {files.schema['file_id'].dataType.simpleString()}, symbols array<{SYMBOL}>")
+
+
 # ----------------------------------------------------------------- Python
 
 def _python_facts(files: DataFrame) -> DataFrame:
@@ -150,60 +176,6 @@ def _python_facts(files: DataFrame) -> DataFrame:
     return _lines(files, PY_LEX, _py_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
 
 
-#: A header whose signature has not ended (bracket depth before it); an open block (header indent, last line of the signature).
-_PY_HEAD = "struct<kind:string,name:string,st:int,indent:int,depth:int>"
-_PY_OPEN = "struct<kind:string,name:string,st:int,indent:int,sig:int>"
-_LEAST = -(2**31)
-
-
-def _python_fold(facts: Column, total: Column) -> Column:
-    def state(mask_end, depth, last, top, wait, heads, open_, done) -> Column:
-        return F.struct(mask_end.cast("int").alias("mask_end"), depth.cast("int").alias("depth"), last.cast("int").alias("last"), top.cast("int").alias("top"),
-                        wait.cast("int").alias("wait"), heads.alias("heads"), open_.alias("open_"), done.alias("done"))
-
-    def opened(s: Column, sig: Column) -> Column:
-        return F.struct(s["kind"].alias("kind"), s["name"].alias("name"), s["st"].alias("st"), s["indent"].alias("indent"), sig.cast("int").alias("sig"))
-
-    def ended(s: Column, last: Column) -> Column:
-        # the body ends with its last code or string line, at least with the signature
-        return _symbol(s["kind"], s["name"], s["st"], F.greatest(s["sig"], F.coalesce(last, s["sig"])))
-
-    def step(acc: Column, x: Column) -> Column:
-        i, masked, depth = x["i"], acc["mask_end"] >= x["i"], acc["depth"] + x["delta"]
-        numbers = (F.greatest(acc["mask_end"], x["mask_end"]), depth, F.when(x["is_code"] | masked, i).otherwise(acc["last"]))
-        header = x["kind"].isNotNull() & ~masked
-        # a code line ends the blocks whose headers are indented as far as it, or further
-        ends = x["is_code"] & ~masked & (x["indent"] <= acc["top"])
-        # a ':' ends the signatures whose brackets are closed
-        settles = x["colon"] & (depth <= acc["wait"])
-
-        def event() -> Column:
-            own = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), x["indent"].alias("indent"), acc["depth"].alias("depth"))
-            heads = F.when(header, F.concat(acc["heads"], F.array(own).cast(f"array<{_PY_HEAD}>"))).otherwise(acc["heads"])
-            open_ = F.when(ends, F.filter(acc["open_"], lambda s: s["indent"] < x["indent"])).otherwise(acc["open_"])
-            done = F.when(ends, F.concat(acc["done"], F.transform(F.filter(acc["open_"], lambda s: s["indent"] >= x["indent"]), lambda s: ended(s, acc["last"])))).otherwise(acc["done"])
-
-            def settle(h: Column) -> Column:
-                ready = F.filter(h, lambda s: x["colon"] & (depth <= s["depth"]))
-                left = F.filter(h, lambda s: ~(x["colon"] & (depth <= s["depth"])))
-                # a statement behind the ':' makes the block one line
-                grown = F.when(x["after_colon"], open_).otherwise(F.concat(open_, F.transform(ready, lambda s: opened(s, i))))
-                over = F.when(x["after_colon"], F.concat(done, F.transform(ready, lambda s: _symbol(s["kind"], s["name"], s["st"], i)))).otherwise(done)
-                return let(F.struct(left.alias("left"), grown.alias("grown")), lambda v: state(
-                    *numbers, F.coalesce(F.array_max(F.transform(v["grown"], lambda s: s["indent"])), F.lit(-1)),
-                    F.coalesce(F.array_max(F.transform(v["left"], lambda s: s["depth"])), F.lit(_LEAST)), v["left"], v["grown"], over))
-            return let(heads, settle)
-
-        return F.when(header | ends | settles, event()).otherwise(state(*numbers, acc["top"], acc["wait"], acc["heads"], acc["open_"], acc["done"]))
-
-    def finish(acc: Column) -> Column:
-        without = F.transform(acc["heads"], lambda s: _symbol(s["kind"], s["name"], s["st"], total))
-        return F.concat(acc["done"], F.transform(acc["open_"], lambda s: ended(s, acc["last"])), without)
-
-    zero = {"mask_end": F.lit(0), "depth": F.lit(0), "last": F.lit(None), "top": F.lit(-1), "wait": F.lit(_LEAST), "heads": none_of(_PY_HEAD), "open_": none_of(_PY_OPEN), "done": none_of(SYMBOL)}
-    return let(fold_chunks(facts, state, zero, step, SYMBOL), finish)
-
-
 def python_symbols(files: DataFrame) -> DataFrame:
     """O15 + O19: class/def symbols outside triple-quoted strings with their
     last body line: signature end by bracket depth and last ':', one-liners
@@ -213,7 +185,8 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
 
 def _python_arrays(files: DataFrame) -> DataFrame:
-    return _python_facts(files).select("file_id", _python_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
+    headers = [("class", compiled(PY_CLASS), 2), ("def", compiled(PY_DEF), 2)]
+    return _folded(files, PY_LEX, _py_rewrite, lambda text, clean: indent_blocks(text, clean, headers))
 
 
 def docstring_mask(files: DataFrame) -> DataFrame:
@@ -256,50 +229,6 @@ def _js_facts(files: DataFrame) -> DataFrame:
     return _lines(files, JS_LEX, _js_rewrite).select("file_id", "total_lines", F.transform("lines", fact).alias("facts"))
 
 
-#: A block with the brace depth before its header.
-_JS_OPEN = "struct<kind:string,name:string,st:int,depth:int>"
-
-
-def _js_fold(facts: Column, total: Column) -> Column:
-    def state(depth, top, waiting, open_, done) -> Column:
-        return F.struct(depth.cast("int").alias("depth"), top.cast("int").alias("top"), waiting.alias("waiting"), open_.alias("open_"), done.alias("done"))
-
-    def to(s: Column, end: Column) -> Column:
-        return _symbol(s["kind"], s["name"], s["st"], end)
-
-    def step(acc: Column, x: Column) -> Column:
-        i, depth, header = x["i"], acc["depth"] + x["delta"], x["kind"].isNotNull()
-        # blocks end where the braces are back at their header's depth, but not behind '=>'
-        ends = (depth <= acc["top"]) & ~x["arrow"]
-
-        def event() -> Column:
-            own = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), i.alias("st"), acc["depth"].alias("depth"))
-            # headers without a brace so far: JS_LOOKAHEAD lines at most
-            heads = F.when(header, F.concat(acc["waiting"], F.array(own).cast(f"array<{_JS_OPEN}>"))).otherwise(acc["waiting"])
-
-            def settle(h: Column) -> Column:
-                near = lambda s: i <= s["st"] + JS_LOOKAHEAD
-                starts = lambda s: x["opens"] & near(s)
-                # an expression ends at ';'; without a brace the block is its header
-                given_up = lambda s: F.when(~x["opens"] & x["semi"] & (depth <= s["depth"]) & near(s), i).when(x["opens"] | (i >= s["st"] + JS_LOOKAHEAD), s["st"])
-                still = F.filter(h, lambda s: ~starts(s) & given_up(s).isNull())
-                over = F.transform(F.filter(h, lambda s: ~starts(s) & given_up(s).isNotNull()), lambda s: to(s, given_up(s)))
-                grown = F.concat(acc["open_"], F.filter(h, starts))
-                closes = lambda s: (depth <= s["depth"]) & ~x["arrow"]
-                return let(grown, lambda g: let(F.filter(g, lambda s: ~closes(s)), lambda left: state(
-                    depth, F.coalesce(F.array_max(F.transform(left, lambda s: s["depth"])), F.lit(_LEAST)), still, left,
-                    F.concat(acc["done"], over, F.transform(F.filter(g, closes), lambda s: to(s, i))))))
-            return let(heads, settle)
-
-        return F.when(header | ends | (F.size(acc["waiting"]) > 0), event()).otherwise(state(depth, acc["top"], acc["waiting"], acc["open_"], acc["done"]))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["done"], F.transform(acc["open_"], lambda s: to(s, total)), F.transform(acc["waiting"], lambda s: to(s, s["st"])))
-
-    zero = {"depth": F.lit(0), "top": F.lit(_LEAST), "waiting": none_of(_JS_OPEN), "open_": none_of(_JS_OPEN), "done": none_of(SYMBOL)}
-    return let(fold_chunks(facts, state, zero, step, SYMBOL), finish)
-
-
 def js_symbols(files: DataFrame) -> DataFrame:
     """O16 + O20: symbols by the six line patterns, with brace-block ends
     (strings and comments ignored, settled only at line ends, never on a
@@ -309,7 +238,8 @@ def js_symbols(files: DataFrame) -> DataFrame:
 
 
 def _js_arrays(files: DataFrame) -> DataFrame:
-    return _js_facts(files).select("file_id", _js_fold(F.col("facts"), F.col("total_lines")).alias("symbols"))
+    headers = [(kind, compiled(pattern), hints[0], hints[-1]) for (pattern, kind), hints in zip(JS_PATTERNS, _JS_HINTS)]
+    return _folded(files, JS_LEX, _js_rewrite, lambda text, clean: brace_blocks(text, clean, headers, JS_LOOKAHEAD))
 
 
 # ----------------------------------------------------------------- Markdown

@@ -66,3 +66,25 @@ def test_lines_and_gutters(spark):
     out = spark.range(1).select(LN.numbered(F.array(F.lit("x"), F.lit(None), F.lit("é")), F.lit(99_998)).alias("n"))
     assert "format_string" not in _plan(out)
     assert out.first()["n"] == "99998 │ x\n99999 │ null\n100000 │ é"
+
+
+def test_sources_are_spread_over_the_sessions_parts(spark, tmp_path):
+    spark.range(1, 400).selectExpr("id o_orderkey", "id o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, 800).selectExpr("1 + id % 300 l_orderkey", "1 + int(id / 300) l_linenumber", "id l_partkey", "id l_suppkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (synth_python(spark, str(tmp_path)), synth_typescript(spark, str(tmp_path))):
+        rows = df.select(F.length("text"), F.spark_partition_id().alias("p")).collect()
+        assert len(rows) == 399 and len({r["p"] for r in rows}) == parts  # one part before
+
+
+def test_blocks_are_folded_once_a_file(spark):
+    files = spark.createDataFrame([
+        (1, "class A:\n    def f(self,\n          x):\n        return '''\nclass B:\n'''\n\n    # note\ndef g(): pass\nasync def h("), (2, None), (2, "x = 1"),
+        (3, "\r\nclass\u2003C:\r\n\u00a0\tdef k(a):\r\n\u00a0\t  '''a'''\r\n")], "file_id long, text string")
+    plan = _plan(O.python_symbols(files)) + _plan(O.js_symbols(files))
+    assert "aggregate(" not in plan and plan.count("MapInArrow") == 2  # an interpreted fold looked at every line before
+    got = sorted(tuple(r) for r in O.python_symbols(files).collect())
+    assert got == [(1, "class", "A", 1, 6), (1, "def", "f", 2, 6), (1, "def", "g", 9, 9), (1, "def", "h", 10, 10), (3, "class", "C", 2, 4), (3, "def", "k", 3, 4)]
+    js = spark.createDataFrame([(1, "export class A {\n  m(a) {\n    return a;\n  }\n}\nconst f = (x) =>\n  x + 1;\nconst g = (x) => {\n} =>\n;\nfunction h()\n// {\n")], "file_id long, text string")
+    assert sorted(tuple(r) for r in O.js_symbols(js).collect()) == [
+        (1, "arrow fn", "f", 6, 7), (1, "arrow fn", "g", 8, 10), (1, "class", "A", 1, 5), (1, "function", "h", 11, 11), (1, "method", "m", 2, 4)]
