@@ -3,26 +3,28 @@ and Markdown (O17) files, docstring mask (O18), block ends (O19, O20),
 nesting (O21), listing (O22), depth cut (O23), symbol fetch (O24) and
 accuracy against a truth table (O25).
 
-Plan shape. A file's text never leaves its row. One lexing regex per file
+Plan shape. No file's text is exchanged. In an Arrow task one lexing regex per file
 rewrites comments and strings into a "clean" text with the same line breaks, and
-a small fold in an Arrow task (``functions.blocks``) passes over a file's lines
+a small fold (``functions.blocks``) passes over a file's lines
 once with a stack of the blocks that are still open. The work is linear in lines,
 plus events times nesting depth. Nesting, likewise, folds a file's symbols in line
-order over the stack of symbols that may still cover the next one.
+order over the stack of symbols that may still cover the next one. A task's rows are
+the symbols themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import blocks
-from tessera.functions.blocks import brace_blocks, compiled, indent_blocks
+from tessera.functions.blocks import TYPES, brace_blocks, compiled, indent_blocks, js_token, lexer, nested, python_token, symbol_rows
 from tessera.functions.folds import fold_chunks, none_of
 from tessera.functions.text import WS, WS_CHARS, js_trim, let
 from tessera.operators.lines import numbered
@@ -139,23 +141,26 @@ def _lines(files: DataFrame, lex: str, rewrite) -> DataFrame:
     return f.select("file_id", F.size("raw").cast("int").alias("total_lines"), F.transform(zipped, line).alias("lines"))
 
 
-def _folded(files: DataFrame, lex: str, rewrite, fold) -> DataFrame:
-    """(file_id, symbols): ``fold(text, clean text)`` of each file."""
-    text = F.make_valid_utf8(F.coalesce(F.col("text"), F.lit("")))
-    f = files.select("file_id", text.alias("text")).select("file_id", "text", _clean_text(F.col("text"), lex, rewrite).alias("clean"))
-    fields = ["kind", "name", "start_line", "end_line"]
-    types = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+def _schema(files: DataFrame, width: int) -> str:
+    """Of ``symbol_rows``."""
+    fields = [f"{n} {'string' if t == pa.string() else 'int'}" for n, t in TYPES.items()]
+    return ", ".join([f"file_id {files.schema['file_id'].dataType.simpleString()}", *fields[:width]])
+
+
+def _folded(files: DataFrame, blocks_of: Callable[[str], list[tuple]], nest: bool = False) -> DataFrame:
+    """One row a symbol that ``blocks_of`` finds in a file's text; with ``nest`` in line order, with depth and parent."""
+    width = 6 if nest else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, FOLD_ROWS):
                 b = batch.slice(at, FOLD_ROWS)
-                found = [fold(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-                columns = list(zip(*chain.from_iterable(found))) or [[]] * len(fields)
-                rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=fields)
-                ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, rows)], names=["file_id", "symbols"])
-    return f.mapInArrow(run, f"file_id {files.schema['file_id'].dataType.simpleString()}, symbols array<{SYMBOL}>")
+                found = [blocks_of(t) for t in b.column(1).to_pylist()]
+                if nest:
+                    found = [nested(sorted(f, key=lambda s: (s[2], s[3], s[0], s[1]))) for f in found]
+                yield symbol_rows(b.column(0), found, width)
+    text = F.make_valid_utf8(F.coalesce(F.col("text"), F.lit("")))
+    return files.select("file_id", text.alias("text")).mapInArrow(run, _schema(files, width))
 
 
 # ----------------------------------------------------------------- Python
@@ -181,12 +186,13 @@ def python_symbols(files: DataFrame) -> DataFrame:
     last body line: signature end by bracket depth and last ':', one-liners
     end on their header, the body is the lines indented past the header
     (blank and comment lines neutral, string lines in the body)."""
-    return _rows(_python_arrays(files), "symbols")
+    return _folded(files, _python_blocks())
 
 
-def _python_arrays(files: DataFrame) -> DataFrame:
+def _python_blocks() -> Callable[[str], list[tuple]]:
     headers = [("class", compiled(PY_CLASS), 2), ("def", compiled(PY_DEF), 2)]
-    return _folded(files, PY_LEX, _py_rewrite, lambda text, clean: indent_blocks(text, clean, headers))
+    lex = lexer(PY_LEX)
+    return lambda text: indent_blocks(text, lex.sub(python_token, text), headers)
 
 
 def docstring_mask(files: DataFrame) -> DataFrame:
@@ -234,12 +240,13 @@ def js_symbols(files: DataFrame) -> DataFrame:
     (strings and comments ignored, settled only at line ends, never on a
     line ending in '=>', expression arrows end at ';', no '{' within 20
     lines -> the header line)."""
-    return _rows(_js_arrays(files), "symbols")
+    return _folded(files, _js_blocks())
 
 
-def _js_arrays(files: DataFrame) -> DataFrame:
+def _js_blocks() -> Callable[[str], list[tuple]]:
     headers = [(kind, compiled(pattern), hints[0], hints[-1]) for (pattern, kind), hints in zip(JS_PATTERNS, _JS_HINTS)]
-    return _folded(files, JS_LEX, _js_rewrite, lambda text, clean: brace_blocks(text, clean, headers, JS_LOOKAHEAD))
+    lex = lexer(JS_LEX)
+    return lambda text: brace_blocks(text, lex.sub(js_token, text), headers, JS_LOOKAHEAD)
 
 
 # ----------------------------------------------------------------- Markdown
@@ -273,60 +280,26 @@ def _markdown_arrays(files: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- all languages
 
-def _arrays(files: DataFrame) -> DataFrame:
-    """(file_id, symbols) of every scanned file."""
-    py = _python_arrays(files.where(F.col("language") == "Python"))
-    js = _js_arrays(files.where(F.col("language").isin("JavaScript", "TypeScript")))
-    md = _markdown_arrays(files.where(F.col("language") == "Markdown"))
-    return py.unionByName(js).unionByName(md)
+def _by_scanner(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The files of each scanner: Python, JavaScript and TypeScript, Markdown."""
+    language = F.col("language")
+    return files.where(language == "Python"), files.where(language.isin("JavaScript", "TypeScript")), files.where(language == "Markdown")
 
 
 def outline_symbols(files: DataFrame) -> DataFrame:
     """Flat symbols of every scanned file: (file_id, kind, name, start_line,
     end_line). ``files`` has file_id, language and text."""
-    return _rows(_arrays(files), "symbols")
+    py, js, md = _by_scanner(files)
+    return python_symbols(py).unionByName(js_symbols(js)).unionByName(markdown_symbols(md))
 
 
 def outline_tree(files: DataFrame) -> DataFrame:
     """``nest_symbols`` of ``outline_symbols``, in the files' own rows: no shuffle."""
+    py, js, md = _by_scanner(files)
     in_order = F.sort_array(F.transform("symbols", lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"),
                                                                        s["kind"].alias("kind"), s["name"].alias("name"))))
-    return _nested_rows(_arrays(files).select("file_id", in_order.alias("symbols")))
-
-
-_STACK = "struct<st:int,end:int,depth:int>"
-_NEVER = 2**31 - 1
-_NESTED = "struct<kind:string,name:string,start_line:int,end_line:int,depth:int,parent_start:int>"
-
-
-def nested_array(symbols: Column) -> Column:
-    """The symbols of one file (an array), each with its depth and its parent's first line.
-
-    They are folded in line order over the stack of earlier ones: those that end
-    before a symbol's line can't cover it or any later one, so what is on top after
-    dropping them is the parent, whether or not ranges cross. ``low`` is the smallest
-    end on the stack: nothing is dropped before that line is passed."""
-    def state(low, stack, done) -> Column:
-        return F.struct(low.cast("int").alias("low"), stack.alias("stack"), done.alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        left = lambda: F.filter(acc["stack"], lambda p: p["end"] >= x["start_line"])
-        fewer = let(left(), lambda s: F.struct(s.alias("stack"), F.coalesce(F.array_min(F.transform(s, lambda p: p["end"])), F.lit(_NEVER)).alias("low")))
-        now = F.when(x["start_line"] > acc["low"], fewer).otherwise(F.struct(acc["stack"].alias("stack"), acc["low"].alias("low")))
-        return let(now, lambda n: placed(n["low"], n["stack"], acc["done"], x))
-
-    def placed(low: Column, stack: Column, done: Column, x: Column) -> Column:
-        top = F.get(stack, F.size(stack) - 1)
-        depth = F.coalesce(top["depth"], F.lit(0)) + 1
-        row = F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"),
-                       depth.alias("depth"), top["st"].alias("parent_start"))
-        own = F.struct(x["start_line"].alias("st"), x["end_line"].alias("end"), depth.alias("depth"))
-        covers = F.coalesce(x["end_line"] > x["start_line"], F.lit(False))
-        grown = F.when(covers, F.concat(stack, F.array(own).cast(f"array<{_STACK}>"))).otherwise(stack)
-        return state(F.when(covers, F.least(low, x["end_line"])).otherwise(low), grown, F.concat(done, F.array(row).cast(f"array<{_NESTED}>")))
-
-    zero = {"low": F.lit(_NEVER), "stack": none_of(_STACK), "done": none_of(_NESTED)}
-    return fold_chunks(symbols, state, zero, step, _NESTED)["done"]
+    headings = _nested_rows(_markdown_arrays(md).select("file_id", in_order.alias("symbols")))
+    return _folded(py, _python_blocks(), nest=True).unionByName(_folded(js, _js_blocks(), nest=True)).unionByName(headings)
 
 
 def nest_symbols(symbols: DataFrame) -> DataFrame:
@@ -339,8 +312,16 @@ def nest_symbols(symbols: DataFrame) -> DataFrame:
 
 def _nested_rows(files: DataFrame) -> DataFrame:
     """One row a symbol from (file_id, symbols in order)."""
-    folded = files.select("file_id", nested_array(F.col("symbols")).alias("nested"))
-    return folded.select("file_id", F.explode_outer("nested").alias("s")).where("s is not null").select("file_id", "s.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FOLD_ROWS):
+                b = batch.slice(at, FOLD_ROWS)
+                start, end, kind, name = (c.to_pylist() for c in b.column(1).flatten().flatten())
+                rows = list(zip(kind, name, start, end))
+                ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+                yield symbol_rows(b.column(0), [nested(rows[i:j]) for i, j in zip([0, *ends[:-1]], ends)], 6)
+    symbols = F.col("symbols").cast("array<struct<start_line:int,end_line:int,kind:string,name:string>>")
+    return files.select("file_id", symbols.alias("symbols")).mapInArrow(run, _schema(files, 6))
 
 
 def outline_listing(nested: DataFrame, max_rows: int = 200, offset: int = 0) -> DataFrame:

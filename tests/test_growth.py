@@ -88,3 +88,25 @@ def test_blocks_are_folded_once_a_file(spark):
     js = spark.createDataFrame([(1, "export class A {\n  m(a) {\n    return a;\n  }\n}\nconst f = (x) =>\n  x + 1;\nconst g = (x) => {\n} =>\n;\nfunction h()\n// {\n")], "file_id long, text string")
     assert sorted(tuple(r) for r in O.js_symbols(js).collect()) == [
         (1, "arrow fn", "f", 6, 7), (1, "arrow fn", "g", 8, 10), (1, "class", "A", 1, 5), (1, "function", "h", 11, 11), (1, "method", "m", 2, 4)]
+
+
+def test_texts_are_lexed_and_nested_in_the_task_that_folds_them(spark):
+    files = spark.createDataFrame([
+        (1, "Python", "def f(a='):', # (\n      b=\"(\"):\n  '''x\nclass N:\n  '''\n  def g(): pass\nclass C: pass"),
+        (2, "TypeScript", "class A {\n  m(a) { // }\n    let b = '}' + \"\\\"}\" + `}`; /* }\n} */\n  }\n}\n"),
+        (3, "Markdown", "# a\n## b"), (None, "Python", "class A:\n  def f(): 1"), (4, "Python", None)], "file_id long, language string, text string")
+    flat, tree = O.outline_symbols(files), O.outline_tree(files)
+    plan = _plan(O.python_symbols(files)) + _plan(O.js_symbols(files))
+    assert "regexp_extract_all(" not in plan and "zip_with(" not in plan  # before, each text was lexed in two passes and sent twice
+    want = {(1, "def", "f", 1, 6, 1, None), (1, "def", "g", 6, 6, 2, 1), (1, "class", "C", 7, 7, 1, None), (2, "class", "A", 1, 6, 1, None), (2, "method", "m", 2, 5, 2, 1),
+            (3, "h1", "a", 1, None, 1, None), (3, "h2", "b", 2, None, 1, None), (None, "class", "A", 1, 2, 1, None), (None, "def", "f", 2, 2, 2, 1)}
+    assert {tuple(r) for r in tree.collect()} == want == {tuple(r) for r in O.nest_symbols(flat).collect()}
+    assert {tuple(r) for r in flat.collect()} == {w[:5] for w in want}
+
+
+def test_nesting_keeps_odd_symbols(spark):
+    rows = [(1, "a", None, None, 5), (1, "b", "x", 1, 9), (1, "c", "y", 2, None), (1, "d", "z", 3, 12), (1, "e", "v", 10, 11), (1, "e", "v", 10, 11), (1, "f", "w", 13, 2), (2, "g", "u", 4, 4)]
+    got = O.nest_symbols(spark.createDataFrame(rows, "file_id long, kind string, name string, start_line int, end_line int"))
+    assert "aggregate(" not in _plan(got)  # an interpreted fold before
+    assert sorted((r["kind"], r["depth"], r["parent_start"]) for r in got.collect()) == [
+        ("a", 1, None), ("b", 1, None), ("c", 2, 1), ("d", 2, 1), ("e", 3, 3), ("e", 4, 10), ("f", 1, None), ("g", 1, None)]
