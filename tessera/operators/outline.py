@@ -390,7 +390,9 @@ def fetch_symbol(files: DataFrame, nested: DataFrame, requests: DataFrame, max_l
     needle = F.lower(F.col("target"))
     numbered_lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("i"), F.lower(x).alias("l")))
     hits = F.transform(F.filter(numbered_lines, lambda x: x["l"].contains(needle)), lambda x: x["i"])
-    j = j.withColumn("hits", F.when(F.col("status") == "search", hits))
+    # most searches find nothing: one look at the joined lines says so
+    found = F.coalesce(F.lower(F.array_join("lines", "\n")).contains(needle), F.col("lines").isNull())
+    j = j.withColumn("hits", F.when(F.col("status") == "search", F.when(found, hits).otherwise(F.array().cast("array<int>"))))
     sym, search = F.col("status") == "symbol", F.col("status") == "search"
     first = F.col("one.start_line")
     last = F.least(F.col("one.end_line"), first + max_lines - 1)
