@@ -92,7 +92,7 @@ def _flags(token: Column, i: Column) -> Column:
             alone = name.isin(*VOID_TAGS) | F.rtrim(a, F.lit(WS_CHARS)).endswith("/")
             chrome = ~closing & ~alone & (name.isin(*CHROME_TAGS) | ((F.trim(a) != "") & is_chrome_open(name, a)))
             # a tag that can't be one of the three is looked through only where it holds another '<'
-            may = F.exists(F.array(*[F.lit(n) for n in ("main", "article", "h1")]), lambda n: name.startswith(n)) | seg.contains("<") | a.contains("<")
+            may = name.startswith("main") | name.startswith("article") | name.startswith("h1") | seg.contains("<") | a.contains("<")
             return F.struct(i.alias("i"), name.alias("tag"), F.when(closing, F.lit(-1)).when(alone | (raw == ""), F.lit(0)).otherwise(F.lit(1)).alias("counts"),
                             ((raw != "") & chrome).alias("chrome"), (may & F.concat(raw, seg).rlike(MAIN_CONTENT_PATTERN)).alias("main"))
         return let(attrs, flags)

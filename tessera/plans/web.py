@@ -14,6 +14,7 @@ from tessera.operators import links as L
 from tessera.operators import pages as P
 from tessera.operators import site as S
 from tessera.plans.synth import web_corpus
+from tessera.session import materialize
 from tessera.sources.pages import scan_pages
 
 SEARCH_QUERY = "the"
@@ -130,7 +131,7 @@ def q_auth_substring(spark, d):
 
 
 def q_page_search(spark, d):
-    return P.search_pages(_clean(spark, d), SEARCH_QUERY, ctx=1)
+    return P.search_pages(H.clean_pages(web_corpus(spark, d, spread=True)), SEARCH_QUERY, ctx=1)
 
 
 def q_text_budget(spark, d):
@@ -167,8 +168,9 @@ def q_get_page(spark, d):
 
 
 def q_actions_for_path(spark, d):
-    c = _corpus(spark, d)
-    acts = E.extract_actions(c)
+    c = web_corpus(spark, d, spread=True)
+    # read twice (the paths come from them): written once
+    acts = materialize(E.extract_actions(c))
     # Requested paths: every button target found in the corpus.
     paths = (acts.where(F.col("type") == "button").select(F.col("leads_to").alias("path"))
              .where("path is not null").distinct())

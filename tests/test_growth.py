@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import WS_CHARS
 from tessera.operators import lines as LN
 from tessera.operators import outline as O
-from tessera.plans.synth import synth_python, synth_typescript
+from tessera.plans.synth import synth_html, synth_markdown, synth_python, synth_typescript, web_corpus
+from tessera.plans.web import q_actions_for_path
 from tessera.sources.files import split_lines
 
 
@@ -110,3 +111,34 @@ def test_nesting_keeps_odd_symbols(spark):
     assert "aggregate(" not in _plan(got)  # an interpreted fold before
     assert sorted((r["kind"], r["depth"], r["parent_start"]) for r in got.collect()) == [
         ("a", 1, None), ("b", 1, None), ("c", 2, 1), ("d", 2, 1), ("e", 3, 3), ("e", 4, 10), ("f", 1, None), ("g", 1, None)]
+
+
+def test_fetch_symbol_searches_by_one_look_first(spark):
+    files = spark.createDataFrame([(1, ["Alpha x", "be\nta", None, "\u0391\u03a3"]), (2, []), (3, None)], "file_id long, lines array<string>")
+    files = files.withColumn("total_lines", F.size("lines"))
+    req = [(1, t) for t in ("ALPHA", "x\nbe", "be\nTA", "\u03b1\u03c2", "", "zz", None)] + [(2, "x"), (3, "x")]
+    out = O.fetch_symbol(files, spark.createDataFrame([], "file_id long, kind string, name string, start_line int, end_line int, depth int"),
+                         spark.createDataFrame(req, "file_id long, target string"))
+    assert "array_join(lines" in re.sub(r"#\d+", "", _plan(out))  # every line was looked at before
+    got = {(r["file_id"], r["target"]): (r["status"], r["occurrences"], r["hit_lines"]) for r in out.collect()}
+    assert got == {(1, "ALPHA"): ("text", 1, [1]), (1, "x\nbe"): ("none", 0, []), (1, "be\nTA"): ("text", 1, [2]), (1, "\u03b1\u03c2"): ("text", 1, [4]),
+                   (1, ""): ("text", 3, [1, 2, 4]), (1, "zz"): ("none", 0, []), (1, None): ("none", 0, []), (2, "x"): ("none", 0, []), (3, "x"): ("none", None, None)}
+
+
+def test_documents_of_customers_are_spread_and_actions_written_once(spark, tmp_path):
+    spark.range(1, 400).selectExpr("id c_custkey", "concat('n', id) c_name", "'S' c_mktsegment", "id % 25 c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(25).selectExpr("id n_nationkey", "'N' n_name", "1 n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    page = ("<button data-href='/c/1'>a</button><a href='/c/12'>b</a>", "<button>c</button>")
+    spark.createDataFrame([(i, f"https://x.example/{i}", h) for i, h in enumerate(page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (synth_html(spark, str(tmp_path)), synth_markdown(spark, str(tmp_path))):
+        rows = df.select(df.columns[-1], F.spark_partition_id().alias("p")).collect()
+        assert len(rows) == 100 and len({r["p"] for r in rows}) == parts  # one part before
+    spark.range(200).selectExpr("id page_id", "'https://x.example/' || id url", "'<p>x' html").coalesce(1).write.parquet(f"{tmp_path}/many/pages.parquet")
+    for t in ("customer", "nation"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/many/{t}.parquet")
+    rows = web_corpus(spark, f"{tmp_path}/many", spread=True).select("html", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == 200 and len({r["p"] for r in rows}) == parts  # one row group, one task
+    found = q_actions_for_path(spark, str(tmp_path))
+    assert "regexp_extract_all" not in _plan(found)  # the pages were read through twice before
+    assert [(r["page_id"], r["action_no"], r["type"]) for r in found.where("path = '/c/1' and page_id < 9").orderBy("action_no").collect()] == [(0, 1, "button"), (0, 2, "link")]
