@@ -20,7 +20,10 @@ node, named by the hash of the set; the join looks for links between nodes.
    and largest of each size class, so a hot shingle costs a few rows a chunk.
 3. Components of these candidate edges are the units of the join: a link's
    two sets are always in one. The sets of a unit go to a cell, which
-   stores them in a trie in global order. A probe walks the trie depth first;
+   stores them in a trie in global order. A probe walks the trie depth first,
+   to the sets that share a shingle of their prefix with it, the prefixes being taken
+   by the number of the cell's sets that hold a shingle (so that what most of a unit's
+   sets share brings none of them together);
    the overlap with a path is computed once for all sets below it, and a
    subtree is left when the overlap plus what remains (of the probe, or of
    the longest set below) can't reach what the shortest set below needs, or
@@ -61,6 +64,8 @@ FREQUENT, LIST_MAX = 64, 1 << 20
 CHUNK, BLOCK = 500_000, 2_000_000
 #: Candidate pairs worked on at a time; bytes of text; bits of the filter of represented texts (8 MiB).
 SLAB, TEXTS, FILTER_BITS = 500_000, 1 << 18, 26
+#: Sets that are compared without a look at their prefixes.
+FEW = 6
 _HEAVY = U(1) << U(63)
 
 
@@ -306,8 +311,8 @@ class Trie:
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
         self.size = np.array([len(s) for s in sets])
-        common = [self._common(a, b) for a, b in zip(sets, sets[1:])]
-        self.root = self._node(0, len(sets), 0, common)
+        self.common = np.array([self._common(a, b) for a, b in zip(sets, sets[1:])], np.int64)
+        self.root = self._node(0, len(sets), 0)
 
     @staticmethod
     def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -315,9 +320,13 @@ class Trie:
         differ = np.flatnonzero(a[:m] != b[:m])
         return int(differ[0]) if len(differ) else m
 
-    def _node(self, lo: int, hi: int, start: int, common: list[int]):
-        """[start, end, lo, hi, shortest, longest, children]; built without recursion, since paths can be deep."""
-        make = lambda lo, hi, start: [start, min(common[lo:hi - 1], default=len(self.sets[lo])), lo, hi, int(self.size[lo:hi].min()), int(self.size[lo:hi].max()), []]
+    def _node(self, lo: int, hi: int, start: int):
+        """[start, end, lo, hi, shortest, longest, children, first set of each child]; built without recursion, since paths can be deep."""
+        def make(lo: int, hi: int, start: int) -> list:
+            if hi - lo == 1:
+                return [start, n := len(self.sets[lo]), lo, hi, n, n, [], None]
+            return [start, int(self.common[lo:hi - 1].min()), lo, hi, int(self.size[lo:hi].min()), int(self.size[lo:hi].max()), [], None]
+
         root = make(lo, hi, start)
         todo = [root]
         while todo:
@@ -325,59 +334,101 @@ class Trie:
             _, end, lo, hi, *_ = node
             if hi - lo == 1:
                 continue
-            cut = [lo, *(k + 1 for k in range(lo, hi - 1) if common[k] == end), hi]
-            for a, b in zip(cut, cut[1:]):
+            node[7] = np.r_[lo, np.flatnonzero(self.common[lo:hi - 1] == end) + lo + 1]
+            for a, b in zip(node[7].tolist(), [*node[7][1:].tolist(), hi]):
                 child = make(a, b, end)
                 node[6].append(child)
                 todo.append(child)
         return root
 
+    def _prefixes(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Postings of the sets' prefixes: (set of each posting, first posting of the same shingle,
+        each set's postings). Prefixes here are by the shingles' number of sets in the trie, fewest
+        first, so that what most sets share joins none by itself; a shingle's sets are ascending."""
+        owner = np.repeat(np.arange(len(self.sets)), self.size)
+        _, token, sets = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        by = np.lexsort((token, sets[token], owner))
+        begin = np.cumsum(self.size) - self.size
+        head = by[np.arange(len(by)) - begin[owner] < prefix_length(self.size)[owner]]
+        head = head[sets[token[head]] > 1]
+        head = head[np.lexsort((owner[head], token[head]))]
+        token, owner = token[head], owner[head]
+        by = np.lexsort((sets[token], owner))
+        return owner, np.searchsorted(token, token), np.split(by, np.searchsorted(owner[by], np.arange(1, len(self.sets))))
+
     def links(self) -> list[tuple[int, int]]:
         """Links that join all sets which are linked directly or through others.
 
-        A node whose sets are known to be joined with each other (``linked``) is left
-        by a probe that is joined with one of them. The mark is found when a probe
-        passes the node and all its children have it."""
-        parent = list(range(len(self.sets)))
-
-        def find(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        linked: set[int] = set()
+        A probe goes down the trie to sets before it that have a shingle of its prefix in
+        theirs and aren't joined with it yet: a few of them first, since one link may join it
+        with all. ``even`` is the number of first postings of a shingle that are known to be
+        joined with each other; a probe that is joined with one of them passes by them."""
+        label = np.arange(len(self.sets))
+        members = {k: [k] for k in range(len(self.sets))}
         out = []
-        for x in range(1, len(self.sets)):
-            probe, nx = self.sets[x], len(self.sets[x])
+
+        def probe(x: int, some: np.ndarray) -> None:
+            keys, nx = self.sets[x], len(self.sets[x])
             low, high = -(-PERCENT * nx // 100), 100 * nx // PERCENT
-            todo = [(self.root, 0)]
+            todo = [(self.root, 0, some)]
             while todo:
-                node, overlap = todo.pop()
-                start, end, lo, hi, shortest, longest, children = node
-                if lo >= x or longest < low or shortest > high:
+                node, overlap, some = todo.pop()
+                some = some[label[some] != label[x]]
+                if not len(some):
                     continue
-                if children and hi <= x and id(node) not in linked:
-                    one = find(lo)
-                    if all((not c[6] or id(c) in linked) and find(c[2]) == one for c in children):
-                        linked.add(id(node))
-                if (not children or id(node) in linked) and find(lo) == find(x):
+                start, end, lo, _, shortest, longest, children, at_child = node
+                if longest < low or shortest > high:
                     continue
                 passed = 0
                 if end > start:
                     path = self.sets[lo][start:end]
-                    at = np.searchsorted(probe, path)
-                    overlap += int((probe[np.minimum(at, nx - 1)] == path).sum())
-                    passed = int(np.searchsorted(probe, path[-1], "right"))
+                    at = np.searchsorted(keys, path)
+                    overlap += int((keys[np.minimum(at, nx - 1)] == path).sum())
+                    passed = int(np.searchsorted(keys, path[-1], "right"))
                 elif end:
-                    passed = int(np.searchsorted(probe, self.sets[lo][end - 1], "right"))
+                    passed = int(np.searchsorted(keys, self.sets[lo][end - 1], "right"))
                 if overlap + min(nx - passed, longest - end) < need(nx, max(shortest, low)):
                     continue
                 if children:
-                    todo.extend((c, overlap) for c in children)
+                    child = np.searchsorted(at_child, some, "right") - 1
+                    cut = np.flatnonzero(np.diff(child)) + 1
+                    todo.extend((children[child[a]], overlap, some[a:b]) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(some)]))
                 elif 100 * overlap >= PERCENT * (nx + len(self.sets[lo]) - overlap):
                     out.append((lo, x))
-                    parent[find(x)] = find(lo)
+                    a, b = sorted((int(label[lo]), int(label[x])), key=lambda k: len(members[k]))
+                    label[members[a]] = b
+                    members[b] += members.pop(a)
+
+        if len(self.sets) <= FEW:  # not worth the postings
+            for x in range(1, len(self.sets)):
+                probe(x, np.arange(x))
+            return out
+        owner, first, postings = self._prefixes()
+        even, probed = np.ones(len(owner), np.int64), np.full(len(self.sets), -1)
+        for x, mine in enumerate(postings):
+            low, high = -(-PERCENT * len(self.sets[x]) // 100), 100 * len(self.sets[x]) // PERCENT
+            at, step = 0, 1
+            while at < len(mine):
+                part, at, step = mine[at:at + step], at + step, 2 * step
+                a = first[part]
+                begin = np.where(label[owner[a]] == label[x], a + even[a], a)
+                found = [owner[i:j] for i, j in zip(begin, part) if i < j]
+                some = np.concatenate(found) if found else np.zeros(0, np.int64)
+                some = np.unique(some[(label[some] != label[x]) & (probed[some] != x) & (self.size[some] >= low) & (self.size[some] <= high)])
+                few = 2
+                while len(some):  # the nearest in the order first
+                    probed[some[-few:]] = x
+                    probe(x, some[-few:])
+                    some = some[:-few]
+                    some, few = some[label[some] != label[x]], 4 * few
+            a = first[mine]
+            mine = mine[joined := label[owner[a]] == label[x]]
+            a = a[joined]
+            new = a + even[a] < mine
+            whole = ~new
+            whole[new] = [bool((label[owner[i:j]] == label[x]).all()) for i, j in zip(a[new] + even[a[new]], mine[new])]
+            whole &= a < mine
+            even[a[whole]] = mine[whole] - a[whole] + 1
         return out
 
 

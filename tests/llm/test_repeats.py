@@ -238,6 +238,20 @@ def test_trie_links_join_what_brute_force_joins():
     assert component_ids(links, nodes) == plain and len(links) < len(sets)
 
 
+def test_trie_passes_by_what_cannot_be_linked(monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = np.arange(60, dtype=np.uint64) + np.uint64(1 << 40)
+    own = [np.r_[np.unique(rng.integers(0, 1 << 39, 30, dtype=np.uint64)), shared] for _ in range(400)]  # alike in what all share only
+    near = [np.unique(np.r_[np.delete(own[0], rng.choice(90, 4, replace=False)), rng.integers(0, 1 << 39, 3, dtype=np.uint64)]) for _ in range(400)]
+    seen = []
+    need = jaccard.need
+    monkeypatch.setattr(jaccard, "need", lambda a, b: seen.append(a) or need(a, b))
+    for sets, n_links in ((own, 0), (near, 399), (own + near, 400)):
+        seen.clear()
+        assert len(jaccard.Trie(sorted(sets, key=lambda s: s.astype(">u8").tobytes())).links()) == n_links
+        assert len(seen) < 12 * len(sets)  # each probe looked at every branch before
+
+
 def test_extension_to_both_sides_of_one_gram(spark):
     # a passage of 60 words with other words on either side at other distances: each pair agrees over another stretch
     rng = random.Random(17)
