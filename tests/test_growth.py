@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions.text import WS_CHARS
 from tessera.operators import lines as LN
 from tessera.operators import outline as O
-from tessera.plans.synth import synth_html, synth_markdown, synth_python, synth_typescript, web_corpus
+from tessera.operators import site as S
+from tessera.plans.site import crawl_corpus, q_site_map_json
+from tessera.plans.synth import synth_html, synth_links, synth_markdown, synth_python, synth_typescript, web_corpus
 from tessera.plans.web import q_actions_for_path
 from tessera.sources.files import split_lines
 
@@ -142,3 +144,35 @@ def test_documents_of_customers_are_spread_and_actions_written_once(spark, tmp_p
     found = q_actions_for_path(spark, str(tmp_path))
     assert "regexp_extract_all" not in _plan(found)  # the pages were read through twice before
     assert [(r["page_id"], r["action_no"], r["type"]) for r in found.where("path = '/c/1' and page_id < 9").orderBy("action_no").collect()] == [(0, 1, "button"), (0, 2, "link")]
+
+
+def test_site_maps_join_written_facts(spark, tmp_path):
+    spark.range(1, 400).selectExpr("id c_custkey", "concat('n', id) c_name", "'S' c_mktsegment", "id % 25 c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(25).selectExpr("id n_nationkey", "'N' n_name", "1 n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, "https://x.example/", "<title>T</title><button>b</button><form><input name='q'></form><a href='/gone'>g</a>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (synth_links(spark, str(tmp_path)), crawl_corpus(spark, str(tmp_path))):
+        rows = df.select("html", F.spark_partition_id().alias("p")).collect()
+        assert len(rows) >= 399 and len({r["p"] for r in rows}) == parts  # the linked pages were one part before
+    maps = q_site_map_json(spark, str(tmp_path))
+    # before, the pages' work was in the same plan, and a small table's broadcast waited for its tasks
+    assert "regexp_extract_all(" not in _plan(maps) and "aggregate(" not in _plan(maps)
+    got = maps.where("site = 'https://x.example'").select(F.from_json(
+        "json", "pages_scanned int, pages_failed int, pages array<struct<path:string,title:string>>, forms array<struct<fields:array<string>>>, actions array<struct<label:string>>").alias("m")).first()["m"]
+    assert (got["pages_scanned"], got["pages_failed"], got["pages"][0]["title"]) == (1, 1, "T")
+    assert [f["fields"] for f in got["forms"]] == [["q"]] and [a["label"] for a in got["actions"]] == ["b", "g"]
+
+
+def test_site_maps_keep_rows_without_a_page_out_of_the_join(spark):
+    walk = spark.createDataFrame([("s", "/", 1, 0, "mapped", 7, "s", "/"), ("s", "/a", 2, 1, "missing", None, "s", "/a"), ("s", "/b", None, 1, "unvisited", None, "s", "/b"), (None, "/", 1, 0, "missing", None, None, "/")],
+                                 "site string, path string, rank long, level int, outcome string, page_id long, final_site string, final_path string")
+    facts = spark.createDataFrame([(7, "T", "S", [("/", ["q"], "/", "GET")], ["/api"], True), (None, "no", "no", [], [], False)],
+                                  "page_id long, title string, summary string, forms array<struct<page:string,fields:array<string>,action:string,method:string>>, api_hints array<string>, auth_required boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.site_awareness(walk, facts)
+        assert "isnull(page_id" in _plan(out)  # all of them went to one task before
+        got = {r["site"]: (r["pages_scanned"], r["pages_failed"], r["links_queued_unvisited"], r["pages"], r["api_hints"], r["auth_required"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {"s": (1, 1, 1, [("/", "T", "S", None)], ["/api"], True), None: (0, 1, 0, [], [], False)}
