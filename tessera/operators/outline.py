@@ -368,31 +368,44 @@ def fetch_symbol(files: DataFrame, nested: DataFrame, requests: DataFrame, max_l
     ``max_lines`` lines, ``continue_at`` when cut); otherwise a text search
     ('text' with up to 5 hit lines, each with ``ctx`` numbered lines on either
     side, and the true count, or 'none')."""
-    req = requests.select("file_id", "target")
-    cand = nested.where(F.col("depth") <= 2).select(
-        "file_id", F.lower("name").alias("lname"), "kind", "name", "start_line", "end_line")
-    j = req.join(cand, (req.file_id == cand.file_id) & (F.lower(req.target) == cand.lname), "left") \
-        .select(req.file_id, "target", "kind", "name", "start_line", "end_line")
-    label = F.concat_ws("", F.col("kind"), F.lit(" "), F.col("name"), F.lit("  lines "), F.col("start_line").cast("string"),
-                        F.when(F.col("end_line").isNotNull(), F.concat(F.lit("–"), F.col("end_line").cast("string"))))
-    g = j.groupBy("file_id", "target").agg(
-        F.count("start_line").cast("int").alias("n_matches"),
-        F.min(F.struct("start_line", "end_line", "kind", "name")).alias("one"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("start_line").isNotNull(),
-                                                               F.struct("start_line", label.alias("l"))))),
-                            lambda x: x["l"]), 1, SHOW_CANDIDATES).alias("candidates"))
+    symbol = F.struct("start_line", "end_line", "kind", "name")
+    none = F.lit(None)
+    # Requests and symbols go through one exchange, by file; names and files then meet without another.
+    asked = requests.where("file_id is not null").select("file_id", F.struct("target").alias("request"), none.alias("symbol"))
+    cand = nested.where((F.col("depth") <= 2) & F.col("file_id").isNotNull() & F.col("name").isNotNull()).select("file_id", none.alias("request"), symbol.alias("symbol"))
+    both = asked.unionByName(cand).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+    g = both.groupBy("file_id", F.lower(F.coalesce("request.target", "symbol.name")).alias("lname")).agg(
+        F.collect_list("request").alias("requests"), F.collect_list("symbol").alias("symbols")).where(F.size("requests") > 0)
+    g = g.select("file_id", "requests", "symbols", F.explode(F.array_distinct("requests")).alias("r"))
+    # a request that is repeated counts each symbol as often
+    times = F.size(F.filter("requests", lambda x: x.eqNullSafe(F.col("r"))))
+    placed = F.filter("symbols", lambda x: x["start_line"].isNotNull())
+    label = lambda x: F.concat_ws("", x["kind"], F.lit(" "), x["name"], F.lit("  lines "), x["start_line"].cast("string"),
+                                  F.when(x["end_line"].isNotNull(), F.concat(F.lit("–"), x["end_line"].cast("string"))))
+    labels = F.slice(F.array_sort(F.transform(placed, lambda x: F.struct(x["start_line"].alias("start_line"), label(x).alias("l")))), 1, SHOW_CANDIDATES)
+    g = g.select("file_id", F.col("r.target").alias("target"), "symbols", times.alias("times"), (times * F.size(placed)).cast("int").alias("n_matches"),
+                 F.array_min("symbols").alias("one"))
     status = (F.when(F.col("n_matches") > 1, F.lit("ambiguous"))
               .when((F.col("n_matches") == 1) & F.col("one.end_line").isNotNull(), F.lit("symbol"))
               .otherwise(F.lit("search")))
     g = g.withColumn("status", status)
-    # one join of the files, whatever the status
-    j = g.join(files.select("file_id", "lines", "total_lines"), "file_id")
+    shown = F.slice(F.flatten(F.transform(labels, lambda x: F.array_repeat(x["l"], F.least(F.col("times"), F.lit(SHOW_CANDIDATES))))), 1, SHOW_CANDIDATES)
+    g = g.select("file_id", "target", "n_matches", "one", "status", F.when(F.col("status") == "ambiguous", shown).alias("candidates"))
+    # One join of the files, whatever the status. A file's lines go as one text, a third of the array's bytes,
+    # unless a line is null or holds a line break: then breaks and joints don't agree.
+    joined = F.array_join("lines", "\n", "\n")
+    f = files.select("file_id", "total_lines", "lines", joined.alias("text"))
+    plain = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) == F.size("lines") - 1
+    f = f.select("file_id", "total_lines", F.when(plain, F.col("text")).alias("text"), F.when(plain, F.lit(None)).otherwise(F.col("lines")).alias("odd"))
+    j = g.join(f, "file_id")
     needle = F.lower(F.col("target"))
+    # most searches find nothing: one look at the whole text says so
+    whole = F.coalesce("text", F.array_join("odd", "\n"))
+    j = j.withColumn("found", F.when(F.col("status") == "search", F.coalesce(F.lower(whole).contains(needle), whole.isNull())))
+    j = j.withColumn("lines", F.when(F.col("found") | (F.col("status") == "symbol"), F.coalesce("odd", F.split("text", "\n", -1))))
     numbered_lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("i"), F.lower(x).alias("l")))
     hits = F.transform(F.filter(numbered_lines, lambda x: x["l"].contains(needle)), lambda x: x["i"])
-    # most searches find nothing: one look at the joined lines says so
-    found = F.coalesce(F.lower(F.array_join("lines", "\n")).contains(needle), F.col("lines").isNull())
-    j = j.withColumn("hits", F.when(F.col("status") == "search", F.when(found, hits).otherwise(F.array().cast("array<int>"))))
+    j = j.withColumn("hits", F.when(F.col("status") == "search", F.when(F.col("found"), hits).otherwise(F.array().cast("array<int>"))))
     sym, search = F.col("status") == "symbol", F.col("status") == "search"
     first = F.col("one.start_line")
     last = F.least(F.col("one.end_line"), first + max_lines - 1)

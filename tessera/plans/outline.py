@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import lines as LN
 from tessera.operators import outline as O
-from tessera.plans.synth import (MD_FILE_BASE, PY_FILE_BASE, TS_FILE_BASE, file_corpus, synth_markdown,
+from tessera.plans.synth import (MD_FILE_BASE, PY_FILE_BASE, TS_FILE_BASE, file_corpus, order_lines, synth_markdown,
                                  synth_python, synth_typescript)
 
 
@@ -129,16 +129,15 @@ def q_outline_depth(spark, d):
 
 def q_fetch_symbol(spark, d):
     files = LN.files_from_text(file_corpus(spark, d), "file_id", "path", "text")
-    orders = spark.read.parquet(f"{d}/orders.parquet")
-    li = spark.read.parquet(f"{d}/lineitem.parquet")
-    first_ln = li.groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("ln"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    # the sources' own exchange of lineitems: the first of an order's items has the line number that is asked for
+    first_ln = order_lines(spark, d).select("o_orderkey", F.get("items", F.lit(0))["l_linenumber"].alias("ln"))
     k = F.col("o_orderkey")
-    base = orders.join(first_ln, orders.o_orderkey == first_ln.l_orderkey, "left").select(
-        (PY_FILE_BASE + k).cast("long").alias("file_id"), k.cast("string").alias("ks"), "ln")
-    req = (base.select("file_id", F.concat(F.lit("Order"), F.col("ks")).alias("target"))
-           .unionByName(base.where(F.col("ln").isNotNull()).select("file_id", F.concat(F.lit("LINE_"), F.col("ln").cast("string")).alias("target")))
-           .unionByName(base.select("file_id", F.concat(F.lit("fake_"), F.col("ks")).alias("target")))
-           .unionByName(base.select("file_id", F.concat(F.lit("nothing_"), F.col("ks")).alias("target")))
+    base = orders.join(first_ln.hint("merge"), "o_orderkey", "left").select((PY_FILE_BASE + k).cast("long").alias("file_id"), k.cast("string").alias("ks"), "ln")
+    targets = F.array(F.concat(F.lit("Order"), F.col("ks")), F.concat(F.lit("LINE_"), F.col("ln").cast("string")),
+                      F.concat(F.lit("fake_"), F.col("ks")), F.concat(F.lit("nothing_"), F.col("ks")))
+    # an order without lineitems has no line to ask for; without a key, no file
+    req = (base.select("file_id", F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("target"))
            # a word in every file, and the headings of every Markdown file (no end: found as text)
            .unionByName(files.select("file_id", F.lit("the").alias("target")))
            .unionByName(O.markdown_symbols(_sources(spark, d).where(F.col("language") == "Markdown")).select("file_id", F.col("name").alias("target")).distinct()))

@@ -176,3 +176,22 @@ def test_site_maps_keep_rows_without_a_page_out_of_the_join(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {"s": (1, 1, 1, [("/", "T", "S", None)], ["/api"], True), None: (0, 1, 0, [], [], False)}
+
+
+def test_fetch_symbol_exchanges_names_once_and_lines_as_text(spark):
+    files = spark.createDataFrame([(1, ["def one():", "  x", None]), (2, ["a\nB"]), (3, []), (4, [""]), (5, ["p", "q"])], "file_id long, lines array<string>").withColumn("total_lines", F.size("lines"))
+    nested = spark.createDataFrame([(1, "class", "A", 1, 2, 1), (1, "def", "a", 2, 2, 2), (1, "def", "Solo", 2, 3, 1), (1, "def", "one", 1, 2, 1), (1, "def", "deep", 1, 1, 3), (5, "def", None, 1, 1, 1),
+                                    (5, "h1", "p", 1, None, 1), (None, "def", "one", 1, 1, 1)], "file_id long, kind string, name string, start_line int, end_line int, depth int")
+    req = [(1, "A"), (1, "a"), (1, "solo"), (1, "solo"), (1, "ONE"), (1, "deep"), (2, "b"), (2, "a\nb"), (3, ""), (4, ""), (5, "P"), (5, None), (None, "one"), (9, "one")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = O.fetch_symbol(files, nested, spark.createDataFrame(req, "file_id long, target string"))
+        assert _plan(out).count("Exchange hashpartitioning") == 2  # five before
+        got = {(r["file_id"], r["target"]): (r["status"], r["n_matches"], r["candidates"], r["hit_lines"], r["body"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    two, solo = ["class A  lines 1–2", "def a  lines 2–2"], "def Solo  lines 2–3"
+    assert got == {(1, "A"): ("ambiguous", 2, two, None, None), (1, "a"): ("ambiguous", 2, two, None, None), (1, "solo"): ("ambiguous", 2, [solo, solo], None, None),
+                   (1, "ONE"): ("symbol", 1, None, None, "    1 │ def one():\n    2 │   x"), (1, "deep"): ("none", 0, None, [], None), (2, "b"): ("text", 0, None, [1], None),
+                   (2, "a\nb"): ("text", 0, None, [1], None), (3, ""): ("none", 0, None, [], None), (4, ""): ("text", 0, None, [1], None), (5, "P"): ("text", 1, None, [1], None),
+                   (5, None): ("none", 0, None, [], None)}
