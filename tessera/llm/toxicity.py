@@ -314,7 +314,8 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
         for part in slices(batches, 1):
             f = Features(part.column(1), **SPEC)
             z = np.array([w[held_features(f.text(i), chosen)].sum() + b for i in range(part.num_rows)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
+            score = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))  # none was labelled toxic
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
